@@ -24,6 +24,7 @@ from pagequarry.operators.selectors import (
     compile_css,
     compile_selector,
     compile_xpath,
+    literal,
 )
 from pagequarry.schema import FIELDS, MISSING
 from pagequarry.sources.parse import node_rows, node_text, parse_pages
@@ -100,7 +101,8 @@ class _Need:
 
 
 def _any(columns: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
+    some = list(columns)
+    return reduce(lambda a, b: a | b, some) if some else F.lit(False)
 
 
 class _Plan:
@@ -163,29 +165,36 @@ class _Plan:
     def _for_config(self, need: _Need, column: Column) -> Column:
         return column if len(self.configs) == 1 else column & (F.col("cfg") == need.config)
 
-    def bit(self, test: Test | str) -> Column:
-        i = self.bits[test]
-        return F.col(f"mask{i // MASK_BITS}").bitwiseAND(F.lit(1 << (i % MASK_BITS)).cast("long")) != 0
+    def any_bit(self, tests: Iterable[Test | str]) -> Column:
+        """Does a row pass any of these tests or searches?"""
+        wanted: dict[int, int] = {}
+        for test in tests:
+            i = self.bits[test]
+            wanted[i // MASK_BITS] = wanted.get(i // MASK_BITS, 0) | 1 << (i % MASK_BITS)
+        terms = [f"(mask{m} & {bits}L) <> 0" for m, bits in wanted.items()]
+        return F.expr(" or ".join(terms) or "false")
 
     # Row-local work: tests, texts and attributes, before the shuffle.
     def candidates(self, nodes: DataFrame, carry: list[str]) -> DataFrame:
-        strings = F.col("kind") != "e"
         hits = [
-            t.column()
+            t.sql()
             if isinstance(t, Test)
-            else F.coalesce(strings & F.col("text").rlike(f"(?i){t}"), F.lit(False))
+            else f"coalesce(kind <> 'e' and rlike(text, {literal('(?i)' + t)}), false)"
             for t in self.bits
         ]
+        mask_names = []
         masks = []
         for lo in range(0, len(hits), MASK_BITS):
-            some = [F.when(h, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, h in enumerate(hits[lo : lo + MASK_BITS])]
-            masks.append(reduce(Column.bitwiseOR, some).alias(f"mask{lo // MASK_BITS}"))
+            terms = [f"if({h}, {1 << i}L, 0L)" for i, h in enumerate(hits[lo : lo + MASK_BITS])]
+            mask_names.append(f"mask{lo // MASK_BITS}")
+            masks.append(F.expr(" | ".join(terms)).alias(mask_names[-1]))
         flagged = nodes.select("*", *masks)
 
         def flag_any(needs):
-            wanted = {p.steps[-1] for n in needs for p in n.selector.paths}
-            wanted |= {n.selector.pattern for n in needs if n.selector.kind == "search"}
-            return _any(self.bit(w) for w in sorted(wanted, key=self.bits.get))
+            return self.any_bit(
+                [p.steps[-1] for n in needs for p in n.selector.paths]
+                + [n.selector.pattern for n in needs if n.selector.kind == "search"]
+            )
 
         css_text = [n for n in self.needs if n.selector.kind in ("css", "search") and not n.attribute]
         raw_text = [
@@ -201,7 +210,6 @@ class _Plan:
         columns = [F.col(c) for c in ("page_id", "cfg", "node_id", "end_id", "parent_id", "sib_idx", "kind")]
         # Page columns matter on container rows only; elsewhere they would just widen the shuffle.
         columns += [F.when(box, F.col(c)).alias(c) for c in carry]
-        mask_names = [f"mask{lo // MASK_BITS}" for lo in range(0, len(hits), MASK_BITS)]
         columns += [F.col(name) for name in mask_names]
         empty = F.lit(None).cast("string")
         columns.append(
@@ -221,7 +229,7 @@ class _Plan:
             F.when(box, regex_value(node_text("plain"), p)).alias(alias)
             for p, alias in self.regex_column.items()
         ]
-        keep = _any(F.col(name) != 0 for name in mask_names)
+        keep = F.expr(" or ".join(f"{name} <> 0" for name in mask_names) or "false")
         if any_string:
             keep = keep | (F.col("kind") == "t")
         return flagged.filter(keep).select(*columns)
@@ -230,7 +238,7 @@ class _Plan:
     def whole_page_flags(self, rows: DataFrame) -> DataFrame:
         wanted = self.containers + [n for n in self.needs if n.selector.kind == "css"]
         pending: list[Path] = list(dict.fromkeys(p for n in wanted for p in n.selector.paths))
-        state = {path: (self.bit(path.steps[0]), str(self.bits[path.steps[0]]), 0) for path in pending}
+        state = {path: (self.any_bit([path.steps[0]]), str(self.bits[path.steps[0]]), 0) for path in pending}
         level = 0
         while any(state[p][2] < len(p.steps) - 1 for p in pending):
             memo: dict[tuple, str] = {}
@@ -243,7 +251,7 @@ class _Plan:
                 if key not in memo:
                     memo[key] = f"p{level}_{len(memo)}"
                     related = structure.follows if path.joins[at] == "+" else structure.inside
-                    hit = self.bit(path.steps[at + 1]) & related(flag)
+                    hit = self.any_bit([path.steps[at + 1]]) & related(flag)
                     new.append(hit.alias(memo[key]))
                 state[path] = (F.col(memo[key]), memo[key], at + 1)
             rows = rows.select("*", *new)
@@ -287,13 +295,13 @@ class _Plan:
             if chosen.kind in ("never", "regex"):
                 continue
             if chosen.kind == "search":
-                hit = self._for_config(need, self.bit(chosen.pattern))
+                hit = self._for_config(need, self.any_bit([chosen.pattern]))
             elif chosen.kind == "css":
                 hit = self._hit(need)
             elif chosen.take == "strings":
                 hit = self._for_config(need, F.col("kind") == "t")
             else:
-                hit = self._for_config(need, self.bit(chosen.paths[0].steps[-1]))
+                hit = self._for_config(need, self.any_bit([chosen.paths[0].steps[-1]]))
             n = F.col("text_id") if chosen.take == "string" else F.col("node_id")
             if chosen.take == "string":
                 hit = hit & F.col("text_id").isNotNull()
@@ -312,7 +320,7 @@ class _Plan:
             steps = chosen.paths[0].steps
             for step in reversed(steps if chosen.take == "strings" else steps[:-1]):
                 rows = rows.withColumn(f"c{i}", structure.first_below(F.col(f"c{i}")))
-                below = F.when(self.bit(step), structure.own(F.col(f"c{i}")))
+                below = F.when(self.any_bit([step]), structure.own(F.col(f"c{i}")))
                 rows = rows.withColumn(f"c{i}", below)
             links[i] = (need.field, need.rank, chosen.from_root)
             slots.setdefault(links[i], []).append(F.col(f"c{i}"))

@@ -12,17 +12,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from pagequarry.functions.text import pattern_group
-from pagequarry.sources.parse import node_text
 
 
 class UnsupportedSelector(ValueError):
     """The selector lies outside the supported grammar."""
 
 
+TEXT_SQL = "cast(substr(stripped, stripped_s + 1, stripped_e - stripped_s) as string)"
+
+
+def literal(text: str) -> str:
+    """A string as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 @dataclass(frozen=True)
 class Test:
     """What one step asks of one element."""
@@ -33,34 +38,31 @@ class Test:
     position: int | None = None
     holds: str | None = None  # text the element must contain (selector lists only)
 
-    def column(self) -> Column:
-        hit = F.col("kind") == "e"
+    def sql(self) -> str:
+        """The test as one SQL predicate on a node row; never NULL."""
+        terms = ["kind = 'e'"]
         if self.tag:
-            hit = hit & (F.col("tag") == self.tag)
+            terms.append(f"tag = {literal(self.tag)}")
         if self.position is not None:
-            hit = hit & (F.col("same_tag_idx") == self.position)
+            terms.append(f"same_tag_idx = {self.position}")
         for token in self.tokens:
-            padded = F.concat(F.lit(" "), F.col("attrs")["class"], F.lit(" "))
-            hit = hit & padded.contains(f" {token} ")
+            terms.append(f"contains(concat(' ', attrs['class'], ' '), {literal(f' {token} ')})")
         for operator, name, value in self.attrs:
-            cell = F.col("attrs")[name]
+            cell, needle = f"attrs[{literal(name)}]", literal(value)
             if operator == "has":
-                hit = hit & cell.isNotNull()
+                terms.append(f"{cell} is not null")
             elif operator == "=":
-                hit = hit & (cell == value)
+                terms.append(f"{cell} = {needle}")
             elif value == "":
-                hit = F.lit(False)  # an empty needle matches nothing
-            elif operator == "*=":
-                hit = hit & cell.contains(value)
-            elif operator == "^=":
-                hit = hit & cell.startswith(value)
-            elif operator == "$=":
-                hit = hit & cell.endswith(value)
+                terms.append("false")  # an empty needle matches nothing
+            elif operator == "~=":
+                terms.append(f"contains(concat(' ', {cell}, ' '), {literal(f' {value} ')})")
             else:
-                hit = hit & F.concat(F.lit(" "), cell, F.lit(" ")).contains(f" {value} ")
+                shape = {"*=": "contains", "^=": "startswith", "$=": "endswith"}[operator]
+                terms.append(f"{shape}({cell}, {needle})")
         if self.holds is not None:
-            hit = hit & node_text("stripped").contains(self.holds)
-        return F.coalesce(hit, F.lit(False))
+            terms.append(f"contains({TEXT_SQL}, {literal(self.holds)})")
+        return f"coalesce({' and '.join(terms)}, false)"
 
 
 @dataclass(frozen=True)

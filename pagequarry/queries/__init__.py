@@ -1 +1,11 @@
 """Registered queries with their DuckDB twins."""
+
+from importlib import import_module
+
+MODULES = ("listing_queries",)
+
+
+def all_queries() -> None:
+    """Import every module that registers queries."""
+    for module in MODULES:
+        import_module(f"pagequarry.queries.{module}")

@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, app: str = "pagequarry") -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Pages are large cells: few rows per Arrow batch keeps a Python worker's memory flat.
