@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pagequarry.schema import MISSING
 
 
+# Every Unicode whitespace character.
+WHITESPACE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Both ends trimmed of any Unicode whitespace (SQL `trim` removes plain blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Both ends trimmed of any Unicode whitespace (SQL `trim` alone removes plain blanks only)."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def clean_text(text: Column) -> Column:

@@ -117,7 +117,7 @@ class _Page(HTMLParser):
             node += (len(blob), len(blob))
         if self.source:
             at = self._byte(self._pos()) if kind == "e" else None
-            node += (at, at)
+            node += (at, at, self.getpos()[0])
         self.nodes.append(node)
         return number
 
@@ -158,7 +158,7 @@ class _Page(HTMLParser):
         for t, blob in enumerate(self.blobs):
             node[SPANS + 2 * t + 1] = len(blob)
         if self.source:
-            node[-1] = self._byte(at)
+            node[-2] = self._byte(at)
 
     # -- source positions ---------------------------------------------------------------------
 
@@ -259,7 +259,7 @@ class _Batch:
         self.parent_attrs = parent_attrs
         self.rows, self.parts, self.errors, self.starts = [], [], [], [0]
         names = [f.name for f in NODE_FIELDS if f.name != "attrs"]
-        self.columns = {name: [] for name in names}
+        self.columns = {name: [] for name in names + (["line"] if source else [])}
         self.keys, self.values, self.attr_starts = [], [], [0]
         self.paths: list[str | None] = []
         self.blobs = {t: [] for t in texts + (("source",) if source else ())}
@@ -295,6 +295,8 @@ class _Batch:
             starts.append(len(keys))
         if self.xpath:
             self.paths.extend(paths)
+        if self.source:
+            self.columns["line"].extend(members[-1])
         for t, (name, blob) in enumerate(self.blobs.items()):
             data = page.html_bytes if name == "source" else page.blobs[t]
             starts, stops = members[SPANS + 2 * t], members[SPANS + 2 * t + 1]
@@ -371,7 +373,7 @@ def parse_pages(
 
     Output: every input column but the html, `part`, `parse_error`, `nodes`, and one BINARY column
     per requested text. Ask only for the texts you slice: this is the projection of the parse.
-    `xpath` adds each element's path, `source` the html bytes and each element's span in them,
+    `xpath` adds each element's path, `source` the html bytes and each element's span and first line in them,
     `parent_attrs` puts the parent's attributes on string rows. NULL and blank pages yield no row;
     a page that cannot be read yields one row without nodes and a `parse_error`.
     """
@@ -383,6 +385,8 @@ def parse_pages(
     blobs = texts + (("source",) if source else ())
     for t in blobs:
         members += [T.StructField(f"{t}_s", T.IntegerType()), T.StructField(f"{t}_e", T.IntegerType())]
+    if source:
+        members.append(T.StructField("line", T.IntegerType()))
     schema = T.StructType(
         kept
         + [
