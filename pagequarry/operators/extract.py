@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import clean_text, regex_clean, regex_value, strip
 from pagequarry.operators import structure
+from pagequarry.operators.intervals import enclosing
 from pagequarry.operators.selectors import (
     Path,
+    Picked,
     Selector,
     Test,
     compile_css,
@@ -38,7 +40,8 @@ MASK_BITS = 62
 
 @dataclass(frozen=True)
 class Rule:
-    """One selector of a field: css, xpath or regex, with an optional attribute and value regex."""
+    """One selector of a field with an optional attribute and value regex. Types: css, xpath, regex,
+    and for the built-in extractors find (see compile_find) and string (the searched string itself)."""
 
     selector: str
     type: str = "css"
@@ -108,8 +111,18 @@ def _any(columns: Iterable[Column]) -> Column:
 class _Plan:
     """Compiles configurations and builds the window plan over parsed pages."""
 
-    def __init__(self, configs: Mapping[str, Config], fields: tuple[str, ...], lists: bool):
-        self.fields = fields
+    def __init__(
+        self,
+        configs: Mapping[str, Config],
+        fields: tuple[str, ...],
+        lists: bool = False,
+        cleaning: str = "clean",
+        picked: str | None = None,
+        box_values: Mapping[str, Column] | None = None,
+        texts: tuple[str, ...] = (),
+    ):
+        self.fields, self.cleaning, self.picked = fields, cleaning, picked
+        self.box_values, self.texts = dict(box_values or {}), texts
         self.sites: dict[str, int] = {}
         self.configs: list[Config] = []
         for site, config in configs.items():
@@ -119,13 +132,17 @@ class _Plan:
         self.needs: list[_Need] = []
         self.containers: list[_Need] = []
         for c, config in enumerate(self.configs):
-            for rank, rule in enumerate(config.get("product_container", css("div"))):
+            boxes = () if picked else config.get("product_container", css("div"))
+            if picked:
+                path = Path((Picked(column=picked),))
+                self.containers.append(_Need(c, "product_container", 0, Selector("css", (path,)), None))
+            for rank, rule in enumerate(boxes):
                 text = rule.selector
                 chosen = compile_xpath(text) if rule.type == "xpath" else compile_css(text, lists=True)
                 self.containers.append(_Need(c, "product_container", rank, chosen, None))
             for name in fields:
                 for rank, rule in enumerate(config.get(name, ())):
-                    options = {} if rule.type in ("xpath", "regex") else {"lists": lists}
+                    options = {} if rule.type in ("xpath", "regex", "find", "string") else {"lists": lists}
                     chosen = compile_selector(rule.type, rule.selector, rule.regex, **options)
                     attribute = rule.attribute.lower() if rule.attribute else None
                     self.needs.append(_Need(c, name, rank, chosen, attribute, rule.regex))
@@ -140,7 +157,7 @@ class _Plan:
 
     # What the parse has to produce.
     def parse_options(self) -> dict:
-        texts = {"stripped"}
+        texts = {"stripped", *self.texts}
         for need in self.needs:
             if need.selector.kind == "xpath" and need.selector.take == "text" and not need.attribute:
                 texts.add("raw")
@@ -196,7 +213,11 @@ class _Plan:
                 + [n.selector.pattern for n in needs if n.selector.kind == "search"]
             )
 
-        css_text = [n for n in self.needs if n.selector.kind in ("css", "search") and not n.attribute]
+        css_text = [
+            n
+            for n in self.needs
+            if n.selector.kind in ("css", "search", "find") and n.selector.take == "text" and not n.attribute
+        ]
         raw_text = [
             n for n in self.needs if n.selector.kind == "xpath" and n.selector.take == "text" and not n.attribute
         ]
@@ -229,6 +250,7 @@ class _Plan:
             F.when(box, regex_value(node_text("plain"), p)).alias(alias)
             for p, alias in self.regex_column.items()
         ]
+        columns += [F.when(box, value).alias(name) for name, value in self.box_values.items()]
         keep = F.expr(" or ".join(f"{name} <> 0" for name in mask_names) or "false")
         if any_string:
             keep = keep | (F.col("kind") == "t")
@@ -262,6 +284,12 @@ class _Plan:
     def _hit(self, need: _Need) -> Column:
         return self._for_config(need, _any(self.path_flag[p] for p in need.selector.paths))
 
+    def marked_rows(self, pages: DataFrame, carry: list[str]) -> DataFrame:
+        """Candidate rows of all pages with their containers marked."""
+        with_config = pages.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
+        nodes = node_rows(parse_pages(with_config, **self.parse_options()), elements_only=False)
+        return self.mark_containers(self.whole_page_flags(self.candidates(nodes, carry)))
+
     # Containers: the first selector with a hit on the page decides.
     def mark_containers(self, rows: DataFrame) -> DataFrame:
         ranks = sorted({n.rank for n in self.containers})
@@ -306,13 +334,14 @@ class _Plan:
             if chosen.take == "string":
                 hit = hit & F.col("text_id").isNotNull()
             event = F.when(hit, F.struct(n.alias("n"), self._value(need).alias("v")))
-            steps = chosen.paths[0].steps if chosen.kind == "xpath" else ()
+            steps = chosen.paths[0].steps if chosen.kind in ("xpath", "find") else ()
             outer = steps if chosen.take == "strings" else steps[:-1]
             if outer:
                 chains.append((need, event))
             else:
                 slots.setdefault((need.field, need.rank, chosen.from_root), []).append(event)
-        # XPath chains, innermost step first: an outer step passes on the first event below it.
+        # Chains, innermost step first. In XPath an outer step passes on the first event below it; in
+        # a find it becomes the event itself, with or without a value found below it.
         links = {}
         for i, (need, event) in enumerate(chains):
             rows = rows.withColumn(f"c{i}", event)
@@ -320,8 +349,12 @@ class _Plan:
             steps = chosen.paths[0].steps
             for step in reversed(steps if chosen.take == "strings" else steps[:-1]):
                 rows = rows.withColumn(f"c{i}", structure.first_below(F.col(f"c{i}")))
-                below = F.when(self.any_bit([step]), structure.own(F.col(f"c{i}")))
-                rows = rows.withColumn(f"c{i}", below)
+                below = structure.own(F.col(f"c{i}"))
+                if chosen.kind == "find":
+                    below = F.struct(F.col("node_id").alias("n"), below["v"].alias("v"))
+                rows = rows.withColumn(
+                    f"c{i}", F.when(self._for_config(need, self.any_bit([step])), below)
+                )
             links[i] = (need.field, need.rank, chosen.from_root)
             slots.setdefault(links[i], []).append(F.col(f"c{i}"))
         names = []
@@ -335,11 +368,11 @@ class _Plan:
         """A value after its regex clean or its whitespace clean."""
         if need.regex and need.selector.kind != "regex":
             return regex_clean(value, need.regex)
-        return clean_text(value)
+        return clean_text(value) if self.cleaning == "clean" else value
 
 
-def _carry(pages: DataFrame) -> list[str]:
-    return [c for c in pages.columns if c not in ("page_id", "html")]
+def _carry(pages: DataFrame, picked: str | None = None) -> list[str]:
+    return [c for c in pages.columns if c not in ("page_id", "html", picked)]
 
 
 def extract_rows(
@@ -347,20 +380,24 @@ def extract_rows(
     configs: Mapping[str, Config] | DataFrame,
     fields: tuple[str, ...] = FIELDS,
     lists: bool = False,
+    cleaning: str = "clean",
+    picked: str | None = None,
+    box_values: Mapping[str, Column] | None = None,
+    texts: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per container: page columns, `index`, `box_id` (its node id) and the fields.
 
     `pages` needs page_id (unique per page), html and, unless the one configuration is for
     ANY_SITE, site. Pages of a site without configuration are left out before the parse.
+    `cleaning`: clean (whitespace collapsed), strip (as found), raw (as found, empty kept).
+    `picked` names an array column of container node ids that replaces container selectors.
+    `box_values` are expressions over a container's node row, which may slice the extra `texts`.
     """
     if isinstance(configs, DataFrame):
         configs = configs_from_table(configs)
-    plan = _Plan(configs, fields, lists)
-    carry = _carry(pages)
-    with_config = pages.withColumn("cfg", plan.site_config()).filter(F.col("cfg").isNotNull())
-    parsed = parse_pages(with_config, **plan.parse_options())
-    nodes = node_rows(parsed, elements_only=False)
-    rows = plan.mark_containers(plan.whole_page_flags(plan.candidates(nodes, carry)))
+    plan = _Plan(configs, fields, lists, cleaning, picked, box_values, texts)
+    carry = _carry(pages, picked)
+    rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)
     firsts = [
         structure.first_below(F.col(e), with_self=with_self).alias(f"f_{e}")
@@ -373,15 +410,18 @@ def extract_rows(
     for name, rank, e, _ in slots:
         found.setdefault((name, rank), []).append(e)
     values = [structure.own(F.col(f"f_{e}"))["v"].alias(f"v_{e}") for _, _, e, _ in slots]
-    boxes = boxes.select(*keep, *values, *plan.regex_column.values())
+    extra = list(plan.box_values)
+    boxes = boxes.select(*keep, *extra, *values, *plan.regex_column.values())
     keep[-1] = "box_id"
+    keep += extra
     raw, done, steps = [], [], {}
     for i, need in enumerate(n for n in plan.needs if n.selector.kind != "never"):
         if need.selector.kind == "regex":
             value = F.col(plan.regex_column[need.selector.pattern])
         else:
             value = F.coalesce(*[F.col(f"v_{e}") for e in found[(need.field, need.rank)]])
-        raw.append(F.when((value != "") & (value != MISSING), value).alias(f"u{i}"))
+        usable = value if cleaning == "raw" else F.when((value != "") & (value != MISSING), value)
+        raw.append(usable.alias(f"u{i}"))
         ready = plan.finish(need, F.col(f"u{i}"))
         if len(plan.configs) > 1:
             ready = F.when(F.col("cfg") == need.config, ready)
@@ -394,6 +434,35 @@ def extract_rows(
     return boxes.select(*keep, *raw).select(*keep, *done).select(*keep, *columns).drop("cfg")
 
 
+def extract_lists(
+    pages: DataFrame, configs: Mapping[str, Config], name: str, picked: str | None = None
+) -> DataFrame:
+    """All values of a multi-valued field per container: (page_id, box_id, values), every match of
+    every selector in selector then document order, repeats dropped."""
+    plan = _Plan(configs, (name,), cleaning="strip", picked=picked)
+    rows = plan.marked_rows(pages, [])
+    found = []
+    for need in plan.needs:
+        if need.selector.kind == "search":
+            hit = plan._for_config(need, plan.any_bit([need.selector.pattern]))
+        elif need.selector.kind == "css":
+            hit = plan._hit(need)
+        else:
+            continue
+        value = F.nullif(plan._value(need), F.lit(""))
+        found.append(F.when(hit & value.isNotNull(), F.struct(F.lit(need.rank).alias("rank"), value.alias("v"))))
+    if not found:
+        raise ValueError(f"no list selectors for {name}")
+    rows = rows.withColumn("found", F.array_compact(F.array(*found)))
+    owned = enclosing(rows.withColumn("is_event", F.size("found") > 0), "is_box", "is_event", ["found"])
+    each = owned.select("page_id", "box_id", "node_id", F.explode("found").alias("f"))
+    # The values of one container come from one page, so a list is no larger than its page.
+    listed = F.array_sort(F.collect_list(F.struct("f.rank", "node_id", "f.v")))
+    return each.groupBy("page_id", "box_id").agg(
+        F.array_distinct(F.transform(listed, lambda x: x["v"])).alias("values")
+    )
+
+
 def valid_product(name: str = "name", price: str = "current_price") -> Column:
     """Name or price present, and a present name at least two characters long."""
     return (F.col(name).isNotNull() | F.col(price).isNotNull()) & (

@@ -65,6 +65,16 @@ class Test:
         return f"coalesce({' and '.join(terms)}, false)"
 
 
+@dataclass(frozen=True)
+class Picked(Test):
+    """An element whose node id is listed in an array column of its page."""
+
+    column: str = "box_ids"
+
+    def sql(self) -> str:
+        return f"coalesce(kind = 'e' and array_contains({self.column}, node_id), false)"
+
+
 @dataclass(frozen=True)
 class Path:
     """Steps from the outermost to the matched one; joins[i] links step i to step i + 1."""
@@ -76,8 +86,9 @@ class Path:
 @dataclass(frozen=True)
 class Selector:
     """kind: css (alternatives, whole-page ancestors), search (regex over strings), xpath (one path,
-    ancestors inside the container), regex (over the container's text), never (can match nothing).
-    take: what a match yields - text, string (its first string), strings (any string below), @name.
+    ancestors inside the container), find (first hit of each step inside the one before), regex (over
+    the container's text), never (can match nothing). take: what a match yields - text, string (its
+    first string, or the searched string itself), strings (any string below), @name.
     """
 
     kind: str
@@ -236,10 +247,19 @@ def compile_xpath(text: str) -> Selector:
     return Selector("xpath", (Path(tuple(steps), (" ",) * (len(steps) - 1)),), take, from_root=from_root)
 
 
+def compile_find(text: str) -> Selector:
+    """`a >> b`: the first a, then the first b inside that very a."""
+    return Selector("find", (Path(tuple(_compound(part.strip()) for part in text.split(">>"))),))
+
+
 def compile_selector(type_: str | None, selector: str, regex: str | None = None, **css) -> Selector:
     """An unknown type counts as css; a selector outside the grammar raises UnsupportedSelector."""
     if type_ == "xpath":
         return compile_xpath(selector)
+    if type_ == "find":
+        return compile_find(selector)
+    if type_ == "string":
+        return NEVER if pattern_group(selector) is None else Selector("search", take="string", pattern=selector)
     if type_ == "regex":
         bad = not regex or pattern_group(regex) is None
         return NEVER if bad else Selector("regex", pattern=regex)

@@ -169,10 +169,13 @@ def _values(section: str) -> Column:
 
 def frequencies(nodes: DataFrame, sections: tuple[str, ...], by: tuple[str, ...] = PAGE) -> DataFrame:
     """Long table (by, section, value, count, first) of every requested list in one aggregate."""
-    entries = [
-        F.transform(_values(s), lambda v, s=s: F.struct(F.lit(s).alias("section"), v.alias("value")))
-        for s in sections
-    ]
+
+    def labelled(section: str) -> Column:
+        return F.transform(
+            _values(section), lambda v: F.struct(F.lit(section).alias("section"), v.alias("value"))
+        )
+
+    entries = [labelled(s) for s in sections]
     entry = F.concat(*entries) if len(entries) > 1 else entries[0]
     keys = list(dict.fromkeys((*by, "page_id")))
     return (

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listing_queries", "page_queries")
+MODULES = ("listing_queries", "page_queries", "market_queries")
 
 
 def all_queries() -> None:

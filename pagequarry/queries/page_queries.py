@@ -263,12 +263,10 @@ def repeated_signatures(spark, sf_dir):
 # The list items of the navigation are one signature: li, no class, one child, a short text.
 @query(
     "suggested_container",
-    _with(
-        """select page_id, 'li' as suggested_css, max(n) as count from (
+    """select page_id, 'li' as suggested_css, max(n) as count from (
  select page_id, least(8, length(regexp_extract(x, '>([^<]*)<', 1)) // 30) as bucket, count(*) as n from (
   select page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>[^<]*<')) as x from pages) group by all)
- group by page_id having max(n) >= 3"""
-    ).replace("with  ", "").replace("with select", "select"),
+ group by page_id having max(n) >= 3""",
 )
 def suggested_container(spark, sf_dir):
     found = summary.suggested_container(pages(spark, sf_dir))
@@ -414,8 +412,8 @@ LINE_OF = "1 + length(left(html, p - 1)) - length(replace(left(html, p - 1), chr
 
 @query(
     "css_search_links",
-    f"""with hits as (select page_id, html, x, i, list_sum(list_transform(list_slice(pre, 1, i), lambda y: length(y)))
-   + list_sum(list_transform(list_slice(all_x, 1, i - 1), lambda y: length(y))) + 1 as p from (
+    f"""with hits as (select page_id, html, x, i, (list_sum(list_transform(list_slice(pre, 1, i), lambda y: length(y)))
+   + coalesce(list_sum(list_transform(list_slice(all_x, 1, i - 1), lambda y: length(y))), 0) + 1)::bigint as p from (
   select page_id, html, string_split_regex(html, '<a href="[^"]*">[^<]*</a>') as pre,
    regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') as all_x,
    unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as x,

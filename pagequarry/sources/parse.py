@@ -65,6 +65,7 @@ class _Page(HTMLParser):
         self.open: list[int] = []
         self.open_names: dict[str, int] = {}
         self.off_text = 0
+        self.near: list[int | None] | None = None
         self.siblings: dict[int, dict[str, int]] = {}
         self.pending: list[str] = []
         if source:
@@ -160,6 +161,15 @@ class _Page(HTMLParser):
         if self.source:
             node[-2] = self._byte(at)
 
+    def nearest(self, tag: str) -> list[int | None]:
+        """Per node the closest enclosing element of a tag: its parent, or the parent's own answer."""
+        if self.near is None:
+            self.near = near = []
+            for node in self.nodes:
+                p = node[PARENT]
+                near.append(None if p == ROOT else p if self.nodes[p][TAG] == tag else near[p])
+        return self.near
+
     # -- source positions ---------------------------------------------------------------------
 
     def _pos(self):
@@ -254,12 +264,13 @@ def _attributes(pairs) -> dict[str, str]:
 class _Batch:
     """Node columns of several page rows, turned into one Arrow batch."""
 
-    def __init__(self, texts, xpath, source, parent_attrs):
-        self.texts, self.xpath, self.source = texts, xpath, source
+    def __init__(self, texts, xpath, source, parent_attrs, nearest):
+        self.texts, self.xpath, self.source, self.nearest = texts, xpath, source, nearest
         self.parent_attrs = parent_attrs
         self.rows, self.parts, self.errors, self.starts = [], [], [], [0]
         names = [f.name for f in NODE_FIELDS if f.name != "attrs"]
-        self.columns = {name: [] for name in names + (["line"] if source else [])}
+        names += (["line"] if source else []) + (["near_id"] if nearest else [])
+        self.columns = {name: [] for name in names}
         self.keys, self.values, self.attr_starts = [], [], [0]
         self.paths: list[str | None] = []
         self.blobs = {t: [] for t in texts + (("source",) if source else ())}
@@ -297,6 +308,8 @@ class _Batch:
             self.paths.extend(paths)
         if self.source:
             self.columns["line"].extend(members[-1])
+        if self.nearest:
+            self.columns["near_id"].extend(page.nearest(self.nearest)[lo:hi])
         for t, (name, blob) in enumerate(self.blobs.items()):
             data = page.html_bytes if name == "source" else page.blobs[t]
             starts, stops = members[SPANS + 2 * t], members[SPANS + 2 * t + 1]
@@ -367,6 +380,7 @@ def parse_pages(
     xpath: bool = False,
     source: bool = False,
     parent_attrs: bool = False,
+    nearest: str | None = None,
     html: str = "html",
 ) -> DataFrame:
     """One row per page (more for pages over NODES_PER_ROW nodes) with its node array.
@@ -374,7 +388,8 @@ def parse_pages(
     Output: every input column but the html, `part`, `parse_error`, `nodes`, and one BINARY column
     per requested text. Ask only for the texts you slice: this is the projection of the parse.
     `xpath` adds each element's path, `source` the html bytes and each element's span and first line in them,
-    `parent_attrs` puts the parent's attributes on string rows. NULL and blank pages yield no row;
+    `parent_attrs` puts the parent's attributes on string rows, `nearest` adds near_id, the closest
+    enclosing element of that tag. NULL and blank pages yield no row;
     a page that cannot be read yields one row without nodes and a `parse_error`.
     """
     texts = tuple(t for t in TEXTS if t in texts)
@@ -387,6 +402,8 @@ def parse_pages(
         members += [T.StructField(f"{t}_s", T.IntegerType()), T.StructField(f"{t}_e", T.IntegerType())]
     if source:
         members.append(T.StructField("line", T.IntegerType()))
+    if nearest:
+        members.append(T.StructField("near_id", T.IntegerType()))
     schema = T.StructType(
         kept
         + [
@@ -404,7 +421,7 @@ def parse_pages(
         arrow = to_arrow_schema(schema)
         for batch in batches:
             carried = batch.select(names)
-            out = _Batch(texts, xpath, source, parent_attrs)
+            out = _Batch(texts, xpath, source, parent_attrs, nearest)
             for row, cell in enumerate(batch.column(html)):
                 text = cell.as_py()
                 if text is None or not text.strip():
@@ -422,7 +439,7 @@ def parse_pages(
                     out.add(row, page, lo, hi, paths=some)
                     if out.full():
                         yield out.to_arrow(carried, arrow)
-                        out = _Batch(texts, xpath, source, parent_attrs)
+                        out = _Batch(texts, xpath, source, parent_attrs, nearest)
             if out.rows:
                 yield out.to_arrow(carried, arrow)
 
