@@ -189,15 +189,15 @@ def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFr
         original = F.when(site == "sathya", mrp_price()).otherwise(original)
     if "flipkart" in configs:
         name = F.when(site == "flipkart", flipkart_name()).otherwise(name)
-    rows = rows.withColumns({"name": name, "original_price": original})
+    # The chains are long: coming out of a generator they are computed once, and a later filter on the
+    # name is not unfolded into them.
+    chained = F.inline(F.array(F.struct(name.alias("name"), original.alias("original_price"))))
+    skip = ("name", "original_price", *chain_fields, *box_values)
+    rows = rows.select(*[c for c in rows.columns if c not in skip], chained)
     offers = extract_lists(pages, boxed, "offers").withColumnRenamed("values", "offers")
     none = F.array().cast("array<string>")
-    keep = [c for c in rows.columns if c not in (*chain_fields, *box_values)]
-    return (
-        rows.select(*keep)
-        .join(offers, ["page_id", "box_id"], "left")
-        .withColumn("offers", F.coalesce("offers", none))
-    )
+    joined = rows.join(offers, ["page_id", "box_id"], "left")
+    return joined.withColumn("offers", F.coalesce("offers", none))
 
 
 def extract_site_products(pages: DataFrame, configs: Mapping[str, Config]) -> DataFrame:

@@ -70,7 +70,7 @@ SATHYA = f"""concat('<div class="product-box">',
  case {_K} % 5 when 0 then concat('<img src="/i/', {_K}, '.jpg" alt=" ', {_NAME}, ' ">')
   when 1 then concat('<a href="/category/big-', replace({_NAME}, ' ', '-'), '-', {_K}, '">x</a>')
   when 2 then concat('<div class="product-detail"><h4>', {_NAME}, ' detail</h4></div>')
-  when 3 then concat('<p>', {_NAME}, ' line', chr(10), 'rest</p>') else '' end,
+  when 3 then concat('<p>', {_NAME}, ' line', chr(10), 'rest</p>') else '<i>₹</i>' end,
  {_if(f"{_K} % 13 <> 0", f"concat('<span>₹', {_PRICE}, '</span>')")},
  case when {_K} % 2 = 0 then concat('<p>MRP: ₹', {_PRICE} + 100, '</p>')
   when {_K} % 3 = 0 then concat('<p>M.R.P: ', {_PRICE} + 200, '/-</p>') else '' end,
