@@ -64,8 +64,8 @@ def top_input_types(spark, sf_dir):
     "forms",
     _with("""select page_id, 'https://pay.example.com/go' as action, 'POST' as method, true as external_action,
  4 as input_count, true as likely_login_form,
- 'email/text/false/-/false|pwd/password/true/REDACTED/true|csrf_token/hidden/true/REDACTED/true|qty/select/false/-/false' as inputs
- from cards where k % 10 = 0""").replace("email/text/", "email/input/"),
+ 'email/input/false/-/false|pwd/password/true/REDACTED/true|csrf_token/hidden/true/REDACTED/true|qty/select/false/-/false' as inputs
+ from cards where k % 10 = 0"""),
 )
 def forms(spark, sf_dir):
     rows = summary.forms(nodes(spark, sf_dir))
