@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listing_queries", "page_queries", "market_queries", "listing_summary_queries", "flow_queries")
+MODULES = ("listing_queries", "page_queries", "market_queries", "listing_summary_queries", "flow_queries", "summary_queries")
 
 
 def all_queries() -> None:

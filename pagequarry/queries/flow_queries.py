@@ -256,8 +256,8 @@ def candidate_selectors(spark, sf_dir):
     "improved_run",
     _with(
         """select page_id, "index", case when k % 11 <> 0 then p_name || ' #' || k end as name,
- case when k % 13 <> 0 then '₹' || price end as current_price, true as below_threshold, 3 as round from cards
- where k % 11 <> 0 or k % 13 <> 0"""
+ case when k % 13 <> 0 then '₹' || price when k % 2 = 0 then '₹' || (price + 100) end as current_price,
+ true as below_threshold, 3 as round from cards where k % 11 <> 0 or k % 13 <> 0 or k % 2 = 0"""
     ),
 )
 def improved_run(spark, sf_dir):
