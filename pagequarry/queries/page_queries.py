@@ -9,7 +9,7 @@ from pagequarry.functions.patterns import EXAMPLE_CAP, PATTERNS, SHOP_WORDS
 from pagequarry.operators import quality, search, summary
 from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products
 from pagequarry.queries.registry import joined, query
-from pagequarry.sources.pages import read_pages, split_pages
+from pagequarry.sources.pages import read_pages, read_table, split_pages
 from pagequarry.sources.parse import node_rows, parse_pages
 
 
@@ -22,7 +22,7 @@ def nodes(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "lang")
 
 
 # Opening tags by regex; attributes are name="value" in these pages.

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from pagequarry.functions.text import strip
 
 
-def read_pages(spark: SparkSession, path: str, columns: tuple[str, ...] = ("page_id", "url", "html")) -> DataFrame:
-    """Scan a page table. A scan of fewer splits than cores is spread; a large one is left alone."""
-    pages = spark.read.parquet(path).select(*columns)
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Scan a table of long texts. A scan of fewer splits than cores is spread, since the work on a
+    text far outweighs moving it; a large one has splits enough and is left alone."""
+    rows = spark.read.parquet(path)
+    rows = rows.select(*columns) if columns else rows
     cores = spark.sparkContext.defaultParallelism
     # A bare file scan: asking for its partitions plans it but runs nothing.
-    if pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
-    return pages
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, "page_id", "url", "html")
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
