@@ -193,19 +193,32 @@ class _Plan:
 
     # Row-local work: tests, texts and attributes, before the shuffle.
     def candidates(self, nodes: DataFrame, carry: list[str]) -> DataFrame:
+        wanted = {n.attribute for n in self.needs if n.attribute}
+        wanted |= {n.selector.take[1:].lower() for n in self.needs if n.selector.take[0] == "@"}
+        looked_at = wanted.union(*[t.names() for t in self.bits if isinstance(t, Test)])
+        # Each attribute is looked up once per node, each test runs once per node: the mask comes out
+        # of a generator that drops nodes without a bit, so neither is repeated in a filter.
+        cells = {name: f"x{i}" for i, name in enumerate(sorted(looked_at))}
         hits = [
-            t.sql()
+            t.sql(cells)
             if isinstance(t, Test)
             else f"coalesce(kind <> 'e' and rlike(text, {literal('(?i)' + t)}), false)"
             for t in self.bits
         ]
-        mask_names = []
+        any_string = any(n.selector.take == "strings" for n in self.needs)
+        if any_string:
+            hits.append("kind = 't'")
         masks = []
+        hits = hits or ["false"]
         for lo in range(0, len(hits), MASK_BITS):
             terms = [f"if({h}, {1 << i}L, 0L)" for i, h in enumerate(hits[lo : lo + MASK_BITS])]
-            mask_names.append(f"mask{lo // MASK_BITS}")
-            masks.append(F.expr(" | ".join(terms)).alias(mask_names[-1]))
-        flagged = nodes.select("*", *masks)
+            masks.append(" | ".join(terms))
+        mask_names = [f"mask{i}" for i in range(len(masks))]
+        found = ", ".join(f"'{name}', {mask}" for name, mask in zip(mask_names, masks))
+        none = ", ".join(f"'{name}', 0L" for name in mask_names)
+        flagged = nodes.select(
+            "*", *[F.expr(f"attrs[{literal(name)}]").alias(x) for name, x in cells.items()]
+        ).select("*", F.expr(f"inline(array_remove(array(named_struct({found})), named_struct({none})))"))
 
         def flag_any(needs):
             return self.any_bit(
@@ -222,11 +235,7 @@ class _Plan:
             n for n in self.needs if n.selector.kind == "xpath" and n.selector.take == "text" and not n.attribute
         ]
         strings_of = [n for n in self.needs if n.selector.take in ("string", "strings")]
-        names = sorted(
-            {n.attribute for n in self.needs if n.attribute}
-            | {n.selector.take[1:].lower() for n in self.needs if n.selector.take[0] == "@"}
-        )
-        self.attr_column = {name: f"a{i}" for i, name in enumerate(names)}
+        self.attr_column = {name: f"a{i}" for i, name in enumerate(sorted(wanted))}
         box = flag_any(self.containers)
         columns = [F.col(c) for c in ("page_id", "cfg", "node_id", "end_id", "parent_id", "sib_idx", "kind")]
         # Page columns matter on container rows only; elsewhere they would just widen the shuffle.
@@ -237,13 +246,12 @@ class _Plan:
             (F.when(flag_any(css_text), node_text("stripped")) if css_text else empty).alias("css_text")
         )
         columns.append((F.when(flag_any(raw_text), strip(node_text("raw"))) if raw_text else empty).alias("raw_text"))
-        any_string = any(n.selector.take == "strings" for n in strings_of)
         string_here = flag_any([n for n in strings_of if n.selector.take == "string"])
         if any_string:
             string_here = string_here | (F.col("kind") == "t")
         columns.append((F.when(string_here, strip(F.col("text"))) if strings_of else empty).alias("string"))
         columns.append(F.col("text_id"))
-        columns += [strip(F.col("attrs")[name]).alias(alias) for name, alias in self.attr_column.items()]
+        columns += [strip(F.col(cells[name])).alias(alias) for name, alias in self.attr_column.items()]
         regexes = sorted({n.selector.pattern for n in self.needs if n.selector.kind == "regex"})
         self.regex_column = {p: f"r{i}" for i, p in enumerate(regexes)}
         columns += [
@@ -251,10 +259,7 @@ class _Plan:
             for p, alias in self.regex_column.items()
         ]
         columns += [F.when(box, value).alias(name) for name, value in self.box_values.items()]
-        keep = F.expr(" or ".join(f"{name} <> 0" for name in mask_names) or "false")
-        if any_string:
-            keep = keep | (F.col("kind") == "t")
-        return flagged.filter(keep).select(*columns)
+        return flagged.select(*columns)
 
     # Whole-page flags: does the complete css path (or container xpath) match here?
     def whole_page_flags(self, rows: DataFrame) -> DataFrame:

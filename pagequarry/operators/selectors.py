@@ -10,6 +10,7 @@ element, /text(), //text() or /@a. Anything else raises UnsupportedSelector.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pagequarry.functions.text import pattern_group
@@ -38,28 +39,39 @@ class Test:
     position: int | None = None
     holds: str | None = None  # text the element must contain (selector lists only)
 
-    def sql(self) -> str:
-        """The test as one SQL predicate on a node row; never NULL."""
+    def names(self) -> set[str]:
+        """Attributes the test looks at."""
+        return {name for _, name, _ in self.attrs} | ({"class"} if self.tokens else set())
+
+    def sql(self, cells: Mapping[str, str] | None = None) -> str:
+        """The test as one SQL predicate on a node row; never NULL. `cells` names columns that
+        already hold an attribute."""
+
+        def cell(name: str) -> str:
+            return (cells or {}).get(name) or f"attrs[{literal(name)}]"
+
+        def has_token(name: str, token: str) -> str:
+            return f"contains(concat(' ', {cell(name)}, ' '), {literal(f' {token} ')})"
+
         terms = ["kind = 'e'"]
         if self.tag:
             terms.append(f"tag = {literal(self.tag)}")
         if self.position is not None:
             terms.append(f"same_tag_idx = {self.position}")
-        for token in self.tokens:
-            terms.append(f"contains(concat(' ', attrs['class'], ' '), {literal(f' {token} ')})")
+        terms += [has_token("class", token) for token in self.tokens]
         for operator, name, value in self.attrs:
-            cell, needle = f"attrs[{literal(name)}]", literal(value)
+            needle = literal(value)
             if operator == "has":
-                terms.append(f"{cell} is not null")
+                terms.append(f"{cell(name)} is not null")
             elif operator == "=":
-                terms.append(f"{cell} = {needle}")
+                terms.append(f"{cell(name)} = {needle}")
             elif value == "":
                 terms.append("false")  # an empty needle matches nothing
             elif operator == "~=":
-                terms.append(f"contains(concat(' ', {cell}, ' '), {literal(f' {value} ')})")
+                terms.append(has_token(name, value))
             else:
                 shape = {"*=": "contains", "^=": "startswith", "$=": "endswith"}[operator]
-                terms.append(f"{shape}({cell}, {needle})")
+                terms.append(f"{shape}({cell(name)}, {needle})")
         if self.holds is not None:
             terms.append(f"contains({TEXT_SQL}, {literal(self.holds)})")
         return f"coalesce({' and '.join(terms)}, false)"
@@ -71,7 +83,7 @@ class Picked(Test):
 
     column: str = "box_ids"
 
-    def sql(self) -> str:
+    def sql(self, cells: Mapping[str, str] | None = None) -> str:
         return f"coalesce(kind = 'e' and array_contains({self.column}, node_id), false)"
 
 
