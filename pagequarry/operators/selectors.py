@@ -198,7 +198,10 @@ def compile_css(text: str, lists: bool = False, unquoted_search: bool = False) -
         if found is None or pattern_group(found[1]) is None:
             return NEVER
         return Selector("search", pattern=found[1])
-    return Selector("css", tuple(_css_path(p) for _, p in _pieces(text, ",")))
+    paths = tuple(_css_path(p) for _, p in _pieces(text, ","))
+    if not paths:
+        raise UnsupportedSelector("empty selector")
+    return Selector("css", paths)
 
 
 _XPATH_STEP = re.compile(r"(?P<axis>//|/)(?P<node>text\(\)|@[\w-]+|\*|[\w-]+)(?P<preds>(?:\[[^\]]*\])*)")
