@@ -106,10 +106,11 @@ def upsert_selectors(current: DataFrame, proposals: DataFrame) -> tuple[DataFram
 
 def available_fields(selectors: DataFrame) -> DataFrame:
     """Every settable field with its description and how many selectors each site has for it."""
-    spark = selectors.sparkSession
-    fields = spark.createDataFrame(list(CONFIG_FIELDS.items()), "field string, description string")
+    named = F.create_map(*[F.lit(x) for pair in CONFIG_FIELDS.items() for x in pair])
     counts = selectors.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("selectors"))
-    every = selectors.select("site").distinct().join(F.broadcast(fields))  # eight fields per site
+    every = selectors.select("site").distinct().select(
+        "site", F.explode(named).alias("field", "description")
+    )
     return every.join(counts, list(_KEYS), "left").withColumn(
         "selectors", F.coalesce("selectors", F.lit(0))
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import first_number, has_value
 from pagequarry.schema import FIELDS, MISSING
+from pagequarry.sources.storage import cut
 
 # Status bands in percent, and the fields each report covers.
 GOOD, FAIR = 80, 50
@@ -278,29 +279,28 @@ def systematic_sample(rows: DataFrame, limit: int = 10, order: tuple[str, ...] =
     the whole table.
     """
     page, *rest = order
+    rows = cut(rows, "sampled")
     sizes = rows.groupBy(page).agg(F.count(F.lit(1)).alias("size"))
-    before = _running_total(sizes, page, "size")
-    n = before.agg(F.sum("size").alias("n"))
-    wanted = (
-        rows.sparkSession.range(limit)
-        .crossJoin(F.broadcast(n))  # one row: the table's size
-        .select(
-            F.when(F.col("n") > limit, F.floor(F.col("id") * F.col("n") / limit))
-            .otherwise(F.when(F.col("id") < F.col("n"), F.col("id")))
-            .cast("bigint")
-            .alias("position")
-        )
-        .filter("position is not null")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).scalar()
+    placed = _running_total(sizes, page, "size").withColumn("n", total)
+
+    # Step i asks for position floor(i * n / limit): the first i at or past `at` is its ceiling.
+    def first_step(at: Column) -> Column:
+        return F.expr("cast(null as bigint)") if limit < 1 else F.ceil(at * limit / F.col("n"))
+
+    start, stop = F.col("start"), F.col("start") + F.col("size")
+    low, high = first_step(start), F.least(first_step(stop), F.lit(limit)) - 1
+    steps = F.transform(
+        F.sequence(low, high), lambda i: F.floor(i * F.col("n") / limit) - F.col("start") + 1
     )
-    # At most `limit` rows on the wanted side, which is why it may be broadcast.
-    hits = before.join(
-        F.broadcast(wanted),
-        (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("size")),
-    ).select(page, (F.col("position") - F.col("start") + 1).alias("nth"))
-    numbered = rows.join(F.broadcast(hits.select(page).distinct()), page, "left_semi").withColumn(
-        "nth", F.row_number().over(Window.partitionBy(page).orderBy(*rest))
+    everything = F.sequence(F.lit(1).cast("bigint"), F.col("size"))
+    wanted = F.when(F.col("n") <= limit, everything).when(low <= high, steps)
+    # At most `limit` rows.
+    hits = placed.select(page, F.explode(wanted).alias("nth"))
+    numbered = rows.join(hits.select(page).distinct(), page, "left_semi").withColumn(
+        "nth", F.row_number().over(Window.partitionBy(page).orderBy(*rest)).cast("bigint")
     )
-    return numbered.join(F.broadcast(hits), [page, "nth"]).drop("nth")
+    return numbered.join(hits, [page, "nth"]).drop("nth").select(*rows.columns)
 
 
 RANGES = 256
@@ -311,8 +311,8 @@ def _running_total(sizes: DataFrame, key: str, size: str) -> DataFrame:
     bounds cut the keys into even ranges, totals run over the few ranges, then within each range. The
     bounds only decide balance; the sums are exact whatever they are."""
     cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = sizes.agg(F.percentile_approx(key, cuts).alias("bounds"))
-    ranged = sizes.crossJoin(F.broadcast(bounds)).select(  # one row of bounds
+    bounds = sizes.agg(F.percentile_approx(key, cuts).alias("bounds")).scalar()
+    ranged = sizes.withColumn("bounds", bounds).select(
         key, size, F.size(F.filter("bounds", lambda b: b <= F.col(key))).alias("r")
     )
     ranges = ranged.groupBy("r").agg(F.sum(size).alias("in_range"))
@@ -320,7 +320,7 @@ def _running_total(sizes: DataFrame, key: str, size: str) -> DataFrame:
     starts = ranges.select("r", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("range_start"))
     within = Window.partitionBy("r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(starts), "r")
+        ranged.join(F.broadcast(starts), "r")  # at most RANGES rows
         .withColumn("start", F.col("range_start") + F.coalesce(F.sum(size).over(within), F.lit(0)))
         .select(key, size, "start")
     )
@@ -373,7 +373,8 @@ def price_and_name_checks(products: DataFrame, low: float, high: float) -> DataF
 
 
 def comprehensive_analysis(products: DataFrame) -> DataFrame:
-    """Per site one struct with every report; the per-field counts are computed once."""
+    """Per site one struct with every report, all over one stored copy of the products."""
+    products = cut(products, "products")
     per_field = field_performance(products)
     health = health_report(per_field)
     reports = {

@@ -518,7 +518,10 @@ def confidence(nodes: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
     """How much of a page its scripts are likely to build."""
     counts = counters(nodes, by).select(*by, "total_nodes", "scripts", "inline_scripts", "links", "empty_hrefs")
     unique = unique_counts(nodes, ("class",), by)
-    joined = counts.join(unique, list(by), "left") if by else counts.crossJoin(unique)  # one row each
+    if by:
+        joined = counts.join(unique, list(by), "left")
+    else:
+        joined = counts.withColumn("unique_classes", unique.scalar())
     many = F.coalesce(F.col("unique_classes"), F.lit(0)) > 100
     score = F.least(
         F.lit(1.0),

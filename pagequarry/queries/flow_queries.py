@@ -198,7 +198,8 @@ def json_proposals(spark, sf_dir):
     hints = config.from_hints(
         field_hints(spark).groupBy("field").agg(F.collect_list("hint").alias("hints"))
     )
-    per_site = texts.select("site").join(hints.filter("field = 'offers'"))
+    shops = F.explode(F.array(*[F.lit(s) for s in SHOPS])).alias("site")
+    per_site = hints.filter("field = 'offers'").select(shops, "*")
     adopted = config.adopt_proposals(config.from_json_proposals(texts, per_site))
     table = adopted.select("*", F.posexplode("selectors").alias("rank", "selector")).select(
         "site", "field", "type", "rank", "selector",
