@@ -191,6 +191,15 @@ class _Plan:
         terms = [f"(mask{m} & {bits}L) <> 0" for m, bits in wanted.items()]
         return F.expr(" or ".join(terms) or "false")
 
+    def _bits_of(self, config: int) -> set[int]:
+        found = set()
+        for need in self.containers + self.needs:
+            if need.config == config:
+                found |= {self.bits[test] for path in need.selector.paths for test in path.steps}
+                if need.selector.kind == "search":
+                    found.add(self.bits[need.selector.pattern])
+        return found
+
     # Row-local work: tests, texts and attributes, before the shuffle.
     def candidates(self, nodes: DataFrame, carry: list[str]) -> DataFrame:
         wanted = {n.attribute for n in self.needs if n.attribute}
@@ -208,11 +217,17 @@ class _Plan:
         any_string = any(n.selector.take == "strings" for n in self.needs)
         if any_string:
             hits.append("kind = 't'")
+        used = [self._bits_of(c) | ({len(self.bits)} if any_string else set()) for c in range(len(self.configs))]
         masks = []
-        hits = hits or ["false"]
-        for lo in range(0, len(hits), MASK_BITS):
-            terms = [f"if({h}, {1 << i}L, 0L)" for i, h in enumerate(hits[lo : lo + MASK_BITS])]
-            masks.append(" | ".join(terms))
+        for lo in range(0, max(len(hits), 1), MASK_BITS):
+            # A page's nodes are tested for its own configuration only.
+            per_config = []
+            for c, bits in enumerate(used):
+                some = [i for i in sorted(bits) if lo <= i < lo + MASK_BITS]
+                terms = [f"if({hits[i]}, {1 << (i - lo)}L, 0L)" for i in some] or ["0L"]
+                per_config.append(" | ".join(terms))
+            whens = " ".join(f"when {c} then {mask}" for c, mask in enumerate(per_config))
+            masks.append(per_config[0] if len(used) == 1 else f"case cfg {whens} else 0L end")
         mask_names = [f"mask{i}" for i in range(len(masks))]
         found = ", ".join(f"'{name}', {mask}" for name, mask in zip(mask_names, masks))
         none = ", ".join(f"'{name}', 0L" for name in mask_names)
@@ -322,7 +337,7 @@ class _Plan:
     def events(self, rows: DataFrame) -> tuple[DataFrame, list[tuple[str, int, str, bool]]]:
         """Per (field, rank) one event column holding struct(n, value) on the rows that match."""
         slots: dict[tuple, list[Column]] = {}
-        chains: list[tuple[_Need, Column]] = []
+        chains: list[tuple[_Need, Column, tuple[Test, ...]]] = []
         for need in self.needs:
             chosen = need.selector
             if chosen.kind in ("never", "regex"):
@@ -342,26 +357,25 @@ class _Plan:
             steps = chosen.paths[0].steps if chosen.kind in ("xpath", "find") else ()
             outer = steps if chosen.take == "strings" else steps[:-1]
             if outer:
-                chains.append((need, event))
+                chains.append((need, event, outer))
             else:
                 slots.setdefault((need.field, need.rank, chosen.from_root), []).append(event)
         # Chains, innermost step first. In XPath an outer step passes on the first event below it; in
         # a find it becomes the event itself, with or without a value found below it.
-        links = {}
-        for i, (need, event) in enumerate(chains):
-            rows = rows.withColumn(f"c{i}", event)
-            chosen = need.selector
-            steps = chosen.paths[0].steps
-            for step in reversed(steps if chosen.take == "strings" else steps[:-1]):
-                rows = rows.withColumn(f"c{i}", structure.first_below(F.col(f"c{i}")))
+        rows = rows.select("*", *[event.alias(f"c{i}") for i, (_, event, _) in enumerate(chains)])
+        for depth in range(max((len(outer) for _, _, outer in chains), default=0)):
+            level = [(i, n, o[-1 - depth]) for i, (n, _, o) in enumerate(chains) if depth < len(o)]
+            rows = rows.withColumns({f"c{i}": structure.first_below(F.col(f"c{i}")) for i, _, _ in level})
+            linked = {}
+            for i, need, step in level:
                 below = structure.own(F.col(f"c{i}"))
-                if chosen.kind == "find":
+                if need.selector.kind == "find":
                     below = F.struct(F.col("node_id").alias("n"), below["v"].alias("v"))
-                rows = rows.withColumn(
-                    f"c{i}", F.when(self._for_config(need, self.any_bit([step])), below)
-                )
-            links[i] = (need.field, need.rank, chosen.from_root)
-            slots.setdefault(links[i], []).append(F.col(f"c{i}"))
+                linked[f"c{i}"] = F.when(self._for_config(need, self.any_bit([step])), below)
+            rows = rows.withColumns(linked)
+        for i, (need, _, _) in enumerate(chains):
+            slot = (need.field, need.rank, need.selector.from_root)
+            slots.setdefault(slot, []).append(F.col(f"c{i}"))
         names = []
         new = []
         for i, ((name, rank, with_self), events) in enumerate(slots.items()):
