@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.extract import ANY_SITE, Rule, extract_rows
 from pagequarry.operators.selectors import compile_css
+from pagequarry.operators.structure import first_below
 from pagequarry.schema import CARD_COLUMNS
 from pagequarry.sources.parse import node_rows, outer_html, parse_pages
 
@@ -122,10 +123,8 @@ def looks_like_card(pages: DataFrame) -> DataFrame:
         (_test(LINK) | _test(PRICE)).alias("inside_mark"),
     )
     rows = rows.filter("is_div or inside_mark")
-    from pagequarry.operators.structure import first_below
-
     event = F.when(F.col("inside_mark"), F.struct(F.col("node_id").alias("n")))
-    found = rows.withColumn("below", first_below(event))
+    found = rows.withColumn("mark", event).withColumn("below", first_below("mark"))
     kept = found.filter(
         F.col("is_div") & (F.col("marked") | F.coalesce(F.col("below.n") <= F.col("end_id"), F.lit(False)))
     )

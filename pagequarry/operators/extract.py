@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +101,6 @@ class _Need:
     regex: str | None = None
 
 
-def _any(columns: Iterable[Column]) -> Column:
-    some = list(columns)
-    return reduce(lambda a, b: a | b, some) if some else F.lit(False)
-
-
 class _Plan:
     """Compiles configurations and builds the window plan over parsed pages."""
 
@@ -179,17 +172,23 @@ class _Plan:
                 out = F.when(F.col("site").isin(names), F.lit(number)).otherwise(out)
         return out.cast("int")
 
-    def _for_config(self, need: _Need, column: Column) -> Column:
-        return column if len(self.configs) == 1 else column & (F.col("cfg") == need.config)
+    # Flags and events are built as SQL text: a plan of many selectors is a few long expressions,
+    # not thousands of column objects.
 
-    def any_bit(self, tests: Iterable[Test | str]) -> Column:
+    def _for_config(self, need: _Need, test: str) -> str:
+        return test if len(self.configs) == 1 else f"(cfg = {need.config} and {test})"
+
+    def bits_sql(self, tests: Iterable[Test | str]) -> str:
         """Does a row pass any of these tests or searches?"""
         wanted: dict[int, int] = {}
         for test in tests:
             i = self.bits[test]
             wanted[i // MASK_BITS] = wanted.get(i // MASK_BITS, 0) | 1 << (i % MASK_BITS)
         terms = [f"(mask{m} & {bits}L) <> 0" for m, bits in wanted.items()]
-        return F.expr(" or ".join(terms) or "false")
+        return f"({' or '.join(terms) or 'false'})"
+
+    def any_bit(self, tests: Iterable[Test | str]) -> Column:
+        return F.expr(self.bits_sql(tests))
 
     def _bits_of(self, config: int) -> set[int]:
         found = set()
@@ -280,29 +279,30 @@ class _Plan:
     def whole_page_flags(self, rows: DataFrame) -> DataFrame:
         wanted = self.containers + [n for n in self.needs if n.selector.kind == "css"]
         pending: list[Path] = list(dict.fromkeys(p for n in wanted for p in n.selector.paths))
-        state = {path: (self.any_bit([path.steps[0]]), str(self.bits[path.steps[0]]), 0) for path in pending}
+        state = {path: (self.bits_sql([path.steps[0]]), 0) for path in pending}
         level = 0
-        while any(state[p][2] < len(p.steps) - 1 for p in pending):
+        while any(state[p][1] < len(p.steps) - 1 for p in pending):
             memo: dict[tuple, str] = {}
             new = []
             for path in pending:
-                flag, label, at = state[path]
+                flag, at = state[path]
                 if at == len(path.steps) - 1:
                     continue
-                key = (label, path.joins[at], path.steps[at + 1])
+                key = (flag, path.joins[at], path.steps[at + 1])
                 if key not in memo:
                     memo[key] = f"p{level}_{len(memo)}"
                     related = structure.follows if path.joins[at] == "+" else structure.inside
-                    hit = self.any_bit([path.steps[at + 1]]) & related(flag)
+                    hit = self.any_bit([path.steps[at + 1]]) & related(F.expr(flag))
                     new.append(hit.alias(memo[key]))
-                state[path] = (F.col(memo[key]), memo[key], at + 1)
+                state[path] = (memo[key], at + 1)
             rows = rows.select("*", *new)
             level += 1
         self.path_flag = {path: state[path][0] for path in pending}
         return rows
 
-    def _hit(self, need: _Need) -> Column:
-        return self._for_config(need, _any(self.path_flag[p] for p in need.selector.paths))
+    def _hit(self, need: _Need) -> str:
+        flags = " or ".join(self.path_flag[p] for p in need.selector.paths)
+        return self._for_config(need, f"({flags})")
 
     def marked_rows(self, pages: DataFrame, carry: list[str]) -> DataFrame:
         """Candidate rows of all pages with their containers marked."""
@@ -313,47 +313,48 @@ class _Plan:
     # Containers: the first selector with a hit on the page decides.
     def mark_containers(self, rows: DataFrame) -> DataFrame:
         ranks = sorted({n.rank for n in self.containers})
-        at_rank = {r: _any(self._hit(n) for n in self.containers if n.rank == r) for r in ranks}
-        lowest = F.lit(None).cast("int")
-        for r in reversed(ranks):
-            lowest = F.when(at_rank[r], F.lit(r)).otherwise(lowest)
-        rows = rows.withColumn("box_rank", lowest).withColumn(
+        at_rank = {
+            r: " or ".join(self._hit(n) for n in self.containers if n.rank == r) for r in ranks
+        }
+        whens = " ".join(f"when {hit} then {r}" for r, hit in at_rank.items()) or "when false then 0"
+        rows = rows.withColumn("box_rank", F.expr(f"case {whens} end")).withColumn(
             "page_rank", structure.page_min(F.col("box_rank"))
         )
-        chosen = _any((F.col("page_rank") == r) & hit for r, hit in at_rank.items())
-        rows = rows.withColumn("is_box", F.coalesce(chosen, F.lit(False)))
+        chosen = " or ".join(f"(page_rank = {r} and ({hit}))" for r, hit in at_rank.items())
+        rows = rows.withColumn("is_box", F.expr(f"coalesce({chosen or 'false'}, false)"))
         return rows.withColumn("index", structure.running_count(F.col("is_box")))
 
-    def _value(self, need: _Need) -> Column:
+    def _value(self, need: _Need) -> str:
+        """Column that holds what a match of this selector yields."""
         take = need.selector.take
         if take[0] == "@":
-            return F.col(self.attr_column[take[1:].lower()])
+            return self.attr_column[take[1:].lower()]
         if take in ("string", "strings"):
-            return F.col("string")
+            return "string"
         if need.attribute:
-            return F.col(self.attr_column[need.attribute])
-        return F.col("raw_text" if need.selector.kind == "xpath" else "css_text")
+            return self.attr_column[need.attribute]
+        return "raw_text" if need.selector.kind == "xpath" else "css_text"
 
     def events(self, rows: DataFrame) -> tuple[DataFrame, list[tuple[str, int, str, bool]]]:
         """Per (field, rank) one event column holding struct(n, value) on the rows that match."""
-        slots: dict[tuple, list[Column]] = {}
-        chains: list[tuple[_Need, Column, tuple[Test, ...]]] = []
+        slots: dict[tuple, list[str]] = {}
+        chains: list[tuple[_Need, str, tuple[Test, ...]]] = []
         for need in self.needs:
             chosen = need.selector
             if chosen.kind in ("never", "regex"):
                 continue
             if chosen.kind == "search":
-                hit = self._for_config(need, self.any_bit([chosen.pattern]))
+                hit = self._for_config(need, self.bits_sql([chosen.pattern]))
             elif chosen.kind == "css":
                 hit = self._hit(need)
             elif chosen.take == "strings":
-                hit = self._for_config(need, F.col("kind") == "t")
+                hit = self._for_config(need, "kind = 't'")
             else:
-                hit = self._for_config(need, self.any_bit([chosen.paths[0].steps[-1]]))
-            n = F.col("text_id") if chosen.take == "string" else F.col("node_id")
+                hit = self._for_config(need, self.bits_sql([chosen.paths[0].steps[-1]]))
+            n = "node_id"
             if chosen.take == "string":
-                hit = hit & F.col("text_id").isNotNull()
-            event = F.when(hit, F.struct(n.alias("n"), self._value(need).alias("v")))
+                n, hit = "text_id", f"{hit} and text_id is not null"
+            event = f"if({hit}, named_struct('n', {n}, 'v', {self._value(need)}), null)"
             steps = chosen.paths[0].steps if chosen.kind in ("xpath", "find") else ()
             outer = steps if chosen.take == "strings" else steps[:-1]
             if outer:
@@ -362,24 +363,25 @@ class _Plan:
                 slots.setdefault((need.field, need.rank, chosen.from_root), []).append(event)
         # Chains, innermost step first. In XPath an outer step passes on the first event below it; in
         # a find it becomes the event itself, with or without a value found below it.
-        rows = rows.select("*", *[event.alias(f"c{i}") for i, (_, event, _) in enumerate(chains)])
+        rows = rows.select("*", *[F.expr(e).alias(f"c{i}") for i, (_, e, _) in enumerate(chains)])
         for depth in range(max((len(outer) for _, _, outer in chains), default=0)):
             level = [(i, n, o[-1 - depth]) for i, (n, _, o) in enumerate(chains) if depth < len(o)]
-            rows = rows.withColumns({f"c{i}": structure.first_below(F.col(f"c{i}")) for i, _, _ in level})
+            rows = rows.withColumns({f"c{i}": structure.first_below(f"c{i}") for i, _, _ in level})
             linked = {}
             for i, need, step in level:
-                below = structure.own(F.col(f"c{i}"))
+                here = self._for_config(need, self.bits_sql([step]))
+                below = f"if(c{i}.n <= end_id, c{i}, null)"
                 if need.selector.kind == "find":
-                    below = F.struct(F.col("node_id").alias("n"), below["v"].alias("v"))
-                linked[f"c{i}"] = F.when(self._for_config(need, self.any_bit([step])), below)
+                    below = f"named_struct('n', node_id, 'v', if(c{i}.n <= end_id, c{i}.v, null))"
+                linked[f"c{i}"] = F.expr(f"if({here}, {below}, null)")
             rows = rows.withColumns(linked)
         for i, (need, _, _) in enumerate(chains):
             slot = (need.field, need.rank, need.selector.from_root)
-            slots.setdefault(slot, []).append(F.col(f"c{i}"))
+            slots.setdefault(slot, []).append(f"c{i}")
         names = []
         new = []
         for i, ((name, rank, with_self), events) in enumerate(slots.items()):
-            new.append(F.coalesce(*events).alias(f"e{i}"))
+            new.append(F.expr(f"coalesce({', '.join(events)})").alias(f"e{i}"))
             names.append((name, rank, f"e{i}", with_self))
         return rows.select("*", *new), names
 
@@ -419,7 +421,7 @@ def extract_rows(
     rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)
     firsts = [
-        structure.first_below(F.col(e), with_self=with_self).alias(f"f_{e}")
+        structure.first_below(e, with_self=with_self).alias(f"f_{e}")
         for _, _, e, with_self in slots
     ]
     boxes = rows.select("*", *firsts).filter("is_box")
@@ -428,7 +430,7 @@ def extract_rows(
     found: dict[tuple[str, int], list[str]] = {}
     for name, rank, e, _ in slots:
         found.setdefault((name, rank), []).append(e)
-    values = [structure.own(F.col(f"f_{e}"))["v"].alias(f"v_{e}") for _, _, e, _ in slots]
+    values = [F.expr(f"if(f_{e}.n <= end_id, f_{e}.v, null)").alias(f"v_{e}") for _, _, e, _ in slots]
     extra = list(plan.box_values)
     boxes = boxes.select(*keep, *extra, *values, *plan.regex_column.values())
     keep[-1] = "box_id"
@@ -436,20 +438,24 @@ def extract_rows(
     raw, done, steps = [], [], {}
     for i, need in enumerate(n for n in plan.needs if n.selector.kind != "never"):
         if need.selector.kind == "regex":
-            value = F.col(plan.regex_column[need.selector.pattern])
+            value = plan.regex_column[need.selector.pattern]
         else:
-            value = F.coalesce(*[F.col(f"v_{e}") for e in found[(need.field, need.rank)]])
-        usable = value if cleaning == "raw" else F.when((value != "") & (value != MISSING), value)
-        raw.append(usable.alias(f"u{i}"))
-        ready = plan.finish(need, F.col(f"u{i}"))
+            value = f"coalesce({', '.join(f'v_{e}' for e in found[(need.field, need.rank)])})"
+        if cleaning != "raw":
+            value = f"nullif(nullif({value}, ''), {literal(MISSING)})"
+        # A slot is shared by configurations: a value counts for the one that asked for it.
         if len(plan.configs) > 1:
-            ready = F.when(F.col("cfg") == need.config, ready)
-        done.append(ready.alias(f"u{i}"))
+            value = f"if(cfg = {need.config}, {value}, null)"
+        raw.append(F.expr(value).alias(f"u{i}"))
+        done.append(plan.finish(need, F.col(f"u{i}")).alias(f"u{i}"))
         steps.setdefault(need.field, []).append((need.rank, f"u{i}"))
     columns = [
-        F.coalesce(*[F.col(u) for _, u in sorted(steps.get(name, []))], F.lit(None).cast("string")).alias(name)
+        F.expr(f"coalesce({', '.join(u for _, u in sorted(steps.get(name, [])))})")
+        if name in steps
+        else F.lit(None).cast("string")
         for name in fields
     ]
+    columns = [c.alias(name) for c, name in zip(columns, fields)]
     return boxes.select(*keep, *raw).select(*keep, *done).select(*keep, *columns).drop("cfg")
 
 
@@ -463,16 +469,16 @@ def extract_lists(
     found = []
     for need in plan.needs:
         if need.selector.kind == "search":
-            hit = plan._for_config(need, plan.any_bit([need.selector.pattern]))
+            hit = plan._for_config(need, plan.bits_sql([need.selector.pattern]))
         elif need.selector.kind == "css":
             hit = plan._hit(need)
         else:
             continue
-        value = F.nullif(plan._value(need), F.lit(""))
-        found.append(F.when(hit & value.isNotNull(), F.struct(F.lit(need.rank).alias("rank"), value.alias("v"))))
+        value = plan._value(need)
+        found.append(f"if({hit} and {value} <> '', named_struct('rank', {need.rank}, 'v', {value}), null)")
     if not found:
         raise ValueError(f"no list selectors for {name}")
-    rows = rows.withColumn("found", F.array_compact(F.array(*found)))
+    rows = rows.withColumn("found", F.expr(f"array_compact(array({', '.join(found)}))"))
     owned = enclosing(rows.withColumn("is_event", F.size("found") > 0), "is_box", "is_event", ["found"])
     each = owned.select("page_id", "box_id", "node_id", F.explode("found").alias("f"))
     # The values of one container come from one page, so a list is no larger than its page.

@@ -35,23 +35,18 @@ def follows(match: Column, keys: tuple[str, ...] = PAGE) -> Column:
     return F.coalesce(near == F.col("sib_idx") - 1, F.lit(False))
 
 
-def first_below(event: Column, keys: tuple[str, ...] = PAGE, with_self: bool = False) -> Column:
-    """First event in document order after this row; `event` is a struct that starts with the node id.
+def first_below(event: str, keys: tuple[str, ...] = PAGE, with_self: bool = False) -> Column:
+    """First event in document order after this row; `event` names a struct column that starts with
+    the node id.
 
     It lies in the row's own subtree exactly when its node id is at most the row's `end_id`: an
     event past the subtree would come after every event inside it.
     """
-    later = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("node_id"))
-        .rowsBetween(Window.unboundedPreceding, 0 if with_self else -1)
+    last = "current row" if with_self else "1 preceding"
+    return F.expr(
+        f"min({event}) over (partition by {', '.join(keys)} order by node_id desc "
+        f"rows between unbounded preceding and {last})"
     )
-    return F.min(event).over(later)
-
-
-def own(event: Column) -> Column:
-    """The event where it lies in the row's subtree, else NULL."""
-    return F.when(event["n"] <= F.col("end_id"), event)
 
 
 def page_min(value: Column, keys: tuple[str, ...] = PAGE) -> Column:
