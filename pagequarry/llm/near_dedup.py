@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.llm.native import words
 from pagequarry.sources.storage import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -352,8 +353,7 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = cut(components(coarse_links(nodes)), "groups")
     # One row of each node in a group brings the text; only these texts are shuffled.
     first = signed.join(groups, "node").groupBy("node", "class").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    digest = F.md5(F.array_join(words, " "))
+    digest = F.md5(F.array_join(words(F.col("text")), " "))
     # Rows without an id are found by their digest, which is computed for them alone.
     docs = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), digest))
     first = first.select(F.coalesce(F.col("doc_id").cast("string"), "node").alias("key"), "node", "class", "chars")
@@ -364,12 +364,30 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id (smallest doc_id of the class), members (rows of the class) of every row."""
+    """doc_id, node, class, class_id (smallest doc_id of the class), members (rows of the class) of every row."""
     rows = cut(classes(docs).withColumn("class", F.coalesce("class", "node")), "classes")
     some = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     rows = rows.join(some.withColumnRenamed("class", "c"), F.col("class") == F.col("c"), "left")
     alone = F.col("class").isNull()
-    return rows.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+    return rows.select("doc_id", "node", "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, of its smallest doc_id (of equal ids the smallest digest), with all columns.
+
+    Texts without words are all kept, as each is a class of its own.
+    """
+    rows = near_duplicates(docs).select("node", F.col("doc_id").alias("id"), "class_id", F.coalesce("class", "node").alias("class"))
+    first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    first = cut(first.select(F.coalesce(F.col("first.id").cast("string"), "first.node").alias("__key"), F.col("first.node").alias("__node")), "first")
+    digest = F.md5(F.array_join(words(F.col("text")), " "))
+    # Ids decide which texts need a digest; rows without an id are keyed by it.
+    columns = docs.columns
+    empty = F.size(words(F.col("text"))) == 0
+    keyed = docs.withColumn("__key", F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("doc_id").cast("string"), digest)))
+    real = keyed.join(first, "__key").where(digest == F.col("__node")).dropDuplicates(["__node"])
+    blank = docs.where(F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) == "", F.lit(True)))
+    return real.select(*[F.col(f"`{c}`") for c in columns]).unionByName(blank)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

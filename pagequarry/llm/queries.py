@@ -13,6 +13,7 @@ from pagequarry.llm.license_scan import op10_license_scan
 from pagequarry.llm.near_dedup import op1_near_dedup
 from pagequarry.llm.quality_rules import op2_quality_rules
 from pagequarry.llm.secret_scan import op7_secret_scan
+from pagequarry.llm.toxicity import op5_toxicity
 from pagequarry.llm.url_filters import OP3_SQL, op3_url_filters
 from pagequarry.llm.warc import OP6_SQL, op6_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe": op8_bpe,
