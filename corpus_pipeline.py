@@ -19,7 +19,7 @@ from pagequarry.sources.storage import cut
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ratios = quality_rules.log_ratios(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, ratios).where("judged.kept").drop("judged")
+    return quality_rules.keep(docs, ratios)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

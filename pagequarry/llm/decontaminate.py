@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import literal, shingles
+from pagequarry.llm.native import literal, shingles, where
 from pagequarry.sources.storage import cut
 
 SIMILARITY = 0.8
@@ -66,10 +66,8 @@ def gated(docs: DataFrame, table: list[int], least: int, widest: int) -> DataFra
     # The last of `least` positions lies within the widest window from the first of them.
     ends = F.slice("at", F.lit(least), F.greatest(F.size("at") - (least - 1), F.lit(0)))
     close = F.exists(F.zip_with(ends, F.slice("at", F.lit(1), F.size(ends)), lambda b, a: b - a < widest), lambda x: x)
-    # The row number keeps the filter above the projection, which would otherwise be computed twice.
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("close", F.when(F.size("at") >= least, close).otherwise(F.lit(False)))
-    return rows.where("close AND row >= 0").select("doc_id", F.xxhash64("t", F.length("t")).alias("key"), "sh", "at")
+    return where(rows, F.col("close")).select("doc_id", F.xxhash64("t", F.length("t")).alias("key"), "sh", "at")
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:

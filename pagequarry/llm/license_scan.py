@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import placed
+from pagequarry.llm.native import placed, where
 
 #: The base phrases and their labels.
 BASE = (
@@ -167,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for k in coarse:
         some = some | F.contains(F.col("norm"), F.lit(k))
     rows = rows.withColumn("key", F.when(some, F.sha2("norm", 256)))
-    texts = rows.where("key IS NOT NULL").select("key", "norm").dropDuplicates(["key"])
+    texts = where(rows, F.col("key").isNotNull()).select("key", "norm").dropDuplicates(["key"])
     found = detections(texts, docs.sparkSession).groupBy(F.col("key").alias("k")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("conf"))
     base = F.filter(F.transform("base", lambda b: b["label"]), lambda x: x.isNotNull())
     out = rows.select(

@@ -45,6 +45,16 @@ def shingles(docs: DataFrame, source: Column, name: str) -> DataFrame:
     return docs.withColumn(name, five).drop(*steps)
 
 
+def where(rows: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice.
+
+    A filter is otherwise pushed below the projection, with every computed column written out in it; it
+    stays above a projection that numbers the rows.
+    """
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    return rows.where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def literal(values: list, kind: str) -> Column:
     """A constant array, folded by the optimizer. Only for tables of a fixed size."""
     return F.from_json(F.lit("[" + ",".join(repr(v) for v in values) + "]"), f"array<{kind}>")

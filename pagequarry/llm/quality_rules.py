@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import hashes, literal, paired, words
+from pagequarry.llm.native import hashes, literal, paired, where, words
 
 #: N-grams fall into so many buckets, whatever the corpus.
 BUCKETS = 16384
@@ -115,6 +115,12 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     return rows.select(*[F.col(f"`{x}`") for x in carried], judged.alias("judged"))
 
 
+def keep(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are kept, as they are."""
+    judged = judge(docs, ratios, threshold).withColumnRenamed("judged", "__judged")
+    return where(judged, F.col("__judged.kept")).drop("__judged")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ratios = log_ratios(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import let, placed
+from pagequarry.llm.native import let, placed, where
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])"
 #: The same as one pattern that also takes an assigned name before the value, which ends the run.
@@ -116,7 +116,7 @@ def _described() -> Column:
 def labelled_findings(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, findings: int = MAX_FINDINGS) -> DataFrame:
     """value, left, right, label: at most so many findings of either label, from at most so many documents."""
     order = F.xxhash64("doc_id", "text")
-    rows = candidates(docs.select("doc_id", "text")).where("__hits IS NOT NULL").orderBy(order, "doc_id", "text").limit(documents)
+    rows = where(candidates(docs.select("doc_id", "text")), F.col("__hits").isNotNull()).orderBy(order, "doc_id", "text").limit(documents)
     rows = rows.select(F.inline(_described())).distinct()
     path = F.rlike("left", F.lit(rf"(?i)({CREDENTIAL})[\"']?\s*[:=]\s*[\"']?$"))
     prefix = F.rlike("value", F.lit(f"^({PREFIXES})"))
@@ -198,7 +198,7 @@ def scanned(docs: DataFrame, model: Forest) -> DataFrame:
 
 def findings(docs: DataFrame, model: Forest) -> DataFrame:
     """doc_id, start, end, value, score, kept: every candidate of every document."""
-    rows = scanned(docs.select("doc_id", "text"), model).where("__hits IS NOT NULL")
+    rows = where(scanned(docs.select("doc_id", "text"), model), F.col("__hits").isNotNull())
     rows = rows.select("doc_id", F.sha2("text", 256).alias("key"), "__gaps", "__hits", "__found").dropDuplicates(["doc_id", "key"])
     spans = placed(rows.select("doc_id", "key", "__gaps", "__hits", "__found"), ["doc_id", "key", "__found"], F.col("__gaps"), F.col("__hits"))
     return spans.select("doc_id", "start", "end", F.col("hit").alias("value"), F.get("__found", F.col("at"))["score"].alias("score")).withColumn("kept", F.col("score") >= KEPT)

@@ -32,8 +32,8 @@ WORDS, GRAMS = 1 << 16, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
 WINDOW, STRIDE = 32, 24
 #: Labelled documents of either label that the network is fitted on.
-MAX_ROWS = 1000
-EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 11
+MAX_ROWS = 1500
+EPOCHS, BATCH, RATE, SEED = 5, 128, 0.015, 11
 LEAST_DOCUMENTS = 5
 #: Log-odds count in full for a word that many more documents than these hold.
 SHRINK = 8
