@@ -166,8 +166,10 @@ def scan(docs: DataFrame) -> DataFrame:
     some = F.lit(False)
     for k in coarse:
         some = some | F.contains(F.col("norm"), F.lit(k))
-    rows = rows.withColumn("key", F.when(some, F.sha2("norm", 256)))
-    texts = where(rows, F.col("key").isNotNull()).select("key", "norm").dropDuplicates(["key"])
+    # Texts without a keyword get keys too, which meet nothing, so that they spread over the join's tasks.
+    rows = rows.withColumn("some", some)
+    rows = rows.withColumn("key", F.when(F.col("some"), F.sha2("norm", 256)).otherwise(F.xxhash64("norm", "doc_id").cast("string")))
+    texts = where(rows, F.col("some")).select("key", "norm").dropDuplicates(["key"])
     found = detections(texts, docs.sparkSession).groupBy(F.col("key").alias("k")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("conf"))
     base = F.filter(F.transform("base", lambda b: b["label"]), lambda x: x.isNotNull())
     out = rows.select(
