@@ -254,8 +254,10 @@ def dealt(rows: DataFrame, group: list[str], size, most: int, key: str) -> DataF
 
 def coarse_links(nodes: DataFrame) -> DataFrame:
     """a, b: per bucket, a forest of the pairs whose signatures agree in ESTIMATE of the coordinates."""
-    rows = nodes.select("node", "sig", F.posexplode("bands").alias("band", "value"))
-    rows = dealt(rows, ["band", "value"], F.lit(1), CHUNK_MEMBERS, "node").select("block", "node", "sig")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    rows = dealt(rows, ["band", "value"], F.lit(1), CHUNK_MEMBERS, "node").select("block", F.col("node").alias("n"))
+    # Signatures are brought to the members of shared buckets only.
+    rows = rows.join(nodes.select("node", "sig"), F.col("n") == F.col("node")).select("block", "node", "sig")
     rows = rows.repartition("block").sortWithinPartitions("block", "node")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +351,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class (null for a text without near-duplicate) of every row."""
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs), "signatures")
-    nodes = signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "chars", "bands", "sig")
+    nodes = cut(signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "bands", "sig"), "nodes")
     groups = cut(components(coarse_links(nodes)), "groups")
     # One row of each node in a group brings the text; only these texts are shuffled.
     first = signed.join(groups, "node").groupBy("node", "class").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"))
@@ -358,7 +360,7 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), digest))
     first = first.select(F.coalesce(F.col("doc_id").cast("string"), "node").alias("key"), "node", "class", "chars")
     texts = docs.join(first, "key").where(digest == F.col("node"))
-    texts = texts.dropDuplicates(["node"]).select("node", "class", "chars", "text")
+    texts = cut(texts.dropDuplicates(["node"]).select("node", "class", "chars", "text"), "members")
     found = components(exact_links(texts)).select(F.col("node").alias("n"), "class")
     return signed.select("doc_id", "node").join(found, F.col("node") == F.col("n"), "left").select("doc_id", "node", "class")
 
