@@ -19,16 +19,20 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word pieces kept per worker; the cache is emptied when it is full.
-CACHED_PIECES = 300_000
+#: Word pieces kept per worker, in two generations: when the newer is full it becomes the older.
+CACHED_PIECES = 200_000
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of Latin letters without the characters that the two classes see differently.
+LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+NOT_LATIN = "[^\x00-\x1b\x20-\u024f]|[\xb2\xb3\xb9\xbc-\xbe]"
 
 
 def default_path() -> str:
@@ -60,6 +64,7 @@ class Bpe:
         token_bytes |= {i: t.encode() for t, i in specials.items()}
         size = max(token_bytes) + 1
         self.lengths = np.array([len(token_bytes.get(i, b"")) for i in range(size)], np.int64)
+        self.sizes = self.lengths.tolist()
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.blob = np.frombuffer(b"".join(token_bytes.get(i, b"") for i in range(size)), np.uint8)
         # The rank of a merge orders merges; a token is the pair that its merge joins.
@@ -79,10 +84,12 @@ class Bpe:
         self.automaton.make_automaton()
         self.prefix = functools.lru_cache(1 << 16)(self._prefix)
         self.fits = functools.lru_cache(1 << 18)(self._fits)
-        self.pieces = regex.compile(PIECES)
+        self.pieces = regex.compile(PIECES).findall
+        self.latin_pieces, self.not_latin = re.compile(LATIN_PIECES).findall, re.compile(NOT_LATIN).search
         self.specials = specials
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def token(self, i: int) -> bytes:
         return self.blob[self.offsets[i] : self.offsets[i + 1]].tobytes()
@@ -112,27 +119,27 @@ class Bpe:
                 until, until_right, right = b, True, self.halves[right][0]
 
     def piece_ids(self, piece: bytes) -> list[int]:
-        if len(piece) < 2:
-            return [self.known[piece]] if piece else []
-        longest = [(0, -1)] * len(piece)
+        if (whole := self.known.get(piece)) is not None:
+            return [whole]  # the longest match, with nothing before it
+        longest = [-1] * len(piece)
         for end, (n, i) in self.automaton.iter(piece.decode("latin-1")):
-            if n > longest[end - n + 1][0]:
-                longest[end - n + 1] = (n, i)
-        lengths, dead = self.lengths, bytearray(len(piece) + 1)
+            longest[end - n + 1] = i  # matches come by their end, so the longest of a start comes last
+        sizes, dead, fits, size = self.sizes, bytearray(len(piece) + 1), self.fits, len(piece)
         ids: list[int] = []
-        at, token = 0, longest[0][1]
-        while at < len(piece):
-            end = at + int(lengths[token])
-            if not dead[end] and (not ids or self.fits(ids[-1], token)):
+        at, token = 0, longest[0]
+        while at < size:
+            end = at + sizes[token]
+            if not dead[end] and (not ids or fits(ids[-1], token)):
                 ids.append(token)
                 at = end
-                token = longest[at][1] if at < len(piece) else -1
+                if at < size:
+                    token = longest[at]
                 continue
             shorter = self.prefix(token)
             if shorter is None:
                 dead[at] = 1
                 shorter = ids.pop()
-                at -= int(lengths[shorter])
+                at -= sizes[shorter]
                 token = shorter
                 # The token that led here is tried again and now refused, as its end is dead.
                 continue
@@ -141,23 +148,30 @@ class Bpe:
 
     def text_ids(self, text: str) -> np.ndarray:
         out: list[bytes] = []
-        cache = self.cache
+        findall = self.pieces if self.not_latin(text) else self.latin_pieces
         parts = self.split.split(text) if self.split and any(s in text for s in self.specials) else [text]
         for part in parts:
             if part in self.specials:
                 out.append(np.int32(self.specials[part]).tobytes())
                 continue
-            for piece in self.pieces.findall(part):
-                ids = cache.get(piece)
+            pieces = findall(part)
+            cached = list(map(self.cache.get, pieces))
+            for i, ids in enumerate(cached):
                 if ids is None:
-                    ids = np.array(self.piece_ids(piece.encode()), np.int32).tobytes()
-                    if len(cache) >= CACHED_PIECES:
-                        cache.clear()
-                    if len(piece) < 64:
-                        cache[piece] = ids
-                out.append(ids)
+                    cached[i] = self._remember(pieces[i])
+            out += cached
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _remember(self, piece: str) -> bytes:
+        ids = self.cache.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.piece_ids(piece.encode()), np.int32).tobytes()
+        if len(self.cache) >= CACHED_PIECES:
+            self.cache, self.older = {}, self.cache
+        if len(piece) < 64:
+            self.cache[piece] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, as UTF-8; broken sequences become replacement characters."""
         sizes = self.lengths[ids]
