@@ -264,6 +264,8 @@ def coarse_links(nodes: DataFrame) -> DataFrame:
         a_out, b_out = [], []
         for table in _runs(batches):
             names = table.column("node").to_pylist()
+            if len(names) < 2:
+                continue
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(names), -1)
             lefts, rights = [], []
             for i in range(0, len(names), 256):

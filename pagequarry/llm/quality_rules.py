@@ -73,9 +73,9 @@ def _repeated(order: str) -> Column:
     )
 
 
-def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """Every row with its counts, `score`, `base_failed` and `kept` in one struct column `judged`."""
-    carried = docs.columns
+def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, into: str = "judged") -> DataFrame:
+    """Every row with its counts, `score`, `base_failed` and `kept` in one struct column, in place of one of that name."""
+    carried = [c for c in docs.columns if c != into]
     rows = _grams(docs.withColumn("__x", F.coalesce(F.col("text"), F.lit(""))), F.col("__x"))
     rows = rows.withColumn("__q", paired(F.col("__p"), 2))
     rows = rows.withColumn("__o", paired(F.col("__q"), 4))
@@ -112,12 +112,12 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     c = F.col("__c")
     failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
     judged = F.struct("__c.*", failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
-    return rows.select(*[F.col(f"`{x}`") for x in carried], judged.alias("judged"))
+    return rows.select(*[F.col(f"`{x}`") for x in carried], judged.alias(into))
 
 
 def keep(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are kept, as they are."""
-    judged = judge(docs, ratios, threshold).withColumnRenamed("judged", "__judged")
+    judged = judge(docs, ratios, threshold, "__judged")
     return where(judged, F.col("__judged.kept")).drop("__judged")
 
 

@@ -260,8 +260,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         order = rng.permutation(len(chosen))
         target = np.array([label[i] for i, _ in chosen], np.float32)
         weight = np.where(target == 1, len(target) / (2 * max(target.sum(), 1)), len(target) / (2 * max((1 - target).sum(), 1))).astype(np.float32)
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
+        # Small samples are taken in smaller batches, so that an epoch has some fifty steps at least.
+        batch = min(BATCH, max(8, len(order) // 50))
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
             words, index = _gather([(per[chosen[j][0]], starts[chosen[j][0]][chosen[j][1]]) for j in own])
             x, stay = net.embed(*words), rng.random(len(words[0])) >= DROPPED
             x[:, :WORD_DIM] *= stay[:, None]

@@ -1,0 +1,432 @@
+"""The operators against brute-force versions and on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagequarry.llm import attribution, bpe, decontaminate, license_scan, near_dedup, quality_rules, secret_scan, toxicity, url_filters, warc
+
+SF = "/root/testdata/sf0.001"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+AWKWARD = [
+    (1, prose(1, 80)),
+    (1, prose(1, 80)),  # the same row again
+    (2, prose(1, 80)),  # a copy
+    (3, prose(1, 78) + " other words"),  # a near copy
+    (4, None),
+    (5, ""),
+    (6, " \n\t "),
+    (None, prose(1, 80)),
+    (None, None),
+    (7, "one two three"),
+    (8, "one two three"),
+    (9, prose(9, 30_000)),
+    (10, "same line here\n" * 40),
+    (11, "Licensed under the Apache License, Version 2.0. cc by cc by\nMIT license é"),
+    (12, 'x password=b7db7aa4a5fcc78305 y token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" z 4041894974608795'),
+    (13, "<|endoftext|> a  b <|endoftext|>"),
+]
+EXTRA = ["score", "n_words", "key", "node", "class", "sh", "ids", "norm", "row", "judged", "spans"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", None if t is None else len(t), *[None] * len(EXTRA)) for i, t in AWKWARD]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
+    return spark.createDataFrame(rows, kinds).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (10, 0, 1), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def base_counts(text):
+    words = words_of(text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = collections.Counter(windows)
+    covered = {p for i, w in enumerate(windows) if seen[w] > 1 for p in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_score(docs, labels, small):
+    ratios = quality_rules.log_ratios(docs, labels)
+    for row in quality_rules.judge(docs, ratios).collect():
+        j = row.judged
+        assert (j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words) == base_counts(row.text)
+        assert j.base_failed == (j.n_words < 20 or 100 * j.n_repeat_words > 30 * j.n_words)
+        assert j.kept == (not j.base_failed and j.score >= quality_rules.THRESHOLD)
+    kept = quality_rules.keep(docs, ratios)
+    want = quality_rules.judge(docs, ratios, into="verdict").where("verdict.kept").select("doc_id", "text")
+    assert kept.columns == docs.columns and sorted(kept.select("doc_id", "text").collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_quality_score_is_the_mean_log_ratio(spark, small, labels):
+    import xxhash
+
+    def hashed(data):
+        value = xxhash.xxh64_intdigest(data, 42)
+        return value - (1 << 64) if value >= 1 << 63 else value
+
+    ratios = [((i * 7919) % 101 - 50) / 100 for i in range(64)]
+    rows = spark.createDataFrame([(1, "a b é a")], "doc_id long, text string")
+    got = quality_rules.judge(rows, ratios).first().judged.score
+    ones = [hashed(w.encode()) for w in "a b é a".split()]
+    pairs = [r[0] for r in spark.createDataFrame(list(zip(ones, ones[1:])), "a long, b long").select(F.xxhash64("a", "b")).collect()]
+    assert got == pytest.approx(sum(ratios[g % 64] for g in ones + pairs) / 7)
+
+
+def test_quality_without_labels(docs, labels):
+    assert set(quality_rules.log_ratios(docs, labels.limit(0))) == {0.0}
+
+
+def brute_classes(rows):
+    nodes = {}
+    for i, (_, text) in enumerate(rows):
+        if words_of(text):
+            nodes.setdefault(" ".join(words_of(text)), []).append(i)
+    names, root = list(nodes), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    bags = []
+    for n in names:
+        w = n.split(" ")
+        bags.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    for a in range(len(names)):
+        for b in range(a):
+            if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                root[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for a, n in enumerate(names):
+        groups[find(a)] += nodes[n]
+    return sorted(sorted(g) for g in groups.values())
+
+
+def near_copies(n):
+    out = []
+    base = prose(5, 150).split()
+    for i in range(n):
+        rng, w = random.Random(i), list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_near_duplicates_match_all_pairs(spark, monkeypatch, chunk):
+    """A large group of near copies, also when its buckets and groups are dealt into chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK_MEMBERS", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK_CHARS", chunk * 1000)
+    rows = list(enumerate(near_copies(60) + [prose(i, 60) for i in range(20)] + ["a b", "a b", "c"]))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r.class_id].append(r.doc_id)
+    assert sorted(sorted(g) for g in groups.values()) == brute_classes(rows)
+    assert all(k == min(g) and all(r.members == len(g) for r in got if r.class_id == k) for k, g in groups.items())
+
+
+def test_near_duplicates_awkward_rows(docs):
+    got = collections.Counter((r.doc_id, r.class_id, r.members) for r in near_dedup.near_duplicates(docs).collect())
+    assert got[(1, 1, 5)] == 2 and got[(2, 1, 5)] == got[(3, 1, 5)] == got[(None, 1, 5)] == 1
+    assert got[(4, 4, 1)] == got[(5, 5, 1)] == got[(6, 6, 1)] == got[(None, None, 1)] == 1
+    assert got[(7, 7, 2)] == got[(8, 7, 2)] == 1
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 10, 11, 12, 13, 4, 5, 6, 7, 9, None]
+
+
+def test_signatures_agree_as_often_as_texts_are_similar():
+    a = prose(1, 300).split()
+    for edits in (5, 20, 60):
+        rng, b = random.Random(edits), list(a)
+        for _ in range(edits):
+            b[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts = [" ".join(a).encode(), " ".join(b).encode()]
+        units, doc = near_dedup.elements(texts)
+        one, two = set(units[doc == 0].tolist()), set(units[doc == 1].tolist())
+        sig = near_dedup.darts(units, doc, 2, 2000)
+        assert abs((sig[0] == sig[1]).mean() - len(one & two) / len(one | two)) < 0.06
+
+
+def test_decontamination_finds_edited_passages(spark, docs):
+    item = prose(77, 40)
+    edited = " ".join([item.split()[0], "changed", *item.split()[2:]])
+    rows = [(1, f"{prose(3, 50)} {item.upper()} {prose(4, 50)}"), (2, f"{prose(6, 500)} {edited}"), (3, prose(8, 300)), (4, None), (5, item), (5, item), (None, item), (6, prose(77, 20))]
+    bench = spark.createDataFrame([(0, item), (1, "too short item"), (2, None), (3, prose(99, 15))], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in got} == {(1, 0, 50), (2, 0, 502), (5, 0, 0), (None, 0, 0)} and len(got) == 4
+    assert decontaminate.find_leaks(docs, bench).count() == 0
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_bpe_round_trip_matches_the_library(docs, small):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    for rows in (docs, small):
+        for r in rows.select("doc_id", "text").withColumn("i", bpe.encode(F.col("text"))).withColumn("d", bpe.decode(F.col("i"))).collect():
+            want = library.encode(r.text or "", add_special_tokens=False).ids
+            assert list(r.i) == want and r.d == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_pieces_fuzzed():
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(bpe.default_path()), bpe.tables(bpe.default_path()), random.Random(2)
+    parts = ["a", "b", "the ", "  ", "\n", "é", "ß", "1", "'s", "!", "$$", "😀", "\x1c", "\x85", "²", "_", "字", "<|endoftext|>", "tion"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))
+        assert own.text_ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def brute_allocation(starts, ends, spans, rule):
+    counts = [0.0] * len(spans)
+    for s, e in zip(starts, ends):
+        share = [max(0, min(e, b) - max(s, a)) for a, b in spans]
+        if rule == "shared":
+            counts = [c + x / (e - s) for c, x in zip(counts, share)]
+        elif rule == "most" and max(share, default=0) > 0:
+            counts[share.index(max(share))] += 1
+        elif rule == "first":
+            for i, (a, b) in enumerate(spans):
+                counts[i] += a <= s < b
+    return counts
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_tokens_per_section(rule):
+    rng = random.Random(1)
+    for _ in range(300):
+        cuts = sorted(rng.randrange(60) for _ in range(8))
+        spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if rng.random() < 0.8]
+        ends = np.cumsum([rng.randint(1, 6) for _ in range(14)])
+        starts = np.concatenate([[0], ends[:-1]])
+        got, _ = attribution.allocate(starts, ends, np.array(spans, np.int64).reshape(-1, 2), rule)
+        assert got.tolist() == pytest.approx(brute_allocation(starts, ends, spans, rule))
+
+
+def test_token_counts_cover_the_document(docs):
+    got = attribution.count_tokens(docs, ["source", "lang", "text"], "shared").collect()
+    assert {r.field for r in got} == {"source", "lang", "text"}
+    parts = collections.Counter()
+    for r in got:
+        if r.doc_id == 9:
+            parts["tokens"] += r.tokens
+    text = "s\nen\n" + dict(AWKWARD)[9]
+    starts, _ = attribution.token_spans(text, attribution.default_path())
+    assert len(starts) - 3 <= parts["tokens"] <= len(starts)
+
+
+def test_licenses(docs, small):
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert (got[11].n_base, got[11].first_word, got[11].last_word, got[11].base_labels) == (4, 3, 12, "apache,cc-by,mit")
+    assert got[4].n_words == got[5].n_words == 0 and got[4].labels == "" and got[4].first_word is None
+    assert license_scan.scan(docs).count() == len(AWKWARD)
+    assert len(license_scan.rules()) > 300
+
+
+def test_license_suppression(spark):
+    text = "SPDX-License-Identifier: MIT License only. Released under the GNU Lesser General Public License v2.1 and the GNU GPL."
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string").select(F.lit("k").alias("key"), license_scan.normal(F.col("text")).alias("norm"))
+    left = license_scan.detections(rows, spark).collect()
+    norm = rows.first().norm
+    all_hits = [(m.start(), m.end(), p, n, label) for n, _, rx, label, p, _ in license_scan.rules() for m in re.finditer(rx, norm)]
+    stay = [
+        x for x in all_hits if not any(y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2] and (y[0], -y[1], -y[2], y[3]) < (x[0], -x[1], -x[2], x[3]) for y in all_hits)
+    ]
+    assert sorted((r.start, r.end, r.rule) for r in left) == sorted((a, b, n) for a, b, _, n, _ in stay)
+    assert {r.label for r in left} == {"mit", "lgpl", "gpl"}
+
+
+def test_secrets(docs, small):
+    forest = secret_scan.trained_on(docs.select("doc_id", "text").union(small.select("doc_id", "text")))
+    kept = [r for r in secret_scan.findings(docs, forest).collect() if r.kept]
+    assert {r.value for r in kept} == {"b7db7aa4a5fcc78305", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"}
+    assert all(dict(AWKWARD)[r.doc_id][r.start : r.end] == r.value for r in kept)
+    clean = secret_scan.redact(docs, forest)
+    assert clean.columns == docs.columns and clean.count() == len(AWKWARD)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[12] == 'x password=[SECRET] y token = "[SECRET]" z 4041894974608795'
+    assert all(text[i] == t for i, t in AWKWARD if i not in (12, None))
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    found = secret_scan.labelled_findings(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    held = F.pmod(F.xxhash64("value"), F.lit(4)) == 0
+    forest = secret_scan.train(found.where(~held))
+    rows = found.where(held).select("label", secret_scan.let(secret_scan.features(F.col("value"), F.col("left"), F.col("right")), lambda f: secret_scan.votes(forest, f)).alias("s")).collect()
+    assert sum((r.s >= 0.5) == (r.label == 1) for r in rows) >= 0.95 * len(rows)
+
+
+def test_secrets_without_findings(docs):
+    assert secret_scan.trained_on(docs.limit(0)) == [1.0]
+
+
+def test_network_gradient():
+    net = toxicity.Network(3, np.float64)
+    words = toxicity.inputs([b"ab cde f " + b"gh " * 40, b"x"])
+    windows = toxicity.cut_windows(words[1], 2)
+    given = (words[0], words[2], words[3])
+    target = np.linspace(0, 1, len(windows.index))
+
+    def loss():
+        y = net.forward(net.embed(*given), windows.index)
+        return -(target * np.log(y) + (1 - target) * np.log(1 - y)).sum()
+
+    y, kept = net.forward(net.embed(*given), windows.index, keep=True)
+    grads = net.backward(y - target, kept, given)
+    rng = np.random.default_rng(0)
+    for name, value in net.p.items():
+        flat, g = value.reshape(-1), grads[name].reshape(-1)
+        for i in rng.choice(np.flatnonzero(g) if g.any() else np.arange(len(flat)), 4):
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert (up - down) / 2e-6 == pytest.approx(g[i], rel=1e-4, abs=1e-7), name
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 31, 32, 33, 57, 1000):
+        index = toxicity.cut_windows(np.zeros(n, np.int64), 1).index
+        assert set(index[index >= 0].tolist()) == set(range(n))
+
+
+def test_toxicity_learns(spark, docs, labels):
+    rng = random.Random(4)
+    texts = [prose(i, rng.randint(20, 200)) for i in range(240)]
+    toxic = [i % 4 == 0 for i in range(240)]
+    texts = [t.replace(" ", f" {rng.choice(['vilefoo', 'vilebar', 'vilebaz'])} ", 3) if y else t for t, y in zip(texts, toxic)]
+    net = toxicity.train(texts[:160], [int(y) for y in toxic[:160]])
+    score = toxicity.score_texts(net, [t.encode() for t in texts[160:]])
+    assert ((score >= 0.5) == np.array(toxic[160:])).mean() > 0.9
+    scored = toxicity.score(docs, net).collect()
+    assert len(scored) == len(AWKWARD) and all(0 <= r.score <= 1 for r in scored)
+    assert toxicity.train(["a"], [1]) is None
+    assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+    ids = [i for i in range(2000) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    rows = spark.createDataFrame([(i, 1, i % 2) for i in range(2000)], "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    assert not {f"t{i}" for i in ids} & {t for t, _ in toxicity.training_rows(texts, rows)}
+
+
+PAGES = [
+    (1, "https://A.example.com/en/1?x#y", "<a href='https://bad.example.net/z'>x</a>"),
+    (2, "http://b.example.org/de/", '<a href="//bad.example.net/">y</a><a href="/own">z</a>'),
+    (3, "http://bad.example.net/es/1", None),
+    (4, None, ""),
+    (5, "no scheme", ""),
+    (6, "https://www.example.com/en/\nq", "a"),
+    (7, "http://c.example.net", "a"),
+    (7, "http://c.example.net", "a"),
+    (None, "http://x.com/", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, host string")
+
+
+def test_url_rules_and_links(pages):
+    got = {r.page_id: r for r in url_filters.judge_urls(pages).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.com", "/en/1", "example.com/en/", "block")
+    assert (got[2].rule, got[2].verdict) == (None, "block")  # it links to a blocked host
+    assert (got[3].rule, got[4].host, got[5].path) == ("net/es/", "", "")
+    assert (got[4].verdict, got[5].verdict, got[7].verdict, got[None].verdict) == ("allow", "allow", "allow", "allow")
+    assert (got[6].rule, got[6].verdict) == ("www.example.com/en/", "allow")
+    assert url_filters.judge_urls(pages).count() == len(PAGES) and url_filters.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_warc_bundles(spark, pages, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 300)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 600)
+    folder = str(tmp_path / "w")
+    index = warc.write_bundles(pages, folder)
+    got = warc.read_bundles(index, folder).collect()
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r.page_id].append(r)
+    html = {i: (h or "").encode() for i, _, h in PAGES}
+    for i, rows in by_id.items():
+        for r in rows:
+            assert r.payload_bytes == len(html[i]) and r.payload_digest == warc.digest(html[i])
+            assert r.url == next(u for j, u, _ in PAGES if j == i)
+    assert [(r.record_type, r.refers_to) for i in (3, 4, 5, 6, 7) for r in by_id[i]] == [
+        ("response", None), ("revisit", 3), ("revisit", 3), ("response", None), ("revisit", 6), ("revisit", 6),
+    ]
+    one = warc.read_records(index, folder, index.where("page_id = 6").select("record_id")).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in one] == [(6, b"a")]
+    assert warc.write_bundles(pages.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_bundles_decompress_frame_by_frame(spark, pages, tmp_path):
+    import zstandard
+
+    warc.write_bundles(pages.coalesce(1), str(tmp_path / "z"))
+    file = next((tmp_path / "z" / "bundles").glob("*.zst"))
+    with file.open("rb") as f:
+        data = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    assert data.count(b"WARC/1.1\r\n") == len(PAGES)
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a brute-force version of its decision, on one small table."""
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        first[name], docs = docs.toPandas().set_index("doc_id"), spark.read.parquet(str(tmp_path / name))
+    after = [first[n] for n, _ in pipeline.STAGES[1:]]
+    for i, text in first["quality rules"].text.items():
+        n, *_, repeated = base_counts(text)
+        if n < 20 or 100 * repeated > 30 * n:
+            assert i not in after[0].index
+    rows = list(after[0].text.items())
+    assert sorted(after[1].index) == sorted(min(rows[i][0] for i in g) for g in brute_classes(rows))
+    bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    leaks = {i for i, t in after[1].text.items() for w in [" ".join(t.lower().split())] if any(" ".join(b) in w for b in bench.values() if len(b) > 4)}
+    assert leaks and not leaks & set(after[2].index) and len(after[1]) - len(after[2]) <= len(leaks) + 2
+    assert set(after[2].index) == set(after[3].index) and not after[3].text.str.contains(r"password=[0-9a-f]{18}|AKIA[A-Z0-9]{16}").any()
+    library = Tokenizer.from_file(bpe.default_path())
+    for r in docs.collect():
+        ids = library.encode(after[3].text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(after[3].text[r.doc_id].encode()).hexdigest()
