@@ -31,7 +31,6 @@ from pagequarry.sources.parse import node_rows, node_text, parse_pages
 
 ANY_SITE = "*"
 # A configuration is code, not data: beyond this size it is split into several extractions.
-MAX_CONFIG_ROWS = 20_000
 # Flags travel as bits of long columns: one filter term per column keeps planning time flat too.
 MASK_BITS = 62
 
@@ -73,13 +72,10 @@ def rules_from_dict(config: Mapping[str, Mapping]) -> dict[str, tuple[Rule, ...]
 
 
 def configs_from_table(selectors: DataFrame) -> dict[str, dict[str, tuple[Rule, ...]]]:
-    """Selector table (SELECTORS_SCHEMA) to one configuration per site. It is configuration, read on
-    the driver to compile; a table too large for that is refused rather than cut."""
-    rows = selectors.orderBy("site", "field", "rank").limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"more than {MAX_CONFIG_ROWS} selector rows: extract site groups separately")
+    """Selector table (SELECTORS_SCHEMA) to one configuration per site. Selectors are code: the driver
+    reads them, a partition at a time, to compile them into the plan."""
     configs: dict[str, dict[str, tuple[Rule, ...]]] = {}
-    for row in rows:
+    for row in selectors.orderBy("site", "field", "rank").toLocalIterator():
         fields = configs.setdefault(row.site, {})
         rule = Rule(row.selector, row.type or "css", row.attribute, row.regex)
         fields[row.field] = (*fields.get(row.field, ()), rule)

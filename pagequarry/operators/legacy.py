@@ -151,7 +151,7 @@ def name_rules(spark: SparkSession) -> DataFrame:
 def valid_names(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with a name that is long enough for its site and does not start like a price. `rules` has
     one row per site with rules (a handful), other sites only need a name."""
-    checked = rows.filter(F.col("name").isNotNull()).join(F.broadcast(rules), "site", "left")
+    checked = rows.filter(F.col("name").isNotNull()).join(rules, "site", "left")
     fits = F.length("name") >= F.coalesce("min_len", F.lit(1))
     priced = F.coalesce(F.col("name").startswith(F.col("reject_prefix")), F.lit(False))
     return checked.filter(fits & ~priced).drop("min_len", "reject_prefix")

@@ -274,9 +274,9 @@ def inspect_rows(products: DataFrame, field: str | None = None, only_missing: bo
 def systematic_sample(rows: DataFrame, limit: int = 10, order: tuple[str, ...] = ORDER) -> DataFrame:
     """`limit` rows at even steps of the row order, all rows where there are no more than that.
 
-    Positions come from two levels: rows are counted per page (the first, numeric order column),
-    page sizes are summed up, and only then are the wanted positions looked up, so no task orders
-    the whole table.
+    Positions come from two levels: rows are counted per page (the first order column, of any type
+    that can be ordered), page sizes are summed up, and only then are the wanted positions looked up,
+    so no task orders the whole table.
     """
     page, *rest = order
     rows = cut(rows, "sampled")
@@ -303,24 +303,17 @@ def systematic_sample(rows: DataFrame, limit: int = 10, order: tuple[str, ...] =
     return numbered.join(hits, [page, "nth"]).drop("nth").select(*rows.columns)
 
 
-RANGES = 256
-
-
 def _running_total(sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """`start` = sum of `size` over smaller (numeric) keys, without one task seeing all keys: quantile
-    bounds cut the keys into even ranges, totals run over the few ranges, then within each range. The
-    bounds only decide balance; the sums are exact whatever they are."""
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = sizes.agg(F.percentile_approx(key, cuts).alias("bounds")).scalar()
-    ranged = sizes.withColumn("bounds", bounds).select(
-        key, size, F.size(F.filter("bounds", lambda b: b <= F.col(key))).alias("r")
-    )
+    """`start` = sum of `size` over smaller keys, without one task seeing all keys: keys are dealt out by
+    range, totals run over the ranges, then within each. The dealt rows are written, so that both
+    uses see the same ranges; there are as many of these as the session has shuffle partitions."""
+    ranged = cut(sizes.repartitionByRange(key).select(key, size, F.spark_partition_id().alias("r")), "ranges")
     ranges = ranged.groupBy("r").agg(F.sum(size).alias("in_range"))
-    upto = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    upto = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = ranges.select("r", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("range_start"))
     within = Window.partitionBy("r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(starts), "r")  # at most RANGES rows
+        ranged.join(starts, "r")
         .withColumn("start", F.col("range_start") + F.coalesce(F.sum(size).over(within), F.lit(0)))
         .select(key, size, "start")
     )

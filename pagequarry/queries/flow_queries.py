@@ -91,13 +91,12 @@ def analysis_export(spark, sf_dir):
     "platforms",
     """select page_id, case when contains(lower(url), 'flipkart') then 'flipkart' when contains(lower(url), 'amazon') then 'amazon'
  when contains(lower(url), 'ebay') then 'ebay' else 'generic' end as platform,
- case when contains(lower(url || '/AJIO/' || page_id % 2), 'ajio/1') then 'generic' else 'ajio' end as template from pages
- where page_id % 2 = 0""",
+ case when page_id % 2 = 0 then 'ajio' else 'generic' end as template from pages""",
 )
 def platforms(spark, sf_dir):
-    even = pages(spark, sf_dir).filter("page_id % 2 = 0")
-    marked = F.concat("url", F.lit("/AJIO/"), F.col("page_id") % 2)
-    return even.select(
+    """Every page; every other address is marked as one of a platform with a template."""
+    marked = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/AJIO/"))).otherwise(F.col("url"))
+    return pages(spark, sf_dir).select(
         "page_id",
         platform_of(F.col("url"), LABEL_PLATFORMS).alias("platform"),
         platform_of(marked, TEMPLATE_PLATFORMS).alias("template"),
@@ -199,7 +198,7 @@ def json_proposals(spark, sf_dir):
         field_hints(spark).groupBy("field").agg(F.collect_list("hint").alias("hints"))
     )
     shops = F.explode(F.array(*[F.lit(s) for s in SHOPS])).alias("site")
-    per_site = hints.filter("field = 'offers'").select(shops, "*")
+    per_site = hints.filter("field = 'rating'").select(shops, "*")
     adopted = config.adopt_proposals(config.from_json_proposals(texts, per_site))
     table = adopted.select("*", F.posexplode("selectors").alias("rank", "selector")).select(
         "site", "field", "type", "rank", "selector",
@@ -311,14 +310,22 @@ def _landed(spark, sf_dir, copies: bool = False):
     return continuous.landed_pages(spark, path)
 
 
-@query("stream_products", _with(f'select site, page_id, "index", {FIELD_LIST} from products'))
+@query(
+    "stream_products",
+    _with(
+        f'select site, page_id, "index", {FIELD_LIST}, rate < 80 as below_threshold from products join site_rates using (site)',
+        LONG,
+        PERF,
+        RATES,
+    ),
+)
 def stream_products(spark, sf_dir):
     table = new_folder(spark, "stream")
     run = continuous.extract_stream(
         _landed(spark, sf_dir), SELECTORS, table, new_folder(spark, "progress")
     )
     run.awaitTermination()
-    return spark.read.parquet(table).select("site", "page_id", "index", *FIELDS)
+    return continuous.gated_products(spark, table).select("site", "page_id", "index", *FIELDS, "below_threshold")
 
 
 @query(

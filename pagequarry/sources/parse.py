@@ -429,7 +429,7 @@ def parse_pages(
                 try:
                     page = _Page(text, texts, source)
                 except Exception as broken:  # one unreadable page must not fail the task
-                    out.add(row, None, error=f"{type(broken).__name__}: {broken}"[:200])
+                    out.add(row, None, error=f"{type(broken).__name__}: {broken}")
                     continue
                 paths = _xpaths(page) if xpath else None
                 total = len(page.nodes)

@@ -34,17 +34,12 @@ def extract_stream(
     configs: Mapping[str, Config],
     table_path: str,
     checkpoint: str,
-    threshold: float = THRESHOLD,
 ) -> StreamingQuery:
-    """Extract every micro-batch, mark sites below the threshold and store the batch under its own
-    folder: a batch that runs twice replaces itself."""
+    """Extract every micro-batch and store it under its own folder: a batch that runs twice replaces
+    itself. `gated_products` judges what is stored."""
 
     def store(batch: DataFrame, number: int) -> None:
-        products = extract_products(batch, configs).persist()
-        try:
-            gate(products, threshold).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
-        finally:
-            products.unpersist()
+        extract_products(batch, configs).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return (
         pages.writeStream.foreachBatch(store)
@@ -54,6 +49,12 @@ def extract_stream(
     )
 
 
+def gated_products(spark: SparkSession, table_path: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The stored rows of all batches, marked by the rate of their site over all of them: the marks do
+    not depend on how the pages were dealt into batches."""
+    return gate(spark.read.parquet(table_path).drop("batch"), threshold)
+
+
 def rates_over_time(products: DataFrame, span: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Field success rates per time window and site; works on streams and tables."""
     counts = (

@@ -57,3 +57,27 @@ def test_no_quadratic_joins(spark):
     for name in ("forms", "heuristic_fields", "cards", "listing_products", "quality_gate", "top_hrefs"):
         text = plan(runs[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_stream_marks_do_not_depend_on_batches(spark, tmp_path):
+    from pagequarry.queries.listing import listing_pages
+    from pagequarry.streaming import continuous
+
+    pages = listing_pages(spark, SF).selectExpr("page_id", "url", "html", "site", "timestamp '2024-01-01' as scraped_at")
+    pages.repartition(4).write.parquet(str(tmp_path / "in"))
+    marks = []
+    for files in (1, 1000):
+        out, state = str(tmp_path / f"out{files}"), str(tmp_path / f"state{files}")
+        landed = continuous.landed_pages(spark, str(tmp_path / "in"), files)
+        continuous.extract_stream(landed, SELECTORS, out, state).awaitTermination()
+        rows = continuous.gated_products(spark, out, 57.5).select("page_id", "index", "overall_success_rate", "below_threshold")
+        marks.append(sorted((r.page_id, r["index"], round(r.overall_success_rate, 6), r.below_threshold) for r in rows.collect()))
+    assert marks[0] == marks[1] and {m[3] for m in marks[0]} == {True, False}
+
+
+def test_sample_of_rows_keyed_by_text(spark):
+    from pagequarry.operators import quality
+
+    rows = spark.createDataFrame([(f"/p/{i // 3:03}", i % 3) for i in range(90)], 'page_id string, "index" int'.replace('"', "`"))
+    got = quality.systematic_sample(rows, 10, ("page_id", "index")).collect()
+    assert sorted((r.page_id, r["index"]) for r in got) == [(f"/p/{p // 3:03}", p % 3) for p in range(0, 90, 9)]
