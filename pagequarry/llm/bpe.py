@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word pieces kept per worker, in two generations: when the newer is full it becomes the older.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of Latin letters without the characters that the two classes see differently.
@@ -82,7 +83,10 @@ class Bpe:
         for text, i in self.known.items():
             self.automaton.add_word(text.decode("latin-1"), (len(text), i))
         self.automaton.make_automaton()
-        self.prefix = functools.lru_cache(1 << 16)(self._prefix)
+        # The longest token that is a proper prefix of each token, or -1.
+        self.prefix = [-1] * size
+        for text, i in self.known.items():
+            self.prefix[i] = next((j for n in range(len(text) - 1, 0, -1) if (j := self.known.get(text[:n])) is not None), -1)
         self.fits = functools.lru_cache(1 << 18)(self._fits)
         self.pieces = regex.compile(PIECES).findall
         self.latin_pieces, self.not_latin = re.compile(LATIN_PIECES).findall, re.compile(NOT_LATIN).search
@@ -91,14 +95,6 @@ class Bpe:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def token(self, i: int) -> bytes:
-        return self.blob[self.offsets[i] : self.offsets[i + 1]].tobytes()
-
-    def _prefix(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of the token."""
-        text = self.token(token)
-        return next((i for n in range(len(text) - 1, 0, -1) if (i := self.known.get(text[:n])) is not None), None)
-
     def _fits(self, left: int, right: int) -> bool:
         """Whether no merge across the border comes before the merges that make the two tokens.
 
@@ -121,29 +117,28 @@ class Bpe:
     def piece_ids(self, piece: bytes) -> list[int]:
         if (whole := self.known.get(piece)) is not None:
             return [whole]  # the longest match, with nothing before it
-        longest = [-1] * len(piece)
-        for end, (n, i) in self.automaton.iter(piece.decode("latin-1")):
+        chars, fits, size = piece.decode("latin-1"), self.fits, len(piece)
+        longest = [-1] * size
+        for end, (n, i) in self.automaton.iter(chars):
             longest[end - n + 1] = i  # matches come by their end, so the longest of a start comes last
-        sizes, dead, fits, size = self.sizes, bytearray(len(piece) + 1), self.fits, len(piece)
-        ids: list[int] = []
-        at, token = 0, longest[0]
+        sizes, dead = self.sizes, bytearray(size + 1)
+        ids = []
+        at, token, last, prefix = 0, longest[0], -1, self.prefix
         while at < size:
             end = at + sizes[token]
-            if not dead[end] and (not ids or fits(ids[-1], token)):
+            if not dead[end] and (not at or fits(last, token)):
                 ids.append(token)
-                at = end
+                last, at = token, end
                 if at < size:
                     token = longest[at]
                 continue
-            shorter = self.prefix(token)
-            if shorter is None:
+            token = prefix[token]
+            if token < 0:
+                # The token that led here is tried again and refused, as its end is now dead.
                 dead[at] = 1
-                shorter = ids.pop()
-                at -= sizes[shorter]
-                token = shorter
-                # The token that led here is tried again and now refused, as its end is dead.
-                continue
-            token = shorter
+                token = ids.pop()
+                at -= sizes[token]
+                last = ids[-1] if ids else -1
         return ids
 
     def text_ids(self, text: str) -> np.ndarray:
@@ -165,7 +160,7 @@ class Bpe:
     def _remember(self, piece: str) -> bytes:
         ids = self.cache.get(piece) or self.older.get(piece)
         if ids is None:
-            ids = np.array(self.piece_ids(piece.encode()), np.int32).tobytes()
+            ids = array("i", self.piece_ids(piece.encode())).tobytes()
         if len(self.cache) >= CACHED_PIECES:
             self.cache, self.older = {}, self.cache
         if len(piece) < 64:
