@@ -21,14 +21,19 @@ import functools
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word pieces kept per worker, in two generations: when the newer is full it becomes the older.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 100_000
+#: Bytes of text that a worker encodes and hands on at a time; a longer text goes alone.
+SLICE_BYTES = 4 << 20
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of Latin letters without the characters that the two classes see differently.
@@ -87,7 +92,7 @@ class Bpe:
         self.prefix = [-1] * size
         for text, i in self.known.items():
             self.prefix[i] = next((j for n in range(len(text) - 1, 0, -1) if (j := self.known.get(text[:n])) is not None), -1)
-        self.fits = functools.lru_cache(1 << 18)(self._fits)
+        self.fits = functools.lru_cache(1 << 17)(self._fits)
         self.pieces = regex.compile(PIECES).findall
         self.latin_pieces, self.not_latin = re.compile(LATIN_PIECES).findall, re.compile(NOT_LATIN).search
         self.specials = specials
@@ -176,6 +181,18 @@ class Bpe:
         index = np.arange(ends[-1]) + np.repeat(self.offsets[ids] - (ends - sizes), sizes)
         return self.blob[index].tobytes().decode("utf-8", "replace").encode()
 
+    def ids_of(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text; a null has none."""
+        rows = [self.text_ids(t.as_py()) if t.is_valid else np.empty(0, np.int32) for t in texts]
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+
+    def texts_of(self, arrays: pa.Array) -> pa.Array:
+        """The text of each list of ids."""
+        ends, flat = arrays.offsets.to_numpy(), arrays.values.to_numpy(zero_copy_only=False)
+        rows = [self.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.array(rows, pa.binary()).cast(pa.string())
+
 
 @functools.lru_cache(2)
 def tables(path: str) -> Bpe:
@@ -188,10 +205,7 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        bpe = tables(path)
-        rows = [bpe.text_ids(t.as_py()) if t.is_valid else np.empty(0, np.int32) for t in texts]
-        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+        return tables(path).ids_of(texts)
 
     return ids(text)
 
@@ -202,19 +216,36 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def text(arrays: pa.Array) -> pa.Array:
-        bpe = tables(path)
-        ends, flat = arrays.offsets.to_numpy(), arrays.values.to_numpy(zero_copy_only=False)
-        rows = [bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-        return pa.array(rows, pa.binary()).cast(pa.string())
+        return tables(path).texts_of(arrays)
 
     return text(ids)
 
 
+def pieces_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold about SLICE_BYTES of text each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        done = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, ids and decoded text of every row."""
+    """doc_id, ids and decoded text of every row, in one pass of one worker: a text is encoded once."""
+    path = path or default_path()
     rows = docs.select("doc_id", F.col(text).alias("text"))
-    rows = rows.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return rows.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    kinds = [rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tables(path)
+        for batch in batches:
+            for part in pieces_of(batch, "text"):
+                ids = bpe.ids_of(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, bpe.texts_of(ids)], names=["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(run, T.StructType(kinds))
 
 
 def digest(ids: Column) -> Column:
