@@ -6,6 +6,8 @@ bytes, the earlier of equal ones) or `shared` (each section gets its share of th
 characters, must not overlap, and are matched with tokens in UTF-8 bytes, so that a character made of
 several tokens is shared exactly. Bytes outside all sections count for none.
 
+`count_tokens` makes the sections itself, one per line of each field; `attribute` takes given spans.
+
 Defined results: a null text counts as empty; a section without characters has no tokens; null or empty
 span lists give no rows; repeated rows give their rows each. Only the columns named are read.
 """
@@ -14,14 +16,19 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RULES = ("first", "most", "shared")
 SPANS = "array<struct<field:string,section:int,start:bigint,end:bigint>>"
+COLUMNS = "field string, section int, start bigint, end bigint, tokens double, crossing bigint"
+#: Result rows that a worker holds at most, besides those of one document.
+ROWS_OUT = 20_000
 COUNTS = "array<struct<field:string,section:int,start:bigint,end:bigint,tokens:double,crossing:bigint>>"
 
 
@@ -47,7 +54,7 @@ def _encoder(path: str):
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Byte span of each token of the whole text."""
     encoding, lengths = _encoder(path)
-    ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)])
+    ends = np.cumsum(lengths[encoding.encode_to_numpy(text, disallowed_special=())])
     return np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], ends
 
 
@@ -68,7 +75,7 @@ def allocate(start: np.ndarray, end: np.ndarray, spans: np.ndarray, rule: str) -
     first = np.searchsorted(hi, start, "right")  # the first span that ends behind the token's start
     last = np.searchsorted(lo, end, "left")  # the first span that begins at or behind its end
     inside = (last - first == 1) & (lo[np.minimum(first, len(lo) - 1)] <= start) & (end <= hi[np.minimum(first, len(hi) - 1)])
-    np.add.at(counts, real[first[inside]], 1.0)
+    counts += np.bincount(real[first[inside]], minlength=len(spans))
     for t in np.flatnonzero(~inside & (last > first)):
         own = np.arange(first[t], last[t])
         part = np.minimum(hi[own], end[t]) - np.maximum(lo[own], start[t])
@@ -103,34 +110,51 @@ def attribute(text: Column, spans: Column, rule: str = "most", path: str | None
     return counted(text, spans)
 
 
-def sections(parts: dict[str, Column], separator: str = "\n") -> Column:
-    """struct(text, spans): fields joined to one document; each line of a field, with its newline, is a section."""
-    names = list(parts)
+def line_spans(texts: list[str], separator: str = "\n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Field number, line number and character span of each line, with its newline, of fields that are
+    joined to one document."""
+    fields, numbers, spans, at = [], [], [], 0
+    for field, text in enumerate(texts):
+        lines = text.split("\n")
+        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+        ends[-1] -= 1  # the last line has no newline
+        spans.append(at + np.stack([np.append(0, ends[:-1]), ends], 1))
+        fields.append(np.full(len(lines), field, np.int32))
+        numbers.append(np.arange(len(lines), dtype=np.int32))
+        at += len(text) + len(separator)
+    return np.concatenate(fields), np.concatenate(numbers), np.concatenate(spans)
 
-    @F.arrow_udf(f"struct<text:string,spans:{SPANS}>")
-    def joined(*columns: pa.Array) -> pa.Array:
-        out = []
-        for row in zip(*columns):
-            texts, spans, at = [c.as_py() or "" for c in row], [], 0
-            for name, text in zip(names, texts):
-                lines = text.split("\n")
-                for i, line in enumerate(lines):
-                    end = at + len(line) + (i < len(lines) - 1)
-                    spans.append({"field": name, "section": i, "start": at, "end": end})
-                    at = end
-                at += len(separator)
-            out.append({"text": separator.join(texts), "spans": spans})
-        span = pa.struct([("field", pa.string()), ("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-        return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(span))]))
-
-    return joined(*parts.values())
-
-
-def count_tokens(docs: DataFrame, fields: list[str], rule: str = "most", path: str | None = None) -> DataFrame:
-    """doc_id, field, section, start, end, tokens, crossing: one row per line of each field of each document."""
-    rows = docs.select("doc_id", sections({f: docs[f].cast("string") for f in fields}).alias("d"))
-    rows = rows.select("doc_id", attribute(F.col("d.text"), F.col("d.spans"), rule, path).alias("counts"))
-    return rows.select("doc_id", F.inline("counts"))
+
+def count_tokens(docs: DataFrame, fields: list[str], rule: str = "most", path: str | None = None, separator: str = "\n") -> DataFrame:
+    """doc_id, field, section, start, end, tokens, crossing: one row per line of each field of each document.
+
+    One pass of one worker; rows are handed on every ROWS_OUT lines, so memory is bounded by a document.
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}")
+    path = path or default_path()
+    named = [f"f{i}" for i in range(len(fields))]
+    rows = docs.select("doc_id", *[docs[f].cast("string").alias(n) for f, n in zip(fields, named)])
+    kinds = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(COLUMNS).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(fields, pa.string())
+        for batch in batches:
+            out, held = [], 0
+            for row in range(batch.num_rows):
+                texts = [batch.column(n)[row].as_py() or "" for n in named]
+                field, section, chars = line_spans(texts, separator)
+                text = separator.join(texts)
+                counts, crossing = allocate(*token_spans(text, path), _byte_spans(text.encode(), chars), rule)
+                out.append((np.full(len(field), row), field, section, chars[:, 0], chars[:, 1], counts, crossing))
+                held += len(field)
+                if held >= ROWS_OUT or row + 1 == batch.num_rows:
+                    at, field, *rest = map(np.concatenate, zip(*out))
+                    columns = [batch.column("doc_id").take(pa.array(at)), names.take(pa.array(field)), *map(pa.array, rest)]
+                    yield pa.RecordBatch.from_arrays(columns, names=kinds.names)
+                    out, held = [], 0
+
+    return rows.mapInArrow(run, kinds)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,22 @@ def brute_allocation(starts, ends, spans, rule):
     return counts
 
 
+def test_round_trip_in_slices(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 100)
+    batch = pa.record_batch({"n": [0, 1, 2, 3, 4], "text": ["a" * 60, None, "", "b" * 300, "c" * 60]})
+    assert [p.column("n").to_pylist() for p in bpe.pieces_of(batch, "text")] == [[0, 1, 2], [3], [4]]
+    got = bpe.round_trip(docs).collect()
+    assert collections.Counter((r.doc_id, r.decoded) for r in got) == collections.Counter((i, t or "") for i, t in AWKWARD)
+    assert all(len(r.ids) == 0 for r in got if r.doc_id in (4, 5))
+    assert bpe.round_trip(docs.limit(0)).count() == 0
+
+
+def test_lines_of_fields():
+    field, line, spans = attribution.line_spans(["ab\n\nc", "", "x\n"])
+    assert field.tolist() == [0, 0, 0, 1, 2, 2] and line.tolist() == [0, 1, 2, 0, 0, 1]
+    assert spans.tolist() == [[0, 3], [3, 4], [4, 5], [6, 6], [7, 9], [9, 9]]
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_tokens_per_section(rule):
     rng = random.Random(1)
