@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def enclosing(rows: DataFrame, box: str, event: str, payload: list[str]) -> DataFrame:
+def enclosing(rows: DataFrame, box: str, event: str, payload: list[str], own: tuple[str, ...] = ()) -> DataFrame:
     """`rows` has page_id, node_id, end_id and two boolean columns. Output: page_id, box_id, node_id
-    and the payload of each event, once per box around it."""
+    and the payload of each event, once per box around it. With `own`, each box is also a row of itself,
+    the only one with these columns: so boxes without events are kept and need no join."""
     marks = F.array_compact(
         F.array(
             # An event comes before its own opening: a box does not enclose itself.
@@ -22,10 +23,11 @@ def enclosing(rows: DataFrame, box: str, event: str, payload: list[str]) -> Data
         )
     )
     kept = [F.when(F.col(event), F.col(c)).alias(c) for c in payload]
+    kept += [F.when(F.col(box), F.col(c)).alias(c) for c in own]
     marked = (
         rows.filter(F.col(box) | F.col(event))
         .select("page_id", "node_id", *kept, F.explode(marks).alias("m"))
-        .select("page_id", "node_id", *payload, "m.at", "m.step")
+        .select("page_id", "node_id", *payload, *own, "m.at", "m.step")
     )
     order = Window.partitionBy("page_id").orderBy("at", "step")
     change = F.when(F.col("step") == 1, 1).when(F.col("step") == 2, -1).otherwise(0)
@@ -44,8 +46,15 @@ def enclosing(rows: DataFrame, box: str, event: str, payload: list[str]) -> Data
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     owner = F.last(F.when(F.col("step") == 1, F.col("node_id")), ignorenulls=True).over(here)
+    opening = F.col("step") == 1
     return (
         by_level.withColumn("box_id", owner)
-        .filter("step = 0")
-        .select("page_id", "box_id", "node_id", *payload)
+        .filter("step < 2" if own else "step = 0")
+        .select(
+            "page_id",
+            "box_id",
+            "node_id",
+            *[F.when(~opening, F.col(c)).alias(c) for c in payload],
+            *[F.when(opening, F.col(c)).alias(c) for c in own],
+        )
     )

@@ -81,8 +81,8 @@ def _count(test: Column) -> Column:
     return F.count_if(F.coalesce(test, F.lit(False)))
 
 
-def counters(nodes: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
-    """Every plain count of the summary in one aggregate; unused ones are pruned from the plan."""
+def counters(nodes: DataFrame, by: tuple[str, ...] = PAGE, more: dict[str, Column] | None = None) -> DataFrame:
+    """Every plain count of the summary in one aggregate, and `more`; unused ones are pruned from the plan."""
     tag, href, src = F.col("tag"), _href(), _src()
     link, image, script = tag == "a", tag == "img", tag == "script"
     has_script_src = F.coalesce(_attr("src"), F.lit("")) != ""
@@ -111,7 +111,7 @@ def counters(nodes: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
         ),
         "style_blocks": _count(tag == "style"),
     }
-    return nodes.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    return nodes.groupBy(*by).agg(*[agg.alias(name) for name, agg in (aggs | (more or {})).items()])
 
 
 def headings(nodes: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
@@ -477,20 +477,18 @@ def forms(nodes: DataFrame) -> DataFrame:
         F.upper(F.coalesce(_set(_attr("method")), F.lit("GET"))).alias("method"),
         F.when(control, entry).alias("entry"),
     )
-    owned = enclosing(rows, "is_form", "is_input", ["entry"])
-    heads = rows.filter("is_form").select("page_id", F.col("node_id").alias("box_id"), "action", "method")
-    inputs = owned.groupBy("page_id", "box_id").agg(
-        F.array_sort(F.collect_list("entry")).alias("inputs")
+    owned = enclosing(rows, "is_form", "is_input", ["entry"], own=("action", "method"))
+    found = owned.groupBy("page_id", "box_id").agg(
+        F.array_sort(F.collect_list("entry")).alias("inputs"),
+        F.max("action").alias("action"),
+        F.max("method").alias("method"),
     )
-    listed = F.coalesce("inputs", F.array().cast(inputs.schema["inputs"].dataType))
     low = lambda i: F.lower(i["name"])
     has_password = F.exists("inputs", lambda i: (i["type"] == "password") | low(i).contains("pass"))
     has_user = F.exists("inputs", lambda i: low(i).contains("user") | low(i).contains("email"))
     has_text = F.exists("inputs", lambda i: i["type"] == "text")
     return (
-        heads.join(inputs, ["page_id", "box_id"], "left")
-        .withColumn("inputs", listed)
-        .select(
+        found.select(
             "page_id",
             F.col("box_id").alias("form_id"),
             "action",
@@ -516,12 +514,15 @@ def form_flags(nodes: DataFrame) -> DataFrame:
 
 def confidence(nodes: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
     """How much of a page its scripts are likely to build."""
-    counts = counters(nodes, by).select(*by, "total_nodes", "scripts", "inline_scripts", "links", "empty_hrefs")
-    unique = unique_counts(nodes, ("class",), by)
-    if by:
-        joined = counts.join(unique, list(by), "left")
+    names = ("total_nodes", "scripts", "inline_scripts", "links", "empty_hrefs")
+    if "page_id" in by:
+        # A page's own classes: no longer than the page, so they are gathered in the same aggregate.
+        unique = F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.size(classes()) > 0, classes())))))
+        joined = counters(nodes, by, {"unique_classes": unique}).select(*by, *names, "unique_classes")
     else:
-        joined = counts.withColumn("unique_classes", unique.scalar())
+        counts = counters(nodes, by).select(*by, *names)
+        unique = unique_counts(nodes, ("class",), by)
+        joined = counts.join(unique, list(by), "left") if by else counts.withColumn("unique_classes", unique.scalar())
     many = F.coalesce(F.col("unique_classes"), F.lit(0)) > 100
     score = F.least(
         F.lit(1.0),

@@ -53,7 +53,7 @@ def rank_candidates(pages: DataFrame, configs: Mapping[str, Config], candidates:
     trial, names = {}, {}
     for field, rules in candidates.items():
         for i, rule in enumerate(rules):
-            name = f"{field}__{i}"
+            name = f"candidate {len(names)}"
             names[name] = (field, i, rule.selector)
             trial[name] = (rule,)
     tried = {
@@ -66,13 +66,19 @@ def rank_candidates(pages: DataFrame, configs: Mapping[str, Config], candidates:
         *[F.count_if(quality.has_value(F.col(n))).alias(n) for n in names],
     )
     long = counts.unpivot(["site", "total"], list(names), "name", "valid")
-    parts = F.split("name", "__")
-    selectors = F.create_map(*[F.lit(x) for n, (_, _, s) in names.items() for x in (n, s)])
+    tries = F.create_map(
+        *[
+            x
+            for name, (field, i, selector) in names.items()
+            for x in (F.lit(name), F.struct(F.lit(field).alias("field"), F.lit(i).alias("candidate"), F.lit(selector).alias("selector")))
+        ]
+    )
+    tried_as = tries[F.col("name")]
     ranked = long.select(
         "site",
-        parts[0].alias("field"),
-        parts[1].cast("int").alias("candidate"),
-        selectors[F.col("name")].alias("selector"),
+        tried_as["field"].alias("field"),
+        tried_as["candidate"].alias("candidate"),
+        tried_as["selector"].alias("selector"),
         "total",
         "valid",
     )
@@ -112,7 +118,8 @@ def run_workflow(
     rounds: int = ROUNDS,
 ) -> DataFrame:
     """Extract sites, save those that pass, improve the selectors of the others and try again; after
-    the last round the rest is saved too, marked below_threshold. Returns the saved table.
+    the last round the rest is saved too, marked below_threshold. Returns the saved table, which belongs
+    to this run: each round writes its own part and replaces it when it is run again.
 
     The driver sees one rate per configured site and field. Sites must be named in `configs`.
     """
@@ -127,7 +134,7 @@ def run_workflow(
         saved = pending if number == rounds else passed
         if saved:
             rows = gate(products.filter(F.col("site").isin(saved)), threshold)
-            rows.withColumn("round", F.lit(number)).write.mode("append").parquet(table_path)
+            rows.write.mode("overwrite").parquet(f"{table_path}/round={number}")
         pending = [s for s in pending if s not in saved]
         if not pending:
             break

@@ -13,7 +13,7 @@ from pagequarry.plans import workflow
 from pagequarry.queries.listing import EXPECTED, SELECTORS, listing_pages
 from pagequarry.queries.market import EXPECTED as MARKET
 from pagequarry.queries.market import market_pages
-from pagequarry.queries.listing_queries import FIELD_LIST, LONG, PERF, products
+from pagequarry.queries.listing_queries import FIELD_LIST, HEALTH_STATUS, LONG, PERF, products, stored_products
 from pagequarry.queries.page_queries import pages
 from pagequarry.queries.registry import query
 from pagequarry.schema import FIELDS, PRODUCT_COLUMNS
@@ -183,7 +183,9 @@ def template_merge(spark, sf_dir):
 
 @query(
     "json_proposals",
-    _with("""select page_id, "index", p_name as name from cards where k % 6 <> 0"""),
+    _with("""select page_id, "index", case when k % 6 <> 0 then p_name end as name,
+ case when k % 5 = 0 then null when k % 17 = 0 then '9.9 out of 5'
+  else (k % 50) // 10 || '.' || k % 10 || ' out of 5' end as rating from cards"""),
 )
 def json_proposals(spark, sf_dir):
     texts = spark.createDataFrame(
@@ -200,12 +202,14 @@ def json_proposals(spark, sf_dir):
     shops = F.explode(F.array(*[F.lit(s) for s in SHOPS])).alias("site")
     per_site = hints.filter("field = 'rating'").select(shops, "*")
     adopted = config.adopt_proposals(config.from_json_proposals(texts, per_site))
+    # Hints say css whatever they are; a path is run as one, as when merging with templates.
+    kind = F.when(F.col("selector").startswith(".//"), "xpath").otherwise(F.col("type")).alias("type")
     table = adopted.select("*", F.posexplode("selectors").alias("rank", "selector")).select(
-        "site", "field", "type", "rank", "selector",
+        "site", "field", kind, "rank", "selector",
         F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("regex"),
     )
-    rows = extract_rows(listing_pages(spark, sf_dir), table, ("name",))
-    return rows.filter("name is not null").select("page_id", "index", "name")
+    rows = extract_rows(listing_pages(spark, sf_dir), table, ("name", "rating"))
+    return rows.select("page_id", "index", "name", "rating")
 
 
 # -- gated runs -----------------------------------------------------------------------------------
@@ -224,7 +228,7 @@ RATES = """site_rates as (select site, sum(valid)::bigint * 100.0::double / (max
     ),
 )
 def quality_gate(spark, sf_dir):
-    judged = workflow.gate(products(spark, sf_dir), 57.5)
+    judged = workflow.gate(stored_products(spark, sf_dir), 57.5)
     return judged.select(
         "site", "page_id", "index", F.round("overall_success_rate", 6).alias("overall_success_rate"), "below_threshold"
     )
@@ -275,8 +279,8 @@ def improved_run(spark, sf_dir):
 @query(
     "run_report",
     _with(
-        """select site, total_products, valid_values, round(overall_success_rate, 6) as overall_success_rate,
- round(score, 6) as score, critical_fields, weak_fields from (
+        f"""select site, total_products, valid_values, round(overall_success_rate, 6) as overall_success_rate,
+ round(score, 6) as score, {HEALTH_STATUS} as health, critical_fields, weak_fields from (
  select site, max(total) as total_products, sum(valid)::bigint as valid_values,
   sum(valid)::bigint * 100.0::double / (max(total) * 9) as overall_success_rate,
   avg(round(valid * 100.0::double / total, 1)) as score,
@@ -288,7 +292,7 @@ def improved_run(spark, sf_dir):
     ),
 )
 def run_report(spark, sf_dir):
-    report = workflow.run_report(products(spark, sf_dir)).drop("health")
+    report = workflow.run_report(stored_products(spark, sf_dir))
     return report.withColumns(
         {c: F.round(c, 6) for c in ("overall_success_rate", "score")}
     )

@@ -9,6 +9,7 @@ from pagequarry.operators.extract import extract_products, extract_rows
 from pagequarry.queries.listing import EXPECTED, SELECTORS, listing_pages
 from pagequarry.queries.registry import joined, query
 from pagequarry.schema import FIELDS
+from pagequarry.sources.storage import cut
 
 FIELD_LIST = ", ".join(FIELDS)
 
@@ -17,6 +18,11 @@ def products(spark, sf_dir):
     return extract_products(listing_pages(spark, sf_dir), SELECTORS).drop("scraped_at", "url")
 
 
+def stored_products(spark, sf_dir):
+    """For reports that read the products more than once: pages are parsed for the table, then no more."""
+    return cut(products(spark, sf_dir), "products")
+
+
 def _with(sql: str, *more: str) -> str:
     return "with " + ", ".join([EXPECTED, *more]) + sql
 
@@ -126,7 +132,7 @@ def _shown(report):
 
 @query("validate_prices", _validation_sql("'current_price', 'original_price'"))
 def validate_prices(spark, sf_dir):
-    return _shown(quality.validate_prices(products(spark, sf_dir)))
+    return _shown(quality.validate_prices(stored_products(spark, sf_dir)))
 
 
 @query(
@@ -137,12 +143,12 @@ def validate_prices(spark, sf_dir):
     ),
 )
 def validate_ratings(spark, sf_dir):
-    return _shown(quality.validate_ratings(products(spark, sf_dir)))
+    return _shown(quality.validate_ratings(stored_products(spark, sf_dir)))
 
 
 @query("validate_reviews", _validation_sql("'reviews'"))
 def validate_reviews(spark, sf_dir):
-    return _shown(quality.validate_reviews(products(spark, sf_dir)))
+    return _shown(quality.validate_reviews(stored_products(spark, sf_dir)))
 
 
 @query(
@@ -154,7 +160,7 @@ def validate_reviews(spark, sf_dir):
     ),
 )
 def validate_names(spark, sf_dir):
-    return _shown(quality.validate_names(products(spark, sf_dir)))
+    return _shown(quality.validate_names(stored_products(spark, sf_dir)))
 
 
 FIELD_POSITION = f"list_position([{', '.join(repr(f) for f in FIELDS)}], field)"
@@ -213,7 +219,7 @@ SUGGESTED = ", ".join(f"'{f}'" for f in quality.SUGGESTED_FIELDS)
     ),
 )
 def improvement_suggestions(spark, sf_dir):
-    out = quality.improvement_suggestions(products(spark, sf_dir))
+    out = quality.improvement_suggestions(stored_products(spark, sf_dir))
     return out.withColumn("sample_failures", joined("sample_failures"))
 
 
@@ -346,7 +352,7 @@ def overall_rate_from_text(spark, sf_dir):
     ),
 )
 def validation_summary(spark, sf_dir):
-    return quality.validation_summary(products(spark, sf_dir))
+    return quality.validation_summary(stored_products(spark, sf_dir))
 
 
 @query("comprehensive_analysis")

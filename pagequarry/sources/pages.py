@@ -33,6 +33,11 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("page_id"), F.col("path").alias("url"), text.alias("html"))
 
 
+def unread_pages(parsed: DataFrame) -> DataFrame:
+    """(page_id, reason) of the pages of a `parse_pages` result that could not be read, with the whole error."""
+    return parsed.filter("parse_error is not null").select("page_id", F.col("parse_error").alias("reason"))
+
+
 def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with content, and the others as (page_id, reason)."""
     empty = strip(F.coalesce(F.col("html"), F.lit(""))) == ""

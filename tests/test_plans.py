@@ -81,3 +81,21 @@ def test_sample_of_rows_keyed_by_text(spark):
     rows = spark.createDataFrame([(f"/p/{i // 3:03}", i % 3) for i in range(90)], 'page_id string, "index" int'.replace('"', "`"))
     got = quality.systematic_sample(rows, 10, ("page_id", "index")).collect()
     assert sorted((r.page_id, r["index"]) for r in got) == [(f"/p/{p // 3:03}", p % 3) for p in range(0, 90, 9)]
+
+
+def test_pages_are_parsed_once(spark):
+    import __spark_entry__ as entry
+
+    runs = entry.queries()
+    for name in ("forms", "form_flags", "confidence"):
+        text = plan(runs[name](spark, SF))
+        assert text.count("MapInArrow") == 1 and "Join" not in text, name
+    for name in ("validate_prices", "validation_summary", "improvement_suggestions", "quality_gate", "run_report"):
+        assert "MapInArrow" not in plan(runs[name](spark, SF)), name  # they read the stored products
+
+
+def test_unread_pages_are_reported_with_the_whole_error(spark):
+    from pagequarry.sources.pages import unread_pages
+
+    parsed = spark.createDataFrame([(1, None), (2, "AssertionError: " + "x" * 400)], "page_id long, parse_error string")
+    assert [(r.page_id, len(r.reason)) for r in unread_pages(parsed).collect()] == [(2, 416)]
