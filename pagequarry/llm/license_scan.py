@@ -27,18 +27,25 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: label, keyword, names of the license as patterns over words, version pattern or None
+#: label, keyword, names of the license as patterns over words, version pattern or None. Every text of every name
+#: holds the keyword as a word, and one of COARSE.
 FAMILIES = (
     ("gpl", "gnu", ("gnu general public licen[cs]e", "gnu gpl"), "[1-3](?: 0)?"),
-    ("gpl", "gpl", ("gpl", "gplv[1-3]", "gpl[23]"), "v?[1-3](?: 0)?"),
+    ("gpl", "gpl", ("gpl",), "v?[1-3](?: 0)?"),
+    *(("gpl", k, (k,), "v?[1-3](?: 0)?") for k in ("gplv1", "gplv2", "gplv3", "gpl2", "gpl3")),
     ("lgpl", "gnu", ("gnu (?:lesser|library) general public licen[cs]e", "gnu lgpl"), "[23](?: [01])?"),
-    ("lgpl", "lgpl", ("lgpl", "lgplv[23]"), "v?[23](?: [01])?"),
+    ("lgpl", "lgpl", ("lgpl",), "v?[23](?: [01])?"),
+    *(("lgpl", k, (k,), "v?[23](?: [01])?") for k in ("lgplv2", "lgplv3")),
     ("agpl", "affero", ("(?:gnu )?affero general public licen[cs]e",), "3(?: 0)?"),
-    ("agpl", "agpl", ("agpl", "agplv3"), "v?3(?: 0)?"),
+    ("agpl", "agpl", ("agpl",), "v?3(?: 0)?"),
+    ("agpl", "agplv3", ("agplv3",), "v?3(?: 0)?"),
     ("gfdl", "gnu", ("gnu free documentation licen[cs]e",), "1(?: [123])?"),
-    ("apache", "apache", ("apache (?:software )?licen[cs]e", "asl"), "v?(?:1 [01]|2(?: 0)?)"),
-    ("mit", "mit", ("mit licen[cs]e", "mit x11 licen[cs]e", "expat licen[cs]e"), None),
-    ("bsd-2-clause", "bsd", ("(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?",), None),
+    ("apache", "apache", ("apache (?:software )?licen[cs]e",), "v?(?:1 [01]|2(?: 0)?)"),
+    ("apache", "asl", ("asl",), "v?(?:1 [01]|2(?: 0)?)"),
+    ("mit", "mit", ("mit licen[cs]e", "mit x11 licen[cs]e"), None),
+    ("mit", "expat", ("expat licen[cs]e",), None),
+    ("bsd-2-clause", "bsd", ("(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?",), None),
+    ("bsd-2-clause", "freebsd", ("freebsd(?: licen[cs]e)?",), None),
     ("bsd-3-clause", "bsd", ("(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?",), None),
     ("bsd", "bsd", ("bsd(?: style)? licen[cs]e",), None),
     ("isc", "isc", ("isc licen[cs]e",), None),
@@ -87,6 +94,11 @@ FORMS = (
     ("(?:the )?N (?:version )?V", 3, 0.8),
     ("(?:the )?N", 2, 0.6),
 )
+#: What a text must hold to be tried at all; every match of a rule holds one of them.
+COARSE = (
+    " licen", " gnu ", " gpl", " cc", " creative ", " bsd ", " freebsd ", " apache ", " asl ", " mpl ", " cddl ", " eupl ", " unlicense ", " wtfpl ",
+    " lgpl", " agpl", " domain ", " rights ", " proprietary ",
+)
 RULE_FIELDS = ("rule", "keyword", "regex", "label", "priority", "confidence")
 RULES_SCHEMA = "array<struct<rule int, keyword string, regex string, label string, priority int, confidence double>>"
 
@@ -162,9 +174,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", normal(F.col("text")).alias("norm"))
     rows = rows.withColumn("n_words", F.when(F.col("norm") == " ", 0).otherwise(_spaces(F.col("norm")) - 1).cast("long"))
     rows = rows.withColumn("base", _base(F.col("norm"), F.col("n_words")))
-    coarse = [" licen", " gnu ", " gpl", " cc", " creative ", " bsd ", " apache ", " mpl ", " cddl ", " eupl ", " unlicense ", " wtfpl ", " lgpl", " agpl", " domain ", " rights ", " proprietary "]
     some = F.lit(False)
-    for k in coarse:
+    for k in COARSE:
         some = some | F.contains(F.col("norm"), F.lit(k))
     # Texts without a keyword get keys too, which meet nothing, so that they spread over the join's tasks.
     rows = rows.withColumn("some", some)

@@ -284,6 +284,45 @@ def test_license_suppression(spark):
     assert {r.label for r in left} == {"mit", "lgpl", "gpl"}
 
 
+def spelled(pattern):
+    """Every text a pattern without open repeats stands for; counted repeats at both bounds."""
+    from re import _parser
+
+    def of(items):
+        texts = [""]
+        for kind, arg in items:
+            name = str(kind)
+            if name == "LITERAL":
+                ends = [chr(arg)]
+            elif name == "IN":
+                ends = [chr(c) for k, a in arg for c in ([a] if str(k) == "LITERAL" else range(a[0], a[1] + 1) if str(k) == "RANGE" else [ord("x")])]
+            elif name == "BRANCH":
+                ends = [t for branch in arg[1] for t in of(branch)]
+            elif name == "SUBPATTERN":
+                ends = of(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                ends = [t * n for n in {arg[0], 1} for t in of(arg[2])]
+            else:
+                ends = [""]  # the blanks looked at on either side
+            texts = [t + e for t in texts for e in ends]
+        return texts
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_keywords_lose_nothing(spark):
+    for _, keyword, regex, *_ in license_scan.rules():
+        for text in spelled(regex):
+            assert f" {keyword} " in f" {text} ", (keyword, text)
+            assert any(c in f" {text} " for c in license_scan.COARSE), text
+    names = {
+        "Licensed under GPLv3": "gpl", "released under the GNU GPLv2": "gpl", "GPL2 code": "gpl", "LGPLv3 code": "lgpl", "AGPLv3": "agpl",
+        "Expat License": "mit", "FreeBSD License": "bsd-2-clause", "FreeBSD": "bsd-2-clause", "ASL 2.0": "apache",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(names.items()), "text string, doc_id string")).collect()
+    assert sorted(r.labels for r in got) == sorted(names.values()) and all(r.score > 0 for r in got)
+
+
 def test_secrets(docs, small):
     forest = secret_scan.trained_on(docs.select("doc_id", "text").union(small.select("doc_id", "text")))
     kept = [r for r in secret_scan.findings(docs, forest).collect() if r.kept]
