@@ -94,21 +94,78 @@ FORMS = (
     ("(?:the )?N (?:version )?V", 3, 0.8),
     ("(?:the )?N", 2, 0.6),
 )
+#: Families whose short name says a license only in the first STRICT forms; "published under the MIT Press" says none.
+SHORT = (
+    ("apache", "apache", ("apache(?: software)?",), "v?(?:1 [01]|2(?: 0)?)"),
+    ("mit", "mit", ("mit", "mit x11"), None),
+    ("mit", "expat", ("expat",), None),
+    ("bsd", "bsd", ("bsd(?: style)?",), None),
+    ("isc", "isc", ("isc",), None),
+    ("zlib", "zlib", ("zlib(?: libpng)?",), None),
+    ("gfdl", "gfdl", ("gfdl",), "1(?: [123])?"),
+    ("mpl", "mozilla", ("mozilla(?: public)?",), "v?(?:1 [01]|2(?: 0)?)"),
+    ("epl", "epl", ("epl",), "v?[12](?: 0)?"),
+    ("edl", "edl", ("edl",), "v?1(?: 0)?"),
+    ("cpl", "cpl", ("cpl",), "v?1(?: 0)?"),
+    ("artistic", "artistic", ("(?:perl )?artistic",), "v?[12](?: 0)?"),
+    ("boost", "bsl", ("bsl",), "v?1(?: 0)?"),
+    ("boost", "boost", ("boost(?: software)?",), "v?1(?: 0)?"),
+    ("odbl", "odbl", ("odbl",), "v?1(?: 0)?"),
+    ("ofl", "ofl", ("(?:sil )?ofl",), "v?1(?: [01])?"),
+    ("psf", "psf", ("psf",), "v?2(?: 0)?"),
+    ("psf", "python", ("python(?: software foundation)?",), "v?[23](?: [0-9])?"),
+    ("php", "php", ("php",), "v?3(?: 0 ?1?)?"),
+    ("ms-pl", "pl", ("ms pl",), None),
+)
+STRICT = 2
+_SOURCE_AND_BINARY = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+#: Texts that grant a license without naming it: label, keyword, pattern, priority, confidence.
+GRANTS = (
+    (
+        "mit",
+        "granted",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (?:the software )?to deal in the software without restriction",
+        4,
+        0.9,
+    ),
+    ("bsd", "redistribution", _SOURCE_AND_BINARY, 4, 0.8),
+    ("bsd-2-clause", "redistribution", _SOURCE_AND_BINARY + r" (?:\S+ ){0,80}?materials provided with the distribution this software is provided", 4, 0.9),
+    (
+        "bsd-3-clause",
+        "redistribution",
+        _SOURCE_AND_BINARY
+        + r" (?:\S+ ){0,80}?materials provided with the distribution (?:3 |c |iii )?(?:neither the names? of|the names? of) (?:\S+ ){1,30}?may (?:not )?be used to endorse or promote products derived from this software",
+        4,
+        0.9,
+    ),
+    (
+        "isc",
+        "granted",
+        "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        4,
+        0.9,
+    ),
+    ("zlib", "granted", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", 4, 0.9),
+    ("boost", "granted", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this license", 4, 0.9),
+    ("ofl", "granted", "permission is hereby granted free of charge to any person obtaining a copy of the font software to use study copy merge embed modify redistribute", 4, 0.9),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 4, 0.9),
+    ("wtfpl", "fuck", "you just do what the fuck you want to", 4, 0.9),
+)
 #: What a text must hold to be tried at all; every match of a rule holds one of them.
 COARSE = (
     " licen", " gnu ", " gpl", " cc", " creative ", " bsd ", " freebsd ", " apache ", " asl ", " mpl ", " cddl ", " eupl ", " unlicense ", " wtfpl ",
-    " lgpl", " agpl", " domain ", " rights ", " proprietary ",
+    " lgpl", " agpl", " domain ", " rights ", " proprietary ", " hereby granted ", " redistribution and use ", " granted to anyone ", " unencumbered ", " fuck ",
 )
 RULE_FIELDS = ("rule", "keyword", "regex", "label", "priority", "confidence")
 RULES_SCHEMA = "array<struct<rule int, keyword string, regex string, label string, priority int, confidence double>>"
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """Every family in every form, in order; some 300 rules."""
+    """Every family in every form, short names in the strict ones, and the grants, in order; some 400 rules."""
     out = []
-    for label, keyword, names, version in FAMILIES:
+    for label, keyword, names, version, forms in [(*f, FORMS) for f in FAMILIES] + [(*f, FORMS[:STRICT]) for f in SHORT]:
         for name in names:
-            for form, priority, confidence in FORMS:
+            for form, priority, confidence in forms:
                 if "V" in form and version is None:
                     if "(?: V)?" not in form and "(?: (?:version )?V)?" not in form:
                         continue
@@ -116,6 +173,8 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
                 body = body.replace("(?: V)?", "" if version is None else f"(?: (?:{version}))?")
                 body = body.replace("V", f"(?:{version})").replace("N", f"(?:{name})")
                 out.append((len(out), keyword, f"(?<= ){body}(?= )", label, priority, confidence))
+    for label, keyword, body, priority, confidence in GRANTS:
+        out.append((len(out), keyword, f"(?<= ){body}(?= )", label, priority, confidence))
     return out
 
 

@@ -323,6 +323,35 @@ def test_license_keywords_lose_nothing(spark):
     assert sorted(r.labels for r in got) == sorted(names.values()) and all(r.score > 0 for r in got)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+#    disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = "# 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software"
+
+
+def test_license_short_names_and_grants(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache", "SPDX-License-Identifier: ISC": "isc",
+        "SPDX-License-Identifier: BSL-1.0": "boost", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: EPL-2.0": "epl",
+        "SPDX-License-Identifier: OFL-1.1": "ofl", "SPDX-License-Identifier: MS-PL": "ms-pl", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "Licensed under MIT": "mit", "licensed under Apache 2.0": "apache", "licensed under the BSD 2-clause license": "bsd-2-clause",
+        "published under the MIT Press; the Apache and Boost projects": "",
+        MIT: "mit", BSD: "bsd", BSD + "THIS SOFTWARE IS PROVIDED BY": "bsd-2-clause", BSD + BSD_3: "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.": "isc",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to": "zlib",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
+
+
 def test_secrets(docs, small):
     forest = secret_scan.trained_on(docs.select("doc_id", "text").union(small.select("doc_id", "text")))
     kept = [r for r in secret_scan.findings(docs, forest).collect() if r.kept]
