@@ -1,6 +1,7 @@
 """Secret scans: broad candidate patterns, and a random forest that removes false positives.
 
-Candidates are unbroken runs of key-like characters with a digit. Features: length, character
+Candidates are unbroken runs of key-like characters with a digit or after `=`, and whatever is assigned to
+a path with a credential's word in its name, or follows "Bearer". Features: length, character
 transitions (runs of a class, changes between letters and digits, cases), shares of classes and of
 distinct characters, coverage by dictionary words, the path a value is assigned to, and neighbouring
 words. The forest is trained on labelled findings and then written as one column expression, so that
@@ -27,10 +28,25 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.native import let, placed, where
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])"
-#: The same as one pattern that also takes an assigned name before the value, which ends the run.
-ASSIGNED = r"(?<=[A-Za-z0-9_\-]=)[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])"
-PATTERN = rf"{ASSIGNED}|{CANDIDATE}"
+#: A credential's word in the name of a path.
+NAMED = r"(?=[a-dpstA-DPST])(?i:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|authorization|auth(?![a-z])|credential|private[_\-]?key|bearer)"
+#: The rest of the name, what closes it, and the sign of assignment, with the scheme of a header. `==` and a blank end base64.
+SIGN = r"""[\\"'\])]*+(?!==[ \t])[ \t]*+(?:=>|:=|={1,3}|:(?!:))[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?+"""
+LEAD = rf"{NAMED}(?:(?!{NAMED})[A-Za-z0-9_.\-/\[\]])*+{SIGN}"
+#: Up to the closing quote; without one up to a blank or quote, less closing punctuation and further `&name=`.
+QUOTED = r"""(?:"(?:[^"\\\r\n]|\\.)++(?=")|'(?:[^'\\\r\n]|\\.)++(?=')|`[^`\r\n]++(?=`))"""
+PLAIN = r"""(?=[^=\s])(?:[^\s"'`.,;:)\]}>&]|[.,;:)\]}>&]++(?![\s"'`]|$|(?<=[&,;])[A-Za-z0-9_.\-]++[=:]))++"""
+#: Any value assigned to a credential's path, with the path's name before it, which is no part of the finding.
+ASSIGNED = rf"{LEAD}(?:{QUOTED}|[\"'`]?+{PLAIN})"
+BEARER = r"(?i:bearer)[ \t]++"
+RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])"
+#: A run with a digit that is not itself such a name, or any run after `=`.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*+[0-9])(?![A-Za-z0-9+/_\-]*?{ASSIGNED})|(?<=[A-Za-z0-9_\-\])\"'=]=)){RUN}"
+PATTERN = rf"{ASSIGNED}|(?<![A-Za-z]){BEARER}[A-Za-z0-9+/_.~\-]{{12,}}+=*|{CANDIDATE}"
+#: The value of a match.
+VALUE = rf"(?s)^(?:{LEAD}(?:[\"'`](?=.)|(?=[^=\s\"'`]))|{BEARER})?(.+)$"
+#: A text without a digit, a sign of assignment and a bearer has no match.
+CHEAP = r"[0-9=:]|(?i:bearer)"
 #: Characters of context looked at on either side of a candidate.
 CONTEXT = 60
 #: Documents that findings are taken from for training, and findings of either label at most.
@@ -65,8 +81,9 @@ def _share(value: Column, pattern: str) -> Column:
 
 def features(value: Column, left: Column, right: Column) -> Column:
     """struct of the features, as doubles."""
-    path = F.regexp_extract(left, r"([A-Za-z0-9_.\-/\[\]]+)[\"']?\s*[:=]\s*[\"']?$", 1)
-    near = F.lower(F.concat_ws(" ", F.regexp_replace(left, r"[A-Za-z0-9_.\-/\[\]]+[\"']?\s*[:=]\s*[\"']?$", ""), right))
+    assigned = rf"([A-Za-z0-9_.\-/\[\]]+){SIGN}[\"'`]?$"
+    path = F.regexp_extract(left, assigned, 1)
+    near = F.lower(F.concat_ws(" ", F.regexp_replace(left, assigned, ""), right))
 
     def has(text: Column, words: str) -> Column:
         return F.rlike(F.lower(text), F.lit(f"(?<![a-z])({words})(?![a-z])")).cast("double")
@@ -83,7 +100,7 @@ def features(value: Column, left: Column, right: Column) -> Column:
         "vowels": F.regexp_count(value, F.lit("(?i)[aeiou]")) / letters,
         "words": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(WORDS, key=len, reverse=True)), "")) / F.length(value),
         "has_path": path != "",
-        "path_credential": has(path, CREDENTIAL),
+        "path_credential": F.rlike(path, F.lit(f"{NAMED}(?![a-z])")),
         "path_harmless": has(path, HARMLESS),
         "path_depth": F.regexp_count(path, F.lit(r"[._/]")),
         "near_credential": has(near, CREDENTIAL),
@@ -100,9 +117,13 @@ def features(value: Column, left: Column, right: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """Every row with __gaps (the text between candidates) and __hits (the candidates, none as null)."""
     # Most texts have no run with enough key-like characters; the cheap test spares them the rest.
-    some = F.rlike("text", F.lit("[0-9]")) & F.rlike("text", F.lit(PATTERN))
-    rows = docs.withColumn("__hits", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    return rows.withColumn("__gaps", F.when(F.col("__hits").isNotNull(), F.split("text", PATTERN)))
+    some = F.rlike("text", F.lit(CHEAP)) & F.rlike("text", F.lit(PATTERN))
+    rows = docs.withColumn("__raw", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    rows = rows.withColumn("__hits", F.transform("__raw", lambda r: F.regexp_extract(r, VALUE, 1)))
+    # The name before a value belongs to the text before it.
+    leads = F.zip_with("__raw", "__hits", lambda r, v: F.left(r, F.length(r) - F.length(v)))
+    pieces = F.zip_with(F.split("text", PATTERN), leads, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
+    return rows.withColumn("__gaps", F.when(F.col("__hits").isNotNull(), pieces)).drop("__raw")
 
 
 def _described() -> Column:
