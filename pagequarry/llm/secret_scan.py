@@ -8,9 +8,9 @@ words. The forest is trained on labelled findings and then written as one column
 scanning is a projection: no text is moved.
 
 Labelled findings may be given as a table (value, left, right, label). Otherwise `labelled_findings` makes
-them from a bounded sample of the documents: values with a provider's prefix or assigned to a
-credential's path are true; other candidates, and the same places holding placeholders, words,
-checksums or ids instead, are false.
+them from a bounded sample of the documents: values with a provider's prefix, assigned to a name with a
+credential's word or following "Bearer" are true; candidates far from any such word, and the same places holding
+placeholders, words, checksums or ids instead, are false. All others are undecided and not learned from.
 
 Defined results: null or empty texts have no candidates; equal candidates of a text are findings each;
 repeated rows (equal id and text) give one set of rows in `findings`, and are redacted each in
@@ -134,15 +134,26 @@ def _described() -> Column:
     return F.arrays_zip(F.col("__hits").alias("value"), lefts.alias("left"), rights.alias("right"))
 
 
+def decided(value: Column, left: Column, right: Column) -> Column:
+    """1 for a secret, 0 for none, null where the rule cannot tell."""
+    name = F.regexp_extract(left, rf"([A-Za-z0-9_.\-/\[\]]+){SIGN}[\"'`]?$", 1)
+    named = F.rlike(name, F.lit(f"{NAMED}(?![a-z])")) & ~F.rlike(F.lower(name), F.lit(f"(?<![a-z])({HARMLESS})(?![a-z])"))
+    # "password: required" and short values may be prose or settings.
+    prose = F.rlike(value, F.lit("^[A-Za-z]?[a-z]*$")) & F.rlike(left, F.lit(r"\s$"))
+    bearer = F.rlike(left, F.lit(rf"(?<![A-Za-z]){BEARER}$"))
+    prefix = F.rlike(value, F.lit(f"^({PREFIXES})"))
+    fake = F.rlike(F.lower(value), F.lit(PLACEHOLDER))
+    true = prefix | ((named | bearer) & ~prose & (F.length(value) >= 8))
+    near = F.rlike(F.concat_ws(" ", left, right), F.lit(NAMED))
+    return F.when(fake, 0).when(true, 1).when(~near, 0)
+
+
 def labelled_findings(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, findings: int = MAX_FINDINGS) -> DataFrame:
     """value, left, right, label: at most so many findings of either label, from at most so many documents."""
     order = F.xxhash64("doc_id", "text")
     rows = where(candidates(docs.select("doc_id", "text")), F.col("__hits").isNotNull()).orderBy(order, "doc_id", "text").limit(documents)
     rows = rows.select(F.inline(_described())).distinct()
-    path = F.rlike("left", F.lit(rf"(?i)({CREDENTIAL})[\"']?\s*[:=]\s*[\"']?$"))
-    prefix = F.rlike("value", F.lit(f"^({PREFIXES})"))
-    fake = F.rlike(F.lower("value"), F.lit(PLACEHOLDER))
-    rows = rows.withColumn("label", F.when((path | prefix) & ~fake, 1).otherwise(0))
+    rows = rows.withColumn("label", decided(F.col("value"), F.col("left"), F.col("right"))).where("label IS NOT NULL")
     picked = F.xxhash64("value", "left", "right")
     true = rows.where("label = 1").orderBy(picked, "value", "left", "right").limit(findings)
     false = rows.where("label = 0").orderBy(picked, "value", "left", "right").limit(findings)

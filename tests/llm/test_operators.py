@@ -404,6 +404,30 @@ def test_secret_candidates(spark):
     assert [r.value for r in secret_scan.findings(spark.createDataFrame([(1, long)], "doc_id long, text string"), [1.0]).collect()] == ["x.y" * 40_000]
 
 
+HAND_LABELLED = [
+    ('SECRET_KEY = "', "9fK2mQ7xLp0ZtR4vB8nW", '"', 1), ("Authorization: Bearer ", "a8Jd02kLmQ93xPz7Vt1c", " sent", 1), ("token_prod=", "q7Zx91LmP0aK4tRv82Bn", " y", 1),
+    ('config["db_password_main"] = "', "Tr0ub4dor3xKq9", '"', 1), ("dbPassword: ", "Kq93xPz7Vt1ca8Jd", "", 1), ("bearer ", "0a8Jd02kLmQ93xPz7V", ".", 1),
+    ("see commit ", "3f786850e387550fdab836ed7e6dc881de23001b", " in main", 0), ("call ", "4041894974608795", " today", 0), ("password=", "your_password_example_1", "", 0),
+    ("token_version=", "2024a01b15c7d2e9", "", None), ("the token of build ", "20240115083000", " was", None), ("Password: ", "required", " field", None),
+]
+
+
+def test_secret_labels_by_hand(spark):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(HAND_LABELLED)], "i int, value2 string, v string, r string, want int").withColumnRenamed("value2", "l")
+    got = rows.select("i", "want", secret_scan.decided(F.col("v"), F.col("l"), F.col("r")).alias("label")).collect()
+    assert [(r.i, r.label) for r in got] == [(r.i, r.want) for r in got]
+    # On a corpus where such findings are common, the forest keeps those above, which it has not seen.
+    rng = random.Random(5)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    forms = ['SECRET_KEY = "%s"', "Authorization: Bearer %s", "token_prod=%s", "bearer %s", "dbPassword: %s", 'x["db_password_main"] = "%s"']
+    seen = [prose(i, 20) + " " + form % key("abcdefghkmnpqrtuvwxyzABCDEFGHKLMNPQRTVWXZ0123456789", rng.randint(14, 24)) + " " + prose(-i, 9) for i in range(40) for form in forms]
+    seen += [f"{prose(i, 20)} {left} {key(letters, n)} {prose(-i, 9)}" for i in range(80) for left, letters, n in (("commit", "0123456789abcdef", 40), ("call", "0123456789", 16))]
+    forest = secret_scan.trained_on(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string"))
+    texts = [(i, "w " + left + value + right) for i, (left, value, right, want) in enumerate(HAND_LABELLED) if want is not None]
+    found = {r.doc_id: r.kept for r in secret_scan.findings(spark.createDataFrame(texts, "doc_id long, text string"), forest).collect()}
+    assert found == {i: HAND_LABELLED[i][3] == 1 for i, _ in texts}
+
+
 def test_network_gradient():
     net = toxicity.Network(3, np.float64)
     words = toxicity.inputs([b"ab cde f " + b"gh " * 40, b"x"])
