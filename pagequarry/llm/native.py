@@ -60,17 +60,19 @@ def literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(repr(v) for v in values) + "]"), f"array<{kind}>")
 
 
-def placed(rows: DataFrame, key: list[str], pieces: Column, found: Column) -> DataFrame:
+def placed(rows: DataFrame, key: list[str], pieces: Column, found: Column, notes: Column | None = None) -> DataFrame:
     """One row per match with its character span.
 
-    `pieces` is the text split at the matches, `found` the matches. The running sum is a window
+    `pieces` is the text split at the matches, `found` the matches, `notes` an
+    array with something to each match, kept as `note`. The key should be small: it goes with each match. The running sum is a window
     over one text's matches, so a text with very many of them spills instead of growing.
     """
     from pyspark.sql import Window
 
-    parts = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
+    with_notes = [] if notes is None else [notes.alias("note")]
+    parts = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), *with_notes)
     rows = rows.select(*key, F.posexplode(parts).alias("at", "part"))
-    rows = rows.select(*key, "at", F.length("part.gap").cast("long").alias("gap"), F.col("part.hit").alias("hit"))
+    rows = rows.select(*key, "at", F.length("part.gap").cast("long").alias("gap"), F.col("part.hit").alias("hit"), *["part.note"] * len(with_notes))
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("hit")).over(before)
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("hit")).drop("gap")

@@ -232,8 +232,8 @@ def findings(docs: DataFrame, model: Forest) -> DataFrame:
     """doc_id, start, end, value, score, kept: every candidate of every document."""
     rows = where(scanned(docs.select("doc_id", "text"), model), F.col("__hits").isNotNull())
     rows = rows.select("doc_id", F.sha2("text", 256).alias("key"), "__gaps", "__hits", "__found").dropDuplicates(["doc_id", "key"])
-    spans = placed(rows.select("doc_id", "key", "__gaps", "__hits", "__found"), ["doc_id", "key", "__found"], F.col("__gaps"), F.col("__hits"))
-    return spans.select("doc_id", "start", "end", F.col("hit").alias("value"), F.get("__found", F.col("at"))["score"].alias("score")).withColumn("kept", F.col("score") >= KEPT)
+    spans = placed(rows, ["doc_id", "key"], F.col("__gaps"), F.col("__hits"), F.transform("__found", lambda x: x["score"]))
+    return spans.select("doc_id", "start", "end", F.col("hit").alias("value"), F.col("note").alias("score")).withColumn("kept", F.col("score") >= KEPT)
 
 
 def redact(docs: DataFrame, model: Forest, mask: str = MASK) -> DataFrame:

@@ -428,6 +428,15 @@ def test_secret_labels_by_hand(spark):
     assert found == {i: HAND_LABELLED[i][3] == 1 for i, _ in texts}
 
 
+def test_secret_candidates_travel_alone(spark):
+    text = "\n".join(f"{i:07d}" * 2 for i in range(20_000))
+    rows = secret_scan.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.25, 0.75])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [" in line and "__found" in line]
+    got = rows.orderBy("start").collect()
+    assert [(r.start, r.value, r.score) for r in got] == [(15 * i, f"{i:07d}" * 2, 0.5) for i in range(20_000)]
+
+
 def test_network_gradient():
     net = toxicity.Network(3, np.float64)
     words = toxicity.inputs([b"ab cde f " + b"gh " * 40, b"x"])
