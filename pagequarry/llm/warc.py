@@ -208,9 +208,15 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES,
     return pages.sparkSession.read.parquet(f"{folder}/index")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Over a given number of tasks: a shuffle this small would else be coalesced to one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """All records of the bundles that the index names, frame after frame."""
-    names = index.select("bundle").distinct()
+    # Dealt out in turn: by bundle they lie already, so that a shuffle by bundle would be left out.
+    names = _spread(index.select("bundle").distinct())
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(f"{folder}/bundles")
@@ -236,7 +242,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def read_records(index: DataFrame, folder: str, record_ids: DataFrame) -> DataFrame:
     """The records named in a table with a column record_id, by ranged reads of their frames."""
     wanted = index.join(record_ids.select("record_id").distinct(), "record_id").select("bundle", "frame", "at")
-    wanted = wanted.repartition("bundle").sortWithinPartitions("bundle", "frame", "at")
+    wanted = _spread(wanted, "bundle").sortWithinPartitions("bundle", "frame", "at")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(f"{folder}/bundles")

@@ -537,6 +537,16 @@ def test_warc_bundles(spark, pages, monkeypatch, tmp_path):
     assert warc.write_bundles(pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_bundles_are_read_in_many_tasks(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", prose(i, 200)) for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    index = warc.write_bundles(spark.read.parquet(str(tmp_path / "p")).repartition(12), str(tmp_path / "m"))
+    assert index.select("bundle").distinct().count() >= 8
+    for got in (warc.read_bundles(index, str(tmp_path / "m")), warc.read_records(index, str(tmp_path / "m"), index)):
+        got = got.select("page_id", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r.page_id for r in got) == list(range(40)) and len({r.task for r in got}) > 1
+
+
 def test_bundles_decompress_frame_by_frame(spark, pages, tmp_path):
     import zstandard
 
