@@ -11,6 +11,7 @@ from pagequarry.llm.bpe import op8_bpe
 from pagequarry.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagequarry.llm.license_scan import op10_license_scan
 from pagequarry.llm.near_dedup import op1_near_dedup
+from pagequarry.llm.phrases import OP11_SQL, op11_phrases
 from pagequarry.llm.quality_rules import op2_quality_rules
 from pagequarry.llm.secret_scan import op7_secret_scan
 from pagequarry.llm.toxicity import op5_toxicity
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
+    "op11_phrases": op11_phrases,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_phrases": OP11_SQL}
