@@ -14,6 +14,7 @@ from pagequarry.llm.near_dedup import op1_near_dedup
 from pagequarry.llm.phrases import OP11_SQL, op11_phrases
 from pagequarry.llm.quality_rules import op2_quality_rules
 from pagequarry.llm.secret_scan import op7_secret_scan
+from pagequarry.llm.spelling import op13_spelling
 from pagequarry.llm.substrings import OP12_SQL, op12_substrings
 from pagequarry.llm.toxicity import op5_toxicity
 from pagequarry.llm.url_filters import OP3_SQL, op3_url_filters
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_phrases": op11_phrases,
     "op12_substrings": op12_substrings,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_phrases": OP11_SQL, "op12_substrings": OP12_SQL}
