@@ -2,18 +2,21 @@
 
 The corpus is dealt into shards that are scanned in a cycle. Words are counted from the first step on. A
 longer phrase is activated as soon as both its parts (all words but the last, all but the first) have
-reached the threshold, in the middle of a cycle, is counted from the next step on, and is complete after
-one whole cycle, when every shard has been scanned for it once. So lengths interleave, and counting ends
-one cycle after the last phrase of the last length but one has reached the threshold.
-
-What the scans need to know is in which step a part has reached the threshold. This goes to them as a
-table of a fixed number of slots, one byte each: a phrase's hash names its slot, a slot keeps the first
-step in which any of its phrases reached the threshold. Two phrases in a slot can only activate a longer
-one too early, which costs time and changes no count: when a phrase is activated follows from the slots
-alone, so every step agrees on it, and each phrase is counted over exactly one cycle. The counts are kept
-as tables, merged after each step; phrases that are complete below the threshold are dropped.
-
-Within a step a block of text (4 MB, cut between pieces) becomes arrays of word numbers, phrases of a block
+reached the threshold, in the middle of a cycle, and is counted from the next step on, until it has reached the
+threshold itself or one whole cycle is complete, when every shard has been scanned for it once. So
+lengths interleave, and counting ends one cycle after the last part has reached the threshold.
+
+In the cycle a phrase is a hash of 54 bits, with its length and the step in which it was activated: one long and a
+count for each different phrase of a task, summed by Spark. What the scans need to know is in which step a part
+has reached the threshold. This goes to them as a table of a fixed number of slots, one byte each: the
+hash names the slot, a slot keeps the first step in which any of its phrases reached the threshold. When a
+phrase is activated follows from the slots alone, so every step agrees on it. Phrases that share a hash or a slot
+can only be activated too early or without need, which costs time; none is missed.
+
+A last scan counts, by their words, the phrases whose slots have reached the threshold. These counts are exact, and
+so are all figures made from them.
+
+Within a scan a block of text (4 MB, cut between pieces) becomes arrays of word numbers, phrases of a block
 are summed there, then per task, then by phrase: a frequent phrase is one row of a task, so none is hot.
 
 Defined results: a null text has no words, a null lang is `und`; repeated rows count each; an empty table
@@ -44,8 +47,10 @@ LONGEST = 3
 COVERED = 50
 TOP = 2000
 BLOCK_BYTES = 4 << 20
-#: Slots of a length's table: 16 for each phrase that reached the threshold in the length's first step, between these powers of two.
-LEAST_SLOTS, MOST_SLOTS = 16, 26
+#: Slots of a length's table: 64 for each phrase that reached the threshold in the length's first step, between these powers of two.
+SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 64, 16, 26
+#: Low bits of a counted key: the step of activation and the length.
+STEP_BITS, SIZE_BITS = 6, 4
 #: Slot value of what has not reached the threshold.
 NEVER = 255
 
@@ -53,9 +58,6 @@ _U = np.uint64
 #: Lower-cases A-Z, makes every separator of pieces a line feed and every blank a space.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
-_COUNTS = "lang string, size int, phrase string, opened int, slot int, n long"
-
-
 def pieces(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
     """A text in blocks of about `limit` bytes, cut at ends of pieces."""
     at = 0
@@ -81,44 +83,52 @@ class Block:
         self.is_word = self.codes != border
         self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], _U)
 
-    def counted(self, step: int, shards: int, longest: int, tables: list[np.ndarray]) -> Iterator[tuple]:
-        """(size, places, opened, slot, n) of the phrases that this step counts, one row for each different one.
-
-        `places` are the first word of one occurrence of each.
-        """
+    def lengths(self, longest: int, tables: list[np.ndarray]) -> Iterator[tuple]:
+        """Per length (size, whole, opened, reached, hashes, number): is there an active phrase at the word, since which step, in
+        which step it reached the threshold, its hash, and a number for each different one."""
         n = len(self.codes)
-        whole, here = self.is_word, self.hashes[self.codes]
+        whole, here, number = self.is_word, self.hashes[self.codes], self.codes
         opened = np.zeros(n, np.int16)
-        # A number for each different phrase of the length, by place.
-        number = self.codes
         for size in range(1, longest + 1):
-            now = np.flatnonzero(whole & (opened <= step) & (step < opened + shards))
-            if len(now):
-                _, first, n_of = np.unique(number[now], return_index=True, return_counts=True)
-                at = now[first]
-                yield size, at, opened[at], here[at], n_of
-            if size == longest or len(tables) < size or not len(tables[size - 1]):
-                return
-            table = tables[size - 1]
             reached = np.full(n, NEVER, np.int16)
-            reached[whole] = table[(here[whole] & _U(len(table) - 1)).astype(np.int64)]
+            if len(tables) >= size:
+                table = tables[size - 1]
+                reached[whole] = table[((here[whole] >> _U(STEP_BITS + SIZE_BITS)) & _U(len(table) - 1)).astype(np.int64)]
+            yield size, whole, opened, reached, here, number
             pairs = n - size
-            if pairs < 1:
+            if size == longest or len(tables) < size or pairs < 1:
                 return
-            both = whole[:pairs] & whole[1 : pairs + 1]
             steps = np.maximum(reached[:pairs], reached[1 : pairs + 1])
+            both = whole[:pairs] & whole[1 : pairs + 1] & (steps < NEVER)
+            live = np.flatnonzero(both)
             whole = np.zeros(n, bool)
-            whole[:pairs] = both & (steps < NEVER)
+            whole[live] = True
             opened = np.zeros(n, np.int16)
-            opened[:pairs] = steps + 1
-            live = np.flatnonzero(whole)
+            opened[live] = steps[live] + 1
             _, dense = np.unique(number[live], return_inverse=True)
             longer = np.zeros(n, np.int64)
             longer[live] = dense * (len(self.words) + 1) + self.codes[live + size]
-            number = longer
             joined = here.copy()
             joined[live] = mix(here[live] * _U(0x9E3779B97F4A7C15) + self.hashes[self.codes[live + size]])
-            here = joined
+            here, number = joined, longer
+
+    def counted(self, step: int, shards: int, longest: int, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of the phrases that this step counts."""
+        low = _U((1 << STEP_BITS + SIZE_BITS) - 1)
+        for size, whole, opened, reached, here, number in self.lengths(longest, tables):
+            now = np.flatnonzero(whole & (reached == NEVER) & (opened <= step) & (step < opened + shards))
+            if len(now):
+                _, first, n = np.unique(number[now], return_index=True, return_counts=True)
+                at = now[first]
+                yield (here[at] & ~low | opened[at].astype(_U) << _U(SIZE_BITS) | _U(size)).view(np.int64), n
+
+    def named(self, longest: int, tables: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """Size, text and count of the phrases whose slot has reached the threshold."""
+        for size, whole, _, reached, _, number in self.lengths(longest, tables):
+            now = np.flatnonzero(whole & (reached < NEVER))
+            if len(now):
+                _, first, n = np.unique(number[now], return_index=True, return_counts=True)
+                yield size, self.text(now[first], size), n
 
     def text(self, at: np.ndarray, size: int) -> pa.Array:
         parts = [self.words.take(pa.array(self.codes[at + i])) for i in range(size)]
@@ -142,96 +152,112 @@ def shard_table(docs: DataFrame, shards: int) -> DataFrame:
     return rows.where(F.col("text").isNotNull()).mapInArrow(plain, "lang string, text string, shard int")
 
 
-def scan(rows: DataFrame, step: int, shards: int, longest: int, tables: list[np.ndarray]) -> DataFrame:
-    """Counts of the phrases that are active in this step, per block of text."""
+def _scan(rows: DataFrame, tables: list[np.ndarray], schema: str, of) -> DataFrame:
+    """What `of(block, lang, tables)` yields for every block of text: tuples of Arrow columns."""
     packed = rows.sparkSession.sparkContext.broadcast([zlib.compress(t.tobytes(), 1) for t in tables])
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = [np.frombuffer(zlib.decompress(t), np.uint8) for t in packed.value]
         waiting: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
 
-        def of(lang: str) -> Iterator[pa.RecordBatch]:
+        def done(lang: str) -> Iterator[pa.RecordBatch]:
             block = Block(b"\n".join(waiting.pop(lang)), zlib.crc32(lang.encode()))
-            for size, at, opened, hashed, n in block.counted(step, shards, longest, here):
-                for lo in range(0, len(at), 1 << 17):
-                    some = slice(lo, lo + (1 << 17))
-                    m = len(at[some])
-                    slot = (hashed[some] & _U((1 << MOST_SLOTS) - 1)).astype(np.int32)
-                    columns = [
-                        pa.array([lang]).take(pa.array(np.zeros(m, np.int32))),
-                        pa.array(np.full(m, size, np.int32)),
-                        block.text(at[some], size).cast(pa.string()),
-                        pa.array(opened[some].astype(np.int32)),
-                        pa.array(slot),
-                        pa.array(n[some].astype(np.int64)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "opened", "slot", "n"])
+            sizes[lang] = 0
+            for columns in of(block, lang, here):
+                batch = pa.RecordBatch.from_arrays(list(columns), names)
+                for lo in range(0, batch.num_rows, 1 << 17):
+                    yield batch.slice(lo, 1 << 17)
 
-        sizes: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
                 for piece in pieces(text.as_py()):
                     waiting.setdefault(lang, []).append(piece)
                     sizes[lang] = sizes.get(lang, 0) + len(piece)
                     if sizes[lang] >= BLOCK_BYTES:
-                        yield from of(lang)
-                        sizes[lang] = 0
+                        yield from done(lang)
         for lang in list(waiting):
-            yield from of(lang)
+            yield from done(lang)
+
+    return rows.select("lang", "text").mapInArrow(count, schema)
+
+
+def step_counts(rows: DataFrame, step: int, shards: int, longest: int, tables: list[np.ndarray]) -> DataFrame:
+    """(key, n) of the phrases that are active in this step, per block of text."""
+    return _scan(
+        rows, tables, "key long, n long",
+        lambda block, lang, here: ((pa.array(k), pa.array(n.astype(np.int64))) for k, n in block.counted(step, shards, longest, here)),
+    )
+
 
-    return rows.select("lang", "text").mapInArrow(count, _COUNTS)
+def named_counts(rows: DataFrame, longest: int, tables: list[np.ndarray]) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases whose slots have reached the threshold, and of all words as size 0."""
+
+    def of(block: Block, lang: str, here: list[np.ndarray]) -> Iterator[tuple]:
+        every = (0, pa.array([""]), np.array([block.is_word.sum()]))
+        for size, phrase, n in (every, *block.named(longest, here)):
+            same = pa.array(np.zeros(len(n), np.int32))
+            yield pa.array([lang]).take(same), pa.array([size], pa.int32()).take(same), phrase.cast(pa.string()), pa.array(n.astype(np.int64))
+
+    return _scan(rows, tables, "lang string, size int, phrase string, n long", of).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _noted(reached: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Which slots the phrases of a length that newly reached the threshold have: 2 ** bits bits, packed by Spark."""
-    slot = F.pmod(F.col("slot"), F.lit(1 << bits)).cast("long")
-    pages = reached.where(F.col("size") == size).groupBy(F.bitmap_bucket_number(slot + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    """Which of 2 ** bits slots the phrases of a length have: packed by Spark, an eighth of the slots in bytes here."""
+    slot = F.shiftrightunsigned("key", STEP_BITS + SIZE_BITS).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1
+    rows = reached.where(_size() == size).select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in pages.collect():
+    for row in rows.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         page = np.frombuffer(bytes(row.bits), np.uint8)
         at = (row.page - 1) * len(page)
         out[at : at + len(page)] = page[: len(out) - at]
     return np.unpackbits(out, bitorder="little").astype(bool)
 
 
-def phrase_counts(
-    docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS
-) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, n) of every phrase of up to `longest` words with n >= threshold, and (lang, n) with all words."""
-    spark = docs.sparkSession
-    stored = cut(shard_table(docs, shards), "phrase-shards", by=("shard",))
+def _size() -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << SIZE_BITS) - 1).cast("long"))
+
+
+def _opened() -> Column:
+    return F.shiftrightunsigned("key", SIZE_BITS).bitwiseAND(F.lit((1 << STEP_BITS) - 1).cast("long"))
+
+
+def reached_tables(stored: DataFrame, threshold: int, longest: int, shards: int) -> list[np.ndarray]:
+    """The table of each length: in which step a slot's phrases reached the threshold."""
     tables: list[np.ndarray] = []
-    merged: list[DataFrame] = []
     alive = None
     step, ends = 0, shards
     while step < ends:
-        part = stored.where(F.col("shard") == step % shards)
-        new = scan(part, step, shards, longest, tables).withColumn("before", F.lit(0).cast("long"))
-        if alive is not None:
-            new = new.unionByName(alive.select(*new.columns[:-1], F.col("n").alias("before")))
-        counts = new.groupBy("lang", "size", "phrase").agg(
-            F.min("opened").alias("opened"), F.min("slot").alias("slot"), F.sum("n").alias("n"), F.sum("before").alias("before")
-        )
+        if step >= 1 << STEP_BITS:
+            raise ValueError("too many steps: use fewer shards or shorter phrases")
+        new = step_counts(stored.where(F.col("shard") == step % shards), step, shards, longest, tables)
+        counts = (new if alive is None else new.unionByName(alive)).groupBy("key").agg(F.sum("n").alias("n"))
         state = cut(counts, "phrase-counts")
-        merged.append(state.where(F.col("opened") + shards - 1 <= step))
-        alive = state.where(F.col("opened") + shards - 1 > step)
-        reached = state.where((F.col("n") >= threshold) & (F.col("before") < threshold) & (F.col("size") < longest))
-        found = {row["size"]: row["count"] for row in reached.groupBy("size").count().collect()}
+        reached = state.where(F.col("n") >= threshold)
+        found = {row["size"]: row["count"] for row in reached.groupBy(_size().alias("size")).count().collect()}
         for size in sorted(found):
             if len(tables) < size:
-                bits = max(LEAST_SLOTS, min(MOST_SLOTS, (16 * found[size]).bit_length()))
+                bits = max(LEAST_SLOTS, min(MOST_SLOTS, (SLOTS_EACH * found[size]).bit_length()))
                 tables.append(np.full(1 << bits, NEVER, np.uint8))
-            slots = _noted(reached, size, len(tables[size - 1]).bit_length() - 1)
-            tables[size - 1][slots & (tables[size - 1] == NEVER)] = step
-            ends = max(ends, step + 1 + shards)
+            table = tables[size - 1]
+            slots = _noted(reached, size, len(table).bit_length() - 1) & (table == NEVER)
+            if slots.any():
+                table[slots] = step
+                ends = max(ends, step + 1 + (shards if size < longest else 0))
         step += 1
-        if step >= NEVER:
-            raise ValueError("too many steps: use fewer shards or shorter phrases")
-    done = merged[0]
-    for more in merged[1:]:
-        done = done.unionByName(more)
-    words = merged[shards - 1].where(F.col("size") == 1).groupBy("lang").agg(F.sum("n").alias("n"))
-    return done.where(F.col("n") >= threshold).select("lang", "size", "phrase", "n"), words
+        alive = state.where((F.col("n") < threshold) & (_opened() + shards > step))
+    return tables
+
+
+def phrase_counts(
+    docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS
+) -> tuple[DataFrame, DataFrame]:
+    """(lang, size, phrase, n) of every phrase of up to `longest` words with n >= threshold, and (lang, n) with all words."""
+    stored = cut(shard_table(docs, shards), "phrase-shards", by=("shard",))
+    counts = cut(named_counts(stored, longest, reached_tables(stored, threshold, longest, shards)), "phrase-named")
+    words = counts.where(F.col("size") == 0).select("lang", "n")
+    return counts.where((F.col("size") > 0) & (F.col("n") >= threshold)), words
 
 
 def _salted(parts: DataFrame, salts: int) -> DataFrame:
@@ -248,7 +274,6 @@ def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
 
 def scored(counts: DataFrame, salts: int = 16) -> DataFrame:
     """Candidates (two words or more) with the cut of the lowest score: lang, size, phrase, a, l, r, score."""
-    counts = cut(counts, "phrase-done")
     candidates = counts.where(F.col("size") > 1)
     words = F.split("phrase", " ")
     cuts = candidates.select(
