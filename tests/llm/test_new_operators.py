@@ -1,0 +1,289 @@
+"""Phrases, repeated passages and spelling variants against brute-force versions, and on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagequarry.llm import phrases, spelling, substrings
+
+SF = "/root/testdata/sf0.001"
+KINDS = "doc_id long, text string, lang string, salt string, n long, start string, key string, phrase string"
+
+
+def table(spark, rows, parts=3):
+    """doc_id, text, lang, and columns of names that the operators use themselves."""
+    return spark.createDataFrame([(*r, "x", 1, "y", "k", "p") for r in rows], KINDS).repartition(parts)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+# -- phrases --------------------------------------------------------------------------------------
+
+
+def brute_phrases(rows, threshold, longest, covered, top):
+    counts = collections.defaultdict(collections.Counter)
+    totals = collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for size in range(1, longest + 1):
+                for i in range(len(words) - size + 1):
+                    counts[lang][tuple(words[i : i + size])] += 1
+    out = []
+    for lang, f in counts.items():
+        many = {p: n for p, n in f.items() if len(p) > 1 and n >= threshold}
+        held = collections.Counter()
+        for p, n in many.items():
+            for size in range(2, len(p)):
+                for i in range(len(p) - size + 1):
+                    held[p[i : i + size]] = max(held[p[i : i + size]], n)
+        kept = []
+        for p, a in many.items():
+            if 100 * held[p] >= covered * a:
+                continue
+            score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def got_phrases(docs, **options):
+    rows = phrases.collocations(docs, **options).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return sorted(map(tuple, rows.collect()))
+
+
+def phrase_rows(seed, n):
+    rng = random.Random(seed)
+    words = ["a", "B", "b", "Cé", "cÉ", "d'", "e-f", " x", "10"] + [f"w{i}" for i in range(12)]
+    seps = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "!\r"]
+    texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randrange(60))) for _ in range(n)]
+    langs = [rng.choice(["en", "en", None, "und", "de"]) for _ in texts]
+    return list(zip(texts, langs)) + [(None, "en"), ("", None), (" \t. !", "fr"), (texts[0], langs[0])]
+
+
+@pytest.mark.parametrize("shards,longest", [(1, 3), (3, 3), (4, 2), (2, 4)])
+def test_phrases_equal_brute_force(spark, shards, longest):
+    rows = phrase_rows(shards, 120)
+    docs = table(spark, [(i, t, g) for i, (t, g) in enumerate(rows)], 4)
+    options = {"threshold": 4, "longest": longest, "covered": 50, "top": 25}
+    assert got_phrases(docs, shards=shards, **options) == brute_phrases(rows, **options)
+
+
+def test_phrases_with_crowded_slots(spark, monkeypatch):
+    """Tables so small that all phrases share slots activate more than needed and change no count."""
+    monkeypatch.setattr(phrases, "LEAST_SLOTS", 4)
+    monkeypatch.setattr(phrases, "MOST_SLOTS", 4)
+    rows = phrase_rows(9, 80)
+    docs = table(spark, [(i, t, g) for i, (t, g) in enumerate(rows)])
+    options = {"threshold": 3, "longest": 3, "covered": 50, "top": 40}
+    assert got_phrases(docs, shards=2, **options) == brute_phrases(rows, **options)
+
+
+def test_phrases_of_long_text_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["red", "green", "blue", "gold."]) for _ in range(30_000))
+    assert b"\n".join(phrases.pieces(text.encode().translate(phrases._PLAIN), 500)) == text.encode().translate(phrases._PLAIN)
+    docs = table(spark, [(1, text, "en"), (2, "x " * 5000, "en")])
+    options = {"threshold": 10, "longest": 3, "covered": 50, "top": 2000}
+    assert got_phrases(docs, **options) == brute_phrases([(text, "en"), ("x " * 5000, "en")], **options)
+
+
+def test_phrases_of_an_empty_table(spark):
+    assert got_phrases(table(spark, [(1, "a", "en")]).limit(0)) == []
+
+
+def test_phrase_score_is_exact_beyond_64_bits(spark):
+    big = 10**14 + 7
+    rows = spark.createDataFrame([(big - 3, big, big - 1), (10, 10, 10), (big, big, big)], "a long, l long, r long")
+    got = [r[0] for r in rows.select(phrases._score(F.col("a"), F.col("l"), F.col("r"))).collect()]
+    assert got == [10**6 * a * a // (x * y) for a, x, y in [(big - 3, big, big - 1), (10, 10, 10), (big, big, big)]]
+
+
+# -- repeated passages ----------------------------------------------------------------------------
+
+
+def brute_repeats(rows, window):
+    """Per row the flags of the words that are removed."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    least = {}
+    order = lambda i: (i is None, i)
+    for (i, _), w in zip(rows, words):
+        for p in range(len(w) - window + 1):
+            key = tuple(w[p : p + window])
+            least[key] = min(least.get(key, i), i, key=order)
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            first = least[tuple(w[p : p + window])]
+            if first is not None and (i is None or first < i):
+                gone[p : p + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return sorted(out, key=str)
+
+
+def passages(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)] + ["É", "a b"]
+    shared = [[rng.choice(words) for _ in range(rng.randrange(5, 60))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            part = list(rng.choice(shared))
+            if rng.random() < 0.4:
+                part[rng.randrange(len(part))] = rng.choice(words)
+            parts += part[rng.randrange(4) :] if rng.random() < 0.5 else part
+            parts += [rng.choice(words) for _ in range(rng.randrange(12))]
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(parts)))
+    loop = "a b c " * 30
+    return rows + [(n, loop), (n + 1, loop), (3, rows[4][1]), (5, rows[5][1]), (None, rows[2][1]), (None, rows[2][1]), (7, None), (8, ""), (9, " \n ")]
+
+
+@pytest.mark.parametrize("window,anchor", [(10, 4), (10, 10), (1, 1), (25, 16)])
+def test_repeats_equal_brute_force(spark, window, anchor):
+    rows = passages(window, 70)
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    got = substrings.remove(docs, substrings.repeats(docs, window, anchor)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, window)
+
+
+def test_repeats_of_long_texts_in_slices(spark, monkeypatch):
+    """The texts are hashed in slices and their spans cut in steps; results are those of whole texts."""
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(substrings, "STEP_WORDS", 1000)
+    rng = random.Random(1)
+    body = [f"v{rng.randrange(500)}" for _ in range(20_000)]
+    rows = [(1, " ".join(body)), (2, " ".join(["x"] * 700 + body[3000:9000] + ["y"] + body[9000:15_000])), (3, "z" * 10_000)]
+    words = [substrings.hashes_of(t.encode()) for _, t in rows]
+    assert [len(w) for w in words] == [20_000, 12_701, 1]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    got = substrings.remove(docs, substrings.repeats(docs)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 50)
+
+
+def test_spans_hold_every_window_once():
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 9, 900).astype(np.uint64)
+    ends = np.array([0, 300, 309, 310, 900])
+    start, count, *_ = substrings.spans(words, ends, 10, 4)
+    got = [p for s, c in zip(start, count) for p in range(s, s + c)]
+    assert got == [p for a, b in zip([0, *ends], ends) for p in range(a, b - 9)]
+
+
+def test_repeats_are_maximal_and_name_the_smallest(spark):
+    text = " ".join(f"u{i}" for i in range(200))
+    docs = table(spark, [(4, text, "en"), (2, "q r " + text, "en"), (9, text + " s", "en")])
+    got = {r.doc_id: (r.start, r.end, r.least) for r in substrings.repeats(docs).collect()}
+    assert got == {4: (0, 200, 2), 9: (0, 200, 2)}
+
+
+def test_repeats_with_text_ids_and_an_empty_table(spark):
+    text = " ".join(f"u{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")
+    got = substrings.remove(docs, substrings.repeats(docs)).collect()
+    assert sorted((r.doc_id or "", r.n_removed) for r in got) == [("", 60), ("a", 0), ("b", 60)]
+    none = docs.limit(0)
+    assert substrings.remove(none, substrings.repeats(none)).collect() == []
+
+
+# -- spelling -------------------------------------------------------------------------------------
+
+
+def brute_words(rows, letters, least):
+    counts = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= letters and n >= least}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(words, ratio=5):
+    near = {w: [x for x in words if one_edit(w, x)] for w in words}
+    best = {w: min(near[w], key=lambda x: (-words[x], x), default=None) for w in words}
+    form = {w: b if b is not None and words[b] >= ratio * words[w] else None for w, b in best.items()}
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {w: (w, form[w], root(w), words[w], len(near[w]), words[form[w]] if form[w] else None) for w in words}
+
+
+@pytest.mark.parametrize("most", [1, 4, 4096])
+def test_variants_equal_brute_force(spark, most):
+    rng = random.Random(most)
+    stems = ["".join(rng.choice("abcéÉ") for _ in range(rng.randrange(5, 9))) for _ in range(60)]
+    many = [s for i, s in enumerate(stems) for _ in range(1 + 200 // (i + 1))]
+    rows = [(i, " ".join(rng.choice(many) + rng.choice(["", "", "'", "X", "1"]) for _ in range(40))) for i in range(150)]
+    rows += [(None, rows[0][1]), (3, rows[1][1]), (3, rows[1][1]), (5, None), (6, ""), (7, "abc" * 4000), (8, "1 2 _")]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    words = brute_words(rows, 4, 3)
+    assert {r.word: r.n for r in spelling.vocabulary(docs, 4, 3).collect()} == words
+    got = {r.word: tuple(r) for r in spelling.variants(docs, 4, 3, most=most).collect()}
+    assert got == brute_variants(words) and any(r[1] for r in got.values())
+
+
+def test_variants_of_the_smallest_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.word: tuple(r) for r in spelling.variants(docs).collect()}
+    assert got == brute_variants(brute_words(docs.collect(), 6, 5))
+
+
+def test_roots_follow_long_chains(spark):
+    words = {"aaaaaa": 1, "aaaaab": 5, "aaaabb": 25, "aaabbb": 125, "aabbbb": 625, "abbbbb": 3125, "bbbbbb": 20_000, "zzzzzz": 7}
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {r.word: tuple(r) for r in spelling.roots(spelling.forms(table)).select("word", "form", "root", "n", "n_near", "form_n").collect()}
+    assert got == brute_variants(words) and got["aaaaaa"][2] == "bbbbbb"
+
+
+def test_scan_finds_words_at_one_edit_and_skips_the_rest():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(0, 7))) for _ in range(90)})
+    prefixes = [0, *(spelling._shared(a, b) for a, b in zip(words, words[1:]))]
+    for query in words:
+        assert [words[i] for i in spelling.scan(query, words, prefixes)] == [w for w in words if one_edit(query, w)]
+
+
+def test_every_near_pair_has_one_block(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randrange(2, 9))): 1 for _ in range(150)}
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    for most in (1, 5, 4096):
+        got = sorted((r.word, r.near) for r in spelling.near_pairs(table, most).collect())
+        assert got == sorted((a, b) for a in words for b in words if one_edit(a, b))
+
+
+def test_variants_of_an_empty_table(spark):
+    assert spelling.variants(table(spark, [(1, "a", "en")]).limit(0)).collect() == []
+
+
+def test_digest_of_the_query_is_of_the_kept_words(spark):
+    from pagequarry.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {(i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute_repeats(rows, 50)}
+    assert {tuple(r) for r in QUERIES["op12_substrings"](spark, SF).collect()} == want
