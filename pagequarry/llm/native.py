@@ -11,8 +11,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null or blank text."""
-    parts = F.split(F.coalesce(text, F.lit("")), BLANKS)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
+
+
+def own(rows: DataFrame) -> str:
+    """A prefix that no column of the rows has: names made with it clash with none."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in rows.columns):
+        prefix += "_"
+    return prefix
 
 
 def hashes(array: Column) -> Column:
@@ -51,8 +58,9 @@ def where(rows: DataFrame, condition: Column) -> DataFrame:
     A filter is otherwise pushed below the projection, with every computed column written out in it; it
     stays above a projection that numbers the rows.
     """
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    return rows.where(condition & (F.col("__row") >= 0)).drop("__row")
+    number = f"{own(rows)}row"
+    rows = rows.withColumn(number, F.monotonically_increasing_id())
+    return rows.where(condition & (F.col(number) >= 0)).drop(number)
 
 
 def literal(values: list, kind: str) -> Column:

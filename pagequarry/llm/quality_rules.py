@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import hashes, literal, paired, where, words
+from pagequarry.llm.native import hashes, literal, own, paired, where, words
 
 #: N-grams fall into so many buckets, whatever the corpus.
 BUCKETS = 16384
@@ -29,15 +29,10 @@ SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
-def _grams(docs: DataFrame, text: Column) -> DataFrame:
-    """Columns __w, __h, __p: words, their hashes, hashes of neighbours."""
-    docs = docs.withColumn("__w", words(text))
-    docs = docs.withColumn("__h", hashes(F.col("__w")))
-    return docs.withColumn("__p", paired(F.col("__h"), 1))
-
-
-def _buckets(grams: Column, buckets: int) -> Column:
-    return F.transform(grams, lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
+def _bucket(gram: Column, buckets: int) -> Column:
+    if buckets & (buckets - 1) == 0:
+        return gram.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -48,9 +43,13 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
     """log p_target - log p_raw of each bucket. `buckets` numbers reach the driver, however large the corpus."""
     ids = F.broadcast(trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__t")))
-    rows = _grams(docs.select("doc_id", "text"), F.col("text"))
-    rows = rows.select("doc_id", F.concat(_buckets(F.col("__h"), buckets), _buckets(F.col("__p"), buckets)).alias("__b"))
-    rows = rows.join(ids, F.col("doc_id") == F.col("__id"), "left").select("__t", F.explode("__b").alias("bucket"))
+    rows = docs.select("doc_id", words(F.col("text")).alias("w")).join(ids, F.col("doc_id") == F.col("__id"), "left")
+    # A row for each word with the next one, hashed as a row: no function is interpreted per array element.
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    rows = rows.select("__t", F.inline(F.arrays_zip(F.col("w"), after.alias("next"))))
+    rows = rows.select("__t", F.xxhash64("w").alias("h"), F.when(F.col("next").isNotNull(), F.xxhash64("next")).alias("n"))
+    pair = F.when(F.col("n").isNotNull(), F.xxhash64("h", "n"))
+    rows = rows.select("__t", F.explode(F.array(_bucket(F.col("h"), buckets), _bucket(pair, buckets))).alias("bucket")).where("bucket IS NOT NULL")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__t").alias("target")).collect()
     raw, target = [1.0] * buckets, [1.0] * buckets
     for row in counts:
@@ -75,50 +74,55 @@ def _repeated(order: str) -> Column:
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, into: str = "judged") -> DataFrame:
     """Every row with its counts, `score`, `base_failed` and `kept` in one struct column, in place of one of that name."""
-    carried = [c for c in docs.columns if c != into]
-    rows = _grams(docs.withColumn("__x", F.coalesce(F.col("text"), F.lit(""))), F.col("__x"))
-    rows = rows.withColumn("__q", paired(F.col("__p"), 2))
-    rows = rows.withColumn("__o", paired(F.col("__q"), 4))
-    twice = F.size(F.array_distinct("__o")) < F.size("__o")
-    rows = rows.withColumn("__z", F.when(twice, F.array_sort(F.transform("__o", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
+    carried, p = [c for c in docs.columns if c != into], own(docs)
+    x, w, h, two, four, eight, z, e, f, at, lines, counts = (f"{p}{n}" for n in ("x", "w", "h", "2", "4", "8", "z", "e", "f", "s", "l", "c"))
+    rows = docs.withColumn(x, F.coalesce(F.col("text"), F.lit("")))
+    rows = rows.withColumn(w, words(F.col(x)))
+    rows = rows.withColumn(h, hashes(F.col(w)))
+    rows = rows.withColumn(two, paired(F.col(h), 1))
+    rows = rows.withColumn(four, paired(F.col(two), 2))
+    rows = rows.withColumn(eight, paired(F.col(four), 4))
+    twice = F.size(F.array_distinct(eight)) < F.size(eight)
+    rows = rows.withColumn(z, F.when(twice, F.array_sort(F.transform(eight, lambda v, i: F.struct(v.alias("h"), i.alias("p"))))))
     # A sorted window is repeated if its neighbour on either side is equal.
     same = F.zip_with(
-        F.col("__z"), F.slice("__z", F.lit(2), F.greatest(F.size("__z") - 1, F.lit(0))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+        F.col(z), F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
     )
-    rows = rows.withColumn("__e", F.when(F.col("__z").isNotNull(), same))
-    shifted = F.concat(F.array(F.lit(False)), F.col("__e"))
-    rows = rows.withColumn("__f", F.when(F.col("__e").isNotNull(), F.zip_with("__e", shifted, lambda a, b: F.coalesce(a, F.lit(False)) | b)))
-    hit = F.zip_with("__z", "__f", lambda z, f: F.when(f, z["p"]))
-    rows = rows.withColumn("__s", F.when(F.col("__f").isNotNull(), F.array_sort(F.filter(hit, lambda p: p.isNotNull()))))
-    lines = F.filter(F.split("__x", "\n"), lambda s: F.translate(s, BLANK_CHARS, "") != "")
-    rows = rows.withColumn("__l", F.when(F.contains(F.col("__x"), F.lit("\n")), lines))
+    rows = rows.withColumn(e, F.when(F.col(z).isNotNull(), same))
+    shifted = F.concat(F.array(F.lit(False)), F.col(e))
+    rows = rows.withColumn(f, F.when(F.col(e).isNotNull(), F.zip_with(e, shifted, lambda a, b: F.coalesce(a, F.lit(False)) | b)))
+    hit = F.zip_with(z, f, lambda v, g: F.when(g, v["p"]))
+    rows = rows.withColumn(at, F.when(F.col(f).isNotNull(), F.array_sort(F.filter(hit, lambda v: v.isNotNull()))))
+    filled = F.filter(F.split(x, "\n"), lambda s: F.translate(s, BLANK_CHARS, "") != "")
+    rows = rows.withColumn(lines, F.when(F.contains(F.col(x), F.lit("\n")), filled))
     table, buckets = literal(ratios, "double"), len(ratios)
 
     def total(grams: str) -> Column:
-        return F.aggregate(F.col(grams), F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(g, F.lit(buckets)).cast("int")))
+        return F.aggregate(F.col(grams), F.lit(0.0), lambda a, g: a + F.get(table, _bucket(g, buckets)))
 
-    n = F.size("__w").cast("long")
+    n = F.size(w).cast("long")
     rows = rows.withColumn(
-        "__c",
+        counts,
         F.struct(
             n.alias("n_words"),
-            F.length(F.translate("__x", BLANK_CHARS, "")).cast("long").alias("word_chars"),
-            (F.length("__x") - F.length(F.translate("__x", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            F.coalesce(F.size("__l") - F.size(F.array_distinct("__l")), F.lit(0)).cast("long").alias("n_dup_lines"),
-            F.coalesce(F.when(F.col("__s").isNotNull(), _repeated("__s")), F.lit(0).cast("long")).alias("n_repeat_words"),
-            F.when(n == 0, 0.0).otherwise((total("__h") + total("__p")) / F.greatest(2 * n - 1, F.lit(1))).alias("score"),
+            F.length(F.translate(x, BLANK_CHARS, "")).cast("long").alias("word_chars"),
+            (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.coalesce(F.size(lines) - F.size(F.array_distinct(lines)), F.lit(0)).cast("long").alias("n_dup_lines"),
+            F.coalesce(F.when(F.col(at).isNotNull(), _repeated(at)), F.lit(0).cast("long")).alias("n_repeat_words"),
+            F.when(n == 0, 0.0).otherwise((total(h) + total(two)) / F.greatest(2 * n - 1, F.lit(1))).alias("score"),
         ),
     )
-    c = F.col("__c")
+    c = F.col(counts)
     failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-    judged = F.struct("__c.*", failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
-    return rows.select(*[F.col(f"`{x}`") for x in carried], judged.alias(into))
+    judged = F.struct(f"{counts}.*", failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
+    return rows.select(*[F.col(f"`{name}`") for name in carried], judged.alias(into))
 
 
 def keep(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are kept, as they are."""
-    judged = judge(docs, ratios, threshold, "__judged")
-    return where(judged, F.col("__judged.kept")).drop("__judged")
+    verdict = f"{own(docs)}judged"
+    judged = judge(docs, ratios, threshold, verdict)
+    return where(judged, F.col(f"{verdict}.kept")).drop(verdict)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
