@@ -84,50 +84,47 @@ class Block:
         self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], _U)
 
     def lengths(self, longest: int, tables: list[np.ndarray]) -> Iterator[tuple]:
-        """Per length (size, whole, opened, reached, hashes, number): is there an active phrase at the word, since which step, in
-        which step it reached the threshold, its hash, and a number for each different one."""
-        n = len(self.codes)
-        whole, here, number = self.is_word, self.hashes[self.codes], self.codes
-        opened = np.zeros(n, np.int16)
+        """Per length (size, at, opened, reached, hashes): the words where an active phrase starts, since which step it is active,
+        in which step it reached the threshold, and its hash."""
+        at = np.flatnonzero(self.is_word)
+        here, opened = self.hashes[self.codes[at]], np.zeros(len(at), np.uint8)
         for size in range(1, longest + 1):
-            reached = np.full(n, NEVER, np.int16)
-            if len(tables) >= size:
-                table = tables[size - 1]
-                reached[whole] = table[((here[whole] >> _U(STEP_BITS + SIZE_BITS)) & _U(len(table) - 1)).astype(np.int64)]
-            yield size, whole, opened, reached, here, number
-            pairs = n - size
-            if size == longest or len(tables) < size or pairs < 1:
+            if len(tables) < size:
+                yield size, at, opened, np.full(len(at), NEVER, np.uint8), here
+                return
+            table = tables[size - 1]
+            reached = table[(here >> _U(65 - len(table).bit_length())).astype(np.int64)]
+            yield size, at, opened, reached, here
+            # A longer phrase is active where two of this length that reached the threshold stand one word apart.
+            live = np.flatnonzero(reached < NEVER)
+            live = live[np.concatenate([at[live][1:] == at[live][:-1] + 1, [False]])] if len(live) else live
+            if size == longest or not len(live):
                 return
-            steps = np.maximum(reached[:pairs], reached[1 : pairs + 1])
-            both = whole[:pairs] & whole[1 : pairs + 1] & (steps < NEVER)
-            live = np.flatnonzero(both)
-            whole = np.zeros(n, bool)
-            whole[live] = True
-            opened = np.zeros(n, np.int16)
-            opened[live] = steps[live] + 1
-            _, dense = np.unique(number[live], return_inverse=True)
-            longer = np.zeros(n, np.int64)
-            longer[live] = dense * (len(self.words) + 1) + self.codes[live + size]
-            joined = here.copy()
-            joined[live] = mix(here[live] * _U(0x9E3779B97F4A7C15) + self.hashes[self.codes[live + size]])
-            here, number = joined, longer
+            opened = np.maximum(reached[live], reached[live + 1]) + np.uint8(1)
+            at, here = at[live], here[live]
+            here = mix(here * _U(0x9E3779B97F4A7C15) + self.hashes[self.codes[at + size]])
 
     def counted(self, step: int, shards: int, longest: int, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys and counts of the phrases that this step counts."""
         low = _U((1 << STEP_BITS + SIZE_BITS) - 1)
-        for size, whole, opened, reached, here, number in self.lengths(longest, tables):
-            now = np.flatnonzero(whole & (reached == NEVER) & (opened <= step) & (step < opened + shards))
+        for size, _, opened, reached, here in self.lengths(longest, tables):
+            now = np.flatnonzero((reached == NEVER) & (opened <= step) & (step < opened + np.int16(shards)))
             if len(now):
-                _, first, n = np.unique(number[now], return_index=True, return_counts=True)
-                at = now[first]
-                yield (here[at] & ~low | opened[at].astype(_U) << _U(SIZE_BITS) | _U(size)).view(np.int64), n
+                keys = here[now] & ~low | opened[now].astype(_U) << _U(SIZE_BITS) | _U(size)
+                keys, n = np.unique(keys, return_counts=True)
+                yield keys.view(np.int64), n
 
     def named(self, longest: int, tables: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-        """Size, text and count of the phrases whose slot has reached the threshold."""
-        for size, whole, _, reached, _, number in self.lengths(longest, tables):
-            now = np.flatnonzero(whole & (reached < NEVER))
+        """Size, text and count of the phrases whose slot has reached the threshold, told apart by their words."""
+        for size, at, _, reached, _ in self.lengths(longest, tables):
+            now = at[reached < NEVER]
             if len(now):
-                _, first, n = np.unique(number[now], return_index=True, return_counts=True)
+                number = self.codes[now]
+                for i in range(1, size):
+                    if i > 1:
+                        number = np.unique(number, return_inverse=True)[1]
+                    number = number * len(self.words) + self.codes[now + i]
+                _, first, n = np.unique(number, return_index=True, return_counts=True)
                 yield size, self.text(now[first], size), n
 
     def text(self, at: np.ndarray, size: int) -> pa.Array:
@@ -205,7 +202,7 @@ def named_counts(rows: DataFrame, longest: int, tables: list[np.ndarray]) -> Dat
 
 def _noted(reached: DataFrame, size: int, bits: int) -> np.ndarray:
     """Which of 2 ** bits slots the phrases of a length have: packed by Spark, an eighth of the slots in bytes here."""
-    slot = F.shiftrightunsigned("key", STEP_BITS + SIZE_BITS).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1
+    slot = F.shiftrightunsigned("key", 64 - bits) + 1
     rows = reached.where(_size() == size).select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit"))
     out = np.zeros((1 << bits) // 8, np.uint8)
     for row in rows.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
