@@ -8,7 +8,7 @@ the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +109,10 @@ class _Plan:
         picked: str | None = None,
         box_values: Mapping[str, Column] | None = None,
         texts: tuple[str, ...] = (),
+        prepare: Callable[[DataFrame], DataFrame] | None = None,
+        parse: Mapping[str, object] | None = None,
     ):
+        self.prepare, self.parse = prepare, dict(parse or {})
         self.fields, self.cleaning, self.picked = fields, cleaning, picked
         self.box_values, self.texts = dict(box_values or {}), texts
         self.sites: dict[str, int] = {}
@@ -155,6 +158,7 @@ class _Plan:
         return {
             "texts": tuple(texts),
             "parent_attrs": any(n.selector.kind == "search" and n.attribute for n in self.needs),
+            "parent_text": any(n.selector.kind == "search" and not n.attribute for n in self.needs),
         }
 
     def site_config(self) -> Column:
@@ -303,7 +307,8 @@ class _Plan:
     def marked_rows(self, pages: DataFrame, carry: list[str]) -> DataFrame:
         """Candidate rows of all pages with their containers marked."""
         with_config = pages.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
-        nodes = node_rows(parse_pages(with_config, **self.parse_options()), elements_only=False)
+        parsed = parse_pages(with_config, **{**self.parse_options(), **self.parse})
+        nodes = node_rows(self.prepare(parsed) if self.prepare else parsed, elements_only=False)
         return self.mark_containers(self.whole_page_flags(self.candidates(nodes, carry)))
 
     # Containers: the first selector with a hit on the page decides.
@@ -401,6 +406,8 @@ def extract_rows(
     picked: str | None = None,
     box_values: Mapping[str, Column] | None = None,
     texts: tuple[str, ...] = (),
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    parse: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """One row per container: page columns, `index`, `box_id` (its node id) and the fields.
 
@@ -409,10 +416,11 @@ def extract_rows(
     `cleaning`: clean (whitespace collapsed), strip (as found), raw (as found, empty kept).
     `picked` names an array column of container node ids that replaces container selectors.
     `box_values` are expressions over a container's node row, which may slice the extra `texts`.
+    `prepare` may add columns to the parsed pages, such as `picked`; `parse` are further options of the parse.
     """
     if isinstance(configs, DataFrame):
         configs = configs_from_table(configs)
-    plan = _Plan(configs, fields, lists, cleaning, picked, box_values, texts)
+    plan = _Plan(configs, fields, lists, cleaning, picked, box_values, texts, prepare, parse)
     carry = _carry(pages, picked)
     rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.patterns import PATTERNS
-from pagequarry.functions.text import join_root_relative, strip
+from pagequarry.functions.text import join_root_relative
 from pagequarry.operators.extract import ANY_SITE, Rule, extract_rows
-from pagequarry.operators.intervals import enclosing
-from pagequarry.operators.summary import signature_nodes, signatures
-from pagequarry.sources.parse import node_rows, node_text, parse_pages
+from pagequarry.operators.summary import with_repeats
+from pagequarry.sources.parse import node_text
 
 FIELDS = ("title", "price", "image", "link", "rating")
 
@@ -62,32 +63,23 @@ def field_hints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "field string, rank int, hint string")
 
 
-def longest_strings(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Longest string inside each given (page_id, box_id); the first of equals."""
-    ids = boxes.groupBy("page_id").agg(F.collect_set("box_id").alias("wanted"))
-    parsed = parse_pages(pages.select("page_id", "html").join(ids, "page_id"), texts=())
-    rows = node_rows(parsed, elements_only=False).select(
-        "page_id",
-        "node_id",
-        "end_id",
-        ((F.col("kind") == "e") & F.array_contains("wanted", F.col("node_id"))).alias("is_box"),
-        (F.col("kind") == "t").alias("is_string"),
-        strip(F.when(F.col("kind") == "t", F.col("text"))).alias("content"),
-    )
-    owned = enclosing(rows.filter("is_box or content <> ''"), "is_box", "is_string", ["content"])
-    first_longest = F.struct(F.length("content"), -F.col("node_id"))
-    return owned.groupBy("page_id", "box_id").agg(F.max_by("content", first_longest).alias("longest"))
-
-
 def heuristic_fields(
-    pages: DataFrame, containers: tuple[Rule, ...] = (), picked: str | None = None
+    pages: DataFrame,
+    containers: tuple[Rule, ...] = (),
+    picked: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    parse: dict | None = None,
+    notes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """(page_id, box_id, and per field value and confidence) for containers given by selectors or by
-    an array column of node ids. Root-relative images and links are resolved against `url`."""
+    an array column of node ids, with `notes` on the containers. Root-relative images and links are resolved against `url`.
+    The longest string, which titles fall back to, is a slice of the container's row like any other value."""
     raw = node_text("raw")
     group0 = {
         "price_text": F.nullif(F.regexp_extract(raw, _CURRENCY, 0), F.lit("")),
         "rating_text": F.nullif(F.regexp_extract(raw, _RATING, 0), F.lit("")),
+        "longest": F.substr(F.col("stripped"), F.col("long_s") + 1, F.col("long_e") - F.col("long_s")).cast("string"),
+        **(notes or {}),
     }
     config = {**_RULES, **({"product_container": containers} if containers else {})}
     rows = extract_rows(
@@ -98,6 +90,8 @@ def heuristic_fields(
         picked=picked,
         box_values=group0,
         texts=("raw",),
+        prepare=prepare,
+        parse={"longest": True, **(parse or {})},
     )
 
     def first(*names: str) -> Column:
@@ -113,10 +107,9 @@ def heuristic_fields(
         join_root_relative(url, F.nullif(F.coalesce("image1", "image2", "image3"), F.lit(""))).alias("image"),
         join_root_relative(url, F.nullif("link1", F.lit(""))).alias("link"),
         F.coalesce("rating1", "rating2", "rating_text").alias("rating"),
+        F.when(F.length("longest") > 7, F.col("longest")).alias("longest"),
+        *(notes or {}),
     )
-    longest = longest_strings(pages, found.filter("title is null").select("page_id", "box_id"))
-    longest = longest.filter(F.length("longest") > 7)
-    joined = found.join(longest, ["page_id", "box_id"], "left")
 
     def sure(column: str) -> Column:
         return F.when(F.col(column).isNotNull(), F.lit(0.9)).otherwise(F.lit(0.0))
@@ -124,9 +117,10 @@ def heuristic_fields(
     def scored(value: Column, confidence: Column, name: str) -> Column:
         return F.struct(value.alias("value"), confidence.alias("confidence")).alias(name)
 
-    return joined.select(
+    return found.select(
         "page_id",
         "box_id",
+        *(notes or {}),
         scored(
             F.coalesce("title", "longest"),
             F.when(F.col("title").isNotNull(), 0.9).when(F.col("longest").isNotNull(), 0.5).otherwise(0.0),
@@ -144,14 +138,28 @@ def heuristic_fields(
 
 
 def sample_extractions(pages: DataFrame, signature_count: int = 3, nodes_each: int = 3) -> DataFrame:
-    """Heuristic fields of the first nodes of each page's most repeated signatures."""
-    top = signature_nodes(pages, signature_count).select("page_id", "signature", "rank")
-    rows = signatures(node_rows(parse_pages(pages, texts=("raw",))))
-    order = Window.partitionBy("page_id", "signature").orderBy("node_id")
-    first = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= nodes_each)
-    picks = first.join(top, ["page_id", "signature"])
-    ids = picks.groupBy("page_id").agg(F.collect_set("node_id").alias("box_ids"))
-    fields = heuristic_fields(pages.join(ids, "page_id"), picked="box_ids")
-    return picks.select("page_id", "rank", "nth", "signature", F.col("node_id").alias("box_id")).join(
-        fields, ["page_id", "box_id"]
+    """Heuristic fields of the first nodes of each page's most repeated signatures: chosen on the page's node array, so the
+    extraction goes on with the pages as they were parsed."""
+
+    def choose(parsed: DataFrame) -> DataFrame:
+        rows = with_repeats(parsed)
+        rows = rows.withColumn("top", F.slice("repeats", F.lit(1), F.lit(signature_count)))
+        each = F.transform(
+            "top",
+            lambda r, k: F.transform(
+                F.sequence(F.lit(0), F.least(-r["minus_count"], F.lit(nodes_each)) - 1),
+                lambda j: F.struct(
+                    F.get(F.col("members"), r["at"] + j)["id"].alias("id"),
+                    F.struct((k + 1).alias("rank"), (j + 1).alias("nth"), r["signature"].alias("signature")).alias("note"),
+                ),
+            ),
+        )
+        rows = rows.withColumn("chosen", F.flatten(each))
+        rows = rows.withColumns({"box_ids": F.transform("chosen", lambda c: c["id"]), "notes": F.map_from_entries("chosen")})
+        return rows.drop("members", "repeats", "top", "chosen")
+
+    note = F.element_at("notes", F.col("node_id"))
+    rows = heuristic_fields(
+        pages, picked="box_ids", prepare=choose, parse={"sizes": True, "whole": True}, notes={"note": note}
     )
+    return rows.select("page_id", "note.*", *[c for c in rows.columns if c not in ("page_id", "note")])

@@ -1,6 +1,8 @@
 """Structural summaries of pages, per page or over a whole corpus.
 
-Functions take element rows (`node_rows(parse_pages(...))`). `by` names the grouping columns:
+Counters take element rows (`node_rows(parse_pages(...))`). Reports on texts and repeated subtrees take pages: they need all of
+a page's nodes at once, so they work on the page's node array, in the row that the parse gave, and shuffle nothing.
+ `by` names the grouping columns:
 ("page_id",) for one summary per page, () for the corpus, or ("site",) and the like. Frequency lists
 order by count, ties by first appearance.
 """
@@ -19,8 +21,9 @@ from pagequarry.functions.patterns import (
     sensitive_name,
 )
 from pagequarry.functions.text import is_absolute_url, strip, url_authority
+from pagequarry.operators.arrays import first, group_runs, keep, listed
 from pagequarry.operators.intervals import enclosing
-from pagequarry.sources.parse import classes, node_rows, node_text, outer_html, parse_pages
+from pagequarry.sources.parse import class_tokens, classes, parse_pages
 
 PAGE = ("page_id",)
 
@@ -225,60 +228,84 @@ def top_words(rows: DataFrame, text: Column, by: tuple[str, ...], order: tuple[s
     return _keep_top(counts, by, n, [F.desc("count"), "first"]).select(*by, "rank", "word", "count")
 
 
-def text_nodes(pages: DataFrame) -> DataFrame:
-    """Elements whose first direct string is not blank, with their whole text."""
-    nodes = node_rows(parse_pages(pages, texts=("raw",)))
-    own_text = nodes.filter(strip(F.col("text")) != "")
-    return own_text.select("page_id", "node_id", strip(node_text("raw")).alias("content"))
+WORD_LETTERS = WORD.partition("{")[0]
 
 
-def text_stats(pages: DataFrame) -> DataFrame:
-    """Per page: text elements, characters of their blank-joined texts, words, longest text.
+def _own_text(node: Column) -> Column:
+    return (node["kind"] == "e") & F.coalesce(strip(node["text"]) != "", F.lit(False))
 
-    Words are counted element by element and summed; the joined text is never built.
-    """
-    rows = text_nodes(pages).select(
-        "page_id",
-        "node_id",
-        F.length("content").alias("size"),
-        F.regexp_count("content", F.lit(WORD)).alias("words"),
-        F.left("content", F.lit(PREVIEW)).alias("head"),
+
+def text_pages(pages: DataFrame, **options) -> DataFrame:
+    """Pages parsed to one row each, with the lengths of their elements' texts and the pieces to count words from."""
+    return parse_pages(pages, **{"texts": ("raw",), "sizes": True, "words": WORD_LETTERS, "whole": True, **options})
+
+
+def _preview(element: Column, raw: str = "raw") -> Column:
+    """The first characters of an element's text; a character has four bytes at most."""
+    size = F.least(element["trim_e"] - element["trim_s"], F.lit(4 * PREVIEW))
+    return F.left(F.substr(F.col(raw), element["trim_s"] + 1, size).cast("string"), F.lit(PREVIEW))
+
+
+def with_text_stats(parsed: DataFrame) -> DataFrame:
+    """Rows of `text_pages` with the column `text`: text elements (those whose own first string is not blank), characters of
+    their blank-joined texts, words, the longest text. The joined text is never built."""
+    texts = F.transform(
+        F.filter("nodes", _own_text),
+        lambda n: F.struct(n["size"].alias("size"), (-n["node_id"]).alias("minus_id"), n["trim_s"].alias("trim_s"), n["trim_e"].alias("trim_e")),
     )
-    longest = F.max_by(F.struct("size", "head"), F.struct("size", -F.col("node_id")))
-    stats = rows.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("text_nodes"),
-        (F.sum("size") + F.count(F.lit(1)) - 1).alias("total_text_chars"),
-        F.sum("words").alias("word_count"),
-        longest.alias("longest"),
+    rows = parsed.withColumn("texts", texts)
+    rows = rows.withColumn("longest", F.array_max("texts"))
+    rows = rows.withColumn("head", _preview(F.col("longest")))
+    count = F.size("texts")
+    long = lambda x: x.cast("long")
+    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + long(t["size"])) + count - 1
+    words = F.aggregate(
+        "pieces", F.lit(0).cast("long"), lambda a, p: a + long(p["weight"]) * long(F.regexp_count(p["text"], F.lit(WORD)))
     )
-    head = F.col("longest.head")
-    return stats.select(
-        "page_id",
-        "text_nodes",
-        "total_text_chars",
-        "word_count",
-        F.col("longest.size").alias("longest_text_node_length"),
-        F.when(F.col("longest.size") > PREVIEW, F.concat(head, F.lit("...")))
-        .otherwise(head)
-        .alias("longest_text_node_preview"),
-        (F.col("word_count") / F.col("text_nodes")).alias("avg_words_per_text_node"),
+    rows = rows.withColumn("words", words)
+    size = F.col("longest.size")
+    stats = F.struct(
+        count.cast("long").alias("text_nodes"),
+        chars.alias("total_text_chars"),
+        F.col("words").alias("word_count"),
+        size.alias("longest_text_node_length"),
+        F.when(size > PREVIEW, F.concat("head", F.lit("..."))).otherwise(F.col("head")).alias("longest_text_node_preview"),
+        (F.col("words") / count).alias("avg_words_per_text_node"),
+    )
+    return rows.withColumn("text", F.when(count > 0, stats)).drop("texts", "longest", "head", "words")
+
+
+def text_stats(pages: DataFrame) -> DataFrame:
+    """Per page with text elements their number, characters, words and longest text."""
+    return keep(with_text_stats(text_pages(pages)), F.col("text").isNotNull()).select("page_id", "text.*")
+
+
+def piece_words(parsed: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """(by, word, count, first) over the texts of all text elements of rows of `text_pages`."""
+    rows = parsed.select("page_id", *[c for c in by if c != "page_id"], F.explode("pieces").alias("p"))
+    found = F.posexplode(F.regexp_extract_all("p.text", F.lit(WORD), F.lit(0))).alias("at", "w")
+    place = F.struct(*([] if "page_id" in by else ["page_id"]), "owner", "place", "at")
+    return (
+        rows.select("*", found)
+        .select("*", "p.weight", "p.owner", "p.place")
+        .groupBy(*by, F.lower("w").alias("word"))
+        .agg(F.sum("weight").alias("count"), F.min(place).alias("first"))
     )
 
 
 def page_top_words(pages: DataFrame, n: int = TOP["word"]) -> DataFrame:
-    return top_words(text_nodes(pages), F.col("content"), PAGE, ("node_id",), n)
+    top = _keep_top(piece_words(text_pages(pages, texts=())), PAGE, n, [F.desc("count"), "first"])
+    return top.select("page_id", "rank", "word", "count")
+
+
+def joined_strings() -> Column:
+    """All strings of a page but comments, joined by blanks, from its node array."""
+    strings = F.filter("nodes", lambda n: (n["kind"] == "t") & (n["text"] != ""))
+    return F.array_join(F.transform(strings, lambda n: n["text"]), " ")
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """All strings of each page but comments, joined by blanks."""
-    strings = F.filter("nodes", lambda n: n["kind"] == "t")
-    joined = F.array_join(F.transform(strings, lambda n: n["text"]), " ")
-    parts = parse_pages(pages, texts=()).select("page_id", "part", joined.alias("text"))
-    # A page has one row per 16384 nodes, nearly always a single one.
-    whole = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return parts.groupBy("page_id").agg(
-        F.array_join(F.transform(F.filter(whole, lambda p: p["text"] != ""), lambda p: p["text"]), " ").alias("text")
-    )
+    return parse_pages(pages, texts=(), whole=True).select("page_id", joined_strings().alias("text"))
 
 
 def text_patterns(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -287,130 +314,147 @@ def text_patterns(texts: DataFrame, text: str = "text", keys: tuple[str, ...] =
     return found.select("*", *[F.size(p).alias(f"{p}_count") for p in PATTERNS])
 
 
+def with_longest(parsed: DataFrame, n: int = LONGEST) -> DataFrame:
+    """Rows of `text_pages` (with paths) with the column `longest`: the n text elements with the longest text."""
+    texts = F.transform(
+        F.filter("nodes", _own_text),
+        lambda x: F.struct(
+            (-x["size"]).alias("minus"), x["node_id"].alias("node_id"), x["xpath"].alias("xpath"), x["trim_s"].alias("trim_s"), x["trim_e"].alias("trim_e")
+        ),
+    )
+    rows = parsed.withColumn("longest_of", first(texts, n))
+    shown = F.transform(
+        "longest_of", lambda x: F.struct((-x["minus"]).alias("length"), x["xpath"].alias("xpath"), F.coalesce(_preview(x), F.lit("")).alias("preview"))
+    )
+    return rows.withColumn("longest", shown).drop("longest_of")
+
+
 def longest_elements(pages: DataFrame, n: int = LONGEST) -> DataFrame:
     """Per page the n text elements with the longest text: length, path, preview."""
-    nodes = node_rows(parse_pages(pages, texts=("raw",), xpath=True))
-    content = strip(node_text("raw"))
-    rows = nodes.filter(strip(F.col("text")) != "").select(
-        "page_id",
-        "node_id",
-        "xpath",
-        F.length(content).alias("length"),
-        F.left(content, F.lit(PREVIEW)).alias("preview"),
-    )
-    top = _keep_top(rows, PAGE, n, [F.desc("length"), "node_id"])
-    return top.select("page_id", "rank", "length", "xpath", "preview")
+    rows = with_longest(text_pages(pages, xpath=True, words=None), n)
+    return listed(rows, "longest", "page_id").select("page_id", "rank", "item.length", "item.xpath", "item.preview")
 
 
 # -- repeated subtrees ----------------------------------------------------------------------------
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """Element rows with their signature; needs the raw text."""
-    size = F.length(strip(node_text("raw")))
-    return nodes.select(
-        "page_id",
-        "node_id",
-        F.struct(
-            "tag",
-            F.array_sort(classes()).alias("classes"),
-            "child_count",
-            F.least(F.lit(8), F.floor(size / 30)).cast("int").alias("text_bucket"),
-        ).alias("signature"),
+def _signature(node: Column) -> Column:
+    return F.struct(
+        node["tag"].alias("tag"),
+        F.array_sort(class_tokens(node["attrs"])).alias("classes"),
+        node["child_count"].alias("child_count"),
+        F.least(F.lit(8), F.floor(node["size"] / 30)).cast("int").alias("text_bucket"),
+    )
+
+
+def with_repeats(parsed: DataFrame) -> DataFrame:
+    """Rows of `text_pages` with `members` (signature and id of every element, by signature) and `repeats`: the signatures that
+    occur more than once, most frequent first, as struct(minus_count, first_node, signature, at), `at` in members."""
+    members = F.transform(
+        F.filter("nodes", lambda n: n["kind"] == "e"), lambda n: F.struct(_signature(n).alias("signature"), n["node_id"].alias("id"))
+    )
+    rows = group_runs(parsed.withColumn("members", F.array_sort(members)), "members", "signature", "groups")
+    repeated = F.transform(
+        F.filter("groups", lambda g: g["count"] > 1),
+        lambda g: F.struct(
+            (-g["count"]).alias("minus_count"),
+            F.get("members", g["at"])["id"].alias("first_node"),
+            F.get("members", g["at"])["signature"].alias("signature"),
+            g["at"].alias("at"),
+        ),
     )
+    return rows.withColumn("repeats", F.coalesce(F.array_sort(repeated), F.array().cast(_REPEATS))).drop("groups")
+
+
+_REPEATS = (
+    "array<struct<minus_count:int,first_node:int,"
+    "signature:struct<tag:string,classes:array<string>,child_count:int,text_bucket:int>,at:int>>"
+)
+
+
+def signature_css(signature: Column) -> Column:
+    """The signature's tag with its first class."""
+    more = F.when(F.size(signature["classes"]) > 0, F.concat(F.lit("."), F.get(signature["classes"], F.lit(0)))).otherwise("")
+    return F.concat(signature["tag"], more)
+
+
+def signature_pages(pages: DataFrame, **options) -> DataFrame:
+    return with_repeats(text_pages(pages, words=None, **options))
 
 
 def repeated_signatures(pages: DataFrame, n: int = REPORTED_SIGNATURES) -> DataFrame:
     """Per page the signatures that occur more than once, most frequent first."""
-    rows = signatures(node_rows(parse_pages(pages, texts=("raw",))))
-    groups = (
-        rows.groupBy("page_id", "signature")
-        .agg(F.count(F.lit(1)).alias("count"), F.min("node_id").alias("first_node"))
-        .filter(F.col("count") > 1)
-    )
-    hint = F.concat(
-        F.col("signature.tag"),
-        F.when(
-            F.size("signature.classes") > 0,
-            F.concat(F.lit("."), F.try_element_at("signature.classes", F.lit(1))),
-        ).otherwise(""),
+    rows = signature_pages(pages).withColumn("top", F.slice("repeats", F.lit(1), F.lit(n)))
+    signature = F.col("item.signature")
+    return listed(rows, "top", "page_id").select(
+        "page_id",
+        "rank",
+        signature.alias("signature"),
+        (-F.col("item.minus_count")).cast("long").alias("count"),
+        F.col("item.first_node").alias("first_node"),
+        signature_css(signature).alias("suggested_css"),
     )
-    top = _keep_top(groups, PAGE, n, [F.desc("count"), "first_node"])
-    return top.select("page_id", "rank", "signature", "count", "first_node", hint.alias("suggested_css"))
 
 
 def repeat_totals(pages: DataFrame) -> DataFrame:
     """Per page the number of signatures that occur more than once."""
-    rows = signatures(node_rows(parse_pages(pages, texts=("raw",))))
-    groups = rows.groupBy("page_id", "signature").agg(F.count(F.lit(1)).alias("count"))
-    return groups.groupBy("page_id").agg(
-        F.count_if(F.col("count") > 1).alias("total_repeated_signatures")
+    return signature_pages(pages).select("page_id", F.size("repeats").cast("long").alias("total_repeated_signatures"))
+
+
+def container_of(repeats: Column) -> Column:
+    """The first frequent signature that looks like a listing item, out of those looked at; null without one."""
+    fits = F.filter(
+        F.slice(repeats, F.lit(1), F.lit(SIGNATURES)),
+        lambda r: (r["minus_count"] <= -3) & r["signature"]["tag"].isin(*CONTAINER_TAGS),
     )
+    return F.get(fits, F.lit(0))
 
 
 def suggested_container(pages: DataFrame) -> DataFrame:
     """Per page the first frequent signature that looks like a listing item."""
-    top = repeated_signatures(pages, SIGNATURES)
-    fits = (F.col("count") >= 3) & F.col("signature.tag").isin(*CONTAINER_TAGS)
-    first = _keep_top(top.filter(fits).drop("rank"), PAGE, 1, [F.desc("count"), "first_node"])
-    return first.drop("rank")
-
-
-def signature_nodes(pages: DataFrame, n: int = REPORTED_SIGNATURES) -> DataFrame:
-    """For the top signatures of each page: which nodes stand for them (first, middle, last)."""
-    rows = signatures(node_rows(parse_pages(pages, texts=("raw",))))
-    group = Window.partitionBy("page_id", "signature")
-    numbered = rows.select(
-        "*",
-        F.row_number().over(group.orderBy("node_id")).alias("nth"),
-        F.count(F.lit(1)).over(group).alias("count"),
-        F.min("node_id").over(group).alias("first_node"),
+    rows = keep(signature_pages(pages).withColumn("c", container_of(F.col("repeats"))), F.col("c").isNotNull())
+    return rows.select(
+        "page_id",
+        "c.signature",
+        (-F.col("c.minus_count")).cast("long").alias("count"),
+        "c.first_node",
+        signature_css(F.col("c.signature")).alias("suggested_css"),
     )
-    nth, count = F.col("nth"), F.col("count")
-    middle = F.floor(count / 2) + 1
-    kept = numbered.filter((count > 1) & ((nth == 1) | (nth == middle) | (nth == count)))
-    groups = kept.groupBy("page_id", "signature", "count", "first_node").agg(
-        F.max(F.when(nth == 1, F.col("node_id"))).alias("first"),
-        F.max(F.when(nth == middle, F.col("node_id"))).alias("middle"),
-        F.max(F.when(nth == count, F.col("node_id"))).alias("last"),
+
+
+def _fragment(node: Column, source: str = "source") -> Column:
+    return F.substr(F.col(source), node["source_s"] + 1, node["source_e"] - node["source_s"]).cast("string")
+
+
+def samples_of(repeat: Column) -> Column:
+    """Ids of the first, middle and last node of a repeated signature."""
+    count = -repeat["minus_count"]
+    return F.transform(
+        F.array(F.lit(0), F.floor(count / 2).cast("int"), count - 1), lambda i: F.get(F.col("members"), repeat["at"] + i)["id"]
     )
-    return _keep_top(groups, PAGE, n, [F.desc("count"), "first_node"])
 
 
-def picked_nodes(pages: DataFrame, picks: DataFrame, **options) -> DataFrame:
-    """Node rows of picked (page_id, node_id). Picks are a report's top few per page, so a page's
-    list stays short; only it travels with the page into a second parse."""
-    ids = picks.groupBy("page_id").agg(F.collect_set("node_id").alias("picked_ids"))
-    nodes = node_rows(parse_pages(pages.join(ids, "page_id"), **options))
-    return nodes.filter(F.array_contains("picked_ids", F.col("node_id"))).drop("picked_ids")
+def sampled(repeats: Column) -> Column:
+    """Repeated signatures with the path of their first node and three fragments of page source, cut out of the page's own row."""
+    node = lambda i: F.get(F.col("nodes"), i)
+    return F.transform(
+        repeats,
+        lambda r: F.struct(
+            r["signature"].alias("signature"),
+            (-r["minus_count"]).cast("long").alias("count"),
+            node(r["first_node"])["xpath"].alias("sample_xpath"),
+            signature_css(r["signature"]).alias("suggested_css"),
+            F.transform(samples_of(r), lambda i: _fragment(node(i))).alias("sample_nodes"),
+        ),
+    )
 
 
 def signature_samples(pages: DataFrame, n: int = REPORTED_SIGNATURES) -> DataFrame:
     """Top signatures with three sample fragments (source text) and the path of the first."""
-    chosen = signature_nodes(pages, n).select(
-        "page_id",
-        "rank",
-        "signature",
-        "count",
-        F.posexplode(F.array("first", "middle", "last")).alias("nth", "node_id"),
-    )
-    fragments = picked_nodes(pages, chosen, texts=(), xpath=True, source=True).select(
-        "page_id", "node_id", "xpath", outer_html().alias("fragment")
-    )
-    listed = F.array_sort(F.collect_list(F.struct("nth", "xpath", "fragment")))
-    return (
-        chosen.join(fragments, ["page_id", "node_id"])
-        .groupBy("page_id", "rank", "signature", "count")
-        .agg(listed.alias("s"))
-        .select(
-            "page_id",
-            "rank",
-            "signature",
-            "count",
-            F.col("s")[0]["xpath"].alias("sample_xpath"),
-            F.transform("s", lambda x: x["fragment"]).alias("sample_nodes"),
-        )
-    )
+    rows = signature_pages(pages, xpath=True, source=True)
+    rows = rows.withColumn("samples", sampled(F.slice("repeats", F.lit(1), F.lit(n))))
+    names = ("signature", "count", "sample_xpath", "sample_nodes")
+    return listed(rows, "samples", "page_id").select("page_id", "rank", *[f"item.{n}" for n in names])
 
 
 def clustered_subtrees(pages: DataFrame) -> DataFrame:
