@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.operators.arrays import group_runs
 from pagequarry.operators.extract import ANY_SITE, Rule, extract_rows
-from pagequarry.operators.selectors import compile_css
-from pagequarry.operators.structure import first_below
+from pagequarry.operators.selectors import HOLDS, Path, Test, compile_css
 from pagequarry.schema import CARD_COLUMNS
-from pagequarry.sources.parse import node_rows, outer_html, parse_pages
 
 # Card selectors, links and price blocks whose closest div counts as a card, and the
 # marks of an element that looks like one.
@@ -45,107 +44,104 @@ RULES = {
 }
 
 
-def _test(css: str) -> Column:
-    return F.expr(compile_css(css).paths[0].steps[0].sql())
+def _step(css: str) -> Test:
+    return compile_css(css).paths[0].steps[0]
 
 
-def card_boxes(pages: DataFrame) -> DataFrame:
-    """(page_id, node_id, position): the union of all strategies, in strategy then document order.
+def _is(node: Column, css: str) -> Column:
+    """Does a node of the array pass a selector of a tag and one part of an attribute?"""
+    test = _step(css)
+    (_, name, part), = test.attrs
+    return F.coalesce((node["tag"] == test.tag) & F.contains(node["attrs"][name], F.lit(part)), F.lit(False))
+
+
+def with_boxes(parsed: DataFrame) -> DataFrame:
+    """Adds `box_ids`, the union of all strategies in strategy then document order, and `positions`, the place of each.
 
     A card selector's hits always count. The closest div around a link or price block counts unless
-    an earlier container has the very same source text. Each row of a page votes for the element it
-    makes a container, and votes and elements meet on (page_id, element id), so no page is one group.
+    an earlier container has the very same source text, which the parse has named by the first element with it.
+    All votes of a page are sorted in its own row: by element, by content, then by strategy.
     """
-    nodes = node_rows(parse_pages(pages, texts=(), source=True, nearest="div"))
-    by_selector = F.lit(None).cast("int")
-    for i, css in reversed(list(enumerate(BOXES))):
-        by_selector = F.when(_test(css), F.lit(i)).otherwise(by_selector)
-
-    def vote(test, target, strategy):
-        return F.when(
-            test & target.isNotNull(),
-            F.struct(
-                target.alias("target"),
-                strategy.alias("strategy"),
-                F.col("node_id").alias("voter"),
-                F.lit(None).cast("string").alias("content"),
-            ),
+
+    def vote(test: Column, target: Column, strategy: Column, voter: Column) -> Column:
+        entry = F.struct(target.alias("target"), strategy.alias("strategy"), voter.alias("voter"))
+        return F.when(test & target.isNotNull() & strategy.isNotNull(), entry)
+
+    def votes(n: Column) -> Column:
+        by_selector = F.lit(None).cast("int")
+        for i, css in reversed(list(enumerate(BOXES))):
+            by_selector = F.when(_is(n, css), F.lit(i)).otherwise(by_selector)
+        here = n["node_id"]
+        return F.array(
+            vote(F.lit(True), here, by_selector, here),
+            vote(_is(n, LINK), n["near_id"], F.lit(3), here),
+            vote(_is(n, PRICE_BLOCK), n["near_id"], F.lit(4), here),
         )
 
-    is_div = F.col("tag") == "div"
-    here = F.struct(
-        F.col("node_id").alias("target"),
-        F.lit(None).cast("int").alias("strategy"),
-        F.col("node_id").alias("voter"),
-        F.sha2(outer_html(), 256).alias("content"),
+    cast = F.filter(F.flatten(F.transform("nodes", votes)), lambda v: v.isNotNull())
+    rows = group_runs(parsed.withColumn("votes", F.array_sort(cast)), "votes", "target", "voted")
+    won = F.transform("voted", lambda g: F.get(F.col("votes"), g["at"]))
+    rows = rows.withColumn("won", won)
+    contents = F.transform(
+        "won",
+        lambda w: F.struct(
+            F.get(F.col("nodes"), w["target"])["same_id"].alias("content"),
+            w["strategy"].alias("strategy"),
+            w["voter"].alias("voter"),
+            w["target"].alias("target"),
+        ),
     )
-    votes = F.array_compact(
-        F.array(
-            F.when(is_div, here),
-            vote(by_selector.isNotNull(), F.col("node_id"), by_selector),
-            vote(_test(LINK), F.col("near_id"), F.lit(3)),
-            vote(_test(PRICE_BLOCK), F.col("near_id"), F.lit(4)),
+    rows = group_runs(rows.withColumn("contents", F.array_sort(contents)), "contents", "content", "alike")
+    marked = F.flatten(
+        F.transform(
+            "alike",
+            lambda g: F.transform(
+                F.sequence(F.lit(0), g["count"] - 1), lambda j: F.struct(F.get(F.col("contents"), g["at"] + j).alias("c"), (j == 0).alias("first"))
+            ),
         )
     )
-    elements = (
-        nodes.select("page_id", F.explode(votes).alias("v"))
-        .groupBy("page_id", F.col("v.target").alias("node_id"))
-        .agg(
-            F.min(F.when(F.col("v.strategy").isNotNull(), F.struct("v.strategy", "v.voter"))).alias("won"),
-            F.max("v.content").alias("content"),
-        )
-        .filter("won is not null")
-        .select("page_id", "node_id", "content", "won.strategy", "won.voter")
+    kept = F.transform(
+        F.filter(marked, lambda m: (m["c"]["strategy"] < 3) | m["first"]),
+        lambda m: F.struct(m["c"]["strategy"].alias("strategy"), m["c"]["voter"].alias("voter"), m["c"]["target"].alias("id")),
     )
-    order = [F.col("strategy"), F.col("voter")]
-    same = Window.partitionBy("page_id", "content").orderBy(*order)
-    kept = elements.withColumn("copy", F.row_number().over(same)).filter(
-        (F.col("strategy") < 3) | (F.col("copy") == 1)
+    rows = rows.withColumn("boxes", F.array_sort(kept))
+    rows = rows.withColumns(
+        {
+            "box_ids": F.transform("boxes", lambda b: b["id"]),
+            "positions": F.map_from_entries(F.transform("boxes", lambda b, i: F.struct(b["id"].alias("id"), (i + 1).alias("position")))),
+        }
     )
-    position = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
-    return kept.select("page_id", "node_id", position.alias("position"))
+    return rows.drop("votes", "voted", "won", "contents", "alike", "boxes")
+
+
+def card_like() -> tuple[Path, ...]:
+    """Divs with a card mark in their class, a product link or a price inside: for pages where no strategy finds a container."""
+    any_div = Test(tag="div")
+    marked = [Path((Test(tag="div", attrs=(("*=", "class", mark),)),)) for mark in MARKS]
+    return (*marked, *[Path((_step(css), any_div), (HOLDS,)) for css in (LINK, PRICE)])
 
 
 def looks_like_card(pages: DataFrame) -> DataFrame:
-    """(page_id, node_id, position) of divs with a card mark in their class, a product link or a
-    price inside. Used for pages where no strategy finds a container."""
-    nodes = node_rows(parse_pages(pages, texts=()))
-    value = F.coalesce(F.col("attrs")["class"], F.lit(""))
-    marked = F.lit(False)
-    for mark in MARKS:
-        marked = marked | F.contains(value, F.lit(mark))
-    rows = nodes.select(
-        "page_id",
-        "node_id",
-        "end_id",
-        ((F.col("tag") == "div") & marked).alias("marked"),
-        (F.col("tag") == "div").alias("is_div"),
-        (_test(LINK) | _test(PRICE)).alias("inside_mark"),
-    )
-    rows = rows.filter("is_div or inside_mark")
-    event = F.when(F.col("inside_mark"), F.struct(F.col("node_id").alias("n")))
-    found = rows.withColumn("mark", event).withColumn("below", first_below("mark"))
-    kept = found.filter(
-        F.col("is_div") & (F.col("marked") | F.coalesce(F.col("below.n") <= F.col("end_id"), F.lit(False)))
+    """(page_id, node_id, position) of the containers that `cards` falls back to."""
+    none = F.array().cast("array<int>")
+    found = extract_rows(
+        pages.select("page_id", "html"), {ANY_SITE: {}}, (), picked="box_ids", prepare=lambda p: p.withColumn("box_ids", none), otherwise=card_like()
     )
-    position = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
-    return kept.select("page_id", "node_id", position.alias("position"))
+    return found.select("page_id", F.col("box_id").alias("node_id"), F.col("index").alias("position"))
 
 
 def cards(pages: DataFrame) -> DataFrame:
     """One row per card with a title, price, image or link; product_id keeps the container position."""
-    pages = pages.select("page_id", "html")
-    boxes = card_boxes(pages)
-    others = looks_like_card(pages.join(boxes.select("page_id").distinct(), "page_id", "left_anti"))
-    boxes = boxes.unionByName(others)
-    # A page's own containers: no longer than the page itself.
-    ids = boxes.groupBy("page_id").agg(F.collect_set("node_id").alias("box_ids"))
     found = extract_rows(
-        pages.join(ids, "page_id"),
+        pages.select("page_id", "html"),
         {ANY_SITE: RULES},
         tuple(RULES),
         cleaning="raw",
         picked="box_ids",
+        box_values={"position": F.element_at("positions", F.col("node_id"))},
+        prepare=with_boxes,
+        parse={"nearest": "div", "same": "div", "whole": True},
+        otherwise=card_like(),
     )
 
     def text(*columns: Column | str) -> Column:
@@ -159,7 +155,7 @@ def cards(pages: DataFrame) -> DataFrame:
     number = F.regexp_extract("rating_text", r"(\d+\.?\d*)", 1)
     rows = found.select(
         "page_id",
-        F.col("box_id").alias("node_id"),
+        F.coalesce("position", "index").alias("position"),
         F.coalesce(link_title, text(F.when(imaged, F.col("i1_alt")).otherwise(F.col("i2_alt")))).alias("title"),
         text("current_price").alias("current_price"),
         text("original_price").alias("original_price"),
@@ -171,8 +167,7 @@ def cards(pages: DataFrame) -> DataFrame:
         F.col("wishlist").isNotNull().alias("wishlist_available"),
     )
     meaningful = F.coalesce("title", "current_price", "image_url", "product_url").isNotNull()
-    placed = rows.filter(meaningful).join(boxes, ["page_id", "node_id"])
-    return placed.withColumn(
+    return rows.filter(meaningful).withColumn(
         "product_id", F.concat(F.lit("product_"), F.col("position"))
     ).select("page_id", *CARD_COLUMNS)
 

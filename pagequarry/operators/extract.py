@@ -17,6 +17,7 @@ from pagequarry.functions.text import clean_text, regex_clean, regex_value, stri
 from pagequarry.operators import structure
 from pagequarry.operators.intervals import enclosing
 from pagequarry.operators.selectors import (
+    HOLDS,
     Path,
     Picked,
     Selector,
@@ -30,7 +31,6 @@ from pagequarry.schema import FIELDS, MISSING
 from pagequarry.sources.parse import node_rows, node_text, parse_pages
 
 ANY_SITE = "*"
-# A configuration is code, not data: beyond this size it is split into several extractions.
 # Flags travel as bits of long columns: one filter term per column keeps planning time flat too.
 MASK_BITS = 62
 
@@ -111,7 +111,10 @@ class _Plan:
         texts: tuple[str, ...] = (),
         prepare: Callable[[DataFrame], DataFrame] | None = None,
         parse: Mapping[str, object] | None = None,
+        otherwise: tuple[Path, ...] = (),
+        listed: str | None = None,
     ):
+        self.listed = listed
         self.prepare, self.parse = prepare, dict(parse or {})
         self.fields, self.cleaning, self.picked = fields, cleaning, picked
         self.box_values, self.texts = dict(box_values or {}), texts
@@ -128,6 +131,8 @@ class _Plan:
             if picked:
                 path = Path((Picked(column=picked),))
                 self.containers.append(_Need(c, "product_container", 0, Selector("css", (path,)), None))
+                if otherwise:
+                    self.containers.append(_Need(c, "product_container", 1, Selector("css", otherwise), None))
             for rank, rule in enumerate(boxes):
                 text = rule.selector
                 chosen = compile_xpath(text) if rule.type == "xpath" else compile_css(text, lists=True)
@@ -291,7 +296,7 @@ class _Plan:
                 key = (flag, path.joins[at], path.steps[at + 1])
                 if key not in memo:
                     memo[key] = f"p{level}_{len(memo)}"
-                    related = structure.follows if path.joins[at] == "+" else structure.inside
+                    related = {"+": structure.follows, HOLDS: structure.holds}.get(path.joins[at], structure.inside)
                     hit = self.any_bit([path.steps[at + 1]]) & related(F.expr(flag))
                     new.append(hit.alias(memo[key]))
                 state[path] = (memo[key], at + 1)
@@ -342,7 +347,7 @@ class _Plan:
         chains: list[tuple[_Need, str, tuple[Test, ...]]] = []
         for need in self.needs:
             chosen = need.selector
-            if chosen.kind in ("never", "regex"):
+            if chosen.kind in ("never", "regex") or need.field == self.listed:
                 continue
             if chosen.kind == "search":
                 hit = self._for_config(need, self.bits_sql([chosen.pattern]))
@@ -386,6 +391,20 @@ class _Plan:
             names.append((name, rank, f"e{i}", with_self))
         return rows.select("*", *new), names
 
+    def list_events(self) -> Column:
+        """What a row adds to the listed field: array of struct(rank, v), one for each selector that it matches."""
+        found = []
+        for need in self.needs:
+            if need.field != self.listed or need.selector.kind not in ("search", "css"):
+                continue
+            searched = need.selector.kind == "search"
+            hit = self._for_config(need, self.bits_sql([need.selector.pattern])) if searched else self._hit(need)
+            value = self._value(need)
+            found.append(f"if({hit} and {value} <> '', named_struct('rank', {need.rank}, 'v', {value}), null)")
+        if not found:
+            raise ValueError(f"no list selectors for {self.listed}")
+        return F.expr(f"array_compact(array({', '.join(found)}))")
+
     def finish(self, need: _Need, value: Column) -> Column:
         """A value after its regex clean or its whitespace clean."""
         if need.regex and need.selector.kind != "regex":
@@ -408,6 +427,8 @@ def extract_rows(
     texts: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     parse: Mapping[str, object] | None = None,
+    otherwise: tuple[Path, ...] = (),
+    listed: str | None = None,
 ) -> DataFrame:
     """One row per container: page columns, `index`, `box_id` (its node id) and the fields.
 
@@ -417,10 +438,14 @@ def extract_rows(
     `picked` names an array column of container node ids that replaces container selectors.
     `box_values` are expressions over a container's node row, which may slice the extra `texts`.
     `prepare` may add columns to the parsed pages, such as `picked`; `parse` are further options of the parse.
+    `otherwise` are paths of the containers of pages on which nothing is picked.
+    `listed` names a field that yields all its values, see `extract_lists`, out of the same windows.
     """
     if isinstance(configs, DataFrame):
         configs = configs_from_table(configs)
-    plan = _Plan(configs, fields, lists, cleaning, picked, box_values, texts, prepare, parse)
+    if listed:
+        fields = tuple(f for f in fields if f != listed)
+    plan = _Plan(configs, (*fields, *([listed] if listed else [])), lists, cleaning, picked, box_values, texts, prepare, parse, otherwise, listed)
     carry = _carry(pages, picked)
     rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)
@@ -428,7 +453,10 @@ def extract_rows(
         structure.first_below(e, with_self=with_self).alias(f"f_{e}")
         for _, _, e, with_self in slots
     ]
-    boxes = rows.select("*", *firsts).filter("is_box")
+    if listed:
+        rows = rows.withColumn("found", plan.list_events())
+    boxes = rows.select("*", *firsts)
+    boxes = boxes.filter("is_box or size(found) > 0") if listed else boxes.filter("is_box")
     # One projection per step: each value is referred to by name, not repeated inside the next.
     keep = ["page_id", *carry, "index", "cfg", F.col("node_id").alias("box_id")]
     found: dict[tuple[str, int], list[str]] = {}
@@ -436,11 +464,16 @@ def extract_rows(
         found.setdefault((name, rank), []).append(e)
     values = [F.expr(f"if(f_{e}.n <= end_id, f_{e}.v, null)").alias(f"v_{e}") for _, _, e, _ in slots]
     extra = list(plan.box_values)
-    boxes = boxes.select(*keep, *extra, *values, *plan.regex_column.values())
+    if listed:
+        own = [*carry, "index", "cfg", *extra, *[f"v_{e}" for _, _, e, _ in slots], *plan.regex_column.values()]
+        marked = boxes.select("page_id", "node_id", "end_id", "is_box", (F.size("found") > 0).alias("is_event"), "found", *carry, "index", "cfg", *extra, *values, *plan.regex_column.values())
+        boxes = _with_lists(enclosing(marked, "is_box", "is_event", ["found"], tuple(own)), own, listed)
+    else:
+        boxes = boxes.select(*keep, *extra, *values, *plan.regex_column.values())
     keep[-1] = "box_id"
     keep += extra
     raw, done, steps = [], [], {}
-    for i, need in enumerate(n for n in plan.needs if n.selector.kind != "never"):
+    for i, need in enumerate(n for n in plan.needs if n.selector.kind != "never" and n.field != listed):
         if need.selector.kind == "regex":
             value = plan.regex_column[need.selector.pattern]
         else:
@@ -460,36 +493,30 @@ def extract_rows(
         for name in fields
     ]
     columns = [c.alias(name) for c, name in zip(columns, fields)]
+    if listed:
+        keep.append(listed)
     return boxes.select(*keep, *raw).select(*keep, *done).select(*keep, *columns).drop("cfg")
 
 
+def _with_lists(owned: DataFrame, own: list[str], listed: str) -> DataFrame:
+    """Boxes with their own columns and the values of the events inside them, in selector then document order, repeats dropped.
+
+    The values of one container come from one page, so a list is no larger than its page.
+    """
+    at = F.transform("found", lambda f: F.struct(f["rank"].alias("rank"), F.col("node_id").alias("node_id"), f["v"].alias("v")))
+    values = F.array_sort(F.flatten(F.collect_list(at)))
+    return owned.groupBy("page_id", "box_id").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in own], F.array_distinct(F.transform(values, lambda x: x["v"])).alias(listed)
+    )
+
+
 def extract_lists(
     pages: DataFrame, configs: Mapping[str, Config], name: str, picked: str | None = None
 ) -> DataFrame:
-    """All values of a multi-valued field per container: (page_id, box_id, values), every match of
+    """All values of a multi-valued field per container that has any: (page_id, box_id, values), every match of
     every selector in selector then document order, repeats dropped."""
-    plan = _Plan(configs, (name,), cleaning="strip", picked=picked)
-    rows = plan.marked_rows(pages, [])
-    found = []
-    for need in plan.needs:
-        if need.selector.kind == "search":
-            hit = plan._for_config(need, plan.bits_sql([need.selector.pattern]))
-        elif need.selector.kind == "css":
-            hit = plan._hit(need)
-        else:
-            continue
-        value = plan._value(need)
-        found.append(f"if({hit} and {value} <> '', named_struct('rank', {need.rank}, 'v', {value}), null)")
-    if not found:
-        raise ValueError(f"no list selectors for {name}")
-    rows = rows.withColumn("found", F.expr(f"array_compact(array({', '.join(found)}))"))
-    owned = enclosing(rows.withColumn("is_event", F.size("found") > 0), "is_box", "is_event", ["found"])
-    each = owned.select("page_id", "box_id", "node_id", F.explode("found").alias("f"))
-    # The values of one container come from one page, so a list is no larger than its page.
-    listed = F.array_sort(F.collect_list(F.struct("f.rank", "node_id", "f.v")))
-    return each.groupBy("page_id", "box_id").agg(
-        F.array_distinct(F.transform(listed, lambda x: x["v"])).alias("values")
-    )
+    rows = extract_rows(pages, configs, (), cleaning="strip", picked=picked, listed=name)
+    return rows.filter(F.size(name) > 0).select("page_id", "box_id", F.col(name).alias("values"))
 
 
 def valid_product(name: str = "name", price: str = "current_price") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import regex_value, strip
-from pagequarry.operators.extract import Config, Rule, css, extract_lists, extract_rows
+from pagequarry.operators.extract import Config, Rule, css, extract_rows
 from pagequarry.sources.parse import node_text
 
 # Containers tried after a site's own selector.
@@ -158,7 +158,7 @@ def valid_names(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFrame:
-    """Product rows of the configured sites before name checks; offers stay an array."""
+    """Product rows of the configured sites before name checks; offers stay an array, out of the same pass."""
     configs = _text_only(configs)
     boxed = with_fallback_boxes(configs)
     special = {"sathya": SATHYA, "flipkart": FLIPKART}
@@ -180,7 +180,7 @@ def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFr
             ),
         }
     rows = extract_rows(
-        pages, everything, (*fields, *chain_fields), cleaning="strip", box_values=box_values
+        pages, everything, (*fields, *chain_fields), cleaning="strip", box_values=box_values, listed="offers"
     )
     name, original = F.col("name"), F.col("original_price")
     site = F.col("site")
@@ -193,11 +193,7 @@ def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFr
     # name is not unfolded into them.
     chained = F.inline(F.array(F.struct(name.alias("name"), original.alias("original_price"))))
     skip = ("name", "original_price", *chain_fields, *box_values)
-    rows = rows.select(*[c for c in rows.columns if c not in skip], chained)
-    offers = extract_lists(pages, boxed, "offers").withColumnRenamed("values", "offers")
-    none = F.array().cast("array<string>")
-    joined = rows.join(offers, ["page_id", "box_id"], "left")
-    return joined.withColumn("offers", F.coalesce("offers", none))
+    return rows.select(*[c for c in rows.columns if c not in skip], chained)
 
 
 def extract_site_products(pages: DataFrame, configs: Mapping[str, Config]) -> DataFrame:

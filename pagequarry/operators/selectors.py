@@ -87,6 +87,10 @@ class Picked(Test):
         return f"coalesce(kind = 'e' and array_contains({self.column}, node_id), false)"
 
 
+# A join of a path whose next step is any element around the one before.
+HOLDS = "holds"
+
+
 @dataclass(frozen=True)
 class Path:
     """Steps from the outermost to the matched one; joins[i] links step i to step i + 1."""

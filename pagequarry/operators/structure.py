@@ -24,6 +24,13 @@ def inside(match: Column, keys: tuple[str, ...] = PAGE) -> Column:
     return F.coalesce(reach >= F.col("node_id"), F.lit(False))
 
 
+def holds(match: Column, keys: tuple[str, ...] = PAGE) -> Column:
+    """Has the row a descendant for which `match` holds? The next match after it decides."""
+    later = Window.partitionBy(*keys).orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.min(F.when(match, F.col("node_id"))).over(later)
+    return F.coalesce(near <= F.col("end_id"), F.lit(False))
+
+
 def follows(match: Column, keys: tuple[str, ...] = PAGE) -> Column:
     """Is the element right before this one, among its siblings, one for which `match` holds?"""
     before = (
