@@ -257,11 +257,6 @@ def phrase_counts(
     return counts.where((F.col("size") > 0) & (F.col("n") >= threshold)), words
 
 
-def _salted(parts: DataFrame, salts: int) -> DataFrame:
-    """Part counts once per salt: one word starts very many candidates, and they meet it in `salts` tasks."""
-    return parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     """floor(1,000,000 a a / (l r)) without rounding: whole division of decimals, for counts of up to 15 digits."""
     a, l, r = (x.cast("decimal(15,0)") for x in (a, l, r))  # noqa: E741
@@ -269,8 +264,12 @@ def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     return F.call_function("div", top, l * r)
 
 
-def scored(counts: DataFrame, salts: int = 16) -> DataFrame:
-    """Candidates (two words or more) with the cut of the lowest score: lang, size, phrase, a, l, r, score."""
+def scored(counts: DataFrame) -> DataFrame:
+    """Candidates (two words or more) with the cut of the lowest score: lang, size, phrase, a, l, r, score.
+
+    A part meets the different candidates that it starts or ends, not their occurrences; the side of the candidates may be
+    split by Spark where one word has very many.
+    """
     candidates = counts.where(F.col("size") > 1)
     words = F.split("phrase", " ")
     cuts = candidates.select(
@@ -281,8 +280,7 @@ def scored(counts: DataFrame, salts: int = 16) -> DataFrame:
         F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("right"),
     )
     for side, name in (("left", "l"), ("right", "r")):
-        part = _salted(counts.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), salts)
-        cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int")).join(part, ["lang", side, "salt"]).drop("salt")
+        cuts = cuts.join(counts.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side])
     best = F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("b")
     return cuts.groupBy("lang", "size", "phrase", "a").agg(best).select("lang", "size", "phrase", "a", "b.l", "b.r", "b.score")
 
