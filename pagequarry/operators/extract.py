@@ -113,8 +113,9 @@ class _Plan:
         parse: Mapping[str, object] | None = None,
         otherwise: tuple[Path, ...] = (),
         listed: str | None = None,
+        parsed: DataFrame | None = None,
     ):
-        self.listed = listed
+        self.listed, self.parsed = listed, parsed
         self.prepare, self.parse = prepare, dict(parse or {})
         self.fields, self.cleaning, self.picked = fields, cleaning, picked
         self.box_values, self.texts = dict(box_values or {}), texts
@@ -311,8 +312,11 @@ class _Plan:
 
     def marked_rows(self, pages: DataFrame, carry: list[str]) -> DataFrame:
         """Candidate rows of all pages with their containers marked."""
-        with_config = pages.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
-        parsed = parse_pages(with_config, **{**self.parse_options(), **self.parse})
+        if self.parsed is None:
+            with_config = pages.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
+            parsed = parse_pages(with_config, **{**self.parse_options(), **self.parse})
+        else:
+            parsed = self.parsed.withColumn("cfg", self.site_config())
         nodes = node_rows(self.prepare(parsed) if self.prepare else parsed, elements_only=False)
         return self.mark_containers(self.whole_page_flags(self.candidates(nodes, carry)))
 
@@ -429,6 +433,7 @@ def extract_rows(
     parse: Mapping[str, object] | None = None,
     otherwise: tuple[Path, ...] = (),
     listed: str | None = None,
+    parsed: DataFrame | None = None,
 ) -> DataFrame:
     """One row per container: page columns, `index`, `box_id` (its node id) and the fields.
 
@@ -440,12 +445,13 @@ def extract_rows(
     `prepare` may add columns to the parsed pages, such as `picked`; `parse` are further options of the parse.
     `otherwise` are paths of the containers of pages on which nothing is picked.
     `listed` names a field that yields all its values, see `extract_lists`, out of the same windows.
+    `parsed` is a stored result of `parse_pages` on these pages, with what the plan needs; else they are parsed here.
     """
     if isinstance(configs, DataFrame):
         configs = configs_from_table(configs)
     if listed:
         fields = tuple(f for f in fields if f != listed)
-    plan = _Plan(configs, (*fields, *([listed] if listed else [])), lists, cleaning, picked, box_values, texts, prepare, parse, otherwise, listed)
+    plan = _Plan(configs, (*fields, *([listed] if listed else [])), lists, cleaning, picked, box_values, texts, prepare, parse, otherwise, listed, parsed)
     carry = _carry(pages, picked)
     rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)

@@ -70,6 +70,7 @@ def heuristic_fields(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     parse: dict | None = None,
     notes: dict[str, Column] | None = None,
+    parsed: DataFrame | None = None,
 ) -> DataFrame:
     """(page_id, box_id, and per field value and confidence) for containers given by selectors or by
     an array column of node ids, with `notes` on the containers. Root-relative images and links are resolved against `url`.
@@ -92,6 +93,7 @@ def heuristic_fields(
         texts=("raw",),
         prepare=prepare,
         parse={"longest": True, **(parse or {})},
+        parsed=parsed,
     )
 
     def first(*names: str) -> Column:
@@ -137,7 +139,9 @@ def heuristic_fields(
     )
 
 
-def sample_extractions(pages: DataFrame, signature_count: int = 3, nodes_each: int = 3) -> DataFrame:
+def sample_extractions(
+    pages: DataFrame, signature_count: int = 3, nodes_each: int = 3, parsed: DataFrame | None = None
+) -> DataFrame:
     """Heuristic fields of the first nodes of each page's most repeated signatures: chosen on the page's node array, so the
     extraction goes on with the pages as they were parsed."""
 
@@ -160,6 +164,6 @@ def sample_extractions(pages: DataFrame, signature_count: int = 3, nodes_each: i
 
     note = F.element_at("notes", F.col("node_id"))
     rows = heuristic_fields(
-        pages, picked="box_ids", prepare=choose, parse={"sizes": True, "whole": True}, notes={"note": note}
+        pages, picked="box_ids", prepare=choose, parse={"sizes": True, "whole": True}, notes={"note": note}, parsed=parsed
     )
     return rows.select("page_id", "note.*", *[c for c in rows.columns if c not in ("page_id", "note")])

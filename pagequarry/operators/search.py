@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.patterns import SHOP_WORDS, content_quality, shop_words_found
 from pagequarry.operators import structure
-from pagequarry.operators.selectors import Selector, compile_css, literal
+from pagequarry.operators.selectors import Path, Selector, Test, compile_css, literal
 from pagequarry.sources.parse import node_rows, node_text, outer_html, parse_pages
 
 # Result and context sizes of a search.
@@ -63,6 +63,20 @@ def text_search(
     )
 
 
+def _whole_paths(rows: DataFrame, paths: tuple[Path, ...], names: dict[Test, str], prefix: str) -> tuple[DataFrame, Column]:
+    """Rows with a column per step that has ancestors, and whether any of the paths ends at a row."""
+    finals = []
+    for i, path in enumerate(paths):
+        flag = F.col(names[path.steps[0]])
+        for at, join in enumerate(path.joins):
+            related = structure.follows if join == "+" else structure.inside
+            name = f"{prefix}{i}_{at}"
+            rows = rows.withColumn(name, F.col(names[path.steps[at + 1]]) & related(flag))
+            flag = F.col(name)
+        finals.append(flag)
+    return rows, reduce(Column.__or__, finals)
+
+
 def _matches(nodes: DataFrame, selector: Selector, columns: dict[str, Column]) -> DataFrame:
     """Rows matching a css selector. `columns` are cut out of matching rows before any shuffle, and
     a selector of single steps needs none."""
@@ -82,16 +96,8 @@ def _matches(nodes: DataFrame, selector: Selector, columns: dict[str, Column]) -
         *[F.expr(t.sql()).alias(n) for t, n in names.items()],
         *[F.when(F.expr(ends), c).alias(n) for n, c in columns.items()],
     )
-    finals = []
-    for i, path in enumerate(selector.paths):
-        flag = F.col(names[path.steps[0]])
-        for at, join in enumerate(path.joins):
-            related = structure.follows if join == "+" else structure.inside
-            name = f"p{i}_{at}"
-            rows = rows.withColumn(name, F.col(names[path.steps[at + 1]]) & related(flag))
-            flag = F.col(name)
-        finals.append(flag)
-    return rows.filter(reduce(Column.__or__, finals)).select("page_id", "node_id", *columns)
+    rows, flag = _whole_paths(rows, selector.paths, names, "p")
+    return rows.filter(flag).select("page_id", "node_id", *columns)
 
 
 def _first_per_page(hits: DataFrame, n: int) -> DataFrame:
@@ -107,24 +113,24 @@ def css_search(pages: DataFrame, css: str, max_results: int = MAX_RESULTS) -> Da
 
 
 def css_counts(pages: DataFrame, selectors: tuple[str, ...]) -> DataFrame:
-    """Hits per page and candidate selector, with the first hit's class and data-id."""
+    """Hits per page and candidate selector, with the first hit's class and data-id. All selectors are flags of one pass."""
     nodes = node_rows(parse_pages(pages, texts=("stripped",)))
-    per = []
-    for css in selectors:
-        hits = _matches(
-            nodes,
-            compile_css(css, lists=True),
-            {"class": F.col("attrs")["class"], "data_id": F.col("attrs")["data-id"]},
-        )
-        per.append(hits.withColumn("selector", F.lit(css)))
-    return (
-        reduce(DataFrame.unionByName, per)
-        .groupBy("page_id", "selector")
-        .agg(
-            F.count(F.lit(1)).alias("elements"),
-            F.min_by("class", "node_id").alias("sample_class"),
-            F.min_by("data_id", "node_id").alias("sample_data_id"),
-        )
+    paths = [compile_css(css, lists=True).paths for css in selectors]
+    tests = list(dict.fromkeys(t for some in paths for p in some for t in p.steps))
+    names = {t: f"t{i}" for i, t in enumerate(tests)}
+    cells = [F.col("attrs")[name].alias(alias) for name, alias in (("class", "class"), ("data-id", "data_id"))]
+    rows = nodes.filter(F.expr(" or ".join(t.sql() for t in tests))).select(
+        "page_id", "node_id", "end_id", "parent_id", "sib_idx", *cells, *[F.expr(t.sql()).alias(n) for t, n in names.items()]
+    )
+    hits = []
+    for i, (css, some) in enumerate(zip(selectors, paths)):
+        rows, flag = _whole_paths(rows, some, names, f"s{i}_")
+        hits.append(F.when(flag, F.lit(css)))
+    found = rows.select("page_id", "node_id", "class", "data_id", F.explode(F.array_compact(F.array(*hits))).alias("selector"))
+    return found.groupBy("page_id", "selector").agg(
+        F.count(F.lit(1)).alias("elements"),
+        F.min_by("class", "node_id").alias("sample_class"),
+        F.min_by("data_id", "node_id").alias("sample_data_id"),
     )
 
 

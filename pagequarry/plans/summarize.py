@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.functions.text import strip
+from pagequarry.functions.patterns import PATTERNS, pattern_examples
 from pagequarry.operators import summary
-from pagequarry.sources.parse import node_rows, node_text, parse_pages
+from pagequarry.operators.heuristics import FIELDS, HINTS, sample_extractions
 from pagequarry.sources.storage import cut
 
 LISTS = ("tag", "host", "href", "src", "input_type", "class", "id")
@@ -37,46 +37,105 @@ REDUCED = (
 
 
 def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"]) -> DataFrame:
-    """One row per page with content. The pages are parsed once: element rows are written to the
-    shared folder and every part of the summary is an aggregate over that table."""
-    pages = pages.select("page_id", "html")
-    parsed = node_rows(parse_pages(pages, texts=("raw",)))
-    elements = cut(
-        parsed.select(
-            "page_id",
-            "node_id",
-            "end_id",
-            "depth",
-            "tag",
-            "attrs",
-            "child_count",
-            F.coalesce(strip(F.col("text")) != "", F.lit(False)).alias("has_text"),
-            F.when(strip(F.col("text")) != "", F.regexp_count(node_text("raw"), F.lit(summary.WORD))).alias("words"),
-            F.length(strip(node_text("raw"))).alias("size"),
-        ),
-        "elements",
+    """One row per page with content, with every key of the report.
+
+    The pages are parsed once, into the shared folder. What a page's own node array can tell is told in its row (texts, repeated
+    subtrees, fragments, patterns); counts and lists are aggregates over the element rows.
+    """
+    pages = pages.select("page_id", *(["url"] if "url" in pages.columns else []), "html")
+    parsed = cut(
+        summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null"), "parsed"
     )
-    lists = _lists(elements, top_tags)
-    counts = summary.counters(elements)
-    repeats = _repeats(elements)
-    texts = elements.filter("has_text").groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("text_nodes"),
-        (F.sum("size") + F.count(F.lit(1)) - 1).alias("total_text_chars"),
-        F.sum("words").alias("word_count"),
-        F.max("size").alias("longest_text_node_length"),
+    facts = cut(_facts(parsed), "page-facts")
+    elements = facts.select("page_id", F.inline("elements"))
+    out = summary.page_meta(pages).join(summary.counters(elements), "page_id")
+    parts = (
+        _lists(elements, top_tags),
+        facts.drop("elements", "pieces"),
+        _words(facts),
+        summary.confidence(elements),
+        _attributes(elements),
+        _forms(elements),
+        _samples(pages, parsed),
     )
-    patterns = summary.text_patterns(summary.page_text(pages))
-    forms = summary.forms(elements)
-    form_list = forms.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("form_id", "action", "method", "external_action", "input_count", "inputs", "likely_login_form"))).alias("forms_detailed"),
-        F.bool_or("external_action").alias("has_forms_posting_external"),
-    )
-    out = summary.page_meta(pages).join(counts, "page_id")
-    for part in (lists, repeats, texts, summary.confidence(elements), form_list):
+    for part in parts:
         out = out.join(part, "page_id", "left")
-    return out.join(patterns, "page_id", "left").withColumn(
-        "has_forms_posting_external", F.coalesce("has_forms_posting_external", F.lit(False))
+    hints = F.create_map(*[x for field, hints in HINTS.items() for x in (F.lit(field), F.array(*[F.lit(h) for h in hints]))])
+    return out.withColumns(
+        {
+            "has_forms_posting_external": F.coalesce("has_forms_posting_external", F.lit(False)),
+            "field_hint_map": hints,
+        }
+    )
+
+
+def _facts(parsed: DataFrame) -> DataFrame:
+    """What is read off a page's own node array."""
+    rows = summary.with_longest(summary.with_repeats(summary.with_text_stats(parsed)))
+    rows = rows.withColumn("all_text", summary.joined_strings())
+    found = {p: pattern_examples(F.col("all_text"), p) for p in PATTERNS}
+    rows = rows.withColumns(found).withColumn("samples", summary.sampled(F.slice("repeats", F.lit(1), F.lit(summary.REPORTED_SIGNATURES))))
+    rows = rows.withColumn("container", summary.container_of(F.col("repeats")))
+    elements = F.transform(
+        F.filter("nodes", lambda n: n["kind"] == "e"),
+        lambda n: F.struct(*[n[c].alias(c) for c in ("node_id", "end_id", "depth", "tag", "attrs", "child_count")]),
+    )
+    container = F.col("container")
+    best = F.struct(
+        container["signature"].alias("signature"),
+        (-container["minus_count"]).cast("long").alias("count"),
+        summary.signature_css(container["signature"]).alias("suggested_css"),
+    )
+    return rows.select(
+        "page_id",
+        elements.alias("elements"),
+        "pieces",
+        "text.*",
+        F.size("repeats").cast("long").alias("total_repeated_signatures"),
+        F.col("samples").alias("top_repeated"),
+        F.slice("samples", F.lit(1), F.lit(summary.CLUSTERS)).alias("clustered_subtrees"),
+        F.when(container.isNotNull(), best).alias("suggested_container"),
+        F.col("longest").alias("top_xpath_examples"),
+        *PATTERNS,
+        *[F.size(p).alias(f"{p}_count") for p in PATTERNS],
+    )
+
+
+def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A page's ranked rows as one array."""
+    entries = F.array_sort(F.collect_list(F.struct("rank", *columns)))
+    return rows.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias(name))
+
+
+def _words(facts: DataFrame) -> DataFrame:
+    order = Window.partitionBy("page_id").orderBy(F.desc("count"), "first")
+    ranked = summary.piece_words(facts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= summary.TOP["word"])
+    return _listed(ranked, "top_words", "word", "count")
+
+
+def _attributes(elements: DataFrame) -> DataFrame:
+    """The most frequent attributes of each tag with their most frequent values."""
+    values = summary.attribute_values(elements)
+    values = values.groupBy("page_id", "tag", "attribute").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))), lambda e: e.dropFields("rank")).alias("top_values")
     )
+    counts = summary.attribute_counts(elements).join(values, ["page_id", "tag", "attribute"], "left")
+    entries = F.array_sort(F.collect_list(F.struct("tag", "rank", "attribute", "count", "top_values")))
+    return counts.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias("attribute_stats"))
+
+
+def _forms(elements: DataFrame) -> DataFrame:
+    entry = F.struct("form_id", "action", "method", "external_action", "input_count", "inputs", "likely_login_form")
+    return summary.forms(elements).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("forms_detailed"),
+        F.bool_or("external_action").alias("has_forms_posting_external"),
+    )
+
+
+def _samples(pages: DataFrame, parsed: DataFrame) -> DataFrame:
+    rows = sample_extractions(pages, parsed=parsed.drop("pieces"))
+    entries = F.array_sort(F.collect_list(F.struct("rank", "nth", "signature", *FIELDS)))
+    return rows.groupBy("page_id").agg(entries.alias("sample_extractions"))
 
 
 def _lists(elements: DataFrame, top_tags: int) -> DataFrame:
@@ -101,38 +160,6 @@ def _lists(elements: DataFrame, top_tags: int) -> DataFrame:
     )
 
 
-def _repeats(elements: DataFrame) -> DataFrame:
-    """Repeated signatures per page, most frequent first, and the first that fits a listing item."""
-    value = F.coalesce(F.col("attrs")["class"], F.lit(""))
-    tokens = F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(value, " "))
-    signature = F.struct(
-        "tag",
-        F.array_sort(tokens).alias("classes"),
-        "child_count",
-        F.least(F.lit(8), F.floor(F.col("size") / 30)).cast("int").alias("text_bucket"),
-    )
-    groups = (
-        elements.groupBy("page_id", signature.alias("signature"))
-        .agg(F.count(F.lit(1)).alias("count"), F.min("node_id").alias("first_node"))
-        .filter(F.col("count") > 1)
-    )
-    order = Window.partitionBy("page_id").orderBy(F.desc("count"), "first_node")
-    ranked = groups.withColumn("rank", F.row_number().over(order))
-    reported = F.when(
-        F.col("rank") <= summary.REPORTED_SIGNATURES, F.struct("rank", "signature", "count")
-    )
-    fits = (
-        (F.col("rank") <= summary.SIGNATURES)
-        & (F.col("count") >= 3)
-        & F.col("signature.tag").isin(*summary.CONTAINER_TAGS)
-    )
-    return ranked.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("total_repeated_signatures"),
-        F.array_sort(F.collect_list(reported)).alias("top_repeated"),
-        F.min_by(F.struct("signature", "count"), F.when(fits, F.col("rank"))).alias("suggested_container"),
-    )
-
-
 def reduced(summaries: DataFrame) -> DataFrame:
     """The fewer keys of a summary without structure analysis; never marked script-heavy."""
     return summaries.select(*REDUCED, F.lit(False).alias("is_likely_js_heavy"))
