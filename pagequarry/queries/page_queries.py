@@ -9,6 +9,7 @@ from pagequarry.functions.patterns import EXAMPLE_CAP, PATTERNS, SHOP_WORDS
 from pagequarry.operators import quality, search, summary
 from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products
 from pagequarry.queries.registry import joined, query
+from pagequarry.queries.tree_sql import PATHS, SIGNATURE_JSON, SIGNATURES, fragment, tree
 from pagequarry.sources.pages import read_pages, read_table, split_pages
 from pagequarry.sources.parse import node_rows, parse_pages
 
@@ -121,7 +122,7 @@ def headings(spark, sf_dir):
     return summary.headings(nodes(spark, sf_dir))
 
 
-@query("max_depth")
+@query("max_depth", tree("select page_id, cast(max(depth) as integer) as max_dom_depth from elements group by page_id"))
 def max_depth(spark, sf_dir):
     return summary.max_depth(nodes(spark, sf_dir))
 
@@ -245,17 +246,43 @@ def confidence(spark, sf_dir):
     return summary.confidence(nodes(spark, sf_dir))
 
 
-@query("text_stats")
+@query(
+    "text_stats",
+    tree(
+        """select page_id, count(*) as text_nodes, cast(sum(length(content)) + count(*) - 1 as bigint) as total_text_chars,
+ cast(sum(len(regexp_extract_all(content, '[A-Za-z0-9'']{2,}'))) as bigint) as word_count,
+ arg_max(length(content), length(content) * 100000 - nid) as longest_text_node_length,
+ arg_max(case when length(content) > 400 then content[:400] || '...' else content end, length(content) * 100000 - nid) as longest_text_node_preview,
+ sum(len(regexp_extract_all(content, '[A-Za-z0-9'']{2,}')))::double / count(*) as avg_words_per_text_node
+ from texts group by page_id"""
+    ),
+)
 def text_stats(spark, sf_dir):
     return summary.text_stats(pages(spark, sf_dir))
 
 
-@query("page_top_words")
+@query(
+    "page_top_words",
+    tree(
+        """select page_id, cast(rank as integer) as rank, word, count from (select *,
+  row_number() over (partition by page_id order by count desc, first) as rank from (
+   select page_id, lower(w) as word, count(*) as count, min(nid * 100000 + i) as first from (
+    select page_id, nid, unnest(l) as w, generate_subscripts(l, 1) as i from (
+     select page_id, nid, regexp_extract_all(content, '[A-Za-z0-9'']{2,}') as l from texts)) group by all)) where rank <= 50"""
+    ),
+)
 def page_top_words(spark, sf_dir):
     return summary.page_top_words(pages(spark, sf_dir))
 
 
-@query("repeated_signatures")
+@query(
+    "repeated_signatures",
+    tree(
+        f"""select page_id, rank, {SIGNATURE_JSON} as signature, count, first_node,
+ tag || case when len(classes) > 0 then '.' || classes[1] else '' end as suggested_css from repeats where rank <= 40""",
+        SIGNATURES,
+    ),
+)
 def repeated_signatures(spark, sf_dir):
     return summary.repeated_signatures(pages(spark, sf_dir)).withColumn("signature", F.to_json("signature"))
 
@@ -273,24 +300,51 @@ def suggested_container(spark, sf_dir):
     return found.filter(F.col("suggested_css") == "li").select("page_id", "suggested_css", "count")
 
 
-@query("signature_samples")
+FIRST, MIDDLE, LAST = (fragment("r.page_id", f"r.ids[{i}]") for i in ("1", "count // 2 + 1", "count"))
+
+
+@query(
+    "signature_samples",
+    tree(
+        f"""select r.page_id, rank, {SIGNATURE_JSON} as signature, count, p.xpath as sample_xpath, to_json([{FIRST}, {MIDDLE}, {LAST}]) as sample_nodes
+ from repeats r join paths p on p.page_id = r.page_id and p.nid = r.first_node where rank <= 40""",
+        SIGNATURES,
+        PATHS,
+    ),
+)
 def signature_samples(spark, sf_dir):
     out = summary.signature_samples(pages(spark, sf_dir))
     return out.withColumn("signature", F.to_json("signature")).withColumn("sample_nodes", F.to_json("sample_nodes"))
 
 
-@query("clustered_subtrees")
+@query(
+    "clustered_subtrees",
+    tree(
+        """select r.page_id, rank, count, p.xpath as sample_xpath from repeats r
+ join paths p on p.page_id = r.page_id and p.nid = r.first_node where rank <= 30""",
+        SIGNATURES,
+        PATHS,
+    ),
+)
 def clustered_subtrees(spark, sf_dir):
     out = summary.clustered_subtrees(pages(spark, sf_dir))
     return out.select("page_id", "rank", "count", "sample_xpath")
 
 
-@query("longest_elements")
+@query(
+    "longest_elements",
+    tree(
+        """select page_id, rank, length, xpath, preview from (select t.page_id, length(content) as length, xpath, content[:400] as preview,
+  cast(row_number() over (partition by t.page_id order by length(content) desc, t.nid) as integer) as rank
+  from texts t join paths p on p.page_id = t.page_id and p.nid = t.nid) where rank <= 20""",
+        PATHS,
+    ),
+)
 def longest_elements(spark, sf_dir):
     return summary.longest_elements(pages(spark, sf_dir))
 
 
-@query("element_paths")
+@query("element_paths", tree("select xpath, count(*) as pages from paths group by xpath", PATHS))
 def element_paths(spark, sf_dir):
     rows = node_rows(parse_pages(pages(spark, sf_dir), texts=(), xpath=True))
     return rows.groupBy("xpath").agg(F.count(F.lit(1)).alias("pages"))
@@ -469,7 +523,15 @@ def text_patterns(spark, sf_dir):
     return found.select("doc_id", *[joined(p).alias(p) for p in PATTERNS], *[f"{p}_count" for p in PATTERNS])
 
 
-@query("page_text_patterns")
+@query(
+    "page_text_patterns",
+    tree(
+        "select page_id, "
+        + ", ".join(f"len({_pattern_sql(p)}) as {p}_count" for p in PATTERNS)
+        + f", array_to_string({_pattern_sql('phones')}, '|') as phones"
+        + " from (select page_id, string_agg(text, ' ' order by nid) as text from nodes where kind = 't' group by page_id)"
+    ),
+)
 def page_text_patterns(spark, sf_dir):
     found = summary.text_patterns(summary.page_text(pages(spark, sf_dir)))
     return found.select("page_id", *[f"{p}_count" for p in PATTERNS], joined("phones").alias("phones"))
