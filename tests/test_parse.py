@@ -1,6 +1,9 @@
 """The page reader on hand-written and generated pages."""
 
+import collections
 import random
+import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,3 +158,99 @@ def test_intervals_nest(pieces):
                 up.append(p)
                 p = nodes[p][parse.PARENT]
             assert (a in up) == (a < b <= nodes[a][parse.END] and nodes[a][parse.KIND] == "e")
+
+
+# -- measures of a page's texts -------------------------------------------------------------------
+
+LETTERS, WORD = re.compile("[A-Za-z0-9']*"), re.compile("[A-Za-z0-9']{2,}")
+PIECES = ["<b>", "</b>", "<div>", "</div>", "<p>", "ab", "c", "d e", "  ", " x", " y ", "é", "a'b", "<br>", "</p>"]
+PIECES += ["<script>q r</script>", "<div>z</div>", "<!--c-->", " ", "<![CDATA[in]]>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_measures_equal_brute_force(html):
+    page = parse._Page(html, TEXTS, True)
+    raw, stripped = bytes(page.blobs[TEXTS.index("raw")]), bytes(page.blobs[TEXTS.index("stripped")])
+    at = parse.SPANS + 2 * TEXTS.index("raw")
+    words, first, same = collections.Counter(), {}, {}
+    copies = page.same_source("div")
+    for i, (node, size) in enumerate(zip(page.nodes, page.sizes())):
+        if node[parse.KIND] != "e":
+            assert size is None
+            continue
+        text = raw[node[at] : node[at + 1]].decode().strip()
+        assert (size[2], raw[size[0] : size[1]].decode()) == (len(text), text)
+        if node[parse.STRING] is not None and node[parse.STRING].strip():
+            for place, word in enumerate(WORD.findall(text)):
+                words[word] += 1
+                first.setdefault(word, (i, place))
+        if node[parse.TAG] == "div":
+            assert copies[i] == same.setdefault(page.html_bytes[node[-3] : node[-2]], i)
+    got, found = collections.Counter(), {}
+    for text, weight, owner, place in page.word_pieces(LETTERS):
+        for nth, word in enumerate(WORD.findall(text)):
+            got[word] += weight
+            found[word] = min(found.get(word, (1 << 30,)), (owner, place, nth))
+    assert got == words and sorted(first, key=first.get) == sorted(found, key=found.get)
+    longest = page.longest_strings()
+    for i, node in enumerate(page.nodes):
+        below = [(-len(n[parse.STRING].strip()), j) for j, n in enumerate(page.nodes[i + 1 : node[parse.END] + 1], i + 1) if n[parse.KIND] == "t"]
+        if node[parse.KIND] == "e" and below and min(below)[0]:
+            s, e = longest[i]
+            assert stripped[s:e].decode() == page.nodes[min(below)[1]][parse.STRING].strip()
+        else:
+            assert i not in longest
+
+
+def test_ten_thousand_nested_elements_are_measured_in_linear_time():
+    def spent(depth):
+        page = parse._Page("<div>ab " * depth + "</div>" * depth, ("raw",), True)
+        start = time.process_time()
+        sizes, pieces, same = list(page.sizes()), page.word_pieces(LETTERS), page.same_source("div")
+        assert sizes[0][2] == 3 * depth - 1 and len(same) == depth
+        assert sum(weight * len(WORD.findall(text)) for text, weight, *_ in pieces) == depth * (depth + 1) // 2
+        return time.process_time() - start
+
+    spent(1000)
+    assert spent(10_000) < 40 * max(spent(1000), 0.002)
+
+
+def _large(n):
+    items = "\n".join(f"<p>text {i} <b>bold é</b></p>" for i in range(n))
+    return f"<html><body>before<script>var a</script>{items}<div>last</div>after</body></html>"
+
+
+def test_rows_of_a_large_page_hold_its_text_once_and_what_reaches_beyond_once_more(pages_of):
+    pages = pages_of(_large(20_000))
+    split = parse.parse_pages(pages, texts=TEXTS, source=True, sizes=True, longest=True)
+    whole = parse.parse_pages(pages, texts=TEXTS, source=True, sizes=True, longest=True, whole=True)
+    assert (split.count(), whole.count()) == (8, 1)
+    for blob in (*TEXTS, "source"):
+        size = F.sum(F.octet_length(blob))
+        assert split.agg(size).first()[0] <= 2 * whole.agg(size).first()[0]
+    assert split.agg(F.max(F.size("nodes"))).first()[0] <= parse.NODES_PER_ROW
+
+    def digest(parsed):
+        rows = parse.node_rows(parsed)
+        cells = [node_text(t) for t in (*TEXTS, "source")]
+        cells += [F.substr("raw", F.col("trim_s") + 1, F.col("trim_e") - F.col("trim_s")).cast("string"), F.col("size").cast("string")]
+        cells += [F.substr("stripped", F.col("long_s") + 1, F.col("long_e") - F.col("long_s")).cast("string")]
+        return rows.agg(F.count("*"), *[F.sum(F.crc32(F.concat(F.col("node_id").cast("string"), F.coalesce(c, F.lit("-"))).cast("binary"))) for c in cells]).first()
+
+    assert digest(split) == digest(whole)
+
+
+def test_text_search_on_a_large_page_yields_the_parents_text(pages_of):
+    from pagequarry.operators.extract import ANY_SITE, css, extract_rows
+
+    config = {ANY_SITE: {"product_container": css("body"), "name": css(':contains("text 19999")'), "rating": css(':contains("before")')}}
+    row = extract_rows(pages_of(_large(20_000)), config, ("name", "rating")).first()
+    assert row.name == "text 19999bold é" and row.rating.startswith("beforetext 0") and row.rating.endswith("lastafter")
+
+
+def test_a_page_of_a_million_nodes(pages_of):
+    html = "<body>" + "<i>x</i>\n" * 340_000 + "</body>"
+    parsed = parse.parse_pages(pages_of(html), texts=("stripped",))
+    got = parsed.agg(F.sum(F.size("nodes")), F.max(F.size("nodes")), F.sum(F.octet_length("stripped"))).first()
+    assert tuple(got)[:2] == (1_020_001, parse.NODES_PER_ROW) and 340_000 <= got[2] <= 2 * 340_000

@@ -99,3 +99,33 @@ def test_unread_pages_are_reported_with_the_whole_error(spark):
 
     parsed = spark.createDataFrame([(1, None), (2, "AssertionError: " + "x" * 400)], "page_id long, parse_error string")
     assert [(r.page_id, len(r.reason)) for r in unread_pages(parsed).collect()] == [(2, 416)]
+
+
+@pytest.mark.parametrize(
+    "name", ["cards", "site_products", "heuristic_fields", "sample_extractions", "signature_samples", "clustered_subtrees", "selector_probe", "card_counts"]
+)
+def test_one_parse_and_no_page_in_a_join(spark, name):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()[name](spark, SF))
+    joins = text.count("Join")
+    assert text.count("MapInArrow") == 1
+    # Only the table of name rules, a row for each site, is joined.
+    assert joins <= (2 if name == "site_products" else 0)
+
+
+@pytest.mark.parametrize("name", ["text_stats", "repeated_signatures", "suggested_container", "signature_samples", "longest_elements", "page_text_patterns"])
+def test_reports_on_a_page_shuffle_nothing(spark, name):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()[name](spark, SF))
+    assert "Exchange hashpartitioning" not in text and text.count("MapInArrow") == 1
+
+
+def test_cards_of_pages_without_a_container(spark, pages_of):
+    from pagequarry.operators.cards import cards, looks_like_card
+
+    html = '<div class="a"><div class="DMMoT0"><img src="x/rukminim2.flixcart.com/1" alt="Pan"></div><p>q</p></div><div><b>n</b></div>'
+    pages = pages_of(html, "<div>none</div>").select("page_id", "html")
+    assert [tuple(r) for r in looks_like_card(pages).collect()] == [(0, 1, 1)]
+    assert [(r.page_id, r.product_id, r.title) for r in cards(pages).collect()] == [(0, "product_1", "Pan")]
