@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import words
+from pagequarry.llm.native import own, words
 from pagequarry.sources.storage import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -196,8 +196,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "chars", "bands", "sig"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(made, "doc_id long, node string, chars long, bands array<long>, sig binary")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(made, f"doc_id {kind}, node string, chars long, bands array<long>, sig binary")
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -379,19 +380,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, of its smallest doc_id (of equal ids the smallest digest), with all columns.
 
-    Texts without words are all kept, as each is a class of its own.
+    Texts without words are all kept, as each is a class of its own. Of rows with that id and equal words the one of the
+    smallest hash of all columns stays.
     """
     rows = near_duplicates(docs).select("node", F.col("doc_id").alias("id"), "class_id", F.coalesce("class", "node").alias("class"))
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
-    first = cut(first.select(F.coalesce(F.col("first.id").cast("string"), "first.node").alias("__key"), F.col("first.node").alias("__node")), "first")
+    columns, p = docs.columns, own(docs)
+    key, node, row = f"{p}key", f"{p}node", f"{p}row"
+    first = cut(first.select(F.coalesce(F.col("first.id").cast("string"), "first.node").alias(key), F.col("first.node").alias(node)), "first")
     digest = F.md5(F.array_join(words(F.col("text")), " "))
     # Ids decide which texts need a digest; rows without an id are keyed by it.
-    columns = docs.columns
     empty = F.size(words(F.col("text"))) == 0
-    keyed = docs.withColumn("__key", F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("doc_id").cast("string"), digest)))
-    real = keyed.join(first, "__key").where(digest == F.col("__node")).dropDuplicates(["__node"])
+    keyed = docs.withColumn(key, F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("doc_id").cast("string"), digest)))
+    every = [F.col(f"`{c}`") for c in columns]
+    real = keyed.join(first, key).where(digest == F.col(node)).withColumn(row, F.struct(*every))
+    real = real.groupBy(node).agg(F.min_by(row, F.xxhash64(*every)).alias(row)).select(f"{row}.*")
     blank = docs.where(F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) == "", F.lit(True)))
-    return real.select(*[F.col(f"`{c}`") for c in columns]).unionByName(blank)
+    return real.unionByName(blank)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ distinct characters, coverage by dictionary words, the path a value is assigned
 words. The forest is trained on labelled findings and then written as one column expression, so that
 scanning is a projection: no text is moved.
 
-Labelled findings may be given as a table (value, left, right, label). Otherwise `labelled_findings` makes
-them from a bounded sample of the documents: values with a provider's prefix, assigned to a name with a
+Labelled findings are a table (value, left, right, label). `made_findings` gives a fixed number of them whose label is what
+they were made as, so it does not follow from the features; the query and the pipeline learn from these. `labelled_findings`
+instead takes them from a bounded sample of a corpus by a rule: values with a provider's prefix, assigned to a name with a
 credential's word or following "Bearer" are true; candidates far from any such word, and the same places holding
 placeholders, words, checksums or ids instead, are false. All others are undecided and not learned from.
 
@@ -26,7 +27,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.native import let, placed, where
+from pagequarry.llm.native import let, own, placed, where
+from pagequarry.llm.secret_findings import made
+from pagequarry.sources.storage import cut
 
 #: A credential's word in the name of a path.
 NAMED = r"(?=[a-dpstA-DPST])(?i:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|authorization|auth(?![a-z])|credential|private[_\-]?key|bearer)"
@@ -114,24 +117,26 @@ def features(value: Column, left: Column, right: Column) -> Column:
     return F.struct(*[made[f].cast("double").alias(f) for f in FEATURES])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Every row with __gaps (the text between candidates) and __hits (the candidates, none as null)."""
+def candidates(docs: DataFrame, p: str) -> DataFrame:
+    """Every row with {p}raw (the matches), {p}hits (their values, none as null), {p}leads (the name before each value) and
+    {p}gaps (the text between matches)."""
     # Most texts have no run with enough key-like characters; the cheap test spares them the rest.
     some = F.rlike("text", F.lit(CHEAP)) & F.rlike("text", F.lit(PATTERN))
-    rows = docs.withColumn("__raw", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    rows = rows.withColumn("__hits", F.transform("__raw", lambda r: F.regexp_extract(r, VALUE, 1)))
+    raw, hits = f"{p}raw", f"{p}hits"
+    rows = docs.withColumn(raw, F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    rows = rows.withColumn(hits, F.transform(raw, lambda r: F.regexp_extract(r, VALUE, 1)))
     # The name before a value belongs to the text before it.
-    leads = F.zip_with("__raw", "__hits", lambda r, v: F.left(r, F.length(r) - F.length(v)))
-    pieces = F.zip_with(F.split("text", PATTERN), leads, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
-    return rows.withColumn("__gaps", F.when(F.col("__hits").isNotNull(), pieces)).drop("__raw")
+    rows = rows.withColumn(f"{p}leads", F.zip_with(raw, hits, lambda r, v: F.left(r, F.length(r) - F.length(v))))
+    return rows.withColumn(f"{p}gaps", F.when(F.col(hits).isNotNull(), F.split("text", PATTERN))).drop(raw)
 
 
-def _described() -> Column:
-    """array of struct(value, left, right) from __gaps and __hits."""
-    n = F.size("__hits")
-    lefts = F.transform(F.slice("__gaps", F.lit(1), n), lambda g: F.right(g, F.lit(CONTEXT)))
-    rights = F.transform(F.slice("__gaps", F.lit(2), n), lambda g: F.left(g, F.lit(CONTEXT)))
-    return F.arrays_zip(F.col("__hits").alias("value"), lefts.alias("left"), rights.alias("right"))
+def _described(p: str) -> Column:
+    """array of struct(value, left, right): the whole name and sign before the value, and CONTEXT characters on either side."""
+    n = F.size(f"{p}hits")
+    gaps = f"{p}gaps"
+    lefts = F.zip_with(F.slice(gaps, F.lit(1), n), F.col(f"{p}leads"), lambda g, lead: F.concat(F.right(g, F.lit(CONTEXT)), lead))
+    after = F.zip_with(F.slice(gaps, F.lit(2), n), F.slice(f"{p}leads", F.lit(2), n), lambda g, lead: F.left(F.concat(g, F.coalesce(lead, F.lit(""))), F.lit(CONTEXT)))
+    return F.arrays_zip(F.col(f"{p}hits").alias("value"), lefts.alias("left"), after.alias("right"))
 
 
 def decided(value: Column, left: Column, right: Column) -> Column:
@@ -148,15 +153,27 @@ def decided(value: Column, left: Column, right: Column) -> Column:
     return F.when(fake, 0).when(true, 1).when(~near, 0)
 
 
+def made_findings(spark: SparkSession) -> DataFrame:
+    """A fixed number of findings, labelled as what they were made."""
+    return spark.createDataFrame(made(WORDS), "value string, left string, right string, label int")
+
+
+def _bounded(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """At most so many rows, the first by a hash. A share of the hashes is taken before rows are ordered, so that no task gets
+    more than about twice the number."""
+    total, share = rows.count(), 1 << 30
+    if total > 2 * most:
+        rows = where(rows, F.pmod(F.xxhash64(F.lit(7), *order), F.lit(share)) < int(share * 2 * most / total))
+    return rows.orderBy(F.xxhash64(*order), *order).limit(most)
+
+
 def labelled_findings(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, findings: int = MAX_FINDINGS) -> DataFrame:
     """value, left, right, label: at most so many findings of either label, from at most so many documents."""
-    order = F.xxhash64("doc_id", "text")
-    rows = where(candidates(docs.select("doc_id", "text")), F.col("__hits").isNotNull()).orderBy(order, "doc_id", "text").limit(documents)
-    rows = rows.select(F.inline(_described())).distinct()
-    rows = rows.withColumn("label", decided(F.col("value"), F.col("left"), F.col("right"))).where("label IS NOT NULL")
-    picked = F.xxhash64("value", "left", "right")
-    true = rows.where("label = 1").orderBy(picked, "value", "left", "right").limit(findings)
-    false = rows.where("label = 0").orderBy(picked, "value", "left", "right").limit(findings)
+    rows = where(candidates(docs.select("doc_id", "text"), "__"), F.col("__hits").isNotNull())
+    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("of"), _described("__").alias("found")), "candidates")
+    rows = _bounded(rows, documents, "doc_id", "of").select(F.inline("found")).distinct()
+    rows = cut(rows.withColumn("label", decided(F.col("value"), F.col("left"), F.col("right"))).where("label IS NOT NULL"), "labelled")
+    true, false = (_bounded(rows.where(F.col("label") == i), findings, "value", "left", "right") for i in (1, 0))
     word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.pmod(F.xxhash64("value"), F.lit(len(WORDS))) + 1).cast("int"))
     kind = F.pmod(F.xxhash64("value", "right"), F.lit(4))
     decoy = (
@@ -218,19 +235,23 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return _trees(forest.fit(data).toDebugString)
 
 
-def scanned(docs: DataFrame, model: Forest) -> DataFrame:
-    """`candidates` with __found: array of struct(value, score) in the order of the text."""
+def scanned(docs: DataFrame, model: Forest, p: str) -> DataFrame:
+    """`candidates` with {p}found: array of struct(value, score) in the order of the text."""
 
     def scored(c: Column) -> Column:
         score = let(features(c["value"], c["left"], c["right"]), lambda f: votes(model, f))
         return F.struct(c["value"].alias("value"), score.alias("score"))
 
-    return candidates(docs).withColumn("__found", F.when(F.col("__hits").isNotNull(), F.transform(_described(), scored)))
+    found = F.when(F.col(f"{p}hits").isNotNull(), F.transform(_described(p), scored))
+    rows = candidates(docs, p).withColumn(f"{p}found", found)
+    # The text before a candidate, its name included.
+    whole = F.zip_with(f"{p}gaps", f"{p}leads", lambda g, lead: F.concat(g, F.coalesce(lead, F.lit(""))))
+    return rows.withColumn(f"{p}gaps", F.when(F.col(f"{p}hits").isNotNull(), whole)).drop(f"{p}leads")
 
 
 def findings(docs: DataFrame, model: Forest) -> DataFrame:
     """doc_id, start, end, value, score, kept: every candidate of every document."""
-    rows = where(scanned(docs.select("doc_id", "text"), model), F.col("__hits").isNotNull())
+    rows = where(scanned(docs.select("doc_id", "text"), model, "__"), F.col("__hits").isNotNull())
     rows = rows.select("doc_id", F.sha2("text", 256).alias("key"), "__gaps", "__hits", "__found").dropDuplicates(["doc_id", "key"])
     spans = placed(rows, ["doc_id", "key"], F.col("__gaps"), F.col("__hits"), F.transform("__found", lambda x: x["score"]))
     return spans.select("doc_id", "start", "end", F.col("hit").alias("value"), F.col("note").alias("score")).withColumn("kept", F.col("score") >= KEPT)
@@ -238,18 +259,24 @@ def findings(docs: DataFrame, model: Forest) -> DataFrame:
 
 def redact(docs: DataFrame, model: Forest, mask: str = MASK) -> DataFrame:
     """The rows with kept findings replaced in their texts; other columns as they are."""
-    columns = docs.columns
-    rows = scanned(docs, model)
-    parts = F.zip_with("__gaps", "__found", lambda g, x: F.concat(g, F.when(x["score"] >= KEPT, mask).otherwise(F.coalesce(x["value"], F.lit("")))))
-    text = F.when(F.col("__found").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
-    return rows.withColumn("__text", text).select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
+    columns, p = docs.columns, own(docs)
+    rows = scanned(docs, model, p)
+    parts = F.zip_with(f"{p}gaps", f"{p}found", lambda g, x: F.concat(g, F.when(x["score"] >= KEPT, mask).otherwise(F.coalesce(x["value"], F.lit("")))))
+    text = F.when(F.col(f"{p}found").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
+    return rows.withColumn(f"{p}text", text).select(*[F.col(f"{p}text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
+
+
+def trained(spark: SparkSession) -> Forest:
+    """The forest of the made findings: the same for every corpus, which is scanned once, with it."""
+    return train(made_findings(spark))
 
 
 def trained_on(docs: DataFrame) -> Forest:
-    return train(labelled_findings(docs))
+    """The forest of a corpus's own findings, labelled by the rule."""
+    return train(cut(labelled_findings(docs), "training"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = findings(docs, trained_on(docs))
+    rows = findings(docs, trained(spark))
     return rows.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "kept")

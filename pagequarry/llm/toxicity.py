@@ -30,7 +30,7 @@ from pagequarry.llm.near_dedup import _ODD, _U, _steps, mix, word_hashes
 
 WORDS, GRAMS = 1 << 16, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Labelled documents of either label that the network is fitted on.
 MAX_ROWS = 1500
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.015, 11
@@ -302,15 +302,16 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """Text and label of the sample, in a fixed order. At most 2 * max_rows texts reach the driver."""
+    """Text and label of the sample, in a fixed order. At most max_rows texts of either label reach the driver, one for
+    each id (of several the smallest), so their bytes are bounded by the longest texts of the sample."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(F.col("doc_id")) != 0)
     sample = None
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         sample = part if sample is None else sample.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    return [(r.text, r.toxic) for r in sorted(rows.distinct().collect(), key=lambda r: (r.doc_id, r.text))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -321,8 +322,8 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             out = [score_texts(net, run) if net else np.zeros(len(run)) for _, run in _steps(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([*out, np.empty(0)]))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, score double")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
