@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets replaced in the texts; n_chars follows the text."""
-    done = secret_scan.redact(docs, secret_scan.trained_on(docs))
+    done = secret_scan.redact(docs, secret_scan.trained(spark))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
