@@ -23,9 +23,9 @@ def scrape(pages: DataFrame, configs: Mapping[str, Config], csv_path: str) -> Da
     return quality.scrape_counts(products)
 
 
-def scrape_and_append(pages: DataFrame, configs: Mapping[str, Config], table_path: str) -> DataFrame:
-    """Extract and append to a table; the outcome row."""
-    return append_products(extract_products(pages, configs), table_path)
+def scrape_and_append(pages: DataFrame, configs: Mapping[str, Config], table_path: str, run: str | None = None) -> DataFrame:
+    """Extract and append to a table; the outcome row. A named run may be repeated."""
+    return append_products(extract_products(pages, configs), table_path, run=run)
 
 
 def gate(products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ from pagequarry.queries.listing_queries import FIELD_LIST, HEALTH_STATUS, LONG,
 from pagequarry.queries.page_queries import pages
 from pagequarry.queries.registry import query
 from pagequarry.schema import FIELDS, PRODUCT_COLUMNS
-from pagequarry.sources import sinks
+from pagequarry.sources import runs, sinks
 from pagequarry.sources.storage import new_folder
 from pagequarry.streaming import continuous
 
@@ -63,7 +63,33 @@ def table_append(spark, sf_dir):
 def table_rows(spark, sf_dir):
     path = new_folder(spark, "table")
     sinks.append_products(products(spark, sf_dir), path)
-    return spark.read.parquet(path).select(*PRODUCT_COLUMNS)
+    return sinks.read_products(spark, path)
+
+
+#: Which sites each of two runs scrapes.
+RUNS = {"first": SHOPS[:2], "second": SHOPS[2:]}
+
+
+@query("repeated_append", _with(f'select "index", {STORED}, site, \'N/A\' as scraped_at from products'))
+def repeated_append(spark, sf_dir):
+    """Pages appended by two runs, one of them done twice and one attempt of it left without a commit."""
+    path, pages = new_folder(spark, "table"), listing_pages(spark, sf_dir)
+    for name in ("first", "second", "first"):
+        workflow.scrape_and_append(pages.filter(F.col("site").isin(*RUNS[name])), SELECTORS, path, name)
+    left = extract_products(pages.filter(F.col("site").isin(*RUNS["second"])), SELECTORS)
+    runs.stage(sinks.stored_products(left), path, "second", ("site",))
+    return sinks.read_products(spark, path)
+
+
+@query(
+    "appended_runs",
+    _with("select 'run-' || (case when site in ('shop0', 'shop1') then 'first' else 'second' end) as run, count(*) as rows from products group by 1"),
+)
+def appended_runs(spark, sf_dir):
+    path, pages = new_folder(spark, "table"), listing_pages(spark, sf_dir)
+    for name, sites in RUNS.items():
+        workflow.scrape_and_append(pages.filter(F.col("site").isin(*sites)), SELECTORS, path, name)
+    return runs.commits(spark, path).select("run", "rows")
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.schema import CARD_COLUMNS, MISSING, PRODUCT_COLUMNS
+from pagequarry.sources.runs import append_run, committed, new_run
 
 
 def _stored(rows: DataFrame, name: str) -> Column:
@@ -58,23 +59,29 @@ def write_json(rows: DataFrame, path: str) -> int:
     return _counted(rows, lambda w: w.mode("append").json(path))
 
 
-def append_products(products: DataFrame, path: str, table_name: str = "scraped_products") -> DataFrame:
+#: Columns of a stored product table.
+STORED_SCHEMA = ", ".join(f"`{c}` {'int' if c == 'index' else 'string'}" for c in PRODUCT_COLUMNS)
+
+
+def append_products(products: DataFrame, path: str, table_name: str = "scraped_products", run: str | None = None) -> DataFrame:
     """Append to a Parquet table by site; one row with the outcome. Nothing to save is an error
-    record, not a failure."""
-    return _outcome(
-        products, table_name, lambda w: w.mode("append").partitionBy("site").parquet(path)
-    )
+    record, not a failure. A run that is named may be repeated: it then replaces its own rows (see runs.py)."""
+    count = append_run(stored_products(products), path, run or new_run(), ("site",))
+    return _outcome(products.sparkSession, table_name, count)
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed runs."""
+    return committed(spark, path, STORED_SCHEMA).select(*PRODUCT_COLUMNS)
 
 
 def append_products_jdbc(products: DataFrame, url: str, table_name: str, properties: dict[str, str]) -> DataFrame:
     """The same into a database table; each task inserts its own rows in batches."""
-    return _outcome(
-        products, table_name, lambda w: w.mode("append").jdbc(url, table_name, properties=properties)
-    )
+    count = _counted(stored_products(products), lambda w: w.mode("append").jdbc(url, table_name, properties=properties))
+    return _outcome(products.sparkSession, table_name, count)
 
 
-def _outcome(products: DataFrame, table_name: str, save) -> DataFrame:
-    count = _counted(stored_products(products), save)
+def _outcome(spark: SparkSession, table_name: str, count: int) -> DataFrame:
     ok = count > 0
     row = (
         ok,
@@ -84,7 +91,7 @@ def _outcome(products: DataFrame, table_name: str, save) -> DataFrame:
         None if ok else "No products to save",
     )
     schema = "success boolean, saved_count bigint, table_name string, message string, error string"
-    return products.sparkSession.createDataFrame([row], schema)
+    return spark.createDataFrame([row], schema)
 
 
 def export_json(report: DataFrame, path: str, by: str | None = "site") -> int:
