@@ -327,12 +327,13 @@ def run_report(spark, sf_dir):
 # -- streams --------------------------------------------------------------------------------------
 
 
+def _when():
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600)
+
+
 def _landed(spark, sf_dir, copies: bool = False):
     """Listing pages written as the files a stream reads; page n is scraped n times 10 minutes in."""
-    when = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600)
-    rows = listing_pages(spark, sf_dir).select(
-        "page_id", "url", "html", "site", when.alias("scraped_at")
-    )
+    rows = listing_pages(spark, sf_dir).select("page_id", "url", "html", "site", _when().alias("scraped_at"))
     if copies:
         rows = rows.unionByName(rows)
     path = new_folder(spark, "landed")
@@ -386,25 +387,36 @@ def stream_first_copies(spark, sf_dir):
     ),
 )
 def rates_over_time(spark, sf_dir):
-    """Hourly rates kept by a stream of product rows."""
-    found = products(spark, sf_dir).withColumn(
-        "scraped_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600)
-    )
-    path, table = new_folder(spark, "rows"), new_folder(spark, "rates")
-    found.write.parquet(path)
-    stream = spark.readStream.schema(found.schema).parquet(path)
+    """Hourly rates kept by a stream of product rows: the closed windows and those still open."""
+    folder = _rates(spark, products(spark, sf_dir).withColumn("scraped_at", _when()))
+    counts = continuous.closed_windows(spark, folder).unionByName(continuous.open_windows(spark, folder))
+    rates = continuous.field_rates(counts)
+    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:00"))
 
-    def store(batch, number):
-        batch.write.mode("overwrite").parquet(table)
 
-    run = (
-        continuous.rates_over_time(stream)
-        .writeStream.outputMode("complete")
-        .foreachBatch(store)
-        .option("checkpointLocation", new_folder(spark, "progress"))
-        .trigger(availableNow=True)
-        .start()
+def _rates(spark, found):
+    """Stream product rows, one file a day in the order of the days, and keep their rates."""
+    path, folder = new_folder(spark, "rows"), new_folder(spark, "rates")
+    found.repartition(1).sortWithinPartitions("scraped_at").write.option("maxRecordsPerFile", 4000).parquet(path)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    continuous.rates_stream(stream, folder, new_folder(spark, "progress")).awaitTermination()
+    return folder
+
+
+@query(
+    "page_visits",
+    """with landed as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n, event_type,
+  ts - lag(ts) over (partition by user_id order by ts, event_id) as gap from (select *, event_id as e from events)),
+ starts as (select *, sum(case when gap is null or gap >= interval 6 hours then 1 else 0 end) over (partition by user_id order by n) as visit from landed)
+ select 'https://example.com/u/' || user_id as url, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_seen, count(*) as landings, arg_min(event_type, n) <> arg_max(event_type, n) as changed
+ from starts group by user_id, visit""",
+)
+def page_visits(spark, sf_dir):
+    """Landings with the times of `events`, one address a user, as visits with gaps under six hours."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("https://example.com/u/"), "user_id").alias("url"), F.col("event_type").alias("html"), F.col("ts").alias("scraped_at")
     )
-    run.awaitTermination()
-    rates = spark.read.parquet(table)
-    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:00"))
+    found = continuous.visits(rows, "6 hours")
+    seen = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")}
+    return found.withColumns(seen)
