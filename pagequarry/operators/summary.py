@@ -22,8 +22,10 @@ from pagequarry.functions.patterns import (
 )
 from pagequarry.functions.text import is_absolute_url, strip, url_authority
 from pagequarry.operators.arrays import first, group_runs, keep, listed
+from pagequarry.operators.frequent import most_frequent
 from pagequarry.operators.intervals import enclosing
 from pagequarry.sources.parse import class_tokens, classes, parse_pages
+from pagequarry.sources.storage import cut
 
 PAGE = ("page_id",)
 
@@ -201,6 +203,14 @@ def top_values(nodes: DataFrame, section: str, by: tuple[str, ...] = PAGE, n: in
     return top.select(*by, "rank", F.col("value").alias(section), "count")
 
 
+def corpus_top_values(nodes: DataFrame, section: str, n: int | None = None) -> DataFrame:
+    """The n most frequent values of one list over all pages, with their rank; only values that can be among them are shuffled."""
+    entry = F.struct("page_id", "node_id")
+    rows = nodes.select(F.explode(_values(section)).alias("value"), F.lit(1).cast("long").alias("n"), entry.alias("first"))
+    top = most_frequent(cut(rows, "values"), ["value"], "first", n or TOP[section])
+    return top.select("rank", F.col("value").alias(section), "count")
+
+
 def unique_counts(nodes: DataFrame, sections: tuple[str, ...] = ("tag", "class", "id"), by: tuple[str, ...] = PAGE) -> DataFrame:
     """Number of different tags, classes and ids."""
     counts = frequencies(nodes, sections, by)

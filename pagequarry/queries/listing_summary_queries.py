@@ -42,6 +42,15 @@ def top_image_sources(spark, sf_dir):
     return summary.top_values(nodes(spark, sf_dir), "src")
 
 
+@query(
+    "top_image_sources_corpus",
+    _with("""select cast(row_number() over (order by k) as integer) as rank, '/img/' || k || '.jpg' as src, 1 as count
+ from cards qualify rank <= 30"""),
+)
+def top_image_sources_corpus(spark, sf_dir):
+    return summary.corpus_top_values(nodes(spark, sf_dir), "src")
+
+
 @query(
     "form_controls",
     _with("""select page_id, count(*) filter (where k % 10 = 0) as forms, 3 * count(*) filter (where k % 10 = 0) as inputs,

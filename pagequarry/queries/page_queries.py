@@ -153,7 +153,7 @@ def top_hrefs(spark, sf_dir):
 
 @query("top_hrefs_corpus", _with(_top("href", "links", 30, "", "page_id * 100000 + i"), TAGS, LINKS))
 def top_hrefs_corpus(spark, sf_dir):
-    return summary.top_values(nodes(spark, sf_dir), "href", by=())
+    return summary.corpus_top_values(nodes(spark, sf_dir), "href")
 
 
 @query(
@@ -180,6 +180,11 @@ def top_classes(spark, sf_dir):
     return summary.top_values(nodes(spark, sf_dir), "class")
 
 
+@query("top_classes_corpus", _with(_top("class", "tokens", 50, "", "page_id * 100000 + i"), TAGS, ATTRS, CLASSES))
+def top_classes_corpus(spark, sf_dir):
+    return summary.corpus_top_values(nodes(spark, sf_dir), "class")
+
+
 @query(
     "unique_classes",
     _with(
