@@ -10,6 +10,7 @@ from pagequarry.operators import quality, search, summary
 from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products
 from pagequarry.queries.registry import joined, query
 from pagequarry.queries.tree_sql import PATHS, SIGNATURE_JSON, SIGNATURES, fragment, tree
+from pagequarry.sources import table_functions
 from pagequarry.sources.pages import read_pages, read_table, split_pages
 from pagequarry.sources.parse import node_rows, parse_pages
 
@@ -349,6 +350,26 @@ def longest_elements(spark, sf_dir):
     return summary.longest_elements(pages(spark, sf_dir))
 
 
+@query(
+    "sql_page_nodes",
+    _with(
+        """select tag, coalesce(attribute, '-') as attribute, count(*) as count from tags left join (
+ select page_id, i, attribute from attrs) using (page_id, i) group by all""",
+        TAGS,
+        ATTRS,
+    ),
+)
+def sql_page_nodes(spark, sf_dir):
+    """Tags and their attributes in SQL alone, over the table function."""
+    table_functions.register(spark)
+    return spark.sql(
+        """select tag, coalesce(attribute, '-') as attribute, count(*) as count
+ from {pages} p, lateral page_nodes(p.html) n lateral view outer explode(map_keys(n.attrs)) as attribute
+ where kind = 'e' group by all""",
+        pages=pages(spark, sf_dir),
+    )
+
+
 @query("element_paths", tree("select xpath, count(*) as pages from paths group by xpath", PATHS))
 def element_paths(spark, sf_dir):
     rows = node_rows(parse_pages(pages(spark, sf_dir), texts=(), xpath=True))

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -254,3 +255,21 @@ def test_a_page_of_a_million_nodes(pages_of):
     parsed = parse.parse_pages(pages_of(html), texts=("stripped",))
     got = parsed.agg(F.sum(F.size("nodes")), F.max(F.size("nodes")), F.sum(F.octet_length("stripped"))).first()
     assert tuple(got)[:2] == (1_020_001, parse.NODES_PER_ROW) and 340_000 <= got[2] <= 2 * 340_000
+
+
+def test_table_function_in_sql(spark, pages_of):
+    from pagequarry.sources import table_functions
+
+    table_functions.register(spark)
+    pages = pages_of("<div ID=x>a<p>b</p><p> c</p></div>", None, " ")
+    sql = "select p.page_id, n.* from {p} p, lateral page_nodes(p.html, text => 'stripped', xpath => true) n where kind = 'e' order by node_id"
+    rows = spark.sql(sql, p=pages).collect()
+    assert [(r.node_id, r.end_id, r.tag, r.child_count, r.text, r.content, r.xpath) for r in rows] == [
+        (0, 5, "div", 2, "a", "abc", "/div"),
+        (2, 3, "p", 0, "b", "b", "/div/p[1]"),
+        (4, 5, "p", 0, " c", "c", "/div/p[2]"),
+    ]
+    assert rows[0].attrs == {"id": "x"} and rows[0].parent_id == parse.ROOT
+    assert "content" not in spark.sql("select n.* from {p} p, lateral page_nodes(p.html) n", p=pages).columns
+    with pytest.raises(Exception, match="text is one of"):
+        spark.sql("select n.* from {p} p, lateral page_nodes(p.html, text => 'no') n", p=pages).collect()
