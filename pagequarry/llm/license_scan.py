@@ -129,12 +129,12 @@ GRANTS = (
         0.9,
     ),
     ("bsd", "redistribution", _SOURCE_AND_BINARY, 4, 0.8),
-    ("bsd-2-clause", "redistribution", _SOURCE_AND_BINARY + r" (?:\S+ ){0,80}?materials provided with the distribution this software is provided", 4, 0.9),
+    ("bsd-2-clause", "redistribution", _SOURCE_AND_BINARY + r" (?:(?s:.*?) )??materials provided with the distribution this software is provided", 4, 0.9),
     (
         "bsd-3-clause",
         "redistribution",
         _SOURCE_AND_BINARY
-        + r" (?:\S+ ){0,80}?materials provided with the distribution (?:3 |c |iii )?(?:neither the names? of|the names? of) (?:\S+ ){1,30}?may (?:not )?be used to endorse or promote products derived from this software",
+        + r" (?:(?s:.*?) )??materials provided with the distribution (?:3 |c |iii )?(?:neither the names? of|the names? of) (?s:.+?) may (?:not )?be used to endorse or promote products derived from this software",
         4,
         0.9,
     ),
@@ -179,8 +179,8 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 
 def normal(text: Column) -> Column:
-    """The lower-case words of a text, each with a blank on either side of the run; a blank for none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """The words of a text, A-Z in lower case, each with a blank on either side of the run; a blank for none."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 

@@ -391,3 +391,40 @@ def test_string_ids_and_equal_rows(spark):
     assert classes == {("b", "a"), ("a", "a"), ("c", "c"), (None, None)}
     kept = [sorted(map(tuple, near_dedup.keep_one(docs.repartition(n)).collect()), key=str) for n in (1, 3)]
     assert kept[0] == kept[1] and [r[0] for r in kept[0]] == ["a", "c", None] and kept[0][0][2] in "23"
+
+
+# -- licenses -------------------------------------------------------------------------------------
+
+
+def test_grants_with_long_middle_parts(spark):
+    from pagequarry.llm import license_scan
+
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    middle = " ".join(f"term{i}" for i in range(5000)) + " materials provided with the distribution. "
+    texts = {
+        1: head + middle + "THIS SOFTWARE IS PROVIDED as is",
+        2: head + middle + "Neither the name of " + "the very long holder " * 40 + "may be used to endorse or promote products derived from this software",
+        3: head + "something else",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "bsd,bsd-2-clause", 2: "bsd,bsd-3-clause", 3: "bsd"} or got == {1: "bsd-2-clause", 2: "bsd-3-clause", 3: "bsd"}
+
+
+def base_columns(text):
+    low = lower(text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    phrases_of = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    places = [(i, label) for phrase, label in phrases_of.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base_columns_equal_brute_force(spark):
+    from pagequarry.llm import license_scan
+
+    rng = random.Random(4)
+    parts = ["CC BY", "cc by cc", "by", "MIT license", "mit-license", "İMIT license", "Apache License", "GNU General Public License", "gnu general", "x", "É", "\n", ", "]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for i in range(200)] + [(900, None), (901, ""), (902, "mit license " * 3000)]
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {i: base_columns(t) for i, t in rows}
