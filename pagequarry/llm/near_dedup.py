@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm.native import own, words
@@ -393,8 +393,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     empty = F.size(words(F.col("text"))) == 0
     keyed = docs.withColumn(key, F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("doc_id").cast("string"), digest)))
     every = [F.col(f"`{c}`") for c in columns]
-    real = keyed.join(first, key).where(digest == F.col(node)).withColumn(row, F.struct(*every))
-    real = real.groupBy(node).agg(F.min_by(row, F.xxhash64(*every)).alias(row)).select(f"{row}.*")
+    # A key has one node: the rows stand together as the join left them, and are mostly one.
+    equal = Window.partitionBy(key, node).orderBy(F.xxhash64(*every))
+    real = keyed.join(first, key).where(digest == F.col(node)).withColumn(row, F.row_number().over(equal)).where(F.col(row) == 1).select(*every)
     blank = docs.where(F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) == "", F.lit(True)))
     return real.unionByName(blank)
 

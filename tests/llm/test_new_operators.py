@@ -428,3 +428,78 @@ def test_license_base_columns_equal_brute_force(spark):
     rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {i: base_columns(t) for i, t in rows}
+
+
+# -- token counts ---------------------------------------------------------------------------------
+
+
+def brute_counts(values, fields):
+    """Per line of the joined fields: tokens by the rule `most`, and tokens across one of its borders, byte by byte."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    texts = [v or "" for v in values]
+    whole = "\n".join(texts)
+    owner, at, sections = [], 0, []
+    for field, text in zip(fields, texts):
+        lines = text.split("\n")
+        for number, line in enumerate(lines):
+            size = len(line) + (number + 1 < len(lines))
+            sections.append((field, number, at, at + size))
+            owner += [len(sections) - 1] * len(whole[at : at + size].encode())
+            at += size
+        owner.append(None)  # the separator belongs to no field
+        at += 1
+    owner.pop()
+    raw, place = whole.encode(), 0
+    tokens, crossing = [0] * len(sections), [0] * len(sections)
+    decode = {c: b for b, c in byte_letters().items()}
+    for token in tokenizer.encode(whole, add_special_tokens=False).tokens:
+        size = len(token)
+        assert bytes(decode[c] for c in token) == raw[place : place + size]
+        held = collections.Counter(owner[place : place + size])
+        inside = {s: n for s, n in held.items() if s is not None}
+        if inside:
+            tokens[min(inside, key=lambda s: (-inside[s], s))] += 1
+        if len(held) > 1:
+            for s in inside:
+                crossing[s] += 1
+        place += size
+    return [(*s, t, c) for s, t, c in zip(sections, tokens, crossing)]
+
+
+def byte_letters():
+    """The printable letter that a byte-level vocabulary writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+def test_token_counts_of_the_whole_query(spark):
+    from pagequarry.llm import attribution
+    from pagequarry.llm.queries import QUERIES
+
+    fields = ["source", "lang", "text"]
+    docs = {r.doc_id: [r[f] for f in fields] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order = {f: i for i, f in enumerate(fields)}
+
+    def check(rows, docs):
+        got = collections.defaultdict(list)
+        for r in rows:
+            got[r[0]].append(tuple(r)[1:])
+        for doc_id, values in docs.items():
+            assert sorted(got[doc_id], key=lambda r: (order[r[0]], r[1])) == brute_counts(values, fields), doc_id
+        return got
+
+    query = QUERIES["op4_token_counts"](spark, SF)
+    check(query.select("doc_id", "field", "section", "start", "end", "n_tokens", "n_crossing").collect(), docs)
+    # Runs of line feeds are tokens that cross lines.
+    made = {1: ["s", "en", "a\n\n\nb\n\n"], 2: [None, "\n\n", "é\n\n\n\n é"], 3: ["x\n", "\n\n\n", ""], 4: [None, None, None]}
+    table = spark.createDataFrame([(i, *v) for i, v in made.items()], "doc_id long, source string, lang string, text string")
+    counted = attribution.count_tokens(table, fields).select("doc_id", "field", "section", "start", "end", F.col("tokens").cast("long"), "crossing")
+    assert any(r[5] for rows in check(counted.collect(), made).values() for r in rows)
