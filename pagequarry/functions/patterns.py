@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The six patterns (pattern, group returned). `(?i)` where case does not matter.
+# The six patterns (pattern, group returned). `(?i)` where case does not matter. The class of
+# token_like ends in its hyphen, so that Java and RE2 read it alike.
 PATTERNS = {
     "currency_examples": (r"(?i)(?:(?:₹|Rs\.?|INR|USD|\$|€|€\s?)\s?[0-9][0-9,]*(?:\.\d+)?)", 0),
     "rating_examples": (r"(?i)([0-9](?:\.[0-9])?)\s*(?:out of\s*5|/5|★|stars?)", 1),

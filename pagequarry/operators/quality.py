@@ -195,6 +195,7 @@ def health_report(performance: DataFrame, fields: tuple[str, ...] = FIELDS) -> D
     )
 
 
+# The wording of statuses, issues and suggestions here and above.
 def improvement_suggestions(products: DataFrame) -> DataFrame:
     """Per site and field below 95 percent: priority, issue, suggestion and first failing values."""
     fields = SUGGESTED_FIELDS
