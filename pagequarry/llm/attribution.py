@@ -9,7 +9,9 @@ several tokens is shared exactly. Bytes outside all sections count for none.
 `count_tokens` makes the sections itself, one per line of each field; `attribute` takes given spans.
 
 Defined results: a null text counts as empty; a section without characters has no tokens; null or empty
-span lists give no rows; repeated rows give their rows each. Only the columns named are read.
+span lists give no rows; repeated rows give their rows each. Only the columns named are read. An empty table gives no
+rows; a document is held whole by the worker that encodes it; of sections that hold equally many bytes the earlier one
+gets the token.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ by every worker. Special tokens found in a text are encoded as themselves, as th
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; repeated rows are
 encoded each; `encode` and `decode` replace or add just the column they are told to. Words are cached
-per worker, in a cache of bounded size; a row is encoded on its own, so memory is bounded by a batch.
+per worker, in a cache of bounded size; a row is encoded on its own, so memory is bounded by a batch and, for a very long
+text, by that text. An empty table gives no rows.
 """
 
 from __future__ import annotations

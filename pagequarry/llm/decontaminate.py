@@ -17,7 +17,8 @@ documents with each other.
 
 Defined results: words are lower-case runs of non-blanks; items or documents under five words have no
 shingles and never match; null texts count as empty; repeated rows (equal id and text) give
-one row per item; a null doc_id or item_id is kept as a key; only the columns named are read.
+one row per item; a null doc_id or item_id is kept as a key; only the columns named are read. An empty table or benchmark
+gives no rows; a text's shingles are one array, whatever its length; of equally similar windows the first is reported.
 """
 
 from __future__ import annotations

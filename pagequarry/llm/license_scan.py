@@ -7,7 +7,8 @@ words, the one with the higher priority, then the earlier rule, stays). Labels a
 detections left, and the base labels of four phrases, which always stay.
 
 Defined results: a null or empty text has no words and no label; a phrase that stands twice counts twice;
-repeated rows get equal results, since detections belong to a text's digest; other columns are not read.
+repeated rows get equal results, since detections belong to a text's digest; other columns are not read. An empty table
+gives no rows; texts of any length are matched whole; of detections with equal spans and priority the first rule stays.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ of documents labelled good (`max_trusted`, the smallest by a hash of the id).
 
 Defined results: a null or blank text has no words, score 0 and fails the base rule; without any
 trusted document the two multinomials are equal and every score is 0; a null doc_id is never
-trusted; repeated rows are counted and judged each; other columns are carried only by `judge`.
+trusted; repeated rows are counted and judged each; other columns are carried only by `judge`, and none of their
+names clashes with its own. An empty table gives no rows. A text's words are one array, whatever its length. A score equal to the
+threshold is kept.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ placeholders, words, checksums or ids instead, are false. All others are undecid
 
 Defined results: null or empty texts have no candidates; equal candidates of a text are findings each;
 repeated rows (equal id and text) give one set of rows in `findings`, and are redacted each in
-`redact`; with no true or no false finding to learn from every candidate is kept (score 1).
+`redact`; with no true or no false finding to learn from every candidate is kept (score 1). An empty table gives no rows; a
+text's candidates are one array, and their places a window that spills; `redact` carries all columns, and none of their names
+clashes with its own. A score equal to the bound is kept.
 """
 
 from __future__ import annotations

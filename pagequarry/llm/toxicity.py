@@ -13,7 +13,8 @@ zero, since they could only be learned by heart.
 
 Only text enters a score. Defined results: null, empty and blank texts score as one window without words;
 a null doc_id is neither held out nor trained on; repeated rows are scored each; without labels of
-both kinds every score is 0; other columns are not read.
+both kinds every score is 0; other columns are not read, ids may be of any type. An empty table gives no rows. A long text is
+scored in all its windows, a step of bounded size at a time; a score of exactly 0.5 is predicted toxic.
 """
 
 from __future__ import annotations

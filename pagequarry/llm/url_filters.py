@@ -12,7 +12,9 @@ host adds no rows beyond its pairs. Each round is one join and one sum; every fe
 written to the shared folder, which bounds the plan and survives lost executors.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is
-allowed; null html has no links; repeated rows count as so many pages; an empty table gives no rows.
+allowed; null html has no links; repeated rows count as so many pages; an empty table gives no rows; columns other than
+page_id, url and html are not read. Equal trust and distrust count as trust, up to the order in which the scores
+are added. Urls and pages of any length are read by Spark's own functions.
 """
 
 from __future__ import annotations

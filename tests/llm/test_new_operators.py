@@ -503,3 +503,24 @@ def test_token_counts_of_the_whole_query(spark):
     table = spark.createDataFrame([(i, *v) for i, v in made.items()], "doc_id long, source string, lang string, text string")
     counted = attribution.count_tokens(table, fields).select("doc_id", "field", "section", "start", "end", F.col("tokens").cast("long"), "crossing")
     assert any(r[5] for rows in check(counted.collect(), made).values() for r in rows)
+
+
+# -- empty tables ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op7", "op8", "op10"])
+def test_empty_tables(spark, name):
+    from pagequarry.llm import attribution, bpe, license_scan, near_dedup, quality_rules, secret_scan, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
+    made = {
+        "op1": lambda: near_dedup.keep_one(docs),
+        "op2": lambda: quality_rules.keep(docs, quality_rules.log_ratios(docs, labels)),
+        "op4": lambda: attribution.count_tokens(docs, ["source", "text"]),
+        "op5": lambda: toxicity.score(docs, toxicity.train([], []) if toxicity.training_rows(docs, labels) else None),
+        "op7": lambda: secret_scan.findings(docs, [1.0]),
+        "op8": lambda: bpe.round_trip(docs),
+        "op10": lambda: license_scan.scan(docs),
+    }
+    assert made[name]().collect() == []
