@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from pagequarry.functions.patterns import PATTERNS, pattern_examples
 from pagequarry.operators import summary
 from pagequarry.operators.heuristics import FIELDS, HINTS, sample_extractions
+from pagequarry.sources.parse import node_rows, parse_pages
 from pagequarry.sources.storage import cut
 
 LISTS = ("tag", "host", "href", "src", "input_type", "class", "id")
 
+# Keys that are read off a page's whole node array.
+FROM_ARRAY = (
+    "text_nodes", "total_text_chars", "word_count", "longest_text_node_length", "longest_text_node_preview", "avg_words_per_text_node",
+    "total_repeated_signatures", "top_repeated", "clustered_subtrees", "suggested_container", "top_xpath_examples", "top_words",
+    "sample_extractions", *PATTERNS, *(f"{p}_count" for p in PATTERNS),
+)
+
 # The keys a reduced summary keeps.
 REDUCED = (
     "page_id",
@@ -36,37 +44,43 @@ REDUCED = (
 )
 
 
-def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"]) -> DataFrame:
-    """One row per page with content, with every key of the report.
+def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per page with content, with every key of the report, or with those of `keys` besides the plain counts.
 
     The pages are parsed once, into the shared folder. What a page's own node array can tell is told in its row (texts, repeated
-    subtrees, fragments, patterns); counts and lists are aggregates over the element rows.
+    subtrees, fragments, patterns); counts and lists are aggregates over the element rows. Parts without a wanted key are not made.
     """
     pages = pages.select("page_id", *(["url"] if "url" in pages.columns else []), "html")
-    parsed = cut(
-        summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null"), "parsed"
-    )
-    facts = cut(_facts(parsed), "page-facts")
-    elements = facts.select("page_id", F.inline("elements"))
+
+    def wanted(*names: str) -> bool:
+        return keys is None or any(k in names for k in keys)
+
+    parts = []
+    if wanted(*FROM_ARRAY):
+        parsed = cut(
+            summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null"), "parsed"
+        )
+        facts = cut(_facts(parsed), "page-facts")
+        elements = facts.select("page_id", F.inline("elements"))
+        parts += [facts.drop("elements", "pieces"), _words(facts), _samples(pages, parsed)]
+    else:
+        members = ("page_id", "node_id", "end_id", "depth", "tag", "attrs", "child_count")
+        elements = cut(node_rows(parse_pages(pages, texts=())).select(*members), "elements")
     out = summary.page_meta(pages).join(summary.counters(elements), "page_id")
-    parts = (
-        _lists(elements, top_tags),
-        facts.drop("elements", "pieces"),
-        _words(facts),
-        summary.confidence(elements),
-        _attributes(elements),
-        _forms(elements),
-        _samples(pages, parsed),
-    )
+    if wanted(*[f"top_{name}" for name in LISTS], *summary.UNIQUE.values()):
+        parts.append(_lists(elements, top_tags))
+    if wanted("js_score", "empty_anchor_ratio", "lots_of_classes", "is_likely_js_heavy"):
+        parts.append(summary.confidence(elements))
+    if wanted("attribute_stats"):
+        parts.append(_attributes(elements))
+    if wanted("forms_detailed", "has_forms_posting_external"):
+        parts.append(_forms(elements))
     for part in parts:
         out = out.join(part, "page_id", "left")
+    if "has_forms_posting_external" in out.columns:
+        out = out.withColumn("has_forms_posting_external", F.coalesce("has_forms_posting_external", F.lit(False)))
     hints = F.create_map(*[x for field, hints in HINTS.items() for x in (F.lit(field), F.array(*[F.lit(h) for h in hints]))])
-    return out.withColumns(
-        {
-            "has_forms_posting_external": F.coalesce("has_forms_posting_external", F.lit(False)),
-            "field_hint_map": hints,
-        }
-    )
+    return out.withColumn("field_hint_map", hints) if wanted("field_hint_map") else out
 
 
 def _facts(parsed: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _with(sql: str, *ctes: str) -> str:
     ),
 )
 def page_summary(spark, sf_dir):
-    rows = plan.summarize(pages(spark, sf_dir))
+    rows = plan.summarize(pages(spark, sf_dir), keys=("top_tag",))
     entry = lambda t: F.concat(t["value"], F.lit("="), t["count"])
     return rows.select(
         "page_id",
@@ -114,11 +114,11 @@ def page_summary_json(spark, sf_dir):
     ),
 )
 def reduced_summary(spark, sf_dir):
-    return plan.reduced(plan.summarize(pages(spark, sf_dir))).select(
+    return plan.reduced(plan.summarize(pages(spark, sf_dir), keys=plan.REDUCED)).select(
         "page_id", "links", "h1", "is_likely_js_heavy"
     )
 
 
 @query("summary_field", "select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as value from pages")
 def summary_field(spark, sf_dir):
-    return plan.read_field(plan.summarize(pages(spark, sf_dir)), "title")
+    return plan.read_field(plan.summarize(pages(spark, sf_dir), keys=("title",)), "title")
