@@ -2,8 +2,8 @@
 
 The corpus is dealt into shards that are scanned in a cycle. Words are counted from the first step on. A
 longer phrase is activated as soon as both its parts (all words but the last, all but the first) have
-reached the threshold, in the middle of a cycle, and is counted from the next step on, until it has reached the
-threshold itself or one whole cycle is complete, when every shard has been scanned for it once. So
+reached the threshold, in the middle of a cycle, and is counted from the next step on (not before its parts are counted
+themselves), until it has reached the threshold itself or one whole cycle is complete, when every shard has been scanned for it once. So
 lengths interleave, and counting ends one cycle after the last part has reached the threshold.
 
 In the cycle a phrase is a hash of 54 bits, with its length and the step in which it was activated: one long and a
@@ -100,7 +100,8 @@ class Block:
             live = live[np.concatenate([at[live][1:] == at[live][:-1] + 1, [False]])] if len(live) else live
             if size == longest or not len(live):
                 return
-            opened = np.maximum(reached[live], reached[live + 1]) + np.uint8(1)
+            # Its parts' slots may have been reached by others before the parts could be seen: it is not seen before them.
+            opened = np.maximum.reduce([reached[live] + np.uint8(1), reached[live + 1] + np.uint8(1), opened[live], opened[live + 1]])
             at, here = at[live], here[live]
             here = mix(here * _U(0x9E3779B97F4A7C15) + self.hashes[self.codes[at + size]])
 

@@ -90,6 +90,20 @@ def test_phrases_with_crowded_slots(spark, monkeypatch):
     assert got_phrases(docs, shards=2, **options) == brute_phrases(rows, **options)
 
 
+def test_phrases_whose_parts_share_reached_slots(spark, monkeypatch):
+    """A pair's slot was reached by other pairs before its words were: phrases around it still get a whole cycle."""
+    monkeypatch.setattr(phrases, "LEAST_SLOTS", 10)
+    monkeypatch.setattr(phrases, "MOST_SLOTS", 10)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(24)]
+    some = " ".join(rng.choice(common) for _ in range(20_000))
+    late = ". ".join(" ".join([f"late{i}"] * 13) for i in range(40))
+    rows = [(some, "en"), (some, "en"), (late, "en")]
+    docs = table(spark, [(i, t, g) for i, (t, g) in enumerate(rows)]).coalesce(1).orderBy("doc_id").coalesce(1)
+    options = {"threshold": 10, "longest": 3, "covered": 50, "top": 2000}
+    assert got_phrases(docs, shards=3, **options) == brute_phrases(rows, **options)
+
+
 def test_phrases_of_long_text_in_small_blocks(spark, monkeypatch):
     rng = random.Random(3)
     text = " ".join(rng.choice(["red", "green", "blue", "gold."]) for _ in range(30_000))
