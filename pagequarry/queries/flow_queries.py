@@ -18,7 +18,7 @@ from pagequarry.queries.page_queries import pages
 from pagequarry.queries.registry import query
 from pagequarry.schema import FIELDS, PRODUCT_COLUMNS
 from pagequarry.sources import runs, sinks
-from pagequarry.sources.storage import new_folder
+from pagequarry.sources.storage import cut, new_folder
 from pagequarry.streaming import continuous
 
 SHOPS = tuple(f"shop{i}" for i in range(4))
@@ -394,15 +394,31 @@ def rates_over_time(spark, sf_dir):
     return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:00"))
 
 
+#: How many landings a stream of product rows is dealt into: a batch each, however many rows there are.
+LANDINGS = 8
+
+
 def _rates(spark, found):
-    """Stream product rows, one file a day in the order of the days, and keep their rates."""
-    path, folder = new_folder(spark, "rows"), new_folder(spark, "rates")
-    found.repartition(1).sortWithinPartitions("scraped_at").write.option("maxRecordsPerFile", 4000).parquet(path)
-    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    continuous.rates_stream(stream, folder, new_folder(spark, "progress")).awaitTermination()
+    """Land product rows in the order of their times and keep their rates: a run of the stream, on from the one before, takes each
+    landing as one batch. All tasks write and read a landing, so it may grow with the rows; the number of batches does not."""
+    path, folder, progress = (new_folder(spark, purpose) for purpose in ("rows", "rates", "progress"))
+    for part in _landings(found):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(found.schema).parquet(path)
+        continuous.rates_stream(stream, folder, progress).awaitTermination()
     return folder
 
 
+def _landings(found, n: int = LANDINGS):
+    """The rows in `n` parts of about equal size, or fewer: no time of a part is later than one of the next."""
+    spark, rows = found.sparkSession, cut(found, "found")
+    bounds = rows.agg(F.percentile_approx("scraped_at", [i / n for i in range(1, n)]).alias("b")).first().b or []
+    after = [F.when(F.col("scraped_at") > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds))]
+    landing = sum(after, F.lit(0))
+    dealt = cut(rows.withColumn("landing", landing), "landings", by=("landing",))
+    return [dealt.where(F.col("landing") == i).drop("landing") for i in range(len(after) + 1)]
+
+
 @query(
     "page_visits",
     """with landed as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n, event_type,

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from pagequarry.queries import flow_queries
 from pagequarry.schema import FIELDS
 from pagequarry.streaming import continuous
 
@@ -79,6 +80,25 @@ def test_what_is_carried_on_shrinks(spark, tmp_path):
     assert sizes == [3, 1]
 
 
+def test_landings_do_not_grow_in_number_and_lose_no_row(spark):
+    times = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("id") * 7919, F.lit(40_000)) * 60)
+    rows = spark.range(40_000).select(F.when(F.col("id") > 2, times).alias("scraped_at"), F.lit("s").alias("site"), F.lit("n").alias("name"))
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(f) for f in FIELDS if f != "name"]).repartition(3)
+    folder = flow_queries._rates(spark, rows)
+    marks = [r.mark for r in spark.read.parquet(f"{folder}/marks").orderBy("batch").collect()]
+    assert 2 < len(marks) <= 8 and marks == sorted(set(marks))
+    assert late_count(spark, folder) == 0
+    counts = continuous.closed_windows(spark, folder).unionByName(continuous.open_windows(spark, folder))
+    expected = rows.filter("scraped_at is not null").groupBy(F.date_trunc("hour", "scraped_at").alias("h")).count().collect()
+    assert sorted((r.window_start, r.total, r.name) for r in counts.collect()) == sorted((r.h, r["count"], r["count"]) for r in expected)
+    none = flow_queries._rates(spark, rows.limit(0))
+    assert continuous.closed_windows(spark, none).count() == 0
+
+
+def late_count(spark, folder):
+    return continuous.late_rows(spark, folder).count()
+
+
 def test_visits_end_at_gaps(spark):
     rows = [("u", "a", 0), ("u", "a", 0.5), ("u", "b", 1.2), ("u", "a", 5), ("v", "a", 0)]
     pages = spark.createDataFrame([(u, h, START + datetime.timedelta(hours=t)) for u, h, t in rows], "url string, html string, scraped_at timestamp")
