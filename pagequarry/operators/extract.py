@@ -114,8 +114,9 @@ class _Plan:
         otherwise: tuple[Path, ...] = (),
         listed: str | None = None,
         parsed: DataFrame | None = None,
+        partitions: int | None = None,
     ):
-        self.listed, self.parsed = listed, parsed
+        self.listed, self.parsed, self.partitions = listed, parsed, partitions
         self.prepare, self.parse = prepare, dict(parse or {})
         self.fields, self.cleaning, self.picked = fields, cleaning, picked
         self.box_values, self.texts = dict(box_values or {}), texts
@@ -316,9 +317,12 @@ class _Plan:
             with_config = pages.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
             parsed = parse_pages(with_config, **{**self.parse_options(), **self.parse})
         else:
-            parsed = self.parsed.withColumn("cfg", self.site_config())
+            parsed = self.parsed.withColumn("cfg", self.site_config()).filter(F.col("cfg").isNotNull())
         nodes = node_rows(self.prepare(parsed) if self.prepare else parsed, elements_only=False)
-        return self.mark_containers(self.whole_page_flags(self.candidates(nodes, carry)))
+        rows = self.candidates(nodes, carry)
+        if self.partitions:
+            rows = rows.repartition(self.partitions, "page_id")
+        return self.mark_containers(self.whole_page_flags(rows))
 
     # Containers: the first selector with a hit on the page decides.
     def mark_containers(self, rows: DataFrame) -> DataFrame:
@@ -434,6 +438,7 @@ def extract_rows(
     otherwise: tuple[Path, ...] = (),
     listed: str | None = None,
     parsed: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per container: page columns, `index`, `box_id` (its node id) and the fields.
 
@@ -445,13 +450,14 @@ def extract_rows(
     `prepare` may add columns to the parsed pages, such as `picked`; `parse` are further options of the parse.
     `otherwise` are paths of the containers of pages on which nothing is picked.
     `listed` names a field that yields all its values, see `extract_lists`, out of the same windows.
-    `parsed` is a stored result of `parse_pages` on these pages, with what the plan needs; else they are parsed here.
+    `parsed` is a stored result of `parse_pages` on these pages, with what the plan needs (see `parse_once`); else they are parsed here.
+    `partitions`: into how many tasks the rows are dealt by page; else as many as the session shuffles into.
     """
     if isinstance(configs, DataFrame):
         configs = configs_from_table(configs)
     if listed:
         fields = tuple(f for f in fields if f != listed)
-    plan = _Plan(configs, (*fields, *([listed] if listed else [])), lists, cleaning, picked, box_values, texts, prepare, parse, otherwise, listed, parsed)
+    plan = _Plan(configs, (*fields, *([listed] if listed else [])), lists, cleaning, picked, box_values, texts, prepare, parse, otherwise, listed, parsed, partitions)
     carry = _carry(pages, picked)
     rows = plan.marked_rows(pages, carry)
     rows, slots = plan.events(rows)
@@ -504,6 +510,17 @@ def extract_rows(
     return boxes.select(*keep, *raw).select(*keep, *done).select(*keep, *columns).drop("cfg")
 
 
+def parse_once(pages: DataFrame, *uses: tuple[Mapping[str, Config], tuple[str, ...]]) -> DataFrame:
+    """The `parse_pages` result that serves the extraction of each of these (configurations, fields): store it and hand it to
+    `extract_rows` as `parsed`, for several extractions of the same pages."""
+    options = [_Plan(configs, fields).parse_options() for configs, fields in uses]
+    return parse_pages(
+        pages,
+        texts=tuple(dict.fromkeys(t for o in options for t in o["texts"])),
+        **{name: any(o[name] for o in options) for name in ("parent_attrs", "parent_text")},
+    )
+
+
 def _with_lists(owned: DataFrame, own: list[str], listed: str) -> DataFrame:
     """Boxes with their own columns and the values of the events inside them, in selector then document order, repeats dropped.
 
@@ -533,11 +550,11 @@ def valid_product(name: str = "name", price: str = "current_price") -> Column:
 
 
 def extract_products(
-    pages: DataFrame, configs: Mapping[str, Config] | DataFrame, scraped_at: Column | None = None
+    pages: DataFrame, configs: Mapping[str, Config] | DataFrame, scraped_at: Column | None = None, parsed: DataFrame | None = None
 ) -> DataFrame:
     """Product rows that pass the validity filter. `index` keeps the container's position, so gaps
     show what was dropped; missing values are NULL (see sinks.stored_products for the stored form)."""
-    rows = extract_rows(pages, configs).filter(valid_product())
+    rows = extract_rows(pages, configs, parsed=parsed).filter(valid_product())
     out = rows
     if "site" not in rows.columns:
         out = out.withColumn("site", F.lit("unknown"))

@@ -150,14 +150,15 @@ def name_rules(spark: SparkSession) -> DataFrame:
 
 def valid_names(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with a name that is long enough for its site and does not start like a price. `rules` has
-    one row per site with rules (a handful), other sites only need a name."""
-    checked = rows.filter(F.col("name").isNotNull()).join(rules, "site", "left")
+    one row per site with rules (a handful) and is broadcast: a shuffle by site would put all rows of a site into one
+    task. Other sites only need a name."""
+    checked = rows.filter(F.col("name").isNotNull()).join(F.broadcast(rules), "site", "left")
     fits = F.length("name") >= F.coalesce("min_len", F.lit(1))
     priced = F.coalesce(F.col("name").startswith(F.col("reject_prefix")), F.lit(False))
     return checked.filter(fits & ~priced).drop("min_len", "reject_prefix")
 
 
-def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFrame:
+def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config], partitions: int | None = None) -> DataFrame:
     """Product rows of the configured sites before name checks; offers stay an array, out of the same pass."""
     configs = _text_only(configs)
     boxed = with_fallback_boxes(configs)
@@ -180,7 +181,7 @@ def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFr
             ),
         }
     rows = extract_rows(
-        pages, everything, (*fields, *chain_fields), cleaning="strip", box_values=box_values, listed="offers"
+        pages, everything, (*fields, *chain_fields), cleaning="strip", box_values=box_values, listed="offers", partitions=partitions
     )
     name, original = F.col("name"), F.col("original_price")
     site = F.col("site")
@@ -196,6 +197,6 @@ def extract_site_rows(pages: DataFrame, configs: Mapping[str, Config]) -> DataFr
     return rows.select(*[c for c in rows.columns if c not in skip], chained)
 
 
-def extract_site_products(pages: DataFrame, configs: Mapping[str, Config]) -> DataFrame:
-    rows = extract_site_rows(pages, configs)
+def extract_site_products(pages: DataFrame, configs: Mapping[str, Config], partitions: int | None = None) -> DataFrame:
+    rows = extract_site_rows(pages, configs, partitions)
     return valid_names(rows, name_rules(pages.sparkSession)).drop("box_id")

@@ -89,6 +89,16 @@ HELP = '<div><a href="/help/p/1">Help</a></div>'
 TAIL = f"</div><footer>{HELP}{HELP}</footer></body></html>"
 
 
+# Parts whose nodes one task of the windows over pages takes.
+PARTS_PER_TASK = 6000
+
+
+def market_partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for the windows over the pages, so that one does not grow with the parts; none while the session's shuffles have as many."""
+    wanted = -(-spark.read.parquet(f"{sf_dir}/part.parquet").count() // PARTS_PER_TASK)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     names = F.array(*[F.lit(s) for s in SITES])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import cards, legacy
 from pagequarry.operators.extract import ANY_SITE, css, extract_rows
 from pagequarry.operators.sites import built_in_sites, list_schema
-from pagequarry.queries.market import EXPECTED, market_pages
+from pagequarry.queries.market import EXPECTED, market_pages, market_partitions
 from pagequarry.queries.registry import query
 from pagequarry.schema import CARD_COLUMNS
 
@@ -26,13 +26,13 @@ def _flat(rows):
 
 @query("site_products", _with(f'select site, page_id, "index", {COLUMNS} from kept'))
 def site_products(spark, sf_dir):
-    rows = legacy.extract_site_products(market_pages(spark, sf_dir), built_in_sites())
+    rows = legacy.extract_site_products(market_pages(spark, sf_dir), built_in_sites(), market_partitions(spark, sf_dir))
     return _flat(rows).select("site", "page_id", "index", *COLUMNS.split(", "))
 
 
 def _one_site(site: str, columns: str):
     def run(spark, sf_dir):
-        rows = legacy.extract_site_rows(market_pages(spark, sf_dir), {site: built_in_sites()[site]})
+        rows = legacy.extract_site_rows(market_pages(spark, sf_dir), {site: built_in_sites()[site]}, market_partitions(spark, sf_dir))
         return _flat(rows).select("page_id", "index", *columns.split(", "))
 
     return run
@@ -66,7 +66,7 @@ def fallback_containers(spark, sf_dir):
     _with("select site, count(*) as products, count(current_price) as priced from kept group by site"),
 )
 def valid_names_per_site(spark, sf_dir):
-    rows = legacy.extract_site_products(market_pages(spark, sf_dir), built_in_sites())
+    rows = legacy.extract_site_products(market_pages(spark, sf_dir), built_in_sites(), market_partitions(spark, sf_dir))
     return rows.groupBy("site").agg(
         F.count(F.lit(1)).alias("products"), F.count("current_price").alias("priced")
     )

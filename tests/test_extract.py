@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products, extract_rows, rules_from_dict
 from pagequarry.operators.legacy import valid_names
 
@@ -129,3 +131,21 @@ def test_name_rules(spark, site, name, ok):
 
     rows = spark.createDataFrame([(site, name)], "site string, name string")
     assert valid_names(rows, name_rules(spark)).count() == int(ok)
+
+
+def test_one_stored_parse_serves_different_extractions(spark, pages_of):
+    from pagequarry.operators.extract import Rule, css, extract_rows, parse_once
+    from pagequarry.sources.storage import cut
+
+    box = {"product_container": css("div.p")}
+    one = {"s": {**box, "name": (Rule(".//b/text()", "xpath"),), "rating": (Rule("R=(\\d)", "regex"),)}}
+    two = {"s": {**box, "name": css('i:contains("x")', "b"), "reviews": (Rule("left", "string"),)}, "t": {**box, "name": css("u")}}
+    fields = ("name", "rating", "reviews")
+    html = '<div class="p"><b> A <i>b</i></b> R=4 <u>u</u></div><div class="p"><i a="1">x y</i><p> 3 left </p></div>'
+    pages = pages_of(html, "<div class='p'><u>z</u></div>").union(pages_of(html, site="t"))
+    pages = pages.withColumn("page_id", F.monotonically_increasing_id())
+    pages = cut(pages, "pages")
+    parsed = cut(parse_once(pages, (one, fields), (two, fields)), "parsed")
+    for config in (one, two):
+        got = sorted(map(str, extract_rows(pages, config, fields, parsed=parsed).collect()))
+        assert got and got == sorted(map(str, extract_rows(pages, config, fields).collect()))

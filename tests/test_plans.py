@@ -129,3 +129,33 @@ def test_cards_of_pages_without_a_container(spark, pages_of):
     pages = pages_of(html, "<div>none</div>").select("page_id", "html")
     assert [tuple(r) for r in looks_like_card(pages).collect()] == [(0, 1, 1)]
     assert [(r.page_id, r.product_id, r.title) for r in cards(pages).collect()] == [(0, "product_1", "Pan")]
+
+
+@pytest.mark.parametrize("name", ["improved_run", "repeated_append"])
+def test_repeated_extractions_parse_the_pages_once(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from pagequarry.operators import extract
+
+    calls, parse = [], extract.parse_pages
+    monkeypatch.setattr(extract, "parse_pages", lambda *a, **b: calls.append(1) or parse(*a, **b))
+    assert entry.queries()[name](spark, SF).count() > 0
+    assert len(calls) == 1
+
+
+def test_a_task_of_site_products_does_not_grow_with_parts_or_sites(spark, monkeypatch):
+    """No shuffle by site, whatever Spark would broadcast by itself, and more tasks for more parts, with the same rows."""
+    import __spark_entry__ as entry
+    from pagequarry.queries import market
+
+    run = entry.queries()["site_products"]
+    few = sorted(map(str, run(spark, SF).collect()))
+    monkeypatch.setattr(market, "PARTS_PER_TASK", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = run(spark, SF)
+        text = plan(rows)
+        assert "hashpartitioning(site" not in text
+        assert f", {market.market_partitions(spark, SF)}), REPARTITION_BY_NUM" in text
+        assert sorted(map(str, rows.collect())) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
