@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import TEMPLATE_PLATFORMS, LABEL_PLATFORMS, platform_of
 from pagequarry.operators import config, quality
-from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products, extract_rows
+from pagequarry.operators.extract import ANY_SITE, Rule, css, extract_products, extract_rows, parse_once
 from pagequarry.operators.heuristics import field_hints
 from pagequarry.operators.sites import built_in_sites, platform_templates
 from pagequarry.plans import workflow
@@ -72,11 +72,15 @@ RUNS = {"first": SHOPS[:2], "second": SHOPS[2:]}
 
 @query("repeated_append", _with(f'select "index", {STORED}, site, \'N/A\' as scraped_at from products'))
 def repeated_append(spark, sf_dir):
-    """Pages appended by two runs, one of them done twice and one attempt of it left without a commit."""
+    """Pages appended by two runs, one of them done twice and one attempt of it left without a commit. The pages are parsed once."""
     path, pages = new_folder(spark, "table"), listing_pages(spark, sf_dir)
+    of_run = {name: F.col("site").isin(*sites) for name, sites in RUNS.items()}
+    run_of = F.when(of_run["first"], "first").when(of_run["second"], "second")
+    stored = cut(parse_once(pages, (SELECTORS, FIELDS)).withColumn("run_of", run_of), "parsed", by=("run_of",))
+    parsed = {name: stored.filter(F.col("run_of") == name).drop("run_of") for name in RUNS}
     for name in ("first", "second", "first"):
-        workflow.scrape_and_append(pages.filter(F.col("site").isin(*RUNS[name])), SELECTORS, path, name)
-    left = extract_products(pages.filter(F.col("site").isin(*RUNS["second"])), SELECTORS)
+        workflow.scrape_and_append(pages.filter(of_run[name]), SELECTORS, path, name, parsed[name])
+    left = extract_products(pages.filter(of_run["second"]), SELECTORS, parsed=parsed["second"])
     runs.stage(sinks.stored_products(left), path, "second", ("site",))
     return sinks.read_products(spark, path)
 
