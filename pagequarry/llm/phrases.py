@@ -8,8 +8,9 @@ lengths interleave, and counting ends one cycle after the last part has reached
 
 In the cycle a phrase is a hash of 54 bits, with its length and the step in which it was activated: one long and a
 count for each different phrase of a task, summed by Spark. What the scans need to know is in which step a part
-has reached the threshold. This goes to them as a table of a fixed number of slots, one byte each: the
-hash names the slot, a slot keeps the first step in which any of its phrases reached the threshold. When a
+has reached the threshold. This is a table of a fixed number of slots, one byte each: the
+hash names the slot, a slot keeps the first step in which any of its phrases reached the threshold. The scans get it as `Slots`, a
+bit for each slot and a byte for each one reached, since every Python worker holds its own. When a
 phrase is activated follows from the slots alone, so every step agrees on it. Phrases that share a hash or a slot
 can only be activated too early or without need, which costs time; none is missed.
 
@@ -70,6 +71,32 @@ def pieces(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
+class Slots:
+    """A table of slots in about a fifth of its bytes where few are reached: a bit for each, and the steps of those reached in
+    order, found by the number of reached slots before each 64 of them. Read like the table itself, by an array of slots."""
+
+    def __init__(self, table: np.ndarray):
+        reached = table != NEVER
+        self.size = len(table)
+        self.bits = np.packbits(np.append(reached, np.zeros(-self.size % 64, bool)), bitorder="little").view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits), dtype=np.int64)[:-1]]).astype(np.uint32)
+        self.steps = table[reached]
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        out = np.full(len(slots), NEVER, np.uint8)
+        bit = (slots & 63).astype(_U)
+        word = self.bits[slots >> 6] >> bit
+        hit = np.flatnonzero(word & _U(1))
+        # Of 64 slots those from the hit on are shifted to the low end: the others stand before it.
+        at = slots[hit] >> 6
+        earlier = np.bitwise_count(self.bits[at]) - np.bitwise_count(word[hit])
+        out[hit] = self.steps[self.before[at] + earlier]
+        return out
+
+
 class Block:
     """The phrases of a block: at each word, the phrase of every length that starts there."""
 
@@ -152,11 +179,11 @@ def shard_table(docs: DataFrame, shards: int) -> DataFrame:
 
 def _scan(rows: DataFrame, tables: list[np.ndarray], schema: str, of) -> DataFrame:
     """What `of(block, lang, tables)` yields for every block of text: tuples of Arrow columns."""
-    packed = rows.sparkSession.sparkContext.broadcast([zlib.compress(t.tobytes(), 1) for t in tables])
+    shared = rows.sparkSession.sparkContext.broadcast([Slots(t) for t in tables])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = [np.frombuffer(zlib.decompress(t), np.uint8) for t in packed.value]
+        here = shared.value
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 

@@ -519,6 +519,16 @@ def test_token_counts_of_the_whole_query(spark):
     assert any(r[5] for rows in check(counted.collect(), made).values() for r in rows)
 
 
+def test_phrase_slots_are_read_like_the_table_in_less_memory():
+    rng = np.random.default_rng(3)
+    for size, reached in ((16, 5), (1 << 16, 0), (1 << 16, 900), (1 << 16, 1 << 16)):
+        table = np.full(size, phrases.NEVER, np.uint8)
+        table[rng.permutation(size)[:reached]] = rng.integers(0, 63, reached)
+        slots, asked = phrases.Slots(table), rng.integers(0, size, 5000)
+        assert len(slots) == len(table) and (slots[asked] == table[asked]).all() and slots[asked].dtype == np.uint8
+        assert reached != 900 or slots.bits.nbytes + slots.before.nbytes + slots.steps.nbytes < len(table) / 4
+
+
 # -- empty tables ---------------------------------------------------------------------------------
 
 
