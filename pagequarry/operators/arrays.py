@@ -28,7 +28,7 @@ def group_runs(rows: DataFrame, sorted_items: str, key: str, into: str) -> DataF
 
 def first(items: Column, n: int) -> Column:
     """The n smallest items of an array of structs, in their order."""
-    return F.slice(F.array_sort(items), F.lit(1), F.lit(n))
+    return F.slice(F.sort_array(items), F.lit(1), F.lit(n))
 
 
 def keep(rows: DataFrame, condition: Column) -> DataFrame:

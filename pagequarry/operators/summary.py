@@ -172,6 +172,17 @@ def _values(section: str) -> Column:
     raise ValueError(section)
 
 
+def _first(by: tuple[str, ...], *place: str) -> Column:
+    """The first place (whole numbers from 0 on) of a group. Within a page it is the least of one number, which Spark keeps in a hash
+    table; a least struct makes it sort the rows."""
+    if "page_id" not in by:
+        return F.min(F.struct("page_id", *place)).alias("first")
+    number = F.col(place[0])
+    for name in place[1:]:
+        number = number.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(name).cast("decimal(10,0)")
+    return F.struct("page_id", F.min(number).alias("place")).alias("first")
+
+
 def frequencies(nodes: DataFrame, sections: tuple[str, ...], by: tuple[str, ...] = PAGE) -> DataFrame:
     """Long table (by, section, value, count, first) of every requested list in one aggregate."""
 
@@ -186,7 +197,7 @@ def frequencies(nodes: DataFrame, sections: tuple[str, ...], by: tuple[str, ...]
     return (
         nodes.select(*keys, "node_id", F.explode(entry).alias("e"))
         .groupBy(*by, F.col("e.section").alias("section"), F.col("e.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("page_id", "node_id")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("count"), _first(by, "node_id"))
     )
 
 
@@ -294,12 +305,12 @@ def piece_words(parsed: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
     """(by, word, count, first) over the texts of all text elements of rows of `text_pages`."""
     rows = parsed.select("page_id", *[c for c in by if c != "page_id"], F.explode("pieces").alias("p"))
     found = F.posexplode(F.regexp_extract_all("p.text", F.lit(WORD), F.lit(0))).alias("at", "w")
-    place = F.struct(*([] if "page_id" in by else ["page_id"]), "owner", "place", "at")
+    # Owner and place in one number of 62 bits.
     return (
         rows.select("*", found)
-        .select("*", "p.weight", "p.owner", "p.place")
+        .select("*", "p.weight", (F.col("p.owner") * F.lit(1 << 31) + F.col("p.place")).alias("string"))
         .groupBy(*by, F.lower("w").alias("word"))
-        .agg(F.sum("weight").alias("count"), F.min(place).alias("first"))
+        .agg(F.sum("weight").alias("count"), _first(by, "string", "at"))
     )
 
 
@@ -351,7 +362,7 @@ def longest_elements(pages: DataFrame, n: int = LONGEST) -> DataFrame:
 def _signature(node: Column) -> Column:
     return F.struct(
         node["tag"].alias("tag"),
-        F.array_sort(class_tokens(node["attrs"])).alias("classes"),
+        F.sort_array(class_tokens(node["attrs"])).alias("classes"),
         node["child_count"].alias("child_count"),
         F.least(F.lit(8), F.floor(node["size"] / 30)).cast("int").alias("text_bucket"),
     )
@@ -359,11 +370,14 @@ def _signature(node: Column) -> Column:
 
 def with_repeats(parsed: DataFrame) -> DataFrame:
     """Rows of `text_pages` with `members` (signature and id of every element, by signature) and `repeats`: the signatures that
-    occur more than once, most frequent first, as struct(minus_count, first_node, signature, at), `at` in members."""
+    occur more than once, most frequent first, as struct(minus_count, first_node, signature, at), `at` in members. Rows that have both
+    are left as they are."""
+    if "members" in parsed.columns and "repeats" in parsed.columns:
+        return parsed
     members = F.transform(
         F.filter("nodes", lambda n: n["kind"] == "e"), lambda n: F.struct(_signature(n).alias("signature"), n["node_id"].alias("id"))
     )
-    rows = group_runs(parsed.withColumn("members", F.array_sort(members)), "members", "signature", "groups")
+    rows = group_runs(parsed.withColumn("members", F.sort_array(members)), "members", "signature", "groups")
     repeated = F.transform(
         F.filter("groups", lambda g: g["count"] > 1),
         lambda g: F.struct(
@@ -373,7 +387,7 @@ def with_repeats(parsed: DataFrame) -> DataFrame:
             g["at"].alias("at"),
         ),
     )
-    return rows.withColumn("repeats", F.coalesce(F.array_sort(repeated), F.array().cast(_REPEATS))).drop("groups")
+    return rows.withColumn("repeats", F.coalesce(F.sort_array(repeated), F.array().cast(_REPEATS))).drop("groups")
 
 
 _REPEATS = (
@@ -479,7 +493,7 @@ def attribute_counts(nodes: DataFrame, by: tuple[str, ...] = PAGE, n: int = ATTR
     keys = list(dict.fromkeys((*by, "page_id")))
     rows = nodes.select(*keys, "tag", "node_id", F.posexplode(F.map_keys("attrs")).alias("at", "attribute"))
     counts = rows.groupBy(*by, "tag", "attribute").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("page_id", "node_id", "at")).alias("first")
+        F.count(F.lit(1)).alias("count"), _first(by, "node_id", "at")
     )
     top = _keep_top(counts, (*by, "tag"), n, [F.desc("count"), "first"])
     return top.select(*by, "tag", "rank", "attribute", "count")
@@ -492,7 +506,7 @@ def attribute_values(nodes: DataFrame, by: tuple[str, ...] = PAGE, n: int = ATTR
     counts = (
         rows.filter(F.col("value") != "")
         .groupBy(*by, "tag", "attribute", "value")
-        .agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("page_id", "node_id")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("count"), _first(by, "node_id"))
     )
     top = _keep_top(counts, (*by, "tag", "attribute"), n, [F.desc("count"), "first"])
     return top.select(*by, "tag", "attribute", "rank", "value", "count")

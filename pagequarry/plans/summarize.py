@@ -57,9 +57,9 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
 
     parts = []
     if wanted(*FROM_ARRAY):
-        parsed = cut(
-            summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null"), "parsed"
-        )
+        parsed = summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null")
+        # The facts and the samples both start from the repeated subtrees.
+        parsed = cut(summary.with_repeats(parsed), "parsed")
         facts = cut(_facts(parsed), "page-facts")
         elements = facts.select("page_id", F.inline("elements"))
         parts += [facts.drop("elements", "pieces"), _words(facts), _samples(pages, parsed)]
@@ -117,7 +117,7 @@ def _facts(parsed: DataFrame) -> DataFrame:
 
 def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """A page's ranked rows as one array."""
-    entries = F.array_sort(F.collect_list(F.struct("rank", *columns)))
+    entries = F.sort_array(F.collect_list(F.struct("rank", *columns)))
     return rows.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias(name))
 
 
@@ -131,24 +131,24 @@ def _attributes(elements: DataFrame) -> DataFrame:
     """The most frequent attributes of each tag with their most frequent values."""
     values = summary.attribute_values(elements)
     values = values.groupBy("page_id", "tag", "attribute").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))), lambda e: e.dropFields("rank")).alias("top_values")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))), lambda e: e.dropFields("rank")).alias("top_values")
     )
     counts = summary.attribute_counts(elements).join(values, ["page_id", "tag", "attribute"], "left")
-    entries = F.array_sort(F.collect_list(F.struct("tag", "rank", "attribute", "count", "top_values")))
+    entries = F.sort_array(F.collect_list(F.struct("tag", "rank", "attribute", "count", "top_values")))
     return counts.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias("attribute_stats"))
 
 
 def _forms(elements: DataFrame) -> DataFrame:
     entry = F.struct("form_id", "action", "method", "external_action", "input_count", "inputs", "likely_login_form")
     return summary.forms(elements).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("forms_detailed"),
+        F.sort_array(F.collect_list(entry)).alias("forms_detailed"),
         F.bool_or("external_action").alias("has_forms_posting_external"),
     )
 
 
 def _samples(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     rows = sample_extractions(pages, parsed=parsed.drop("pieces"))
-    entries = F.array_sort(F.collect_list(F.struct("rank", "nth", "signature", *FIELDS)))
+    entries = F.sort_array(F.collect_list(F.struct("rank", "nth", "signature", *FIELDS)))
     return rows.groupBy("page_id").agg(entries.alias("sample_extractions"))
 
 
@@ -165,7 +165,7 @@ def _lists(elements: DataFrame, top_tags: int) -> DataFrame:
     def top(name: str) -> Column:
         mine = (F.col("section") == name) & (F.col("rank") <= limit)
         entry = F.when(mine, F.struct("rank", "value", "count"))
-        listed = F.array_sort(F.collect_list(entry))
+        listed = F.sort_array(F.collect_list(entry))
         return F.transform(listed, lambda e: e.dropFields("rank")).alias(f"top_{name}")
 
     return ranked.groupBy("page_id").agg(

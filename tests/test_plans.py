@@ -159,3 +159,34 @@ def test_a_task_of_site_products_does_not_grow_with_parts_or_sites(spark, monkey
         assert sorted(map(str, rows.collect())) == few
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_page_lists_are_counted_without_a_sort(pages):
+    parsed = summary.text_pages(pages)
+    nodes = node_rows(parse_pages(pages, texts=()))
+    for counts in (summary.piece_words(parsed), summary.frequencies(nodes, ("tag", "class")), summary.attribute_counts(nodes), summary.attribute_values(nodes)):
+        text = plan(counts)
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_first_places_of_words_break_ties(spark):
+    """Equal counts: by the first text element, then the string, then the word's place in it."""
+    pieces = [("zz yy", 1, 7, 3), ("xx ww", 1, 2, 9), ("vv uu", 1, 2, 2**31 - 1)]
+    rows = spark.createDataFrame([(1, pieces)], "page_id long, pieces array<struct<text:string,weight:int,owner:int,place:int>>")
+    got = summary.piece_words(rows).orderBy("first").collect()
+    assert [r.word for r in got] == ["xx", "ww", "vv", "uu", "zz", "yy"]
+
+
+def test_summaries_look_for_repeated_subtrees_once(spark, pages, monkeypatch):
+    from pagequarry.operators import heuristics
+    from pagequarry.plans import summarize
+
+    looked = []
+
+    def counted(parsed, whole=summary.with_repeats):
+        looked.append("repeats" not in parsed.columns)
+        return whole(parsed)
+
+    monkeypatch.setattr(summary, "with_repeats", counted)
+    monkeypatch.setattr(heuristics, "with_repeats", counted)
+    assert summarize.summarize(pages.limit(3)).count() == 3 and sum(looked) == 1
