@@ -24,9 +24,9 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(rows: DataFrame, purpose: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
+def cut(rows: DataFrame, purpose: str = "cut", by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write rows to a table in the shared folder and read them back: later uses neither recompute
-    them nor depend on the executors that wrote them. `by` gives each value of these columns a folder."""
+    them nor depend on the executors that wrote them. `by` gives each value of these columns a folder; `options` are the writer's."""
     path = new_folder(rows.sparkSession, purpose)
-    rows.write.partitionBy(*by).parquet(path)
+    rows.write.options(**options).partitionBy(*by).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

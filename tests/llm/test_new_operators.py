@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,42 @@ def test_phrases_of_long_text_in_small_blocks(spark, monkeypatch):
     assert got_phrases(docs, **options) == brute_phrases([(text, "en"), ("x " * 5000, "en")], **options)
 
 
+def test_phrases_of_a_step_are_shuffled_as_a_row_a_bucket(spark):
+    """Rows between tasks do not grow with the different phrases, and hold the count of each."""
+    texts = [" ".join(f"w{i % 3000}" for i in range(at, at + 4000)) for at in range(0, 12_000, 1000)]
+    blocks = phrases.shard_table(table(spark, [(i, t, "en") for i, t in enumerate(texts)], 3), 1)
+    rows = phrases.step_counts(blocks, 0, 1, 2, [], threshold=1000, bits=4).collect()
+    assert len(rows) <= 3 * 16 and len({r.bucket for r in rows}) == 16
+    counts = collections.Counter()
+    for r in rows:
+        for key, n in zip(np.frombuffer(r.keys, np.uint64).tolist(), np.frombuffer(r.n, np.uint16).tolist(), strict=True):
+            assert key >> 60 == r.bucket
+            counts[key] += n
+    words = collections.Counter(w for t in texts for w in t.split())
+    assert sorted(counts.values()) == sorted(words.values())
+
+
+def test_phrases_of_a_block_with_many_words_and_langs(spark):
+    """Codes of a block with more than 65,536 words are wider; every lang has blocks of its own."""
+    wide = ". ".join(["new york city"] * 12 + [f"w{i} v{i}" for i in range(40_000)] + ["w39999 v39999"] * 9)
+    rows = [(wide, "en")] + [(f"at home {i}. at home", f"l{i % 30}") for i in range(300)]
+    docs = table(spark, [(i, t, g) for i, (t, g) in enumerate(rows)])
+    options = {"threshold": 10, "longest": 3, "covered": 50, "top": 2000}
+    got = got_phrases(docs, **options)
+    assert got == brute_phrases(rows, **options) and len({r[0] for r in got}) == 31
+
+
+def test_phrases_with_the_same_hash_are_told_apart():
+    """Words that share their hashes make runs of one hash; each is counted by its words."""
+    block = phrases.Block("en", np.array([1, 2, 0, 3, 2, 0, 1, 2], np.uint16), np.full(3, 5, np.uint64), pa.array(["a", "b", "c"], pa.large_string()))
+    tables = [phrases.Slots(np.zeros(16, np.uint8))] * 2
+    counts = collections.Counter()
+    for text, _, n in block.named(2, tables):
+        for phrase, k in zip(text.to_pylist(), n.tolist(), strict=True):
+            counts[phrase] += k
+    assert counts == {"a": 2, "b": 3, "c": 1, "a b": 2, "c b": 1}
+
+
 def test_phrases_of_an_empty_table(spark):
     assert got_phrases(table(spark, [(1, "a", "en")]).limit(0)) == []
 
