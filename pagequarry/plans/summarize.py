@@ -20,6 +20,9 @@ FROM_ARRAY = (
     "sample_extractions", *PATTERNS, *(f"{p}_count" for p in PATTERNS),
 )
 
+# What the aggregates need of an element.
+ELEMENT = ("node_id", "end_id", "depth", "tag", "attrs", "child_count")
+
 # The keys a reduced summary keeps.
 REDUCED = (
     "page_id",
@@ -48,7 +51,8 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
     """One row per page with content, with every key of the report, or with those of `keys` besides the plain counts.
 
     The pages are parsed once, into the shared folder. What a page's own node array can tell is told in its row (texts, repeated
-    subtrees, fragments, patterns); counts and lists are aggregates over the element rows. Parts without a wanted key are not made.
+    subtrees, fragments, patterns); counts and lists are aggregates over the element rows, which go to the task of their page
+    once for all of them. Parts without a wanted key are not made.
     """
     pages = pages.select("page_id", *(["url"] if "url" in pages.columns else []), "html")
 
@@ -59,13 +63,11 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
     if wanted(*FROM_ARRAY):
         parsed = summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null")
         # The facts and the samples both start from the repeated subtrees.
-        parsed = cut(summary.with_repeats(parsed), "parsed")
-        facts = cut(_facts(parsed), "page-facts")
-        elements = facts.select("page_id", F.inline("elements"))
-        parts += [facts.drop("elements", "pieces"), _words(facts), _samples(pages, parsed)]
+        parsed = cut(summary.with_repeats(parsed), "parsed", compression="zstd")
+        elements = _elements(parsed)
+        parts += [_facts(parsed), _words(parsed), _samples(pages, parsed)]
     else:
-        members = ("page_id", "node_id", "end_id", "depth", "tag", "attrs", "child_count")
-        elements = cut(node_rows(parse_pages(pages, texts=())).select(*members), "elements")
+        elements = cut(node_rows(parse_pages(pages, texts=())).select("page_id", *ELEMENT), "elements")
     out = summary.page_meta(pages).join(summary.counters(elements), "page_id")
     if wanted(*[f"top_{name}" for name in LISTS], *summary.UNIQUE.values()):
         parts.append(_lists(elements, top_tags))
@@ -77,12 +79,22 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
         parts.append(_forms(elements))
     for part in parts:
         out = out.join(part, "page_id", "left")
+    # The first of the samples: made before the joins, they would be shuffled twice.
+    clusters = F.slice("top_repeated", F.lit(1), F.lit(summary.CLUSTERS)).alias("clustered_subtrees")
+    out = out.select(*[x for c in out.columns for x in ((c, clusters) if c == "top_repeated" else (c,))])
     if "has_forms_posting_external" in out.columns:
         out = out.withColumn("has_forms_posting_external", F.coalesce("has_forms_posting_external", F.lit(False)))
     hints = F.create_map(*[x for field, hints in HINTS.items() for x in (F.lit(field), F.array(*[F.lit(h) for h in hints]))])
     return out.withColumn("field_hint_map", hints) if wanted("field_hint_map") else out
 
 
+def _elements(parsed: DataFrame) -> DataFrame:
+    """Element rows of stored pages. The pages' arrays are shuffled, by page: counts of a page's elements need no more shuffles."""
+    nodes = F.arrays_zip(*[F.col(f"nodes.{c}").alias(c) for c in ("kind", *ELEMENT)])
+    elements = F.transform(F.filter(nodes, lambda n: n["kind"] == "e"), lambda n: F.struct(*[n[c].alias(c) for c in ELEMENT]))
+    return parsed.select("page_id", elements.alias("elements")).repartition("page_id").select("page_id", F.inline("elements"))
+
+
 def _facts(parsed: DataFrame) -> DataFrame:
     """What is read off a page's own node array."""
     rows = summary.with_longest(summary.with_repeats(summary.with_text_stats(parsed)))
@@ -90,10 +102,6 @@ def _facts(parsed: DataFrame) -> DataFrame:
     found = {p: pattern_examples(F.col("all_text"), p) for p in PATTERNS}
     rows = rows.withColumns(found).withColumn("samples", summary.sampled(F.slice("repeats", F.lit(1), F.lit(summary.REPORTED_SIGNATURES))))
     rows = rows.withColumn("container", summary.container_of(F.col("repeats")))
-    elements = F.transform(
-        F.filter("nodes", lambda n: n["kind"] == "e"),
-        lambda n: F.struct(*[n[c].alias(c) for c in ("node_id", "end_id", "depth", "tag", "attrs", "child_count")]),
-    )
     container = F.col("container")
     best = F.struct(
         container["signature"].alias("signature"),
@@ -102,12 +110,9 @@ def _facts(parsed: DataFrame) -> DataFrame:
     )
     return rows.select(
         "page_id",
-        elements.alias("elements"),
-        "pieces",
         "text.*",
         F.size("repeats").cast("long").alias("total_repeated_signatures"),
         F.col("samples").alias("top_repeated"),
-        F.slice("samples", F.lit(1), F.lit(summary.CLUSTERS)).alias("clustered_subtrees"),
         F.when(container.isNotNull(), best).alias("suggested_container"),
         F.col("longest").alias("top_xpath_examples"),
         *PATTERNS,
@@ -121,9 +126,11 @@ def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias(name))
 
 
-def _words(facts: DataFrame) -> DataFrame:
+def _words(parsed: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id").orderBy(F.desc("count"), "first")
-    ranked = summary.piece_words(facts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= summary.TOP["word"])
+    # As for the elements, the pages' texts are shuffled instead of their many different words.
+    texts = parsed.select("page_id", "pieces").repartition("page_id")
+    ranked = summary.piece_words(texts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= summary.TOP["word"])
     return _listed(ranked, "top_words", "word", "count")
 
 
@@ -133,9 +140,14 @@ def _attributes(elements: DataFrame) -> DataFrame:
     values = values.groupBy("page_id", "tag", "attribute").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))), lambda e: e.dropFields("rank")).alias("top_values")
     )
-    counts = summary.attribute_counts(elements).join(values, ["page_id", "tag", "attribute"], "left")
-    entries = F.sort_array(F.collect_list(F.struct("tag", "rank", "attribute", "count", "top_values")))
-    return counts.groupBy("page_id").agg(F.transform(entries, lambda e: e.dropFields("rank")).alias("attribute_stats"))
+    # Joined by page, as everything else is: joined by attribute, both sides would be shuffled again.
+    of_page = F.map_from_entries(F.collect_list(F.struct(F.struct("tag", "attribute"), "top_values")))
+    values = values.groupBy("page_id").agg(of_page.alias("values"))
+    entries = F.sort_array(F.collect_list(F.struct("tag", "rank", "attribute", "count")))
+    counts = summary.attribute_counts(elements).groupBy("page_id").agg(entries.alias("entries")).join(values, "page_id", "left")
+    top_values = lambda e: F.element_at("values", F.struct(e["tag"], e["attribute"])).alias("top_values")
+    stats = F.transform("entries", lambda e: F.struct(e["tag"], e["attribute"], e["count"], top_values(e)))
+    return counts.select("page_id", stats.alias("attribute_stats"))
 
 
 def _forms(elements: DataFrame) -> DataFrame:

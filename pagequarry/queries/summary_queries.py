@@ -101,7 +101,7 @@ def page_summary_structure(spark, sf_dir):
 @query("page_summary_json")
 def page_summary_json(spark, sf_dir):
     path = new_folder(spark, "summaries")
-    sinks.export_json(plan.summarize(pages(spark, sf_dir)), path, by=None)
+    sinks.export_json(plan.summarize(pages(spark, sf_dir)), path, by=None, compression="gzip")
     return spark.read.text(path)
 
 

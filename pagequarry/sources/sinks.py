@@ -94,10 +94,10 @@ def _outcome(spark: SparkSession, table_name: str, count: int) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
-def export_json(report: DataFrame, path: str, by: str | None = "site") -> int:
-    """Any report as JSON text, partitioned by site where it has one; nested values are kept."""
+def export_json(report: DataFrame, path: str, by: str | None = "site", compression: str = "none") -> int:
+    """Any report as JSON text, partitioned by site where it has one; nested values are kept. Files packed by gzip are read as text too."""
     body = F.to_json(F.struct(*report.columns)).alias("value")
     if by and by in report.columns:
         rows = report.select(F.col(by), body)
-        return _counted(rows, lambda w: w.mode("append").partitionBy(by).text(path))
-    return _counted(report.select(body), lambda w: w.mode("append").text(path))
+        return _counted(rows, lambda w: w.mode("append").option("compression", compression).partitionBy(by).text(path))
+    return _counted(report.select(body), lambda w: w.mode("append").option("compression", compression).text(path))

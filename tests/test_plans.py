@@ -1,5 +1,7 @@
 """Physical plans: what is shuffled, joined and read."""
 
+import re
+
 import pytest
 
 from pagequarry.operators import quality, summary
@@ -190,3 +192,38 @@ def test_summaries_look_for_repeated_subtrees_once(spark, pages, monkeypatch):
     monkeypatch.setattr(summary, "with_repeats", counted)
     monkeypatch.setattr(heuristics, "with_repeats", counted)
     assert summarize.summarize(pages.limit(3)).count() == 3 and sum(looked) == 1
+
+
+def test_summaries_shuffle_pages_and_not_their_words_or_values(pages):
+    """Every shuffle is by page, so that none of the counts, ranks and joins needs another."""
+    from pagequarry.plans import summarize
+
+    text = plan(summarize.summarize(pages))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert keys and all(re.fullmatch(r"page_id#\d+L, \d+", k) for k in keys)
+
+
+def test_summaries_store_the_parsed_pages_only_once_and_pack_the_report(spark, tmp_path, monkeypatch):
+    """Nothing of the stored pages is stored again, and the report is text in packed files."""
+    import __spark_entry__ as entry
+    from pagequarry.sources import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    rows = entry.queries()["page_summary_json"](spark, SF)
+    folders = {p.name.rpartition("-")[0]: [f.name for f in p.glob("part-*")] for p in tmp_path.iterdir()}
+    assert sorted(folders) == ["parsed", "summaries"] and rows.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert all(f.endswith(".txt.gz") for f in folders["summaries"])
+
+
+def test_attribute_statistics_of_a_page(spark, pages_of):
+    """Most frequent attributes of a tag with their values; empty values count for the attribute only."""
+    from pagequarry.plans import summarize
+
+    html = '<a href="x" b>1</a><a b="">2</a><a href="y" b="">3</a><a href="y">4</a><p id="i">5</p>'
+    rows = summarize.summarize(pages_of(html, "<p>plain</p>", "<i off>6</i>"), keys=("attribute_stats",)).collect()
+    stats = {r.page_id: r.attribute_stats and [(a.tag, a.attribute, a["count"], a.top_values and [tuple(v) for v in a.top_values]) for a in r.attribute_stats] for r in rows}
+    assert stats == {
+        0: [("a", "href", 3, [("y", 2), ("x", 1)]), ("a", "b", 3, None), ("p", "id", 1, [("i", 1)])],
+        1: None,
+        2: [("i", "off", 1, None)],
+    }
