@@ -20,6 +20,9 @@ PATTERNS = {
     "token_like": (r"\b[A-Za-z0-9_-]{40,}\b", 0),
 }
 
+#: What every match of a pattern holds: texts without it are not searched.
+NEEDED = {"emails": "@"}
+
 # How many examples are kept, and the words that mark listing content.
 EXAMPLE_CAP = 30
 SHOP_WORDS = (
@@ -64,7 +67,8 @@ WORD = r"[A-Za-z0-9']{2,}"
 def pattern_examples(text: Column, name: str) -> Column:
     """The first matches of a pattern, capped as the report caps them."""
     pattern, group = PATTERNS[name]
-    return F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, EXAMPLE_CAP)
+    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, EXAMPLE_CAP)
+    return F.when(~text.contains(NEEDED[name]), F.array().cast("array<string>")).otherwise(found) if name in NEEDED else found
 
 
 def shop_words_found(text: Column, words: tuple[str, ...] = SHOP_WORDS) -> Column:

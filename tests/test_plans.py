@@ -227,3 +227,13 @@ def test_attribute_statistics_of_a_page(spark, pages_of):
         1: None,
         2: [("i", "off", 1, None)],
     }
+
+
+def test_only_texts_with_an_at_sign_are_searched_for_addresses(spark):
+    from pagequarry.functions.patterns import pattern_examples
+    from pyspark.sql import functions as F
+
+    texts = ["write to a.b@c.org, x@y.zz or @home", "at c.org", "@", "", None]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", pattern_examples(F.col("t"), "emails").alias("e"))
+    assert [r.e for r in found.orderBy("id").collect()] == [["a.b@c.org", "x@y.zz"], [], [], [], None]
+    assert "Contains(t" in plan(found) or "contains(t" in plan(found).lower()
