@@ -20,6 +20,9 @@ FROM_ARRAY = (
     "sample_extractions", *PATTERNS, *(f"{p}_count" for p in PATTERNS),
 )
 
+# The texts of a stored page.
+STORED_TEXTS = ("source", "raw", "stripped")
+
 # What the aggregates need of an element.
 ELEMENT = ("node_id", "end_id", "depth", "tag", "attrs", "child_count")
 
@@ -63,7 +66,7 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
     if wanted(*FROM_ARRAY):
         parsed = summary.text_pages(pages, texts=("raw", "stripped"), xpath=True, source=True, longest=True).filter("parse_error is null")
         # The facts and the samples both start from the repeated subtrees.
-        parsed = cut(summary.with_repeats(parsed), "parsed", compression="zstd")
+        parsed = _stored(summary.with_repeats(parsed))
         elements = _elements(parsed)
         parts += [_facts(parsed), _words(parsed), _samples(pages, parsed)]
     else:
@@ -88,6 +91,18 @@ def summarize(pages: DataFrame, top_tags: int = summary.TOP["tag"], keys: tuple[
     return out.withColumn("field_hint_map", hints) if wanted("field_hint_map") else out
 
 
+def _stored(parsed: DataFrame) -> DataFrame:
+    """Parsed pages, stored with their three texts in one cell: these hold the same strings, which then take little more than once
+    their space. Read back they are columns of their own again."""
+    sizes = [F.octet_length(t).alias(f"{t}_bytes") for t in STORED_TEXTS]
+    rows = parsed.select(*[c for c in parsed.columns if c not in STORED_TEXTS], F.concat(*STORED_TEXTS).alias("packed"), *sizes)
+    rows, start, texts = cut(rows, "parsed", compression="zstd"), F.lit(1), []
+    for t in STORED_TEXTS:
+        texts.append(F.substr(F.col("packed"), start, F.col(f"{t}_bytes")).alias(t))
+        start = start + F.col(f"{t}_bytes")
+    return rows.select(*[c for c in parsed.columns if c not in STORED_TEXTS], *texts)
+
+
 def _elements(parsed: DataFrame) -> DataFrame:
     """Element rows of stored pages. The pages' arrays are shuffled, by page: counts of a page's elements need no more shuffles."""
     nodes = F.arrays_zip(*[F.col(f"nodes.{c}").alias(c) for c in ("kind", *ELEMENT)])

@@ -237,3 +237,16 @@ def test_only_texts_with_an_at_sign_are_searched_for_addresses(spark):
     found = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", pattern_examples(F.col("t"), "emails").alias("e"))
     assert [r.e for r in found.orderBy("id").collect()] == [["a.b@c.org", "x@y.zz"], [], [], [], None]
     assert "Contains(t" in plan(found) or "contains(t" in plan(found).lower()
+
+
+def test_stored_pages_come_back_with_their_texts(pages_of):
+    """The texts share a cell, cut by bytes: also where they are empty or have characters of several bytes."""
+    from pagequarry.plans import summarize
+
+    pages = pages_of("<p>é  ü</p> <b>日本</b>", "<br>", "<!-- c -->", "plain", "<p> x </p>")
+    parsed = summary.text_pages(pages, texts=("raw", "stripped"), source=True)
+    stored = summarize._stored(parsed)
+    names = [f.name for f in parsed.schema.fields]
+    assert sorted(stored.columns) == sorted(names) and stored.select(*names).dtypes == parsed.dtypes
+    rows = lambda d: {r.page_id: (bytes(r.source), bytes(r.raw), bytes(r.stripped), str(r.nodes), str(r.pieces)) for r in d.collect()}
+    assert rows(stored) == rows(parsed) and len(rows(parsed)) == 5
